@@ -83,14 +83,16 @@ def delete_file(store: TableStore, file_id: int) -> None:
         "status", F.when(F.col("id") == file_id, F.lit("deleted")).otherwise(F.col("status"))))
 
 
-def delete_year(store: TableStore, year: int) -> DataFrame:
-    """T5: drop store lines of one calendar year (2000-2100 accepted).
+def delete_year(store: TableStore, year: int, valid_years: tuple[int, int] | None = (2000, 2100)
+                ) -> DataFrame:
+    """T5: drop store lines of one calendar year.
 
-    Returns ``(table_name, deleted)`` rows; the sales table has no dates and
-    is left alone (0).
+    ``valid_years`` is the accepted input range (the web form's check);
+    ``None`` accepts any year. Returns ``(table_name, deleted)`` rows; the
+    sales table has no dates and is left alone (0).
     """
-    if not 2000 <= int(year) <= 2100:
-        raise ValueError("year must be between 2000 and 2100")
+    if valid_years and not valid_years[0] <= int(year) <= valid_years[1]:
+        raise ValueError(f"year must be between {valid_years[0]} and {valid_years[1]}")
     df = store.read(STORE_SALES, STORE_SALES_SCHEMA)
     in_year = F.coalesce(F.year("sale_date") == int(year), F.lit(False))
     n = df.filter(in_year).agg(F.count(F.lit(1)).alias("n")).first()["n"]

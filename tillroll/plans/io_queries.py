@@ -1 +1,140 @@
-"""Registered queries."""
+"""Registered source / sink / maintenance queries (S1, S3, S7, S11-S14,
+T1, T4, T5). Each writes through the library to a fresh folder under the
+session's shared checkpoint folder and returns the table read back, so the
+oracle is the expected table content."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators import maintain as M, sales as S
+from ..schemas import SALES_SCHEMA, STORE_SALES_SCHEMA
+from ..session import work_path
+from ..sources import export as X, ingest as G
+from ..sources.store import TableStore
+from ..streaming import chunks as CH
+from . import duck_sql as Q
+from .clean_queries import CLEAN_SALES_SQL, CLEAN_STORE_SQL, raw_sales_file
+from .registry import query
+
+_CHUNKED = T.StructType(SALES_SCHEMA.fields + [T.StructField("chunk_index", T.IntegerType())])
+_CHUNKED_STORE = T.StructType(STORE_SALES_SCHEMA.fields
+                              + [T.StructField("chunk_index", T.IntegerType())])
+
+
+@query("chunk_upload", views=("raw_lines",), sql=CLEAN_SALES_SQL)
+def _s3(fx):
+    """S3: sales lines sent as JSON chunks, loaded by the streaming job
+    (dynamic overwrite per chunk), read back without the chunk key."""
+    spark = fx.spark
+    r = fx.raw_lines
+    # client chunk size: the lines of 500 consecutive order keys
+    lines = r.select(F.floor(F.col("l_orderkey") / 500).alias("_chunk"),
+                     F.col("classification").alias("분류명"), F.col("product_name").alias("상품명"),
+                     F.col("qty_text").alias("판매량"))
+    root = work_path(spark, "chunk-upload")
+    CH.write_chunks(lines, f"{root}/in", 1, "original", "_chunk", ["분류명", "상품명", "판매량"])
+    paths = CH.run_chunk_upload(spark, f"{root}/in", f"{root}/tables")
+    return spark.read.schema(_CHUNKED).parquet(paths["sales"]).drop("chunk_index")
+
+
+@query("store_chunk_upload", views=("raw_lines",), sql=CLEAN_STORE_SQL)
+def _s3m(fx):
+    """S3 for store/day chunks (file_type 'monthly', data type in the envelope)."""
+    spark = fx.spark
+    r = fx.raw_lines
+    hdr = {"date_text": "판매일자", "store": "매장명", "classification": "분류명",
+           "product_name": "상품명", "qty_text": "판매량"}
+    lines = r.select(F.floor(F.col("l_orderkey") / 500).alias("_chunk"),
+                     *[F.col(k).alias(v) for k, v in hdr.items()])
+    root = work_path(spark, "chunk-upload")
+    CH.write_chunks(lines, f"{root}/in", 2, "monthly", "_chunk", list(hdr.values()),
+                    data_type="의류")
+    paths = CH.run_chunk_upload(spark, f"{root}/in", f"{root}/tables")
+    return spark.read.schema(_CHUNKED_STORE).parquet(paths["store_sales"]).drop("chunk_index")
+
+
+_CSV_RAW = ("(SELECT nullif(classification, '') AS classification, "
+            "nullif(product_name, '') AS product_name, nullif(qty_text, '') AS qty_text "
+            "FROM raw_lines) raw_csv")
+
+
+@query("csv_load", views=("raw_lines",),
+       sql=CLEAN_SALES_SQL.replace("FROM raw_lines", f"FROM {_CSV_RAW}"))
+def _s1(fx):
+    """S1 + T1 + S7: a sales export written as CSV, read back as text,
+    registered as a file, cleaned and appended, then read from the table.
+    (Empty CSV cells read as null, as in any CSV reader.)"""
+    spark = fx.spark
+    root = work_path(spark, "csv-load")
+    (raw_sales_file(fx).write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(f"{root}/export.csv"))
+    store = TableStore(spark, f"{root}/store")
+    raw = G.read_delimited(spark, f"{root}/export.csv")
+    fid = M.register_file(store, "export.csv", "export.csv", "original")
+    G.save_sales(store, raw, fid)
+    return store.read(M.SALES, SALES_SCHEMA)
+
+
+def _full(schema, cols):
+    return Q.typed_select(schema, {c: c for c in cols})
+
+
+_SALES_COLS = ["file_id", "classification", "category", "supplier", "product_code",
+               "product_name", "sold_qty", "cancel_qty", "net_sales"]
+_STORE_COLS = ["file_id", "data_type", "sale_date", "store_code", "store", "classification",
+               "product_code", "product_name", "sold_qty", "net_sales"]
+
+
+@query("delete_year", views=("store_sales",), sql=f"""
+SELECT {_full(STORE_SALES_SCHEMA, _STORE_COLS)} FROM store_sales
+WHERE sale_date IS NULL OR year(sale_date) <> 1995""")
+def _t5(fx):
+    """T5: store table stored, one year's lines deleted by rewriting the
+    kept rows to a new version, read back."""
+    spark = fx.spark
+    store = TableStore(spark)
+    store.replace(M.STORE_SALES, G.conform(fx.store_sales, STORE_SALES_SCHEMA), ["file_id"])
+    M.delete_year(store, 1995, valid_years=None)
+    return store.read(M.STORE_SALES, STORE_SALES_SCHEMA)
+
+
+@query("delete_file", views=("sales",), sql=f"""
+SELECT {_full(SALES_SCHEMA, _SALES_COLS)} FROM sales WHERE file_id <> 2""")
+def _t4(fx):
+    """T4: sales table stored, one file's lines deleted, read back."""
+    spark = fx.spark
+    store = TableStore(spark)
+    store.replace(M.SALES, G.conform(fx.sales, SALES_SCHEMA), ["file_id"])
+    M.delete_file(store, 2)
+    return store.read(M.SALES, SALES_SCHEMA)
+
+
+@query("snapshot_restore", views=("store_sales",), sql=f"""
+SELECT {_full(STORE_SALES_SCHEMA, _STORE_COLS)} FROM store_sales""")
+def _s14(fx):
+    """S13 + S14: tables written as a JSON snapshot and read back typed."""
+    spark = fx.spark
+    path = work_path(spark, "snapshot")
+    X.snapshot(path, G.conform(fx.sales, SALES_SCHEMA),
+               G.conform(fx.store_sales, STORE_SALES_SCHEMA))
+    return X.read_snapshot(spark, path, "store_sales")
+
+
+_REPORT_SCHEMA = "supplier string, net_sales double, sold_qty double, product_count long"
+
+
+@query("report_export", views=("sales",), sql="""
+SELECT supplier, cast(sum(net_sales) AS double) AS net_sales, sum(sold_qty) AS sold_qty,
+       count(DISTINCT product_code) AS product_count
+FROM sales WHERE supplier IS NOT NULL AND supplier <> '' GROUP BY supplier""")
+def _s12(fx):
+    """S11 + S12: a report of several datasets written as CSV; the supplier
+    dataset read back with its schema."""
+    spark = fx.spark
+    path = work_path(spark, "report")
+    X.save_report({"supplier": S.sales_by_supplier(fx.sales, top=None),
+                   "monthly": S.monthly_sales(fx.store_sales)}, path)
+    return spark.read.schema(_REPORT_SCHEMA).option("header", True).csv(f"{path}/supplier")
+

@@ -9,7 +9,7 @@ instead of a second pass.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,10 +65,10 @@ def rename_headers(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.select(*cols)
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+def conform(df: DataFrame, schema: T.StructType, carry: tuple[str, ...] = ()) -> DataFrame:
     """Select ``schema``'s columns, adding absent ones as typed nulls."""
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType)
-                       .alias(f.name) for f in schema.fields])
+                       .alias(f.name) for f in schema.fields], *carry)
 
 
 # Catalog and stock header rules. Each rule is (target,
@@ -126,11 +126,16 @@ def _measures(df: DataFrame, schema: T.StructType) -> list:
     return out
 
 
-def clean_sales(raw: DataFrame, file_id: int) -> DataFrame:
+def _file_id(file_id) -> Column:
+    return (file_id if isinstance(file_id, Column) else F.lit(file_id)).cast("int")
+
+
+def clean_sales(raw: DataFrame, file_id, carry: tuple[str, ...] = ()) -> DataFrame:
     """S7 cleaning: Korean headers -> typed sales lines of one file.
 
     Drops empty / summary product names (C8), splits the classification
     (C1), parses every measure (C2). Absent columns become nulls.
+    ``file_id`` is a number or a column; ``carry`` columns pass through.
     """
     df = rename_headers(raw, SALES_HEADERS)
     name = F.col("product_name") if "product_name" in df.columns else F.lit(None).cast("string")
@@ -138,12 +143,14 @@ def clean_sales(raw: DataFrame, file_id: int) -> DataFrame:
     cls = F.col("classification") if "classification" in df.columns else F.lit(None).cast("string")
     cat, sup = C.split_classification(cls)
     keep = [c for c in ("classification", "product_code", "barcode", "product_name") if c in df.columns]
-    out = df.select(F.lit(file_id).cast("int").alias("file_id"), *keep,
-                    cat.alias("category"), sup.alias("supplier"), *_measures(df, SALES_SCHEMA))
-    return conform(out, SALES_SCHEMA)
+    out = df.select(_file_id(file_id).alias("file_id"), *keep,
+                    cat.alias("category"), sup.alias("supplier"), *_measures(df, SALES_SCHEMA),
+                    *carry)
+    return conform(out, SALES_SCHEMA, carry)
 
 
-def clean_store_sales(raw: DataFrame, file_id: int, data_type: str | None = None) -> DataFrame:
+def clean_store_sales(raw: DataFrame, file_id, data_type: str | None = None,
+                      carry: tuple[str, ...] = ()) -> DataFrame:
     """S8 cleaning: store/day lines of one file.
 
     Drops store sub-total rows (C9), splits the classification (C1), turns
@@ -159,10 +166,10 @@ def clean_store_sales(raw: DataFrame, file_id: int, data_type: str | None = None
     date = C.to_sale_date(F.col("sale_date")) if "sale_date" in df.columns else F.lit(None)
     keep = [c for c in ("store_code", "store", "classification", "product_code", "product_name")
             if c in df.columns]
-    out = df.select(F.lit(file_id).cast("int").alias("file_id"), dtype.alias("data_type"),
+    out = df.select(_file_id(file_id).alias("file_id"), dtype.alias("data_type"),
                     date.cast("date").alias("sale_date"), *keep, cat.alias("category"),
-                    sup.alias("supplier"), *_measures(df, STORE_SALES_SCHEMA))
-    return conform(out, STORE_SALES_SCHEMA)
+                    sup.alias("supplier"), *_measures(df, STORE_SALES_SCHEMA), *carry)
+    return conform(out, STORE_SALES_SCHEMA, carry)
 
 
 def _append_counted(store: TableStore, table: str, df: DataFrame, partition_by: list[str]) -> int:

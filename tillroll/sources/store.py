@@ -23,7 +23,10 @@ _LOG_SCHEMA = T.StructType([T.StructField("version", T.IntegerType()),
 class TableStore:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
+        # a fresh folder has no tables yet; an existing one is probed per table
+        self._fresh = root is None
         self.root = (root or work_path(spark, "store")).rstrip("/")
+        self._known: dict[str, int | None] = {}
 
     # -- layout --------------------------------------------------------------
     def _log(self, table: str) -> str:
@@ -33,17 +36,24 @@ class TableStore:
         return f"{self.root}/{table}/v{version:06d}"
 
     def current_version(self, table: str) -> int | None:
+        if table in self._known:
+            return self._known[table]
+        if self._fresh:
+            return None
         try:
             row = (self.spark.read.schema(_LOG_SCHEMA).parquet(self._log(table))
                    .agg(F.max("version").alias("v")).first())
         except Exception:  # no log yet
             return None
-        return None if row is None else row["v"]
+        v = None if row is None else row["v"]
+        self._known[table] = v
+        return v
 
     def _commit(self, table: str, version: int) -> None:
         (self.spark.range(1).select(F.lit(version).cast("int").alias("version"),
                                     F.current_timestamp().alias("written_at"))
          .coalesce(1).write.mode("append").parquet(self._log(table)))
+        self._known[table] = version
 
     # -- reads -----------------------------------------------------------------
     def read(self, table: str, schema: T.StructType) -> DataFrame:
