@@ -44,6 +44,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     for k, v in SCALE_CONFS.items():
         b = b.config(k, v)
     b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    b = b.config("spark.driver.memory", os.environ.get("TILLROLL_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
