@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ..schemas import NONE_LABEL, OTHER_LABEL, UNASSIGNED_SUPPLIER
 
-# Python's str.strip() removes every Unicode white-space character plus the
-# four ASCII separators 0x1c-0x1f; Spark's trim() removes only spaces.
-_WS = r"[\s\x1c-\x1f]"
-_STRIP_RE = rf"(?U)^{_WS}+|{_WS}+$"
+# The characters Python's str.strip() removes by default (its
+# white-space set: str.isspace() is true for exactly these code points).
+# Spark's trim() removes only spaces, so the set is passed to btrim().
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                 "\u2028\u2029\u202f\u205f\u3000")
 
 # Plain decimal / scientific notation; Spark would also accept "1d" or "1f".
 NUMERIC_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -41,8 +43,9 @@ def _c(c) -> Column:
 
 
 def ustrip(c) -> Column:
-    """Python-style ``strip()``: drop leading/trailing Unicode white space."""
-    return F.regexp_replace(_c(c), _STRIP_RE, "")
+    """Python-style ``strip()``: drop leading/trailing Unicode white space
+    (a character-set trim, no regular expression)."""
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def blank(c) -> Column:
@@ -71,6 +74,24 @@ def split_classification(c) -> tuple[Column, Column]:
     return cat, sup
 
 
+def with_classification(df, src: str = "classification", cat: str = "category",
+                        sup: str = "supplier"):
+    """C1 as a DataFrame step: the stripped text and the pattern test are
+    computed once (separate projections) and shared by both outputs."""
+    c = F.col(src) if src in df.columns else F.lit(None).cast("string")
+    staged = df.withColumn("_cls_s", ustrip(c)).withColumn(
+        "_cls_m", F.col("_cls_s").rlike(CLASSIFICATION_RE))
+    s, has = F.col("_cls_s"), F.col("_cls_m")
+    none = F.lit(None).cast("string")
+    return (staged
+            .withColumn(cat, F.when(blank(c), none)
+                        .when(has, ustrip(F.regexp_extract(s, CLASSIFICATION_RE, 1))).otherwise(s))
+            .withColumn(sup, F.when(blank(c), none)
+                        .when(has, ustrip(F.regexp_extract(s, CLASSIFICATION_RE, 2)))
+                        .otherwise(F.lit(UNASSIGNED_SUPPLIER)))
+            .drop("_cls_s", "_cls_m"))
+
+
 # --- C2 / C12 ----------------------------------------------------------------
 def to_number(c) -> Column:
     """Text -> double: commas removed, stripped; unparsable -> null."""
@@ -94,7 +115,7 @@ def int_or_zero(c) -> Column:
 
 
 # --- C3 / C4 ---------------------------------------------------------------
-def base_product_code(name) -> Column:
+def base_product_code(name, stripped=None) -> Column:
     """Base code of a product name (upper-cased) or null.
 
     1. text before the first "_" when it is purely letters/digits;
@@ -102,7 +123,7 @@ def base_product_code(name) -> Column:
     3. a leading digits+letters(+alnum) run.
     """
     name = _c(name)
-    s = ustrip(name)
+    s = ustrip(name) if stripped is None else _c(stripped)
     head = ustrip(F.substring_index(s, "_", 1))
     p1 = F.when(s.contains("_") & head.rlike(CODE_WHOLE_RE), F.upper(head))
     p2 = F.nullif(F.regexp_extract(s, CODE_LETTERS_FIRST_RE, 1), F.lit(""))
@@ -111,10 +132,10 @@ def base_product_code(name) -> Column:
         F.coalesce(p1, F.upper(p2), F.upper(p3)))
 
 
-def option_label(name, base_code) -> Column:
+def option_label(name, base_code, stripped=None) -> Column:
     """Display name without the base code (the option part of a name)."""
     name, base_code = _c(name), _c(base_code)
-    s = ustrip(name)
+    s = ustrip(name) if stripped is None else _c(stripped)
     after_us = ustrip(F.regexp_extract(s, r"(?s)^[^_]*_(.*)$", 1))
     rest = ustrip(s.substr(F.length(base_code) + 1, F.length(s) + 1))
     return (F.when(blank(name) | blank(base_code), name)
@@ -124,18 +145,12 @@ def option_label(name, base_code) -> Column:
 
 
 # --- C5 ------------------------------------------------------------------------
-def to_sale_date(c) -> Column:
-    """Mixed date text -> DateType.
+# rough shape a text date must have before any layout is tried: parsing
+# failures are costly, so plain words never reach the parsers
+_DATE_SHAPE_RE = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"
 
-    * text of 10+ chars with "-" or "/" at position 5: its first 10 chars;
-    * 8 digits: ``yyyyMMdd``;
-    * a number 1 < v < 100000: spreadsheet serial day;
-    * any other number: unix seconds (UTC), within pandas' timestamp range;
-    * other text: the layouts in ``DATE_LAYOUTS``.
-    Anything else, and impossible calendar dates, give null.
-    """
-    s = ustrip(_c(c).cast("string"))
-    v = to_number(s)
+
+def _sale_date(s: Column, v: Column) -> Column:
     head10 = F.regexp_replace(F.substring(s, 1, 10), "/", "-")
     texty = (F.length(s) >= 10) & F.substring(s, 5, 1).isin("-", "/")
     eight = s.rlike(r"^\d{8}$")
@@ -147,10 +162,33 @@ def to_sale_date(c) -> Column:
             .when(eight, F.to_date(F.try_to_timestamp(s, F.lit("yyyyMMdd"))))
             .when((v > 1) & (v < 100000), serial)
             .when(v.isNotNull() & (F.abs(v) < 9.2e9), unix)
-            .when(v.isNotNull(), F.lit(None).cast("date"))
+            .when(v.isNotNull() | ~s.rlike(_DATE_SHAPE_RE), F.lit(None).cast("date"))
             .otherwise(other))
 
 
+def to_sale_date(c) -> Column:
+    """Mixed date text -> DateType.
+
+    * text of 10+ chars with "-" or "/" at position 5: its first 10 chars;
+    * 8 digits: ``yyyyMMdd``;
+    * a number 1 < v < 100000: spreadsheet serial day;
+    * any other number: unix seconds (UTC), within pandas' timestamp range;
+    * other text: the layouts in ``DATE_LAYOUTS``.
+    Anything else, and impossible calendar dates, give null.
+    """
+    s = ustrip(_c(c).cast("string"))
+    return _sale_date(s, to_number(s))
+
+
+def with_sale_date(df, src: str, out: str = "sale_date"):
+    """C5 as a DataFrame step: the stripped text and its number are computed
+    once and shared by every rule."""
+    staged = (df.withColumn("_dt_s", ustrip(F.col(src).cast("string")))
+              .withColumn("_dt_v", to_number(F.col("_dt_s"))))
+    return (staged.withColumn(out, _sale_date(F.col("_dt_s"), F.col("_dt_v")))
+            .drop("_dt_s", "_dt_v"))
+
+
 # --- C6 ------------------------------------------------------------------------
 def group_display_name(name) -> Column:
     """Representative name of a product group.
@@ -160,7 +198,7 @@ def group_display_name(name) -> Column:
     result falls back to the part itself. Names without "_" stay whole.
     """
     name = _c(name)
-    last = F.element_at(F.split(name, "_", -1), -1)
+    last = F.substring_index(name, "_", -1)
     b_open = F.instr(last, "[")
     b_close = F.instr(last, "]")
     after = ustrip(last.substr(b_close + 1, F.length(last) + 1))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clean import base_product_code, group_display_name, option_label
+from ..functions.clean import base_product_code, group_display_name, option_label, ustrip
 from ..schemas import OTHER_LABEL
 from .sales import with_file
 
@@ -35,11 +35,14 @@ def supplier_category_leaves(sales: DataFrame, file_id=None) -> DataFrame:
     df = with_file(sales, file_id).filter(F.col("supplier").isNotNull()
                                           & F.col("category").isNotNull())
     leaf = _leaf(df, ["supplier", "category", "product_code", "product_name"])
-    base = F.coalesce(base_product_code("product_name"), F.nullif(F.col("product_code"), F.lit("")),
-                      F.lit(OTHER_LABEL))
+    # the stripped name is computed once and shared by C3 and C4
+    leaf = leaf.withColumn("_n", ustrip("product_name"))
+    base = F.coalesce(base_product_code("product_name", stripped="_n"),
+                      F.nullif(F.col("product_code"), F.lit("")), F.lit(OTHER_LABEL))
     return (leaf.withColumn("base_code", base)
-            .withColumn("option_name", option_label("product_name", "base_code"))
-            .withColumn("_rep", group_display_name("product_name")))
+            .withColumn("option_name", option_label("product_name", "base_code", stripped="_n"))
+            .withColumn("_rep", group_display_name("product_name"))
+            .drop("_n"))
 
 
 def supplier_category_matrix(sales: DataFrame, file_id=None, top_groups: int = 50) -> DataFrame:

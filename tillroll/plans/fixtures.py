@@ -118,14 +118,29 @@ def _spark_text(sql: str, names: list[str]) -> str:
     return sql
 
 
+# fact tables whose scan is spread over the cores when the files give fewer
+# splits than there are cores (one Parquet row group per file in the test
+# data); on a cluster the scan already has more splits than cores
+FACT_TABLES = ("lineitem", "orders")
+
+
 class Fixtures:
     """Lazily built fixture DataFrames over one scale-factor folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, spread: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.spread = spread
         self._cache: dict[str, DataFrame] = {}
 
+    def _read(self, name: str) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if self.spread and name in FACT_TABLES:
+            cores = self.spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
+        return df
+
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:
             if name in VIEW_SQL:
@@ -133,7 +148,7 @@ class Fixtures:
                 frames = {d: self.table(d) for d in deps}
                 self._cache[name] = self.spark.sql(_spark_text(VIEW_SQL[name], deps), **frames)
             else:
-                self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._cache[name] = self._read(name)
         return self._cache[name]
 
     def __getattr__(self, name: str) -> DataFrame:

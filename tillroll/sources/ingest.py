@@ -139,13 +139,10 @@ def clean_sales(raw: DataFrame, file_id, carry: tuple[str, ...] = ()) -> DataFra
     """
     df = rename_headers(raw, SALES_HEADERS)
     name = F.col("product_name") if "product_name" in df.columns else F.lit(None).cast("string")
-    df = df.filter(C.keep_sales_line(name))
-    cls = F.col("classification") if "classification" in df.columns else F.lit(None).cast("string")
-    cat, sup = C.split_classification(cls)
+    df = C.with_classification(df.filter(C.keep_sales_line(name)))
     keep = [c for c in ("classification", "product_code", "barcode", "product_name") if c in df.columns]
-    out = df.select(_file_id(file_id).alias("file_id"), *keep,
-                    cat.alias("category"), sup.alias("supplier"), *_measures(df, SALES_SCHEMA),
-                    *carry)
+    out = df.select(_file_id(file_id).alias("file_id"), *keep, "category", "supplier",
+                    *_measures(df, SALES_SCHEMA), *carry)
     return conform(out, SALES_SCHEMA, carry)
 
 
@@ -159,16 +156,16 @@ def clean_store_sales(raw: DataFrame, file_id, data_type: str | None = None,
     """
     df = rename_headers(raw, STORE_HEADERS)
     store = F.col("store") if "store" in df.columns else F.lit(None).cast("string")
-    df = df.filter(C.keep_store_line(store))
-    cls = F.col("classification") if "classification" in df.columns else F.lit(None).cast("string")
-    cat, sup = C.split_classification(cls)
+    df = C.with_classification(df.filter(C.keep_store_line(store)))
+    if "sale_date" in df.columns:
+        df = C.with_sale_date(df, "sale_date", "sale_date")
     dtype = F.col("data_type") if "data_type" in df.columns else F.lit(data_type).cast("string")
-    date = C.to_sale_date(F.col("sale_date")) if "sale_date" in df.columns else F.lit(None)
+    date = F.col("sale_date") if "sale_date" in df.columns else F.lit(None)
     keep = [c for c in ("store_code", "store", "classification", "product_code", "product_name")
             if c in df.columns]
     out = df.select(_file_id(file_id).alias("file_id"), dtype.alias("data_type"),
-                    date.cast("date").alias("sale_date"), *keep, cat.alias("category"),
-                    sup.alias("supplier"), *_measures(df, STORE_SALES_SCHEMA), *carry)
+                    date.cast("date").alias("sale_date"), *keep, "category", "supplier",
+                    *_measures(df, STORE_SALES_SCHEMA), *carry)
     return conform(out, STORE_SALES_SCHEMA, carry)
 
 
