@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clean as C
-from ..schemas import (INVENTORY_SCHEMA, PRODUCT_IMAGES_SCHEMA, SALES_HEADERS, SALES_SCHEMA,
+from ..schemas import (INVENTORY_SCHEMA, PRODUCT_IMAGES_SCHEMA, SALES_HEADERS, SALES_SCHEMA,  # noqa: F401
                        STORE_HEADERS, STORE_SALES_SCHEMA)
 from .store import TableStore
 
