@@ -127,7 +127,8 @@ def store_category_matrix(store_sales: DataFrame, file_id=None, top_stores: int
         F.col("product_name").asc_nulls_first())
     ranked = (kept_leaf.withColumn("product_rank", F.row_number().over(w))
               .filter(F.col("product_rank") <= top_products))
-    out = ranked.join(cats, ["store", "category"]).join(F.broadcast(best), "store")
+    kept_cats = cats.join(F.broadcast(best), "store")
+    out = ranked.join(kept_cats, ["store", "category"])
     return out.select(
         "store", F.col("store_total").cast("double").alias("store_total"), "store_qty", "store_rank",
         "category", F.col("category_total").cast("double").alias("category_total"), "category_qty",

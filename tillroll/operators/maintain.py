@@ -8,7 +8,7 @@ driver reads are single-row aggregates (next file id, deleted count).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..schemas import FILES_SCHEMA, SALES_SCHEMA, STORE_SALES_SCHEMA
@@ -95,8 +95,11 @@ def delete_year(store: TableStore, year: int, valid_years: tuple[int, int] | Non
         raise ValueError(f"year must be between {valid_years[0]} and {valid_years[1]}")
     df = store.read(STORE_SALES, STORE_SALES_SCHEMA)
     in_year = F.coalesce(F.year("sale_date") == int(year), F.lit(False))
-    n = df.filter(in_year).agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    store.replace(STORE_SALES, df.filter(~in_year), ["file_id"])
+    # one pass: the deleted rows are counted while the kept rows are written
+    obs = Observation("deleted_by_year")
+    counted = df.observe(obs, F.count(F.when(in_year, F.lit(1))).alias("n"))
+    store.replace(STORE_SALES, counted.filter(~in_year), ["file_id"])
+    n = int(obs.get.get("n", 0))
     return store.spark.createDataFrame([(STORE_SALES, n), (SALES, 0)],
                                        "table_name string, deleted long")
 

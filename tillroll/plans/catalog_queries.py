@@ -185,3 +185,15 @@ LIMIT 1""")
 def _f10(fx):
     """stock row of one supplier option."""
     return I.inventory_by_option(fx.inventory, "SO0007 SMALL")
+
+
+@query("inventory_scan", views=("inventory",), sql="""
+SELECT product_code, supplier_option, normal_stock FROM inventory
+WHERE normal_stock >= 5 ORDER BY normal_stock DESC NULLS LAST, product_code NULLS FIRST,
+  supplier_option NULLS FIRST LIMIT 200""")
+def _s4(fx):
+    """Scan with projection, filter, order and limit."""
+    from ..sources.store import scan
+    return scan(fx.inventory, ["product_code", "supplier_option", "normal_stock"],
+                where="normal_stock >= 5",
+                order_by=["-normal_stock", "product_code", "supplier_option"], limit=200)

@@ -138,3 +138,21 @@ def _s12(fx):
                    "monthly": S.monthly_sales(fx.store_sales)}, path)
     return spark.read.schema(_REPORT_SCHEMA).option("header", True).csv(f"{path}/supplier")
 
+
+
+@query("export_weekly", views=("store_sales",), sql="""
+SELECT strftime(sale_date, '%Y') || '-W' ||
+         lpad(cast(cast(strftime(sale_date, '%W') AS integer) + 1 AS varchar), 2, '0') AS week,
+       min(sale_date) AS start_date, max(sale_date) AS end_date,
+       cast(sum(net_sales) AS double) AS net_sales, sum(sold_qty) AS sold_qty,
+       count(*) AS row_count, count(DISTINCT store) AS store_count
+FROM store_sales WHERE sale_date IS NOT NULL AND file_id = 3 GROUP BY 1""")
+def _s11(fx):
+    """The 'weekly' dataset exported by name (file 3) as CSV, read back."""
+    spark = fx.spark
+    path = work_path(spark, "export")
+    builders = X.export_builders(fx.sales, fx.store_sales, file_id=3)
+    X.export_by_name(builders, "weekly", path)
+    return spark.read.schema("week string, start_date date, end_date date, net_sales double, "
+                             "sold_qty double, row_count long, store_count long") \
+        .option("header", True).csv(path)

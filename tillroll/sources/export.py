@@ -72,3 +72,26 @@ def read_snapshot(spark: SparkSession, path: str, table: str, schema=None) -> Da
     types (dates, decimals) survive the JSON round trip."""
     schema = schema or SNAPSHOT_TABLES[table]
     return spark.read.schema(schema).json(f"{path.rstrip('/')}/{table}")
+
+
+def export_builders(sales: DataFrame, store_sales: DataFrame, **filters
+                    ) -> dict[str, Callable[[], DataFrame]]:
+    """The eight exportable datasets by name, each a library operator.
+
+    ``filters`` (file_id, start_date, end_date) go to the operators that take
+    them; supplier / category / products / matrix take only ``file_id``.
+    """
+    from ..operators import drilldown as D, sales as S
+
+    fid = filters.get("file_id")
+    rng = {k: filters.get(k) for k in ("file_id", "start_date", "end_date")}
+    return {
+        "supplier": lambda: S.sales_by_supplier(sales, fid),
+        "category": lambda: S.sales_by_category(sales, fid),
+        "products": lambda: S.top_products(sales, fid),
+        "daily": lambda: S.daily_sales(store_sales, **rng),
+        "weekly": lambda: S.weekly_sales(store_sales, **rng),
+        "store": lambda: S.store_sales_top(store_sales, **rng),
+        "matrix": lambda: D.flatten_matrix(D.supplier_category_matrix(sales, fid)),
+        "monthly": lambda: S.monthly_sales(store_sales, **rng),
+    }

@@ -98,3 +98,28 @@ class TableStore:
          .partitionBy(*partition_by).parquet(self.path(table, v)))
         if first:
             self._commit(table, v)
+
+
+def scan(df: DataFrame, columns: list[str] | None = None, where=None, order_by=None,
+         limit: int | None = None) -> DataFrame:
+    """Table scan with optional projection, filter, order and limit.
+
+    ``where`` is a Column or a SQL predicate string; ``order_by`` a list of
+    column names (prefix ``-`` for descending) or Columns. Filters and the
+    projection reach the Parquet scan; order + limit plans as a top-k.
+    """
+    if where is not None:
+        df = df.filter(where)
+    if columns:
+        df = df.select(*columns)
+    if order_by:
+        cols = []
+        for c in order_by:
+            if isinstance(c, str) and c.startswith("-"):
+                cols.append(F.col(c[1:]).desc_nulls_last())
+            elif isinstance(c, str):
+                cols.append(F.col(c).asc_nulls_first())
+            else:
+                cols.append(c)
+        df = df.orderBy(*cols)
+    return df.limit(limit) if limit else df
