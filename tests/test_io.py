@@ -120,3 +120,27 @@ def test_export_and_snapshot(spark):
     back = X.read_snapshot(spark, snap, "sales")
     assert back.schema == SALES_SCHEMA
     assert back.exceptAll(G.conform(fx.sales, SALES_SCHEMA)).count() == 0
+
+
+def test_chunk_numbers_and_unknown_headers(spark):
+    import json
+
+    from tillroll.session import local_path
+
+    root = work_path(spark, "test-json-chunk")
+    in_dir = local_path(root + "/in")
+    os.makedirs(in_dir, exist_ok=True)
+    doc = {"file_id": 9, "file_type": "monthly", "chunk_index": 0, "total_chunks": 1,
+           "original_name": "m.xlsx", "data_type": "신발",
+           "rows": [{"판매일자": 45292, "매장명": "매장1", "분류명": "운동화(업체A)", "판매량": 1200,
+                     "모르는열": "x", "실판매금액": "1,234.5"},
+                    {"판매일자": "2024-02-01", "매장명": "매장수 합계", "판매량": 1}]}
+    with open(os.path.join(in_dir, "c0.json"), "w", encoding="utf-8") as f:
+        f.write(json.dumps(doc, ensure_ascii=False) + "\n")
+    paths = CH.run_chunk_upload(spark, root + "/in", root + "/t")
+    rows = spark.read.parquet(paths["store_sales"]).collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert (r.sold_qty, str(r.sale_date), r.data_type, r.category, r.supplier, r.file_id) == (
+        1200.0, "2024-01-01", "신발", "운동화", "업체A", 9)
+    assert float(r.net_sales) == 1234.5

@@ -126,7 +126,11 @@ FILES_SCHEMA = T.StructType([
     T.StructField("data_period", T.StringType()),
 ])
 
-# JSON chunk envelope of the chunked upload (rows are header -> text maps).
+# JSON chunk envelope of the chunked upload. Each row is a JSON object of
+# header -> value; it is read as a struct of every known header (as text,
+# numbers included), so unknown headers are ignored, as the loaders do.
+CHUNK_HEADERS = list(dict.fromkeys([*SALES_HEADERS, *STORE_HEADERS]))
+CHUNK_ROW = T.StructType([T.StructField(h, T.StringType()) for h in CHUNK_HEADERS])
 CHUNK_SCHEMA = T.StructType([
     T.StructField("file_id", T.IntegerType()),
     T.StructField("file_type", T.StringType()),
@@ -134,5 +138,5 @@ CHUNK_SCHEMA = T.StructType([
     T.StructField("total_chunks", T.IntegerType()),
     T.StructField("original_name", T.StringType()),
     T.StructField("data_type", T.StringType()),
-    T.StructField("rows", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
+    T.StructField("rows", T.ArrayType(CHUNK_ROW)),
 ])
