@@ -1,7 +1,8 @@
 """Registered explorer queries (X1-X6, W4, W5, O3, S15) with their oracles.
 
-The explorer input is the raw rows of one loaded file (S15): the sales lines
-of file 1 without internal columns.
+The explorer input is the loaded sales rows without internal columns (S15
+without its file filter, so the views run over the whole table); the
+``file_rows`` query shows S15 with its file filter.
 """
 
 from __future__ import annotations
@@ -10,17 +11,18 @@ from ..operators import catalog as K, explore as X, sales as S
 from ..sources.export import file_rows
 from .registry import query
 
-_INPUT = "(SELECT * EXCLUDE (file_id) FROM sales WHERE file_id = 1)"
+_INPUT = "(SELECT * EXCLUDE (file_id) FROM sales)"
 
 
 def _explorer_input(fx):
-    return file_rows(fx.sales, file_id=1)
+    return file_rows(fx.sales)
 
 
-@query("file_rows", views=("sales",), sql=f"SELECT * FROM {_INPUT}")
+@query("file_rows", views=("sales",),
+       sql="SELECT * EXCLUDE (file_id) FROM sales WHERE file_id = 1")
 def _s15(fx):
     """Raw rows of one file without internal columns."""
-    return _explorer_input(fx)
+    return file_rows(fx.sales, file_id=1)
 
 
 def _x1_sql(key: str, agg: str) -> str:
@@ -131,7 +133,7 @@ SELECT * FROM {_INPUT} ORDER BY classification NULLS FIRST, category NULLS FIRST
   supplier NULLS FIRST, product_code NULLS FIRST, product_name NULLS FIRST, sold_qty NULLS FIRST,
   cancel_qty NULLS FIRST, net_sales NULLS FIRST LIMIT 500""")
 def _x6(fx):
-    """First 500 rows of the file in a total order."""
+    """First 500 rows in a total order."""
     df = _explorer_input(fx)
     return X.preview(df, 500, order_by=df.columns)
 
