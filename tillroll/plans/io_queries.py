@@ -156,3 +156,41 @@ def _s11(fx):
     return spark.read.schema("week string, start_date date, end_date date, net_sales double, "
                              "sold_qty double, row_count long, store_count long") \
         .option("header", True).csv(path)
+
+
+_SHEET_RAW_COLS = {"판매일자": "cast(sale_date AS string)", "매장코드": "store_code",
+                   "매장명": "store", "분류명": "classification", "상품코드": "product_code",
+                   "상품명": "product_name", "판매량": "cast(sold_qty AS string)",
+                   "실판매금액": "cast(net_sales AS string)"}
+_SCAT, _SSUP = Q.class_parts("classification")
+
+
+@query("sheets_load", views=("store_sales",), sql=f"""
+SELECT {Q.typed_select(STORE_SALES_SCHEMA, {
+    "file_id": "5", "data_type": "data_type", "sale_date": "sale_date", "store_code": "store_code",
+    "store": "store", "classification": "classification", "category": _SCAT, "supplier": _SSUP,
+    "product_code": "product_code", "product_name": "product_name", "sold_qty": "sold_qty",
+    "net_sales": "net_sales"})}
+FROM store_sales WHERE {Q.keep_store_line("store")}""")
+def _s2(fx):
+    """S2 + S8: a workbook stand-in with one CSV folder per sheet (sheet =
+    market segment), read sheet by sheet with the sheet's data type (C7),
+    aligned by header, cleaned as store/day lines."""
+    spark = fx.spark
+    root = work_path(spark, "sheets")
+    raw = fx.store_sales.selectExpr("data_type AS sheet",
+                                    *[f"{v} AS `{k}`" for k, v in _SHEET_RAW_COLS.items()])
+    raw.write.partitionBy("sheet").option("header", True).csv(root)
+    # sheet names are workbook metadata: a handful of names, read once
+    names = [r.sheet for r in raw.select("sheet").distinct().collect()]
+    sheets = {n: f"{root}/sheet={n}" for n in names}
+    return G.clean_store_sales(G.read_sheets(spark, sheets), 5)
+
+
+@query("file_row_counts", views=("sales", "store_sales"), sql="""
+SELECT file_id, count(*) AS row_count, 'sales' AS table_name FROM sales GROUP BY file_id
+UNION ALL
+SELECT file_id, count(*), 'store_sales' FROM store_sales GROUP BY file_id""")
+def _t2(fx):
+    """Inserted rows per file and table, derived from the fact tables."""
+    return M.file_row_counts(fx.sales, fx.store_sales)
