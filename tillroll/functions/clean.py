@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import NONE_LABEL, OTHER_LABEL, UNASSIGNED_SUPPLIER
+from ..schemas import STORE_SUBTOTAL_MARK, SUMMARY_ROW_MARK, UNASSIGNED_SUPPLIER
 
 # The characters Python's str.strip() removes by default (its
 # white-space set: str.isspace() is true for exactly these code points).
@@ -99,11 +99,6 @@ def to_number(c) -> Column:
     return F.when(s.rlike(NUMERIC_RE), s.try_cast("double"))
 
 
-def to_money(c) -> Column:
-    """C2 into the money decimal used for every amount column."""
-    return to_number(c).try_cast("decimal(18,4)")
-
-
 def number_or_zero(c) -> Column:
     """``safe_float``: C2 with 0.0 for anything unparsable."""
     return F.coalesce(to_number(c), F.lit(0.0))
@@ -230,12 +225,12 @@ def sheet_data_type(sheet) -> Column:
 def keep_sales_line(product_name) -> Column:
     """Drop empty, null ("nan") and summary ("row(s)") product names."""
     n = _c(product_name)
-    return F.coalesce(~((n == "") | (n == "nan") | n.contains("row(s)")), F.lit(False))
+    return F.coalesce(~((n == "") | (n == "nan") | n.contains(SUMMARY_ROW_MARK)), F.lit(False))
 
 
 def keep_store_line(store) -> Column:
     """Drop store sub-total rows; a null store is kept."""
-    return ~F.coalesce(_c(store).contains("매장수"), F.lit(False))
+    return ~F.coalesce(_c(store).contains(STORE_SUBTOTAL_MARK), F.lit(False))
 
 
 # --- C10 / C11 / C13 / C14 ------------------------------------------------------
@@ -345,25 +340,3 @@ def catalog_tags(name, code, other: str = "all") -> Column:
     return F.array_compact(F.array(
         F.when(top, F.lit(TAG_TOP)), F.when(bottom, F.lit(TAG_BOTTOM)),
         F.when(acc, F.lit(TAG_ACCESSORY)), F.when(other_c, F.lit(TAG_OTHER))))
-
-
-# --- C22 ---------------------------------------------------------------------------
-def explorer_key(c, dtype: str = "string") -> Column:
-    """Group key of the explorer: falsy values (null, '', 0, NaN) -> label."""
-    c = _c(c)
-    if dtype == "string":
-        falsy = c.isNull() | (c == "")
-    else:
-        falsy = c.isNull() | (c == 0) | F.isnan(c.cast("double"))
-    return F.when(falsy, F.lit(NONE_LABEL)).otherwise(c.cast("string"))
-
-
-def explorer_measure(c, dtype: str = "string") -> Column:
-    """``parseFloat(v) || 0``: numbers as they are, text through C2, else 0."""
-    c = _c(c)
-    v = to_number(c) if dtype == "string" else c.cast("double")
-    return F.when(v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(v)
-
-
-def other_label() -> Column:
-    return F.lit(OTHER_LABEL)

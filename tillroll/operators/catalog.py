@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import blank, catalog_tags
+from ..functions.clean import catalog_tags
 
 
 def _lower_contains(c: str, keyword: str) -> Column:
@@ -145,7 +145,3 @@ def option_rollup(options: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("option_count"),
         F.sum(stock).cast("long").alias("total_stock"),
         F.count(F.when(stock == 0, F.lit(1))).alias("soldout_options"))
-
-
-def has_value(c: str) -> Column:
-    return ~blank(c)

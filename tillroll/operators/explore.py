@@ -7,8 +7,6 @@ the few result rows (top 20, 13 month rows, one profile) come back.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -216,7 +214,3 @@ def page(df: DataFrame, order_by: list[str], page_no: int = 1, size: int = 50) -
 def page_count(df: DataFrame, size: int = 50) -> DataFrame:
     """O3: number of pages of ``size`` rows."""
     return df.agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("long").alias("pages"))
-
-
-def pages_for(n_rows: int, size: int = 50) -> int:
-    return math.ceil(n_rows / size)

@@ -54,8 +54,6 @@ SUMMARY_ROW_MARK = "row(s)"      # product-name of summary lines
 # Numeric measure columns (all but money are plain doubles).
 MONEY_COLUMNS = ["unit_price", "final_unit_price", "purchase_unit_price", "list_amount",
                  "cancel_amount", "discount_amount", "net_unit_price", "net_sales"]
-COUNT_COLUMNS = ["sale_days", "order_units", "order_count", "order_qty", "cancel_count",
-                 "cancel_qty", "discount_qty", "sold_qty"]
 MONEY = T.DecimalType(18, 4)
 
 
