@@ -79,7 +79,7 @@ def supplier_category_matrix(sales: DataFrame, file_id=None, top_groups: int = 5
         "supplier", F.col("supplier_total").cast("double").alias("supplier_total"), "supplier_qty",
         "category", F.col("category_total").cast("double").alias("category_total"), "category_qty",
         "base_code", "group_name", F.col("group_total").cast("double").alias("group_total"),
-        "group_qty", "option_count", "group_rank",
+        "group_qty", "option_count", F.col("group_rank").cast("long").alias("group_rank"),
         "product_code", "product_name", "option_name",
         F.col("net").cast("double").alias("net_sales"), F.col("qty").alias("sold_qty"))
 
@@ -130,7 +130,8 @@ def store_category_matrix(store_sales: DataFrame, file_id=None, top_stores: int
     kept_cats = cats.join(F.broadcast(best), "store")
     out = ranked.join(kept_cats, ["store", "category"])
     return out.select(
-        "store", F.col("store_total").cast("double").alias("store_total"), "store_qty", "store_rank",
+        "store", F.col("store_total").cast("double").alias("store_total"), "store_qty",
+        F.col("store_rank").cast("long").alias("store_rank"),
         "category", F.col("category_total").cast("double").alias("category_total"), "category_qty",
-        "product_rank", "product_code", "product_name",
+        F.col("product_rank").cast("long").alias("product_rank"), "product_code", "product_name",
         F.col("net").cast("double").alias("net_sales"), F.col("qty").alias("sold_qty"))

@@ -83,7 +83,7 @@ def group_measure(df: DataFrame, group_col: str, value_col: str = COUNT_MEASURE,
            .orderBy(F.col("value").desc(), F.col("key").asc()).limit(top))
     # rank labels over at most ``top`` rows
     return out.withColumn("rank", F.row_number().over(
-        Window.orderBy(F.col("value").desc(), F.col("key").asc())))
+        Window.orderBy(F.col("value").desc(), F.col("key").asc())).cast("long"))
 
 
 # --- X3 --------------------------------------------------------------------------------
@@ -156,7 +156,7 @@ def top_items(df: DataFrame, value_col: str = COUNT_MEASURE, name_col: str = "pr
     out = (df.groupBy(key.alias("name")).agg(F.sum(measure(df, value_col)).cast("double").alias("value"))
            .orderBy(F.col("value").desc(), F.col("name").asc_nulls_first()).limit(top))
     return out.withColumn("rank", F.row_number().over(
-        Window.orderBy(F.col("value").desc(), F.col("name").asc_nulls_first())))
+        Window.orderBy(F.col("value").desc(), F.col("name").asc_nulls_first())).cast("long"))
 
 
 # --- X5 / W4 ----------------------------------------------------------------------------------
