@@ -60,6 +60,24 @@ def test_chunk_replay_is_idempotent(spark):
     # a rerun over the same folder and checkpoint finds nothing new
     CH.run_chunk_upload(spark, f"{root}/in1", f"{root}/t", checkpoint=f"{root}/ck1")
     assert spark.read.parquet(paths["sales"]).count() == n1
+    # the complete file folds into the fact table; doing it twice changes nothing
+    store = TableStore(spark)
+    assert CH.finalize_uploads(spark, paths, store) == {"sales": [3], "store_sales": []}
+    CH.finalize_uploads(spark, paths, store)
+    assert store.read(M.SALES, SALES_SCHEMA).count() == n1
+
+
+def test_incomplete_upload_is_not_finalized(spark):
+    fx = Fixtures(spark, SF_SMALL)
+    lines = fx.raw_lines.select(F.floor(F.col("l_orderkey") / 100).alias("_chunk"),
+                                F.col("product_name").alias("상품명"))
+    root = work_path(spark, "test-partial")
+    CH.write_chunks(lines, f"{root}/all", 4, "original", "_chunk", ["상품명"])
+    docs = spark.read.schema(CH.CHUNK_SCHEMA).json(f"{root}/all")
+    # the client stops after the first chunk
+    docs.filter("chunk_index = 0").write.json(f"{root}/in")
+    paths = CH.run_chunk_upload(spark, f"{root}/in", f"{root}/t")
+    assert CH.finalize_uploads(spark, paths, TableStore(spark))["sales"] == []
 
 
 def test_file_registry_and_maintenance(spark):

@@ -18,15 +18,16 @@ from . import duck_sql as Q
 from .clean_queries import CLEAN_SALES_SQL, CLEAN_STORE_SQL, raw_sales_file
 from .registry import query
 
-_CHUNKED = T.StructType(SALES_SCHEMA.fields + [T.StructField("chunk_index", T.IntegerType())])
-_CHUNKED_STORE = T.StructType(STORE_SALES_SCHEMA.fields
-                              + [T.StructField("chunk_index", T.IntegerType())])
+_STAGED = [T.StructField("chunk_index", T.IntegerType()),
+           T.StructField("total_chunks", T.IntegerType())]
+_CHUNKED_STORE = T.StructType(STORE_SALES_SCHEMA.fields + _STAGED)
 
 
 @query("chunk_upload", views=("raw_lines",), sql=CLEAN_SALES_SQL)
 def _s3(fx):
     """S3: sales lines sent as JSON chunks, loaded by the streaming job
-    (dynamic overwrite per chunk), read back without the chunk key."""
+    (dynamic overwrite per chunk), then the complete file folded into the
+    sales table and read from there."""
     spark = fx.spark
     r = fx.raw_lines
     # client chunk size: the lines of 500 consecutive order keys
@@ -36,7 +37,9 @@ def _s3(fx):
     root = work_path(spark, "chunk-upload")
     CH.write_chunks(lines, f"{root}/in", 1, "original", "_chunk", ["분류명", "상품명", "판매량"])
     paths = CH.run_chunk_upload(spark, f"{root}/in", f"{root}/tables")
-    return spark.read.schema(_CHUNKED).parquet(paths["sales"]).drop("chunk_index")
+    store = TableStore(spark)
+    CH.finalize_uploads(spark, paths, store)
+    return store.read(M.SALES, SALES_SCHEMA)
 
 
 @query("store_chunk_upload", views=("raw_lines",), sql=CLEAN_STORE_SQL)
@@ -52,7 +55,8 @@ def _s3m(fx):
     CH.write_chunks(lines, f"{root}/in", 2, "monthly", "_chunk", list(hdr.values()),
                     data_type="의류")
     paths = CH.run_chunk_upload(spark, f"{root}/in", f"{root}/tables")
-    return spark.read.schema(_CHUNKED_STORE).parquet(paths["store_sales"]).drop("chunk_index")
+    return (spark.read.schema(_CHUNKED_STORE).parquet(paths["store_sales"])
+            .drop("chunk_index", "total_chunks"))
 
 
 _CSV_RAW = ("(SELECT nullif(classification, '') AS classification, "
