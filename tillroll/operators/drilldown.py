@@ -64,16 +64,19 @@ def supplier_category_matrix(sales: DataFrame, file_id=None, top_groups: int = 5
         F.sum("net").alias("group_total"), F.sum("qty").alias("group_qty"),
         F.count(F.lit(1)).alias("option_count"),
         F.coalesce(F.min_by("_rep", pick), F.lit("")).alias("group_name"))
-    cats = groups.groupBy("supplier", "category").agg(
-        F.sum("group_total").alias("category_total"), F.sum("group_qty").alias("category_qty"))
+    # category and supplier totals straight from the leaves (exact decimal
+    # sums), joined at category level, where the rows are fewest
+    cats = leaf.groupBy("supplier", "category").agg(
+        F.sum("net").alias("category_total"), F.sum("qty").alias("category_qty"))
     sups = cats.groupBy("supplier").agg(
         F.sum("category_total").alias("supplier_total"), F.sum("category_qty").alias("supplier_qty"))
+    cat_heads = cats.join(sups, ["supplier"])
 
     w = Window.partitionBy("supplier", "category").orderBy(F.col("group_total").desc(),
                                                            F.col("base_code").asc())
     kept = (groups.withColumn("group_rank", F.row_number().over(w))
             .filter(F.col("group_rank") <= top_groups))
-    heads = kept.join(cats, ["supplier", "category"]).join(sups, ["supplier"])
+    heads = kept.join(cat_heads, ["supplier", "category"])
     out = leaf.drop("_rep").join(heads, ["supplier", "category", "base_code"])
     return out.select(
         "supplier", F.col("supplier_total").cast("double").alias("supplier_total"), "supplier_qty",
