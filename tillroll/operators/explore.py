@@ -94,19 +94,24 @@ def column_roles(df: DataFrame) -> DataFrame:
     columns by parsing every value (one aggregate pass for all columns).
     Result rows: (position, column_name, is_numeric, is_text).
     """
+    # parse each text column once (a projection below the aggregate)
+    parsed = df.select(*[
+        (to_number(F.col(f"`{f.name}`")).isNotNull() if isinstance(f.dataType, T.StringType)
+         else F.col(f"`{f.name}`").isNotNull()).alias(f"p{i}")
+        for i, f in enumerate(df.schema.fields)],
+        *[F.col(f"`{f.name}`").isNotNull().alias(f"v{i}") for i, f in enumerate(df.schema.fields)])
     aggs = []
     for i, f in enumerate(df.schema.fields):
-        c = F.col(f"`{f.name}`")
+        p, v = F.col(f"p{i}"), F.col(f"v{i}")
         if isinstance(f.dataType, T.StringType):
-            num = F.max(to_number(c).isNotNull())
-            txt = F.max(c.isNotNull() & to_number(c).isNull())
+            num, txt = F.max(p), F.max(v & ~p)
         elif _is_numeric(f.dataType):
-            num, txt = F.max(c.isNotNull()), F.lit(False)
+            num, txt = F.max(v), F.lit(False)
         else:
-            num, txt = F.lit(False), F.max(c.isNotNull())
+            num, txt = F.lit(False), F.max(v)
         aggs += [F.coalesce(num, F.lit(False)).alias(f"n{i}"),
                  F.coalesce(txt, F.lit(False)).alias(f"t{i}")]
-    one = df.agg(*aggs)
+    one = parsed.agg(*aggs)
     parts = ", ".join(f"{i}, '{f.name.replace(chr(39), chr(39) * 2)}', n{i}, t{i}"
                       for i, f in enumerate(df.schema.fields))
     return one.selectExpr(
