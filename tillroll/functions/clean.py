@@ -95,7 +95,7 @@ def with_classification(df, src: str = "classification", cat: str = "category",
 # --- C2 / C12 ----------------------------------------------------------------
 def to_number(c) -> Column:
     """Text -> double: commas removed, stripped; unparsable -> null."""
-    s = ustrip(F.regexp_replace(_c(c).cast("string"), ",", ""))
+    s = ustrip(F.replace(_c(c).cast("string"), F.lit(","), F.lit("")))
     return F.when(s.rlike(NUMERIC_RE), s.try_cast("double"))
 
 
@@ -146,7 +146,7 @@ _DATE_SHAPE_RE = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"
 
 
 def _sale_date(s: Column, v: Column) -> Column:
-    head10 = F.regexp_replace(F.substring(s, 1, 10), "/", "-")
+    head10 = F.replace(F.substring(s, 1, 10), F.lit("/"), F.lit("-"))
     texty = (F.length(s) >= 10) & F.substring(s, 5, 1).isin("-", "/")
     eight = s.rlike(r"^\d{8}$")
     serial = F.date_add(F.lit(SERIAL_EPOCH).cast("date"), v.try_cast("int"))
