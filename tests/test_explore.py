@@ -79,5 +79,8 @@ def test_catalog_and_stock_edges(spark):
         "1": (3, 14, 1), "2": (1, 0, 1)}
     s = I.inventory_summary(inv).first()
     assert (s.total_products, s.in_stock, s.out_of_stock, s.total_normal_stock) == (3, 2, 1, 12)
+    neg = inv.union(spark.createDataFrame([("2", "o5", -1, 0, "z")], inv.schema))
+    assert I.inventory_summary(neg).first().out_of_stock == 1
+    assert I.inventory_summary(neg, out_of_stock="not_in_stock").first().out_of_stock == 2
     assert [r.normal_stock for r in I.low_stock(inv, 6).collect()] == [5]
     assert I.inventory_list(inv, keyword="Y").count() == 1

@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.clean import stock_status
 
 
-def inventory_summary(inventory: DataFrame) -> DataFrame:
-    """Rows, in stock (>0), out of stock (=0), stock sums.
+def inventory_summary(inventory: DataFrame, out_of_stock: str = "zero") -> DataFrame:
+    """Rows, in stock (>0), out of stock, stock sums.
 
-    ``out_of_stock`` counts exactly 0 (the SQL form); negative stock is in
-    neither count.
+    ``out_of_stock='zero'`` counts exactly 0 (the SQL form; negative or null
+    stock is in neither count); ``'not_in_stock'`` counts every row that is
+    not in stock (the other form of the source).
     """
     n = F.col("normal_stock")
+    out = (n == 0) if out_of_stock == "zero" else ~F.coalesce(n > 0, F.lit(False))
     return inventory.agg(
         F.count(F.lit(1)).alias("total_products"),
         F.count(F.when(n > 0, F.lit(1))).alias("in_stock"),
-        F.count(F.when(n == 0, F.lit(1))).alias("out_of_stock"),
+        F.count(F.when(out, F.lit(1))).alias("out_of_stock"),
         F.sum(n).cast("long").alias("total_normal_stock"),
         F.sum("available_stock").cast("long").alias("total_available_stock"))
 
