@@ -197,3 +197,14 @@ def _s4(fx):
     return scan(fx.inventory, ["product_code", "supplier_option", "normal_stock"],
                 where="normal_stock >= 5",
                 order_by=["-normal_stock", "product_code", "supplier_option"], limit=200)
+
+
+@query("inventory_summary_not_in_stock", views=("inventory",), sql="""
+SELECT count(*) AS total_products, count(CASE WHEN normal_stock > 0 THEN 1 END) AS in_stock,
+       count(CASE WHEN NOT coalesce(normal_stock > 0, false) THEN 1 END) AS out_of_stock,
+       cast(sum(normal_stock) AS bigint) AS total_normal_stock,
+       cast(sum(available_stock) AS bigint) AS total_available_stock
+FROM inventory""")
+def _a12b(fx):
+    """A12, counting every row not in stock as out of stock."""
+    return I.inventory_summary(fx.inventory, out_of_stock="not_in_stock")

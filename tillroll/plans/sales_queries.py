@@ -163,3 +163,14 @@ def _a14(fx):
     derived from them."""
     files = maintain.derive_files(fx.sales, fx.store_sales)
     return S.data_counts(sales=fx.sales, store_sales=fx.store_sales, files=files)
+
+
+@query("rows_by_data_type_filtered", views=("store_sales",), sql="""
+SELECT data_type, count(*) AS row_count FROM store_sales
+WHERE data_type IS NOT NULL AND data_type <> '' AND file_id = 2
+  AND sale_date >= DATE '1996-01-01' AND sale_date <= DATE '1997-06-30'
+GROUP BY data_type""")
+def _a3f(fx):
+    """A3 with the file and date filters applied."""
+    return S.rows_by_data_type(fx.store_sales, file_id=2, start_date="1996-01-01",
+                               end_date="1997-06-30")
