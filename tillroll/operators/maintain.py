@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..schemas import FILES_SCHEMA, SALES_SCHEMA, STORE_SALES_SCHEMA
+from ..sources.ingest import store_layout
 from ..sources.store import TableStore
 
 SALES, STORE_SALES, FILES = "sales", "store_sales", "files"
@@ -77,7 +78,8 @@ def delete_file(store: TableStore, file_id: int) -> None:
     """T4: drop one file's rows from both fact tables; mark the file deleted."""
     keep = F.col("file_id").isNull() | (F.col("file_id") != file_id)
     store.replace(SALES, store.read(SALES, SALES_SCHEMA).filter(keep), ["file_id"])
-    store.replace(STORE_SALES, store.read(STORE_SALES, STORE_SALES_SCHEMA).filter(keep), ["file_id"])
+    store.replace(STORE_SALES, store_layout(store.read(STORE_SALES, STORE_SALES_SCHEMA).filter(keep)),
+                  ["file_id"])
     files = store.read(FILES, FILES_SCHEMA)
     store.replace(FILES, files.withColumn(
         "status", F.when(F.col("id") == file_id, F.lit("deleted")).otherwise(F.col("status"))))
@@ -98,7 +100,7 @@ def delete_year(store: TableStore, year: int, valid_years: tuple[int, int] | Non
     # one pass: the deleted rows are counted while the kept rows are written
     obs = Observation("deleted_by_year")
     counted = df.observe(obs, F.count(F.when(in_year, F.lit(1))).alias("n"))
-    store.replace(STORE_SALES, counted.filter(~in_year), ["file_id"])
+    store.replace(STORE_SALES, store_layout(counted.filter(~in_year)), ["file_id"])
     n = int(obs.get.get("n", 0))
     return store.spark.createDataFrame([(STORE_SALES, n), (SALES, 0)],
                                        "table_name string, deleted long")
