@@ -30,8 +30,8 @@ def _s3(fx):
     sales table and read from there."""
     spark = fx.spark
     r = fx.raw_lines
-    # client chunk size: the lines of 500 consecutive order keys
-    lines = r.select(F.floor(F.col("l_orderkey") / 500).alias("_chunk"),
+    # client chunk size: the lines of 2000 consecutive order keys (~8000 lines)
+    lines = r.select(F.floor(F.col("l_orderkey") / 2000).alias("_chunk"),
                      F.col("classification").alias("분류명"), F.col("product_name").alias("상품명"),
                      F.col("qty_text").alias("판매량"))
     root = work_path(spark, "chunk-upload")
@@ -49,7 +49,7 @@ def _s3m(fx):
     r = fx.raw_lines
     hdr = {"date_text": "판매일자", "store": "매장명", "classification": "분류명",
            "product_name": "상품명", "qty_text": "판매량"}
-    lines = r.select(F.floor(F.col("l_orderkey") / 500).alias("_chunk"),
+    lines = r.select(F.floor(F.col("l_orderkey") / 2000).alias("_chunk"),
                      *[F.col(k).alias(v) for k, v in hdr.items()])
     root = work_path(spark, "chunk-upload")
     CH.write_chunks(lines, f"{root}/in", 2, "monthly", "_chunk", list(hdr.values()),
