@@ -55,7 +55,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no context access (e.g. Spark Connect): use the conf
+        conf = spark.conf.get("spark.checkpoint.dir", None)
+        if conf:
+            return conf
+        local = tempfile.mkdtemp(prefix="tillroll-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", local)
+        return local
     current = sc.getCheckpointDir()
     if current:
         return current
