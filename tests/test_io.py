@@ -162,3 +162,17 @@ def test_chunk_numbers_and_unknown_headers(spark):
     assert (r.sold_qty, str(r.sale_date), r.data_type, r.category, r.supplier, r.file_id) == (
         1200.0, "2024-01-01", "신발", "운동화", "업체A", 9)
     assert float(r.net_sales) == 1234.5
+
+
+def test_tsv_export_and_named_datasets(spark):
+    d = tempfile.mkdtemp(prefix="tillroll-tsv-")
+    with open(os.path.join(d, "x.xls"), "w", encoding="utf-8") as f:
+        f.write("분류명\t상품명\t판매량\t실판매금액\n상의(업체)\tBJK001_[L]조끼\t2\t1,500\n")
+    raw = G.read_tsv_or_csv(spark, os.path.join(d, "x.xls"))
+    row = G.clean_sales(raw, 1).first()
+    assert (row.category, row.supplier, row.sold_qty, float(row.net_sales)) == ("상의", "업체", 2.0, 1500.0)
+    fx = Fixtures(spark, SF_SMALL)
+    builders = X.export_builders(fx.sales, fx.store_sales, file_id=1)
+    assert sorted(builders) == sorted(["supplier", "category", "products", "daily", "weekly",
+                                       "store", "matrix", "monthly"])
+    assert all(b().limit(1).count() == 1 for b in builders.values())
