@@ -107,21 +107,24 @@ def sales_by_category(sales: DataFrame, file_id=None, top: int | None = 30) -> D
     return _ranked_sales_by(sales, "category", file_id, top)
 
 
-def top_products(sales: DataFrame, file_id=None, top: int = 100) -> DataFrame:
-    """Best sellers per (product_code, product_name); top 100.
-
-    Classification, supplier and category are not grouping keys; the source
-    returns them from an arbitrary row, here the smallest value is taken so
-    the answer is deterministic.
+def top_products(sales: DataFrame, file_id=None, top: int = 100, by: str = "code_name") -> DataFrame:
+    """Best sellers, top 100 by net sales.
+
+    ``by='code_name'`` groups by (product_code, product_name), null codes
+    included (the SQL form); ``by='code'`` groups by a non-empty
+    product_code only (the other form), the name then being an attribute.
+    Attributes that are not grouping keys come from an arbitrary row in the
+    source; here the smallest value is taken so the answer is deterministic.
     """
     df = with_file(sales, file_id)
-    out = df.groupBy("product_code", "product_name").agg(
-        F.min("classification").alias("classification"),
-        F.min("supplier").alias("supplier"),
-        F.min("category").alias("category"),
-        *_totals())
-    return out.orderBy(F.col("net_sales").desc_nulls_last(), F.col("product_code").asc_nulls_first(),
-                       F.col("product_name").asc_nulls_first()).limit(top)
+    if by == "code":
+        df = df.filter(non_empty("product_code"))
+        keys, attrs = ["product_code"], ["product_name", "classification", "supplier", "category"]
+    else:
+        keys, attrs = ["product_code", "product_name"], ["classification", "supplier", "category"]
+    out = df.groupBy(*keys).agg(*[F.min(a).alias(a) for a in attrs], *_totals())
+    return out.orderBy(F.col("net_sales").desc_nulls_last(),
+                       *[F.col(k).asc_nulls_first() for k in keys]).limit(top)
 
 
 # --- A7 / A8 / A9 / A10 ---------------------------------------------------------------

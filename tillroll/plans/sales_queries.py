@@ -174,3 +174,14 @@ def _a3f(fx):
     """A3 with the file and date filters applied."""
     return S.rows_by_data_type(fx.store_sales, file_id=2, start_date="1996-01-01",
                                end_date="1997-06-30")
+
+
+@query("top_products_by_code", views=("sales",), sql="""
+SELECT product_code, min(product_name) AS product_name, min(classification) AS classification,
+       min(supplier) AS supplier, min(category) AS category,
+       cast(sum(net_sales) AS double) AS net_sales, sum(sold_qty) AS sold_qty
+FROM sales WHERE product_code IS NOT NULL AND product_code <> ''
+GROUP BY product_code ORDER BY net_sales DESC NULLS LAST, product_code NULLS FIRST LIMIT 100""")
+def _a6c(fx):
+    """A6 grouped by product code only (non-empty codes)."""
+    return S.top_products(fx.sales, by="code")
