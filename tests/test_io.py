@@ -176,3 +176,20 @@ def test_tsv_export_and_named_datasets(spark):
     assert sorted(builders) == sorted(["supplier", "category", "products", "daily", "weekly",
                                        "store", "matrix", "monthly"])
     assert all(b().limit(1).count() == 1 for b in builders.values())
+
+
+def test_same_chunk_twice_in_one_batch(spark):
+    fx = Fixtures(spark, SF_SMALL)
+    lines = fx.raw_lines.select(F.floor(F.col("l_orderkey") / 100).alias("_chunk"),
+                                F.col("product_name").alias("상품명"))
+    root = work_path(spark, "test-dup")
+    CH.write_chunks(lines, f"{root}/a", 6, "original", "_chunk", ["상품명"])
+    docs = spark.read.schema(CH.CHUNK_SCHEMA).json(f"{root}/a")
+    # two copies of every chunk, in different files, processed in one batch
+    docs.write.json(f"{root}/in/first")
+    docs.write.json(f"{root}/in/second")
+    spark.read.schema(CH.CHUNK_SCHEMA).json(f"{root}/in/first").write.mode("append").json(f"{root}/in2")
+    spark.read.schema(CH.CHUNK_SCHEMA).json(f"{root}/in/second").write.mode("append").json(f"{root}/in2")
+    paths = CH.run_chunk_upload(spark, f"{root}/in2", f"{root}/t")
+    want = G.clean_sales(lines.drop("_chunk"), 6).count()
+    assert spark.read.parquet(paths["sales"]).count() == want
