@@ -138,3 +138,20 @@ def test_store_matrix_matches_python(spark):
     flat = {(r.store, r.store_total, r.store_rank, r.category, r.category_total, r.product_rank,
              r.product_code, r.net_sales) for r in got}
     assert flat == want and len(got) == len(want)
+
+
+def test_store_tree_nests_the_flat_rows(spark):
+    from tillroll.plans.fixtures import Fixtures
+    from conftest import SF_SMALL
+    fx = Fixtures(spark, SF_SMALL)
+    flat = D.store_category_matrix(fx.store_sales, top_stores=4, top_products=3)
+    tree = D.store_category_tree(flat).collect()
+    assert [t.store_rank for t in tree] == [1, 2, 3, 4]
+    n = sum(len(c.products) for t in tree for c in t.categories)
+    assert n == flat.count()
+    for t in tree:
+        totals = [c.total for c in t.categories]
+        assert totals == sorted(totals, reverse=True)
+        for c in t.categories:
+            assert [p["rank"] for p in c.products] == list(range(1, len(c.products) + 1))
+            assert len(c.products) <= 3

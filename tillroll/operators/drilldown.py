@@ -138,3 +138,27 @@ def store_category_matrix(store_sales: DataFrame, file_id=None, top_stores: int
         "category", F.col("category_total").cast("double").alias("category_total"), "category_qty",
         F.col("product_rank").cast("long").alias("product_rank"), "product_code", "product_name",
         F.col("net").cast("double").alias("net_sales"), F.col("qty").alias("sold_qty"))
+
+
+def store_category_tree(flat: DataFrame) -> DataFrame:
+    """H2 as nested rows: one row per kept store with its classifications,
+    each holding its (at most ``top_products``) products.
+
+    Every list is bounded by the cuts already applied to ``flat`` (top
+    products per classification; classifications per store are the distinct
+    classification values, not rows), so no group grows with the data.
+    """
+    product = F.struct(F.col("product_rank").alias("rank"), "product_code", "product_name",
+                       "net_sales", "sold_qty")
+    cats = (flat.groupBy("store", "store_total", "store_qty", "store_rank", "category",
+                         "category_total", "category_qty")
+            .agg(F.array_sort(F.collect_list(product)).alias("products")))
+    cat = F.struct(F.negative(F.col("category_total")).alias("_order"),
+                   F.col("category").alias("category"), F.col("category_total").alias("total"),
+                   F.col("category_qty").alias("total_qty"), "products")
+    return (cats.groupBy("store", "store_total", "store_qty", "store_rank")
+            .agg(F.array_sort(F.collect_list(cat)).alias("_cats"))
+            .select("store_rank", "store", F.col("store_total").alias("total"),
+                    F.col("store_qty").alias("total_qty"),
+                    F.transform("_cats", lambda c: c.dropFields("_order")).alias("categories"))
+            .orderBy("store_rank"))
