@@ -259,6 +259,7 @@ SOLDOUT_TRUE = ["Y", "y", "1", "true", "True"]
 
 
 def soldout_flag(c) -> Column:
+    """1 when the stripped text is one of ``SOLDOUT_TRUE``, else 0."""
     return F.coalesce(ustrip(_c(c).cast("string")).isin(SOLDOUT_TRUE), F.lit(False)).cast("int")
 
 
@@ -276,6 +277,7 @@ STOCK_NORMAL, STOCK_LOW, STOCK_OUT = "정상", "부족", "품절"
 
 
 def stock_status(stock) -> Column:
+    """More than 10 -> normal, more than 0 -> low, else sold out (null = 0)."""
     s = F.coalesce(_c(stock), F.lit(0))
     return (F.when(s > 10, F.lit(STOCK_NORMAL)).when(s > 0, F.lit(STOCK_LOW))
             .otherwise(F.lit(STOCK_OUT)))
@@ -300,6 +302,7 @@ def week_label(d, mode: str = "monday") -> Column:
 
 
 def month_key(d) -> Column:
+    """``YYYY-MM`` of a date."""
     return F.date_format(_c(d), "yyyy-MM")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 
 def base_code(name: str) -> str:
+    """C3 in DuckDB SQL."""
     s = f"trim({name})"
     head = f"trim(split_part({s}, '_', 1))"
     return (f"CASE WHEN {name} IS NULL OR {name} = '' THEN NULL ELSE coalesce("
@@ -18,6 +19,7 @@ def base_code(name: str) -> str:
 
 
 def option_label(name: str, base: str) -> str:
+    """C4 in DuckDB SQL."""
     s = f"trim({name})"
     rest = f"trim(substr({s}, length({base}) + 1))"
     return (f"CASE WHEN {name} IS NULL OR {name} = '' OR {base} IS NULL OR {base} = '' THEN {name} "
@@ -27,6 +29,7 @@ def option_label(name: str, base: str) -> str:
 
 
 def group_name(name: str) -> str:
+    """C6 in DuckDB SQL."""
     last = f"string_split({name}, '_')[-1]"
     picked = (f"CASE WHEN strpos({last}, ']') < length({last}) "
               f"THEN trim(substr({last}, strpos({last}, ']') + 1)) "
@@ -41,6 +44,7 @@ NUM_RE = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
 
 
 def class_parts(c: str) -> tuple[str, str]:
+    """C1 in DuckDB SQL: (category, supplier)."""
     s = f"trim({c})"
     has = f"regexp_matches({s}, '{CLASS_RE}')"
     cat = (f"CASE WHEN {c} IS NULL OR {c} = '' THEN NULL "
@@ -51,6 +55,7 @@ def class_parts(c: str) -> tuple[str, str]:
 
 
 def to_number(c: str) -> str:
+    """C2 in DuckDB SQL."""
     s = f"trim(replace({c}, ',', ''))"
     return f"CASE WHEN regexp_full_match({s}, '{NUM_RE}') THEN try_cast({s} AS double) END"
 
@@ -69,11 +74,13 @@ def to_date(c: str) -> str:
 
 
 def keep_sales_line(name: str) -> str:
+    """C8 in DuckDB SQL."""
     return (f"({name} IS NOT NULL AND {name} <> '' AND {name} <> 'nan' "
             f"AND NOT contains({name}, 'row(s)'))")
 
 
 def keep_store_line(store: str) -> str:
+    """C9 in DuckDB SQL."""
     return f"({store} IS NULL OR NOT contains({store}, '매장수'))"
 
 

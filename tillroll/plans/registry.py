@@ -44,6 +44,7 @@ def _load_all() -> None:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every registered query as ``(spark, sf_dir) -> DataFrame``."""
     _load_all()
 
     def bind(e: Entry):
@@ -57,5 +58,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL per query: the fixture views as a WITH clause, then the query."""
     _load_all()
     return {name: duck_with(e.views) + e.sql.strip() for name, e in REGISTRY.items() if e.sql}
