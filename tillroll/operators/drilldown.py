@@ -1,9 +1,9 @@
 """Multi-level drill-downs (H1-H3) as flat DataFrames.
 
 The source builds nested dicts in a Python loop and truncates each level by
-sorting lists. Here each level is its own aggregate over the level below it
-(leaf -> group -> category -> supplier), so every step is a partial
-aggregation and no single task ever holds a whole supplier or store. Per-group
+sorting lists. Here each level is its own partial aggregate (groups and
+categories of the leaves, suppliers of the categories), so no single task
+ever holds a whole supplier or store. Per-group
 top-N uses ``row_number() <= k`` over a window, which Spark plans as a
 WindowGroupLimit: each map task keeps only its own top k per key before the
 shuffle, so a hot (supplier, category) ships at most k rows per task.
