@@ -138,6 +138,10 @@ def test_export_and_snapshot(spark):
     back = X.read_snapshot(spark, snap, "sales")
     assert back.schema == SALES_SCHEMA
     assert back.exceptAll(G.conform(fx.sales, SALES_SCHEMA)).count() == 0
+    store = TableStore(spark)
+    counts = X.restore_snapshot(store, snap)
+    assert counts == {"sales": fx.sales.count(), "store_sales": fx.store_sales.count(), "files": 1}
+    assert store.read(M.FILES, FILES_SCHEMA).first().id == 1
 
 
 def test_chunk_numbers_and_unknown_headers(spark):
