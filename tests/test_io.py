@@ -197,3 +197,19 @@ def test_same_chunk_twice_in_one_batch(spark):
     paths = CH.run_chunk_upload(spark, f"{root}/in2", f"{root}/t")
     want = G.clean_sales(lines.drop("_chunk"), 6).count()
     assert spark.read.parquet(paths["sales"]).count() == want
+
+
+def test_load_file_lifecycle(spark):
+    d = tempfile.mkdtemp(prefix="tillroll-load-")
+    with open(os.path.join(d, "s.csv"), "w", encoding="cp949") as f:
+        f.write("분류명,상품명,판매량,실판매금액\n상의(업체),BJK001_[L]조끼,2,\"1,500\"\n합계,3 row(s),9,9\n")
+    with open(os.path.join(d, "m.csv"), "w", encoding="cp949") as f:
+        f.write("판매일자,매장명,분류명,상품명,판매량\n45292,매장1,하의(B),바지,1\n45293,매장수 1,하의,x,1\n")
+    store = TableStore(spark)
+    a = G.load_file(store, os.path.join(d, "s.csv"), "original", "s.csv", encoding="cp949")
+    b = G.load_file(store, {"의류": os.path.join(d, "m.csv")}, "monthly", "m.xlsx", encoding="cp949")
+    assert a == (1, 1) and b == (2, 1)
+    files = {r.id: (r.file_type, r.row_count) for r in store.read(M.FILES, FILES_SCHEMA).collect()}
+    assert files == {1: ("original", 1), 2: ("monthly", 1)}
+    st = store.read(M.STORE_SALES, STORE_SALES_SCHEMA).first()
+    assert (st.data_type, str(st.sale_date), st.category) == ("의류", "2024-01-01", "하의")

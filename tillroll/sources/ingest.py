@@ -252,3 +252,27 @@ def load_inventory(store: TableStore, raw: DataFrame) -> int:
     obs = Observation("inventory_rows")
     store.replace("inventory", clean_inventory(raw).observe(obs, F.count(F.lit(1)).alias("n")))
     return int(obs.get.get("n", 0))
+
+
+def load_file(store: TableStore, path: str | dict[str, str], file_type: str = "original",
+              original_name: str | None = None, encoding: str = "utf-8") -> tuple[int, int]:
+    """The whole upload of one file: read, register, clean, append, count.
+
+    ``file_type`` 'original' / 'custom' load sales lines from one delimited
+    file (``.xls`` exports read as tab-separated); 'monthly' loads store/day
+    lines from ``{sheet name: path}`` with each sheet's data type. The file
+    is registered (T1) first and its row count set from what was stored
+    (T2). Returns ``(file_id, inserted rows)``.
+    """
+    from ..operators import maintain as M
+
+    spark = store.spark
+    name = original_name or (path if isinstance(path, str) else ",".join(path))
+    fid = M.register_file(store, name, name, file_type)
+    if file_type == "monthly":
+        sheets = path if isinstance(path, dict) else {"sheet": path}
+        n = save_store_sales(store, read_sheets(spark, sheets, encoding=encoding), fid)
+    else:
+        n = save_sales(store, read_tsv_or_csv(spark, path, encoding=encoding), fid)
+    M.refresh_row_counts(store)
+    return fid, n
