@@ -56,8 +56,19 @@ def register_file(store: TableStore, filename: str, original_name: str, file_typ
     return new_id
 
 
+def set_row_count(store: TableStore, file_id: int, row_count: int, increment: bool = False) -> None:
+    """Set (or add to) one file's row_count; only the small registry is
+    rewritten."""
+    files = store.read(FILES, FILES_SCHEMA)
+    new = (F.coalesce(F.col("row_count"), F.lit(0)) + F.lit(row_count)) if increment \
+        else F.lit(row_count)
+    store.replace(FILES, files.withColumn(
+        "row_count", F.when(F.col("id") == file_id, new.cast("long")).otherwise(F.col("row_count"))))
+
+
 def refresh_row_counts(store: TableStore) -> None:
-    """Set every file's row_count from the fact tables."""
+    """T2 for all files at once: recount every file from the fact tables (a
+    full scan of both; for one new file use ``set_row_count``)."""
     files = store.read(FILES, FILES_SCHEMA)
     counts = derive_files(store.read(SALES, SALES_SCHEMA),
                           store.read(STORE_SALES, STORE_SALES_SCHEMA))

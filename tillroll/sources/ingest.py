@@ -261,8 +261,8 @@ def load_file(store: TableStore, path: str | dict[str, str], file_type: str = "o
     ``file_type`` 'original' / 'custom' load sales lines from one delimited
     file (``.xls`` exports read as tab-separated); 'monthly' loads store/day
     lines from ``{sheet name: path}`` with each sheet's data type. The file
-    is registered (T1) first and its row count set from what was stored
-    (T2). Returns ``(file_id, inserted rows)``.
+    is registered (T1) first and its row count set from the rows counted
+    while they were written (T2). Returns ``(file_id, inserted rows)``.
     """
     from ..operators import maintain as M
 
@@ -274,5 +274,5 @@ def load_file(store: TableStore, path: str | dict[str, str], file_type: str = "o
         n = save_store_sales(store, read_sheets(spark, sheets, encoding=encoding), fid)
     else:
         n = save_sales(store, read_tsv_or_csv(spark, path, encoding=encoding), fid)
-    M.refresh_row_counts(store)
+    M.set_row_count(store, fid, n)
     return fid, n
