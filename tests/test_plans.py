@@ -61,3 +61,24 @@ def test_date_range_reaches_scan(spark):
     pushed = [ln for ln in text.splitlines() if "PushedFilters" in ln]
     assert pushed and "GreaterThanOrEqual(sale_date,1995-01-01)" in pushed[0]
     assert "ReadSchema: struct<sale_date:date,sold_qty:double,net_sales" in text
+
+
+def test_file_delete_prunes_instead_of_rewriting(spark):
+    from tillroll.operators import maintain as M
+
+    fx = Fixtures(spark, SF_SMALL)
+    store = TableStore(spark)
+    store.replace("sales", G.conform(fx.sales, SALES_SCHEMA), ["file_id"])
+    version = store.current_version("sales")
+    M.delete_file(store, 2)
+    assert store.current_version("sales") == version  # no new data version
+    df = store.read("sales", SALES_SCHEMA)
+    text = plan_text(df)
+    part = [ln for ln in text.splitlines() if "PartitionFilters" in ln]
+    # the deleted file is a partition filter: its folder is never listed or read
+    assert part and "NOT (file_id" in part[0] and "= 2)" in part[0]
+    assert df.filter("file_id = 2").count() == 0
+    assert df.count() == fx.sales.filter("file_id <> 2").count()
+    # a later rewrite (year delete on the same store type) keeps the file gone
+    reopened = TableStore(spark, store.root)
+    assert reopened.read("sales", SALES_SCHEMA).filter("file_id = 2").count() == 0

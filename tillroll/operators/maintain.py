@@ -1,7 +1,8 @@
 """File registry and table maintenance.
 
 Row counts are derived from the fact tables instead of being mutated in
-place; deletes rewrite the kept rows to a new table version (see
+place. Deleting a file drops its partitions through the table's deletion
+log; deleting a year rewrites the kept rows to a new table version (see
 ``sources.store``). Nothing here collects table data to the driver; the only
 driver reads are single-row aggregates (next file id, deleted count).
 """
@@ -86,11 +87,13 @@ def set_file_period(store: TableStore, file_id: int, data_period: str) -> None:
 
 
 def delete_file(store: TableStore, file_id: int) -> None:
-    """T4: drop one file's rows from both fact tables; mark the file deleted."""
-    keep = F.col("file_id").isNull() | (F.col("file_id") != file_id)
-    store.replace(SALES, store.read(SALES, SALES_SCHEMA).filter(keep), ["file_id"])
-    store.replace(STORE_SALES, store_layout(store.read(STORE_SALES, STORE_SALES_SCHEMA).filter(keep)),
-                  ["file_id"])
+    """T4: drop one file's rows from both fact tables; mark the file deleted.
+
+    The file's partitions go to the tables' deletion logs, so the delete
+    reads and rewrites no data; only the small file registry is rewritten.
+    """
+    store.drop_partitions(SALES, "file_id", [file_id])
+    store.drop_partitions(STORE_SALES, "file_id", [file_id])
     files = store.read(FILES, FILES_SCHEMA)
     store.replace(FILES, files.withColumn(
         "status", F.when(F.col("id") == file_id, F.lit("deleted")).otherwise(F.col("status"))))

@@ -1,11 +1,17 @@
 """Versioned Parquet tables on shared storage.
 
 Plain Parquet has no row delete, and dynamic partition overwrite leaves an
-emptied partition in place, so every delete-like change writes the kept rows
-to a new version folder (static overwrite) and then appends the version
-number to the table's small version log. Readers take the highest logged
-version. Appends go into the current version. All I/O is Spark's own, so it
-works on any filesystem Spark can write (HDFS, object stores, local).
+emptied partition in place. So:
+
+* dropping whole partitions (one loaded file) appends the partition value to
+  the table's small deletion log; readers filter those values out, which
+  Spark turns into partition pruning, so no data is read or rewritten;
+* any other delete-like change writes the kept rows to a new version folder
+  (static overwrite) and then appends the version number to the table's
+  version log. Readers take the highest logged version.
+
+Appends go into the current version. All I/O is Spark's own, so it works on
+any filesystem Spark can write (HDFS, object stores, local).
 """
 
 from __future__ import annotations
@@ -18,6 +24,9 @@ from ..session import work_path
 
 _LOG_SCHEMA = T.StructType([T.StructField("version", T.IntegerType()),
                             T.StructField("written_at", T.TimestampType())])
+_DROP_SCHEMA = T.StructType([T.StructField("column", T.StringType()),
+                             T.StructField("value", T.LongType()),
+                             T.StructField("written_at", T.TimestampType())])
 
 
 class TableStore:
@@ -27,6 +36,7 @@ class TableStore:
         self._fresh = root is None
         self.root = (root or work_path(spark, "store")).rstrip("/")
         self._known: dict[str, int | None] = {}
+        self._dropped: dict[str, dict[str, list[int]]] = {}
 
     # -- layout --------------------------------------------------------------
     def _log(self, table: str) -> str:
@@ -55,12 +65,46 @@ class TableStore:
          .coalesce(1).write.mode("append").parquet(self._log(table)))
         self._known[table] = version
 
+    def _drop_log(self, table: str) -> str:
+        return f"{self.root}/{table}/_dropped"
+
+    def dropped(self, table: str) -> dict[str, list[int]]:
+        """Dropped partition values per partition column (a small log)."""
+        if table in self._dropped:
+            return self._dropped[table]
+        out: dict[str, list[int]] = {}
+        if not self._fresh:
+            try:
+                rows = (self.spark.read.schema(_DROP_SCHEMA).parquet(self._drop_log(table))
+                        .select("column", "value").distinct().collect())
+            except Exception:  # no log yet
+                rows = []
+            for r in rows:
+                out.setdefault(r["column"], []).append(r["value"])
+        self._dropped[table] = out
+        return out
+
+    def drop_partitions(self, table: str, column: str, values: list[int]) -> None:
+        """Remove whole partitions (e.g. one file's rows) without touching
+        data: the values go to the deletion log and every later read filters
+        them out, pruning those partitions. Values are never reused (file
+        ids only grow), so the log stays valid for later versions too."""
+        rows = [(column, int(v)) for v in values]
+        (self.spark.createDataFrame(rows, "column string, value long")
+         .withColumn("written_at", F.current_timestamp())
+         .coalesce(1).write.mode("append").parquet(self._drop_log(table)))
+        cur = self.dropped(table)
+        cur.setdefault(column, []).extend(int(v) for v in values)
+
     # -- reads -----------------------------------------------------------------
     def read(self, table: str, schema: T.StructType) -> DataFrame:
         v = self.current_version(table)
         if v is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(table, v))
+        df = self.spark.read.schema(schema).parquet(self.path(table, v))
+        for column, values in self.dropped(table).items():
+            df = df.filter(F.col(column).isNull() | ~F.col(column).isin(sorted(set(values))))
+        return df
 
     # -- writes ----------------------------------------------------------------
     def append(self, table: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
