@@ -213,3 +213,25 @@ def test_load_file_lifecycle(spark):
     assert files == {1: ("original", 1), 2: ("monthly", 1)}
     st = store.read(M.STORE_SALES, STORE_SALES_SCHEMA).first()
     assert (st.data_type, str(st.sale_date), st.category) == ("의류", "2024-01-01", "하의")
+
+
+def test_year_delete_touches_only_affected_files(spark):
+    import datetime as dt
+
+    from tillroll.session import local_path
+
+    rows = [(1, dt.date(2024, 3, 1)), (1, dt.date(2024, 5, 1)),      # all in 2024: dropped
+            (2, dt.date(2023, 1, 1)), (2, dt.date(2024, 1, 1)),      # partial: rewritten
+            (3, dt.date(2023, 7, 1)), (3, None)]                     # untouched
+    df = spark.createDataFrame(rows, "file_id int, sale_date date")
+    store = TableStore(spark)
+    store.replace(M.STORE_SALES, G.conform(df, STORE_SALES_SCHEMA), ["file_id"])
+    part3 = os.path.join(local_path(store.path(M.STORE_SALES, 1)), "file_id=3")
+    before = sorted(os.listdir(part3))
+    out = {r.table_name: r.deleted for r in M.delete_year(store, 2024).collect()}
+    assert out == {"store_sales": 3, "sales": 0}
+    left = sorted((r.file_id, str(r.sale_date)) for r in
+                  store.read(M.STORE_SALES, STORE_SALES_SCHEMA).collect())
+    assert left == [(2, "2023-01-01"), (3, "2023-07-01"), (3, "None")]
+    assert sorted(os.listdir(part3)) == before          # file 3 was not rewritten
+    assert store.dropped(M.STORE_SALES) == {"file_id": [1]}

@@ -2,14 +2,14 @@
 
 Row counts are derived from the fact tables instead of being mutated in
 place. Deleting a file drops its partitions through the table's deletion
-log; deleting a year rewrites the kept rows to a new table version (see
-``sources.store``). Nothing here collects table data to the driver; the only
+log; deleting a year rewrites only the partitions that hold lines of that
+year (see ``sources.store``). Nothing here collects table data to the driver; the only
 driver reads are single-row aggregates (next file id, deleted count).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FILES_SCHEMA, SALES_SCHEMA, STORE_SALES_SCHEMA
@@ -103,19 +103,37 @@ def delete_year(store: TableStore, year: int, valid_years: tuple[int, int] | Non
                 ) -> DataFrame:
     """T5: drop store lines of one calendar year.
 
-    ``valid_years`` is the accepted input range (the web form's check);
-    ``None`` accepts any year. Returns ``(table_name, deleted)`` rows; the
-    sales table has no dates and is left alone (0).
+    Only the ``file_id`` partitions holding lines of that year are touched:
+    they are found with a date-range filter that reaches the Parquet scan;
+    partitions left with rows are rewritten in place (dynamic partition
+    overwrite of exactly those partitions), partitions left empty are
+    dropped through the deletion log. Every other partition is neither read
+    nor written. ``valid_years`` is the accepted input range (the web form's
+    check); ``None`` accepts any year. Returns ``(table_name, deleted)``
+    rows; the sales table has no dates and is left alone (0).
     """
     if valid_years and not valid_years[0] <= int(year) <= valid_years[1]:
         raise ValueError(f"year must be between {valid_years[0]} and {valid_years[1]}")
     df = store.read(STORE_SALES, STORE_SALES_SCHEMA)
-    in_year = F.coalesce(F.year("sale_date") == int(year), F.lit(False))
-    # one pass: the deleted rows are counted while the kept rows are written
-    obs = Observation("deleted_by_year")
-    counted = df.observe(obs, F.count(F.when(in_year, F.lit(1))).alias("n"))
-    store.replace(STORE_SALES, store_layout(counted.filter(~in_year)), ["file_id"])
-    n = int(obs.get.get("n", 0))
+    d = F.col("sale_date")
+    in_year = (d >= F.lit(f"{int(year):04d}-01-01").cast("date")) & \
+              (d <= F.lit(f"{int(year):04d}-12-31").cast("date"))
+    # per affected file: lines in the year and lines kept (a few small rows)
+    hit = [r["file_id"] for r in df.filter(in_year).select("file_id").distinct().collect()]
+    stats = []
+    if hit:
+        stats = (df.filter(F.col("file_id").isin(hit)).groupBy("file_id")
+                 .agg(F.count(F.when(in_year, F.lit(1))).alias("gone"),
+                      F.count(F.when(~F.coalesce(in_year, F.lit(False)), F.lit(1))).alias("kept"))
+                 .collect())
+    emptied = [r["file_id"] for r in stats if r["kept"] == 0]
+    partial = [r["file_id"] for r in stats if r["kept"] > 0]
+    if partial:
+        kept = df.filter(F.col("file_id").isin(partial) & ~F.coalesce(in_year, F.lit(False)))
+        store.overwrite_partitions(STORE_SALES, store_layout(kept), ["file_id"])
+    if emptied:
+        store.drop_partitions(STORE_SALES, "file_id", emptied)
+    n = sum(r["gone"] for r in stats)
     return store.spark.createDataFrame([(STORE_SALES, n), (SALES, 0)],
                                        "table_name string, deleted long")
 

@@ -6,9 +6,12 @@ emptied partition in place. So:
 * dropping whole partitions (one loaded file) appends the partition value to
   the table's small deletion log; readers filter those values out, which
   Spark turns into partition pruning, so no data is read or rewritten;
-* any other delete-like change writes the kept rows to a new version folder
-  (static overwrite) and then appends the version number to the table's
-  version log. Readers take the highest logged version.
+* rewriting some partitions (rows deleted inside a few files) uses dynamic
+  partition overwrite of exactly those partitions; Spark stages the new
+  files and swaps them in when the job commits;
+* replacing a whole table writes a new version folder (static overwrite)
+  and then appends the version number to the table's version log. Readers
+  take the highest logged version.
 
 Appends go into the current version. All I/O is Spark's own, so it works on
 any filesystem Spark can write (HDFS, object stores, local).
