@@ -235,3 +235,19 @@ def test_year_delete_touches_only_affected_files(spark):
     assert left == [(2, "2023-01-01"), (3, "2023-07-01"), (3, "None")]
     assert sorted(os.listdir(part3)) == before          # file 3 was not rewritten
     assert store.dropped(M.STORE_SALES) == {"file_id": [1]}
+
+
+def test_reset_then_reuse_of_file_ids(spark):
+    fx = Fixtures(spark, SF_SMALL)
+    store = TableStore(spark)
+    raw = raw_sales_file(fx)
+    a = M.register_file(store, "a", "a", "original")
+    G.save_sales(store, raw, a)
+    M.delete_file(store, a)
+    assert store.read(M.SALES, SALES_SCHEMA).count() == 0
+    M.reset_all(store)
+    b = M.register_file(store, "b", "b", "original")   # ids start again after a reset
+    n = G.save_sales(store, raw, b)
+    assert b == a and store.read(M.SALES, SALES_SCHEMA).count() == n > 0
+    # a store opened fresh on the same folder sees the same state
+    assert TableStore(spark, store.root).read(M.SALES, SALES_SCHEMA).count() == n

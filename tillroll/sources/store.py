@@ -27,7 +27,8 @@ from ..session import work_path
 
 _LOG_SCHEMA = T.StructType([T.StructField("version", T.IntegerType()),
                             T.StructField("written_at", T.TimestampType())])
-_DROP_SCHEMA = T.StructType([T.StructField("column", T.StringType()),
+_DROP_SCHEMA = T.StructType([T.StructField("version", T.IntegerType()),
+                             T.StructField("column", T.StringType()),
                              T.StructField("value", T.LongType()),
                              T.StructField("written_at", T.TimestampType())])
 
@@ -72,32 +73,40 @@ class TableStore:
         return f"{self.root}/{table}/_dropped"
 
     def dropped(self, table: str) -> dict[str, list[int]]:
-        """Dropped partition values per partition column (a small log)."""
-        if table in self._dropped:
-            return self._dropped[table]
+        """Dropped partition values of the current version, per partition
+        column (a small log). A new version (``replace``) starts clean: its
+        data was written from a read that already left them out."""
+        v = self.current_version(table)
+        key = f"{table}@{v}"
+        if key in self._dropped:
+            return self._dropped[key]
         out: dict[str, list[int]] = {}
-        if not self._fresh:
+        if not self._fresh and v is not None:
             try:
                 rows = (self.spark.read.schema(_DROP_SCHEMA).parquet(self._drop_log(table))
+                        .filter(F.col("version") == v)
                         .select("column", "value").distinct().collect())
             except Exception:  # no log yet
                 rows = []
             for r in rows:
                 out.setdefault(r["column"], []).append(r["value"])
-        self._dropped[table] = out
+        self._dropped[key] = out
         return out
 
     def drop_partitions(self, table: str, column: str, values: list[int]) -> None:
-        """Remove whole partitions (e.g. one file's rows) without touching
-        data: the values go to the deletion log and every later read filters
-        them out, pruning those partitions. Values are never reused (file
-        ids only grow), so the log stays valid for later versions too."""
-        rows = [(column, int(v)) for v in values]
-        (self.spark.createDataFrame(rows, "column string, value long")
+        """Remove whole partitions (e.g. one file's rows) of the current
+        version without touching data: the values go to the deletion log and
+        every later read of this version filters them out, pruning those
+        partitions."""
+        v = self.current_version(table)
+        if v is None or not values:
+            return
+        rows = [(v, column, int(x)) for x in values]
+        (self.spark.createDataFrame(rows, "version int, column string, value long")
          .withColumn("written_at", F.current_timestamp())
          .coalesce(1).write.mode("append").parquet(self._drop_log(table)))
         cur = self.dropped(table)
-        cur.setdefault(column, []).extend(int(v) for v in values)
+        cur.setdefault(column, []).extend(int(x) for x in values)
 
     # -- reads -----------------------------------------------------------------
     def read(self, table: str, schema: T.StructType) -> DataFrame:
