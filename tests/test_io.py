@@ -251,3 +251,21 @@ def test_reset_then_reuse_of_file_ids(spark):
     assert b == a and store.read(M.SALES, SALES_SCHEMA).count() == n > 0
     # a store opened fresh on the same folder sees the same state
     assert TableStore(spark, store.root).read(M.SALES, SALES_SCHEMA).count() == n
+
+
+def test_stream_finalizes_as_chunks_complete(spark):
+    fx = Fixtures(spark, SF_SMALL)
+    lines = fx.raw_lines.select(F.floor(F.col("l_orderkey") / 100).alias("_chunk"),
+                                F.col("product_name").alias("상품명"))
+    root = work_path(spark, "test-final")
+    CH.write_chunks(lines, f"{root}/all", 8, "original", "_chunk", ["상품명"])
+    docs = spark.read.schema(CH.CHUNK_SCHEMA).json(f"{root}/all")
+    store = TableStore(spark)
+    docs.filter("chunk_index = 0").write.json(f"{root}/in")
+    CH.run_chunk_upload(spark, f"{root}/in", f"{root}/t", checkpoint=f"{root}/ck",
+                        finalize_into=store)
+    assert store.read(M.SALES, SALES_SCHEMA).count() == 0          # not complete yet
+    docs.filter("chunk_index > 0").write.mode("append").json(f"{root}/in")
+    CH.run_chunk_upload(spark, f"{root}/in", f"{root}/t", checkpoint=f"{root}/ck",
+                        finalize_into=store)
+    assert store.read(M.SALES, SALES_SCHEMA).count() == G.clean_sales(lines.drop("_chunk"), 8).count()

@@ -26,8 +26,8 @@ _CHUNKED_STORE = T.StructType(STORE_SALES_SCHEMA.fields + _STAGED)
 @query("chunk_upload", views=("raw_lines",), sql=CLEAN_SALES_SQL)
 def _s3(fx):
     """S3: sales lines sent as JSON chunks, loaded by the streaming job
-    (dynamic overwrite per chunk), then the complete file folded into the
-    sales table and read from there."""
+    (dynamic overwrite per chunk), which folds the file into the sales table
+    once all its chunks are in; read from that table."""
     spark = fx.spark
     r = fx.raw_lines
     # client chunk size: the lines of 2000 consecutive order keys (~8000 lines)
@@ -36,9 +36,8 @@ def _s3(fx):
                      F.col("qty_text").alias("판매량"))
     root = work_path(spark, "chunk-upload")
     CH.write_chunks(lines, f"{root}/in", 1, "original", "_chunk", ["분류명", "상품명", "판매량"])
-    paths = CH.run_chunk_upload(spark, f"{root}/in", f"{root}/tables")
     store = TableStore(spark)
-    CH.finalize_uploads(spark, paths, store)
+    CH.run_chunk_upload(spark, f"{root}/in", f"{root}/tables", finalize_into=store)
     return store.read(M.SALES, SALES_SCHEMA)
 
 
