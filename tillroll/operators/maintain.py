@@ -3,8 +3,9 @@
 Row counts are derived from the fact tables instead of being mutated in
 place. Deleting a file drops its partitions through the table's deletion
 log; deleting a year rewrites only the partitions that hold lines of that
-year (see ``sources.store``). Nothing here collects table data to the driver; the only
-driver reads are single-row aggregates (next file id, deleted count).
+year (see ``sources.store``). Nothing here collects table data to the driver;
+the only driver reads are small metadata: single-row aggregates (next file
+id) and per-file counts of the files a year delete touches.
 """
 
 from __future__ import annotations
