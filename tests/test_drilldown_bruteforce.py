@@ -24,10 +24,10 @@ def py_option_label(name, base):
     return s
 
 
-def py_supplier_matrix(rows, top=50):
+def py_supplier_matrix(rows, top=50, keep_null_category=False):
     leaves = {}
     for sup, cat, code, name, net, qty in rows:
-        if sup is None or cat is None:
+        if sup is None or (cat is None and not keep_null_category):
             continue
         k = (sup, cat, code, name)
         a = leaves.setdefault(k, [Decimal(0), 0.0])
@@ -100,6 +100,13 @@ def test_supplier_matrix_matches_python(spark):
         want = py_supplier_matrix([r[:6] for r in rows], top=3)
         assert len(got) == len(flat)
         assert flat == want
+        got_n = D.supplier_category_matrix(df, top_groups=3, keep_null_category=True).collect()
+        flat_n = {(r.supplier, r.supplier_total, r.category, r.category_total, r.base_code,
+                   r.group_name, r.group_total, r.option_count, r.group_rank, r.product_code,
+                   r.product_name, r.option_name, r.net_sales, r.sold_qty) for r in got_n}
+        assert len(got_n) == len(flat_n)
+        assert flat_n == py_supplier_matrix([r[:6] for r in rows], top=3, keep_null_category=True)
+        assert any(r.category is None for r in got_n)
 
 
 def test_store_matrix_matches_python(spark):

@@ -29,12 +29,19 @@ def _leaf(df: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.sum("sold_qty"), F.lit(0.0)).alias("qty"))
 
 
-def supplier_category_leaves(sales: DataFrame, file_id=None) -> DataFrame:
+def supplier_category_leaves(sales: DataFrame, file_id=None,
+                             keep_null_category: bool = False) -> DataFrame:
     """Leaf level of H1: sums per (supplier, category, code, name) with the
     product-group key, option label and group-name candidate attached."""
-    df = with_file(sales, file_id).filter(F.col("supplier").isNotNull()
-                                          & F.col("category").isNotNull())
+    keep = F.col("supplier").isNotNull()
+    if not keep_null_category:
+        keep = keep & F.col("category").isNotNull()
+    df = with_file(sales, file_id).filter(keep)
     leaf = _leaf(df, ["supplier", "category", "product_code", "product_name"])
+    if keep_null_category:
+        # null-safe join keys for the category: its text and a null flag
+        leaf = (leaf.withColumn("_ck", F.coalesce(F.col("category"), F.lit("")))
+                .withColumn("_cn", F.col("category").isNull()))
     # the stripped name is computed once and shared by C3 and C4
     leaf = leaf.withColumn("_n", ustrip("product_name"))
     base = F.coalesce(base_product_code("product_name", stripped="_n"),
@@ -45,7 +52,8 @@ def supplier_category_leaves(sales: DataFrame, file_id=None) -> DataFrame:
             .drop("_n"))
 
 
-def supplier_category_matrix(sales: DataFrame, file_id=None, top_groups: int = 50) -> DataFrame:
+def supplier_category_matrix(sales: DataFrame, file_id=None, top_groups: int = 50,
+                             keep_null_category: bool = False) -> DataFrame:
     """H1: supplier -> category -> product group -> option, flat.
 
     * product group = base code of the name (C3), else the product code,
@@ -56,17 +64,27 @@ def supplier_category_matrix(sales: DataFrame, file_id=None, top_groups: int = 5
       ``top_groups`` groups per (supplier, category) by net sales are kept
       (ties: base code);
     * one output row per option of a kept group.
+
+    Rows without a category are left out (the SQL form);
+    ``keep_null_category=True`` keeps them as their own category (the other
+    form of the source), joined null-safely.
     """
-    leaf = supplier_category_leaves(sales, file_id)
+    leaf = supplier_category_leaves(sales, file_id, keep_null_category)
+    keys = ["supplier", "category"] + (["_ck", "_cn"] if keep_null_category else [])
+    jk = ["supplier"] + (["_ck", "_cn"] if keep_null_category else ["category"])
+
+    def right(df: DataFrame) -> DataFrame:
+        return df.drop("category") if keep_null_category else df
+
     pick = F.when(F.col("_rep") != "", F.struct(-F.col("net"), F.col("product_code"),
                                                 F.col("product_name")))
-    groups = leaf.groupBy("supplier", "category", "base_code").agg(
+    groups = leaf.groupBy(*keys, "base_code").agg(
         F.sum("net").alias("group_total"), F.sum("qty").alias("group_qty"),
         F.count(F.lit(1)).alias("option_count"),
         F.coalesce(F.min_by("_rep", pick), F.lit("")).alias("group_name"))
     # category and supplier totals straight from the leaves (exact decimal
     # sums), joined at category level, where the rows are fewest
-    cats = leaf.groupBy("supplier", "category").agg(
+    cats = leaf.groupBy(*keys).agg(
         F.sum("net").alias("category_total"), F.sum("qty").alias("category_qty"))
     sups = cats.groupBy("supplier").agg(
         F.sum("category_total").alias("supplier_total"), F.sum("category_qty").alias("supplier_qty"))
@@ -76,8 +94,8 @@ def supplier_category_matrix(sales: DataFrame, file_id=None, top_groups: int = 5
                                                            F.col("base_code").asc())
     kept = (groups.withColumn("group_rank", F.row_number().over(w))
             .filter(F.col("group_rank") <= top_groups))
-    heads = kept.join(cat_heads, ["supplier", "category"])
-    out = leaf.drop("_rep").join(heads, ["supplier", "category", "base_code"])
+    heads = kept.join(right(cat_heads), jk)
+    out = leaf.drop("_rep").join(right(heads), jk + ["base_code"])
     return out.select(
         "supplier", F.col("supplier_total").cast("double").alias("supplier_total"), "supplier_qty",
         "category", F.col("category_total").cast("double").alias("category_total"), "category_qty",
