@@ -45,3 +45,23 @@ def test_store_matrix_limits(spark):
     h2 = D.store_category_matrix(fx.store_sales, top_stores=5, top_products=3)
     assert h2.select("store").distinct().count() <= 5
     assert h2.agg(F.max("product_rank")).first()[0] <= 3
+
+
+def test_summary_flags(spark):
+    from decimal import Decimal
+
+    from tillroll.schemas import SALES_SCHEMA
+    from tillroll.sources.ingest import conform
+
+    df = conform(spark.createDataFrame(
+        [(1, "", "s", "c", Decimal("1.5"), 2.0), (1, "p", "", "c", Decimal("2.5"), 1.0)],
+        "file_id int, product_code string, supplier string, category string, "
+        "net_sales decimal(18,4), sold_qty double"), SALES_SCHEMA)
+    a = S.summary_stats(df).first()
+    assert (a.total_sales, a.unique_products, a.unique_suppliers) == (4.0, 2, 2)
+    b = S.summary_stats(df, skip_empty_in_distinct=True).first()
+    assert (b.unique_products, b.unique_suppliers, b.unique_categories) == (1, 1, 1)
+    e = S.summary_stats(df, file_id=9).first()
+    assert e.total_records == 0 and e.total_sales is None
+    z = S.summary_stats(df, file_id=9, empty_sums_as_zero=True).first()
+    assert (z.total_sales, z.total_qty) == (0.0, 0.0)

@@ -45,32 +45,49 @@ def _totals(net="net_sales", qty="sold_qty"):
 
 
 # --- A1 / A2 / A3 ----------------------------------------------------------------
-def summary_stats(sales: DataFrame, file_id=None) -> DataFrame:
+def _sum(c: str, zero: bool) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0)) if zero else F.sum(c)
+
+
+def _distinct(c: str, skip_empty: bool) -> Column:
+    col = F.col(c)
+    return F.countDistinct(F.when(col != "", col)) if skip_empty else F.countDistinct(col)
+
+
+def summary_stats(sales: DataFrame, file_id=None, empty_sums_as_zero: bool = False,
+                  skip_empty_in_distinct: bool = False) -> DataFrame:
     """A1: rows, net sales, quantity, distinct products / suppliers / categories.
 
-    ``file_id`` is applied when given (the documented intent). Distinct
-    counts skip nulls and count the empty string, as SQL COUNT(DISTINCT) does.
+    ``file_id`` is applied when given (the documented intent). By default
+    sums over no rows are null and distinct counts skip nulls but count the
+    empty string, as SQL does; the two flags give the other form of the
+    source (0 for empty sums, empty strings not counted).
     """
     df = with_file(sales.select("file_id", "net_sales", "sold_qty", "product_code",
                                 "supplier", "category"), file_id)
+    z, e = empty_sums_as_zero, skip_empty_in_distinct
     return df.agg(
         F.count(F.lit(1)).alias("total_records"),
-        money(F.sum("net_sales")).alias("total_sales"),
-        F.sum("sold_qty").alias("total_qty"),
-        F.countDistinct("product_code").alias("unique_products"),
-        F.countDistinct("supplier").alias("unique_suppliers"),
-        F.countDistinct("category").alias("unique_categories"),
+        money(_sum("net_sales", z)).alias("total_sales"),
+        _sum("sold_qty", z).cast("double").alias("total_qty"),
+        _distinct("product_code", e).alias("unique_products"),
+        _distinct("supplier", e).alias("unique_suppliers"),
+        _distinct("category", e).alias("unique_categories"),
     )
 
 
-def store_summary(store_sales: DataFrame, file_id=None, start_date=None, end_date=None) -> DataFrame:
-    """A2: store-table rows, net sales, quantity and distinct stores."""
+def store_summary(store_sales: DataFrame, file_id=None, start_date=None, end_date=None,
+                  empty_sums_as_zero: bool = False, skip_empty_in_distinct: bool = False
+                  ) -> DataFrame:
+    """A2: store-table rows, net sales, quantity and distinct stores (same
+    flags as :func:`summary_stats`)."""
     df = with_dates(with_file(store_sales, file_id), start_date, end_date)
+    z = empty_sums_as_zero
     return df.agg(
         F.count(F.lit(1)).alias("total_records"),
-        money(F.sum("net_sales")).alias("total_sales"),
-        F.sum("sold_qty").alias("total_qty"),
-        F.countDistinct("store").alias("unique_stores"),
+        money(_sum("net_sales", z)).alias("total_sales"),
+        _sum("sold_qty", z).cast("double").alias("total_qty"),
+        _distinct("store", skip_empty_in_distinct).alias("unique_stores"),
     )
 
 
