@@ -84,3 +84,14 @@ def test_catalog_and_stock_edges(spark):
     assert I.inventory_summary(neg, out_of_stock="not_in_stock").first().out_of_stock == 2
     assert [r.normal_stock for r in I.low_stock(inv, 6).collect()] == [5]
     assert I.inventory_list(inv, keyword="Y").count() == 1
+
+
+def test_catalog_listing_form(spark):
+    imgs = spark.createDataFrame(
+        [("A1", "1", "a", "b", "u1"), ("A", "1", "b", "b", "u2"), ("B", "1", "c", "b", "u3"),
+         ("", "1", "d", "b", "u4"), ("X", "2", "z", "b", "u5")],
+        "supplier_option string, product_code string, product_name string, barcode string, "
+        "image_url string")
+    got = {r.product_code: (r.product_name, r.supplier_option, r.image_url, r.option_count)
+           for r in K.catalog_listing(imgs).collect()}
+    assert got == {"1": ("a", "A1, B", "u1", 4), "2": ("z", "X", "u5", 1)}

@@ -41,6 +41,32 @@ def catalog_groups(images: DataFrame) -> DataFrame:
     return out.orderBy(F.col("product_name").asc_nulls_first(), F.col("product_code").asc_nulls_first())
 
 
+def catalog_listing(images: DataFrame) -> DataFrame:
+    """A11, the other form of the source: per product code, the rows in
+    name order; name and image address from the first row, and options
+    joined by ", " in that order, each added only when it is not already a
+    substring of the text so far. ``option_count`` counts all rows.
+
+    The ordered fold is Spark's ``aggregate`` higher-order function over the
+    code's rows (JVM-side, no UDF); the rows of one code are the options of
+    one product.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("product_name", "supplier_option", "image_url")))
+    g = images.groupBy("product_code").agg(rows.alias("_rows"),
+                                           F.count(F.lit(1)).alias("option_count"))
+    first = F.col("_rows")[0]
+
+    def add(acc, x):
+        o = x["supplier_option"]
+        skip = o.isNull() | (o == "") | F.coalesce(acc, F.lit("")).contains(o)
+        return F.when(skip, acc).otherwise(F.concat_ws(", ", acc, o))
+
+    opts = F.aggregate(F.slice("_rows", 2, F.size("_rows")), first["supplier_option"], add)
+    return g.select("product_code", first["product_name"].alias("product_name"),
+                    opts.alias("supplier_option"), first["image_url"].alias("image_url"),
+                    "option_count")
+
+
 def catalog_count(images: DataFrame) -> DataFrame:
     """Number of catalog rows."""
     return images.agg(F.count(F.lit(1)).alias("row_count"))

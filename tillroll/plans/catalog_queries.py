@@ -208,3 +208,21 @@ FROM inventory""")
 def _a12b(fx):
     """A12, counting every row not in stock as out of stock."""
     return I.inventory_summary(fx.inventory, out_of_stock="not_in_stock")
+
+
+@query("catalog_listing", views=("product_images",), sql="""
+SELECT product_code, rs[1].product_name AS product_name,
+       list_reduce(rs[2:], lambda acc, x: CASE
+           WHEN x.supplier_option IS NULL OR x.supplier_option = ''
+             OR contains(coalesce(acc, ''), x.supplier_option) THEN acc
+           ELSE concat_ws(', ', acc, x.supplier_option) END,
+         rs[1].supplier_option) AS supplier_option,
+       rs[1].image_url AS image_url, n AS option_count
+FROM (SELECT product_code,
+             list_sort(list({'product_name': product_name, 'supplier_option': supplier_option,
+                             'image_url': image_url})) AS rs,
+             count(*) AS n
+      FROM product_images GROUP BY product_code)""")
+def _a11l(fx):
+    """A11 in the listing form (name order, substring-checked options)."""
+    return K.catalog_listing(fx.product_images)
