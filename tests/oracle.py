@@ -18,6 +18,9 @@ def duck_conn(sf_dir: str):
     return con
 
 
+EXACT = False  # set True to compare floats without rounding
+
+
 def _norm(v):
     if v is None:
         return None
@@ -27,7 +30,7 @@ def _norm(v):
         f = float(v)
         if math.isnan(f):
             return "nan"
-        return float(f"{f:.9g}")
+        return f if EXACT else float(f"{f:.9g}")
     if isinstance(v, int):
         return float(v)
     if isinstance(v, dt.datetime):

@@ -1,4 +1,6 @@
-"""Run every registered query against its oracle: python tests/run_oracles.py [sf_dir] [names...]"""
+"""Run every registered query against its oracle:
+python tests/run_oracles.py [--exact] [sf_dir] [names...]
+(``--exact`` compares floats without rounding)."""
 import os
 import sys
 import time
@@ -6,13 +8,18 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import oracle  # noqa: E402
 from oracle import compare, duck_conn  # noqa: E402
 
 import __spark_entry__ as E  # noqa: E402
 from tillroll.session import build_session  # noqa: E402
 
-sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-only = sys.argv[2:]
+args = sys.argv[1:]
+if args and args[0] == "--exact":
+    oracle.EXACT = True
+    args = args[1:]
+sf_dir = args[0] if args else "/root/testdata/sf0.01"
+only = args[1:]
 spark = build_session("local[8]", 8)
 qs, ors = E.queries(), E.oracle_sql()
 con = duck_conn(sf_dir)
