@@ -138,6 +138,18 @@ def py_group_name(v):
     return last
 
 
+def py_option_label(name, base):
+    if not name or not base:
+        return name
+    s = name.strip()
+    if "_" in s:
+        return s.split("_", 1)[1].strip()
+    if s.upper().startswith(base):
+        rest = s[len(base):].strip()
+        return rest if rest else s
+    return s
+
+
 ALPHABET = st.sampled_from(list("aZ09_()[] -가\t") + ["　", "\xa0"])
 TEXT = st.one_of(st.none(), st.text(ALPHABET, max_size=12))
 
@@ -147,12 +159,14 @@ TEXT = st.one_of(st.none(), st.text(ALPHABET, max_size=12))
 def test_rules_match_python(spark, values):
     df = one_col(spark, values)
     cat, sup = C.split_classification("v")
-    rows = df.select("v", cat.alias("c"), sup.alias("s"), C.base_product_code("v").alias("b"),
-                     C.group_display_name("v").alias("g")).collect()
+    b = C.base_product_code("v")
+    rows = df.select("v", cat.alias("c"), sup.alias("s"), b.alias("b"),
+                     C.group_display_name("v").alias("g"), C.option_label("v", b).alias("o")).collect()
     for r in rows:
         assert (r.c, r.s) == py_classification(r.v), r.v
         assert r.b == py_base_code(r.v), r.v
         assert r.g == py_group_name(r.v), r.v
+        assert r.o == py_option_label(r.v, r.b), r.v
 
 
 def test_strip_matches_python(spark):

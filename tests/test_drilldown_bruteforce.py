@@ -8,22 +8,10 @@ from decimal import Decimal
 
 from pyspark.sql import types as T
 
-from test_clean import py_base_code, py_group_name
+from test_clean import py_base_code, py_group_name, py_option_label
 from tillroll.operators import drilldown as D
 
 
-def py_option_label(name, base):
-    if not name or not base:
-        return name
-    s = name.strip()
-    if "_" in s:
-        return s.split("_", 1)[1].strip()
-    if s.upper().startswith(base):
-        rest = s[len(base):].strip()
-        return rest if rest else s
-    return s
-
-
 def py_supplier_matrix(rows, top=50, keep_null_category=False):
     leaves = {}
     for sup, cat, code, name, net, qty in rows:
