@@ -116,7 +116,7 @@ def chain_hash(h: np.ndarray, n: int) -> np.ndarray:
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(m, _U(n) * _U(0xD6E8FEB86659FD93))
+    out = np.full(m, _U(n * 0xD6E8FEB86659FD93 % (1 << 64)))
     for k in range(n):
         out = (out ^ (out >> _U(29))) * _U(0x9FB21C651E98DF25) + h[k:k + m]
     return mix(out)
