@@ -41,6 +41,26 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), vocabulary_path(), keep=["doc_id"], ids=False, digests=True)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through deduplicated WARC archives and back."""
+    from .warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, with corpus-wide ownership."""
+    from .secrets import KINDS, all_spans, find_secrets, listed
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    judged = lambda v: F.size(F.filter("judged", lambda s: s["verdict"] == v)).cast("long").alias(f"n_{v}")
+    return found.select("doc_id", *[count(k) for k in KINDS],
+                        F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        listed(all_spans(F.col("judged"))).alias("spans"),
+                        *[judged(v) for v in ("live", "example", "weak")])
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in all documents."""
     from .decontaminate import contamination
@@ -54,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash": op2_minhash,
     "op6_bpe": op6_bpe,
+    "op7_warc": op7_warc,
+    "op8_secrets": op8_secrets,
     "op10_decontamination": op10_decontamination,
 }
 
