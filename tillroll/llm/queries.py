@@ -34,6 +34,16 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without byte strings of 200 that repeat in the corpus."""
+    from .repeats import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids and decoded text of all documents, as digests."""
     from .bpe import bpe_encode
@@ -73,6 +83,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash": op2_minhash,
+    "op4_repeats": op4_repeats,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
     "op8_secrets": op8_secrets,
