@@ -44,6 +44,13 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram log probabilities of all documents."""
+    from .language_model import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"), order=3)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids and decoded text of all documents, as digests."""
     from .bpe import bpe_encode
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash": op2_minhash,
     "op4_repeats": op4_repeats,
+    "op5_language_model": op5_language_model,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
     "op8_secrets": op8_secrets,
