@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_mod, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -34,6 +34,16 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by the sparse rule ensemble."""
+    from .quality import quality_scores, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return quality_scores(docs, model, keep=["doc_id"]).select("doc_id", held, "score", "predicted")
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without byte strings of 200 that repeat in the corpus."""
     from .repeats import remove_repeats
@@ -78,6 +88,13 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         *[judged(v) for v in ("live", "example", "weak")])
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot-signature fingerprints of all documents and their edited forms."""
+    from .fingerprints import fingerprint_neighbours
+
+    return fingerprint_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in all documents."""
     from .decontaminate import contamination
@@ -90,11 +107,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash": op2_minhash,
+    "op3_quality": op3_quality,
     "op4_repeats": op4_repeats,
     "op5_language_model": op5_language_model,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
     "op8_secrets": op8_secrets,
+    "op9_fingerprints": op9_fingerprints,
     "op10_decontamination": op10_decontamination,
 }
 
