@@ -224,11 +224,11 @@ def decode_text(data: bytes) -> str:
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: list[str] | None = None,
-               ids: bool = True, digests: bool = False) -> DataFrame:
+               ids: bool = True, decoded: bool = True, digests: bool = False) -> DataFrame:
     """Rows of ``docs`` (columns ``keep``, default all but the text) with
-    ``n_tokens`` (long) and, as asked, ``ids`` (array<int>) and
-    ``decoded`` (string), or ``ids_sha256`` and ``decoded_sha256`` of the ids
-    (little-endian unsigned 32 bit) and of the decoded text.
+    ``n_tokens`` (long) and, as asked, ``ids`` (array<int>), ``decoded``
+    (string), and as ``digests`` ``ids_sha256`` and ``decoded_sha256`` of the
+    ids (little-endian unsigned 32 bit) and of the decoded text.
 
     A null text is empty: no ids, an empty decoded text. Repeated rows give
     repeated results; an empty table gives an empty one. Kept columns with the
@@ -238,7 +238,9 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: l
 
     new = {"n_tokens": T.LongType()}
     if ids:
-        new |= {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
+        new |= {"ids": T.ArrayType(T.IntegerType())}
+    if decoded:
+        new |= {"decoded": T.StringType()}
     if digests:
         new |= {"ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
     keep = [c for c in (keep if keep is not None else docs.columns) if c != text_col and c not in new]
@@ -257,6 +259,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: l
                     cols.append(pa.array(np.diff(at)))
                     if ids:
                         cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tok, pa.int32())))
+                    if decoded:
                         cols.append(pa.array([decode_text(text[x:y].tobytes()) for x, y in zip(text_at, text_at[1:])]))
                     if digests:
                         raw = tok.astype("<u4")

@@ -65,7 +65,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids and decoded text of all documents, as digests."""
     from .bpe import bpe_encode
 
-    return bpe_encode(table(spark, sf_dir, "documents"), vocabulary_path(), keep=["doc_id"], ids=False, digests=True)
+    return bpe_encode(table(spark, sf_dir, "documents"), vocabulary_path(), keep=["doc_id"], ids=False,
+                      decoded=False, digests=True)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

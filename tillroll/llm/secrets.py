@@ -51,6 +51,12 @@ def spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(pattern), some).otherwise(F.array().cast(SPAN))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """The id as text and a hash of the text: equal for equal rows."""
+    ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
+    return F.concat(ident, F.lit(":"), F.hex(F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))))
+
+
 def listed(found: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -76,7 +82,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = F.array_sort(F.concat(*[spans(F.col("t"), k) for k in KINDS]))
     base = stored(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{owner_col}`").cast("string").alias("owner"),
                               F.col(f"`{repository_col or id_col}`").cast("string").alias("repo"),
-                              F.xxhash64(F.col(f"`{id_col}`"), text).alias("row_key"), text.alias("t"))
+                              row_key(id_col, text_col).alias("row_key"), text.alias("t"))
                   .select("id", "owner", "repo", "row_key", found.alias("base")), "secrets")
     each = (base.filter(F.size("base") > 0)
             .select("row_key", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"),
