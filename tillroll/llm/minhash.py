@@ -1,20 +1,21 @@
 """Near-duplicate detection with HyperMinHash registers.
 
 1. A document's shingle hashes fall into ``BUCKETS`` buckets. A bucket keeps
-   its smallest value as a 16-bit register: the count of leading zeros and ten
-   mantissa bits.
+   its smallest value as an 8-bit register: the count of leading zeros and
+   four mantissa bits.
 2. Documents with equal shingle sets (exact copies) become one class.
 3. The registers of each class are banded. Empty buckets first borrow from
    filled ones, each in its own fixed random order, so that short documents
    band like long ones.
 4. A bucket of the band table is not expanded into pairs. Round one compares
-   its members with its smallest id only. Round two compares, in buckets that
-   still hold several components, each member outside the bucket's largest
-   component with all members of other components. So a group of thousands of
-   near copies costs about one comparison per member, and every pair that
-   shares a bucket ends in one component or has been compared.
-5. Candidates pass a length bound and the collision-corrected Jaccard estimate
-   (with a margin of four standard deviations), then the exact comparison of
+   its members with its smallest id only. Round two takes the buckets that
+   still hold several components, and holds each member outside the bucket's
+   largest component against all members of other components, in blocks of
+   registers; only pairs that may reach the similarity leave a block. So a
+   group of thousands of near copies costs about one row per member, and every
+   pair that shares a bucket ends in one component or has been compared.
+5. Candidates pass a length bound, a bound on differing registers, and the
+   collision-corrected Jaccard estimate with a margin; what is left is confirmed on
    full shingle sets.
 """
 
@@ -34,7 +35,9 @@ from .components import components
 
 BUCKETS = 512
 BANDS = 64
-MANTISSA = 10
+MANTISSA = 4
+BLOCK = 256  # members of one bucket whose registers are compared at once
+MARGIN = 5.0  # standard deviations that the estimate may lie under the similarity
 #: Fixed value: chance of equal registers without a shared minimum, times 2**mantissa bits.
 COLLISION = 0.169919487159739
 
@@ -72,16 +75,17 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndar
 
 
 def registers(shingles: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """(rows, BUCKETS) uint16; 0 marks an empty bucket."""
+    """(rows, BUCKETS) uint8; 0 marks an empty bucket."""
     n = len(offs) - 1
-    low = np.full(n * BUCKETS, np.iinfo(np.uint64).max, np.uint64)
+    none = np.iinfo(np.uint64).max
+    low = np.full(n * BUCKETS, none, np.uint64)
     row = np.repeat(np.arange(n), np.diff(offs))
     np.minimum.at(low, row * BUCKETS + (shingles & np.uint64(BUCKETS - 1)).astype(np.int64), shingles >> np.uint64(12))
     mant, exp = np.frexp(low.astype(np.float64))  # 52-bit values: exact
-    reg = (53 - exp) * (1 << MANTISSA) + ((mant - 0.5) * (2 << MANTISSA)).astype(np.int64)
-    reg[low == 0] = 54 << MANTISSA
-    reg[low == np.iinfo(np.uint64).max] = 0
-    return reg.astype(np.uint16).reshape(n, BUCKETS)
+    zeros = np.clip(52 - exp, 0, 14)
+    reg = 1 + (zeros << MANTISSA) + np.clip((mant - 0.5) * (2 << MANTISSA), 0, (1 << MANTISSA) - 1).astype(np.int64)
+    reg[low == none] = 0
+    return reg.astype(np.uint8).reshape(n, BUCKETS)
 
 
 def filled(reg: np.ndarray) -> np.ndarray:
@@ -113,15 +117,27 @@ def band_keys(reg: np.ndarray) -> np.ndarray:
     return key
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> tuple[float, int]:
-    """Collision-corrected Jaccard estimate and the number of buckets it rests on."""
-    used = int(((a > 0) | (b > 0)).sum())
-    if not used:
-        return 0.0, 0
-    ratio = max(na, nb) / max(1, min(na, nb))
+def may_reach(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of registers x and y (set sizes nx, ny) may belong to sets
+    with the similarity t = ``percent`` / 100.
+
+    The length bound is exact. So is that on differing buckets: a bucket
+    differs only if its smallest shingle is not shared, and at similarity t at
+    most (1 - t) (nx + ny) / (1 + t) shingles are not. The estimate is the share
+    of equal buckets less that of chance matches. A bucket shows one of its shingles,
+    so the estimate's variance is that of drawing without replacement.
+    """
+    t = percent / 100
+    used = ((x > 0) | (y > 0)).sum(-1)
+    same = ((x == y) & (x > 0)).sum(-1)
+    total = (nx + ny) / (1 + t)  # size of the union at similarity t
+    ratio = np.maximum(nx, ny) / np.maximum(1, np.minimum(nx, ny))
     chance = COLLISION * 2.0 ** -MANTISSA * 4 * ratio / (1 + ratio) ** 2
-    same = int(((a == b) & (a > 0)).sum())
-    return max(0.0, (same - chance * used) / used), used
+    share = np.maximum(0, (same / np.maximum(used, 1) - chance) / (1 - chance))
+    spread = np.sqrt(t * (1 - t) / np.maximum(used, 1) * np.clip((total - used) / np.maximum(total - 1, 1), 0, 1))
+    return ((used > 0) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+            & (used - same <= (1 - t) * total + 1e-9)
+            & (share >= t - MARGIN * spread - chance - 1 / np.maximum(used, 1)))
 
 
 def _binary_rows(flat: np.ndarray, offs: np.ndarray) -> pa.Array:
@@ -146,7 +162,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                     c = np.append(np.uint64(0), np.cumsum(K.mix(s ^ np.uint64(salt))))
                     sig.append((c[at[1:]] - c[at[:-1]]).view(np.int64))
                 regs = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(
-                    (np.arange(j - i + 1) * BUCKETS * 2).astype(np.int32)), pa.py_buffer(reg)])
+                    (np.arange(j - i + 1) * BUCKETS).astype(np.int32)), pa.py_buffer(reg)])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(sig[0]),
                                                   pa.array(sig[1]), regs], names=["id", "n", "sig_a", "sig_b", "reg"])
 
@@ -157,69 +173,104 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(id, n, key): one row per band of each class."""
+    """(id, key): one row per band of each class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                reg = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS)
+                reg = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, BUCKETS)
                 key = band_keys(reg).view(np.int64)
                 idx = pa.array(np.repeat(np.arange(len(reg)), BANDS))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(idx), part.column(1).take(idx),
-                                                  pa.array(key.reshape(-1))], names=["id", "n", "key"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(idx), pa.array(key.reshape(-1))], names=["id", "key"])
 
-    schema = T.StructType([reps.schema["id"], reps.schema["n"], T.StructField("key", T.LongType())])
-    return reps.select("id", "n", "reg").mapInArrow(run, schema)
+    schema = T.StructType([reps.schema["id"], T.StructField("key", T.LongType())])
+    return reps.select("id", "reg").mapInArrow(run, schema)
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose estimate does not rule the similarity out."""
-    for side in "ab":
-        pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"),
-                                       F.col("reg").alias(f"r{side}")), side)
-    pairs = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+def _members(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, n, reg, s): registers and full sets of the documents in ``ids``."""
+    src = (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+           .join(ids.hint("merge"), "id", "left_semi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = b.to_pydict()
-            ok = []
-            for na, nb, ra, rb in zip(d["na"], d["nb"], d["ra"], d["rb"]):
-                j, used = estimate(np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16), na, nb)
-                t = percent / 100
-                ok.append(used > 0 and j >= t - 4 * (t * (1 - t) / used) ** 0.5)
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            buf, offs = K.utf8(b.column(1))
+            for i, j in K.slices(offs):
+                s, at = shingle_sets(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], width)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), pa.array(np.diff(at)),
+                     _binary_rows(registers(s, at).reshape(-1), np.arange(j - i + 1) * BUCKETS), _binary_rows(s, at)],
+                    names=["id", "n", "reg", "s"])
 
-    pairs = pairs.select("a", "b", "na", "nb", "ra", "rb")
-    return pairs.mapInArrow(run, T.StructType([pairs.schema["a"], pairs.schema["b"]]))
+    schema = T.StructType([src.schema["id"], T.StructField("n", T.LongType()), T.StructField("reg", T.BinaryType()),
+                           T.StructField("s", T.BinaryType())])
+    return src.mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets reach the similarity."""
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    src = (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-           .join(need, "id", "left_semi"))
+def _linked(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity. The estimate
+    goes first, so that few sets travel."""
+    for side in "ab":
+        pairs = pairs.join(members.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"),
+                                          F.col("reg").alias(f"r{side}")).hint("merge"), side)
+    schema = T.StructType([pairs.schema["a"], pairs.schema["b"]])
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, offs = K.utf8(b.column(1))
-            for i, j in K.slices(offs):
-                s, at = shingle_sets(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], width)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _binary_rows(s, at)], names=["id", "s"])
-
-    sets = stored(src.mapInArrow(to_sets, T.StructType([src.schema["id"], T.StructField("s", T.BinaryType())])), "sets")
-    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb"))
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS) for k in (4, 5))
+                ok = may_reach(x, y, part.column(2).to_numpy(), part.column(3).to_numpy(), percent)
+                yield part.select(["a", "b"]).filter(pa.array(ok))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * same >= percent * (len(x) + len(y) - same) and same > 0)
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(compare, T.StructType([both.schema["a"], both.schema["b"]]))
+    out = pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(likely, schema).distinct()
+    for side in "ab":
+        out = out.join(members.select(F.col("id").alias(side), F.col("s").alias(f"s{side}")).hint("merge"), side)
+    return out.select("a", "b", "sa", "sb").mapInArrow(compare, schema).distinct()
+
+
+def _between_components(bands: DataFrame, comp: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and may reach
+    the similarity."""
+    member = stored(bands.join(comp.hint("merge"), bands.id == comp.node, "left")
+                    .select("key", "id", F.coalesce("component", "id").alias("c")), "member")
+    mixed = (member.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key")
+             .agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("cs"), F.sum("k").alias("size"))
+             .filter("cs > 1").select("key", F.col("m.c").alias("main"), F.ceil(F.col("size") / BLOCK).alias("blocks")))
+    rows = (member.join(mixed, "key").join(members.select("id", "n", "reg").hint("merge"), "id")
+            .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    packed = F.collect_list(F.struct("id", "c", "n", "reg"))
+    every = rows.groupBy("key", "blk").agg(packed.alias("y")).drop("blk")
+    strays = rows.filter("c <> main").groupBy("key", "blk").agg(packed.alias("x")).drop("blk")
+    schema = T.StructType([T.StructField("a", member.schema["id"].dataType), T.StructField("b", member.schema["id"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(cell):
+            v = cell.values
+            reg = np.frombuffer(b"".join(v.field("reg").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+            return v.field("id").to_pylist(), v.field("c").to_pylist(), v.field("n").to_numpy(zero_copy_only=False), reg
+
+        for b in batches:
+            found = set()
+            for cx, cy in zip(b.column(0), b.column(1)):
+                (ix, gx, nx, rx), (iy, gy, ny, ry) = block(cx), block(cy)
+                for k in range(len(ix)):
+                    ok = np.flatnonzero(may_reach(rx[k][None, :], ry, nx[k], ny, percent))
+                    found.update((min(ix[k], iy[m]), max(ix[k], iy[m])) for m in ok.tolist() if gx[k] != gy[m])
+            cols = list(zip(*found)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, b.column(0).type.value_type.field("id").type) for c in cols],
+                                             names=["a", "b"])
+
+    return strays.join(every, "key").select("x", "y").mapInArrow(run, schema).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -230,8 +281,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents are linked when 100 * intersection >= ``percent`` * union of
     their sets of ``width``-word shingles. Banding finds a pair at exactly the
-    threshold with probability 1 - (1 - 0.8**8)**64, more than 0.9999; what it
-    finds is confirmed on full sets.
+    threshold of 0.8 with probability 1 - (1 - 0.8**8)**64, more than 0.9999;
+    what it finds is confirmed on full sets.
 
     Null or word-less texts have 0 shingles and are linked with nothing. Rows
     with a null id are linked with nothing: component null, kept. Rows that
@@ -244,27 +295,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = stored(live.join(classes, ["sig_a", "sig_b", "n"]).filter("id = rep")
                   .select("id", "n", "reg").dropDuplicates(["id", "n", "reg"]), "reps")
     bands = _bands(reps)
-    shared = bands.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
-    bands = stored(bands.join(shared.select("key", "low"), "key"), "bands")
-    first = stored(bands.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = stored(_verified(stored(_likely(first, reps, percent), "likely"), docs, id_col, text_col, width, percent), "links")
-
-    comp = stored(components(links), "comp")
-    member = (bands.join(comp, bands.id == comp.node, "left")
-              .select("key", "id", F.coalesce("component", "id").alias("c"), "n"))
-    member = stored(member, "member")
-    largest = (member.groupBy("key", "c").agg(F.count("*").alias("k"))
-               .groupBy("key").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("cs")).filter("cs > 1")
-               .select("key", F.col("m.c").alias("main")))
-    mixed = member.join(largest, "key")
-    x = mixed.filter("c <> main").select("key", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-    y = mixed.select("key", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
-    second = (x.join(y, "key").filter("cx <> cy").filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-              .join(first, ["a", "b"], "left_anti"))
-    more = _verified(stored(_likely(stored(second, "pairs2"), reps, percent), "likely2"),
-                     docs, id_col, text_col, width, percent)
-    comp = stored(components(links.union(more)), "comp2")
+    shared = bands.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
+    bands = stored(bands.join(shared, "key"), "bands")
+    members = stored(_members(docs, bands.select("id").distinct(), id_col, text_col, width), "members")
+    lowest = bands.groupBy("key").agg(F.min("id").alias("a"))
+    first = bands.join(lowest, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    links = stored(_linked(first, members, percent), "links")
+    rest = stored(_between_components(bands, components(links), members, percent), "rest")
+    comp = stored(components(links.union(_linked(rest, members, percent))), "comp")
 
     out = (s.select("id", "n", "sig_a", "sig_b")
            .join(classes, ["sig_a", "sig_b", "n"], "left")
