@@ -300,7 +300,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(_members(docs, bands.select("id").distinct(), id_col, text_col, width), "members")
     lowest = bands.groupBy("key").agg(F.min("id").alias("a"))
     first = bands.join(lowest, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = stored(_linked(first, members, percent), "links")
+    # an id that has several texts ties their classes together
+    known = live.select("id", "sig_a", "sig_b", "n").join(classes, ["sig_a", "sig_b", "n"]).select("id", "rep").distinct()
+    several = known.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id")
+    tied = known.join(several, "id").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    links = stored(_linked(first, members, percent).union(tied), "links")
     rest = stored(_between_components(bands, components(links), members, percent), "rest")
     comp = stored(components(links.union(_linked(rest, members, percent))), "comp")
 
