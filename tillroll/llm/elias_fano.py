@@ -67,14 +67,14 @@ def _select(s: dict[str, np.ndarray], k: np.ndarray, one: bool) -> np.ndarray:
     """Bit place of the k-th one (zero) of the upper bits."""
     before = s["ones"] if one else s["zeros"]
     blk = np.searchsorted(before, k, "right") - 1
-    rest = (k - before[blk]).astype(np.int64)
+    rest = (k - before[blk]).astype(np.uint8)  # a block has 128 bits
     cells = s["upper"].reshape(-1, _BLOCK)[blk]
     if not one:
         cells = ~cells
-    upto = np.cumsum(_POP[cells], axis=1, dtype=np.int64)
-    byte = (upto <= rest[:, None]).sum(1)
+    upto = np.cumsum(_POP[cells], axis=1, dtype=np.uint8)
+    byte = (upto <= rest[:, None]).sum(1, dtype=np.uint8).astype(np.int64)
     rows = np.arange(len(k))
-    rest -= np.where(byte > 0, upto[rows, np.maximum(byte - 1, 0)], 0)
+    rest -= np.where(byte > 0, upto[rows, np.maximum(byte - 1, 0)], 0).astype(np.uint8)
     return blk * (_BLOCK * 8) + byte * 8 + _SELECT[cells[rows, byte], rest]
 
 

@@ -38,9 +38,9 @@ from . import elias_fano as ef
 from . import kernels as K
 from .common import crc_mod
 
-PART_BYTES = 8 << 20
-SHARD_BYTES = 4 << 20
-LEAST_PARTS, LEAST_SHARDS = 48, 256
+PART_BYTES = 2 << 20
+SHARD_BYTES = 6 << 20
+LEAST_PARTS, LEAST_SHARDS = 64, 144
 PRIOR = 2.0
 STEP = 1 / 4000  # of the quantised log10 probabilities
 _END = K.mix(np.array([0xE0D], np.uint64))[0]
@@ -168,7 +168,7 @@ class Trie:
         with open(path, "wb") as f:
             for x in arrays.values():
                 f.write(np.ascontiguousarray(x).tobytes() + bytes(-x.nbytes % 8))
-        data = np.memmap(path, np.uint8, "r")
+        data = np.asarray(np.memmap(path, np.uint8, "r"))
         for name, x in arrays.items():
             self.a[name] = data[at:at + x.nbytes].view(x.dtype)
             at += x.nbytes + -x.nbytes % 8
@@ -186,7 +186,8 @@ class Trie:
         base = np.append(np.uint64(0), np.cumsum(gain)[:-1]) if contexts else np.zeros(0, np.uint64)
         seq = base[context] + word + np.uint64(1)
         out = {f"{name}.ptr.{k}": v for k, v in ef.build(ptr, len(context)).items()}
-        out |= {f"{name}.seq.{k}": v for k, v in ef.build(seq, int(seq[-1]) + 1 if len(seq) else 1).items()}
+        top = int(seq[-1]) + 1 if len(seq) else 1
+        out |= {f"{name}.seq.{k}": v for k, v in ef.build(seq, top).items()} | {f"{name}.top": np.array([top])}
         return out, order
 
     def _seq(self, name: str) -> dict[str, np.ndarray]:
@@ -198,14 +199,15 @@ class Trie:
         ptr, seq = self._seq(f"{name}.ptr"), self._seq(f"{name}.seq")
         if not int(seq["n"][0]):
             return out
+        top = int(self.a[f"{name}.top"][0])
         for i in range(0, len(context), 1 << 17):
             c, w = context[i:i + (1 << 17)], word[i:i + (1 << 17)].astype(np.uint64)
             lo, hi = ef.get(ptr, c).astype(np.int64), ef.get(ptr, c + 1).astype(np.int64)
             base = np.where(lo > 0, ef.get(seq, np.maximum(lo - 1, 0)), np.uint64(0))
-            x = base + w + np.uint64(1)
-            end = ef.get(seq, np.maximum(hi - 1, 0))
-            ok = np.flatnonzero((lo < hi) & (x <= end))  # the successor lies in this context
-            at, same = ef.successor(seq, x[ok])
+            ok = np.flatnonzero(lo < hi)
+            x = np.minimum(base[ok] + w[ok] + np.uint64(1), np.uint64(top))
+            at, same = ef.successor(seq, x)
+            same &= (at < hi[ok]) & (x == base[ok] + w[ok] + np.uint64(1))  # in this context
             out[i + ok[same]] = at[same]
         return out
 
@@ -213,22 +215,29 @@ class Trie:
 def _slice_scores(h: np.ndarray, rows: np.ndarray, order: int, totals_of, n: int, v: int):
     """(count of each token, log10 probability of each token)."""
     gs = grams(h, rows, order)
-    uniq, inv = np.unique(np.concatenate([g for g, _ in gs]), return_inverse=True)
+    ends = [at for _, at in gs]
+    cut = np.cumsum([0] + [len(at) for at in ends])
+    every = np.concatenate([g for g, _ in gs])
+    del gs
+    uniq, inv = np.unique(every, return_inverse=True)
+    del every
     total = totals_of(uniq)
-    cut = np.cumsum([0] + [len(g) for g, _ in gs])
-    inv_of = [inv[cut[k]:cut[k + 1]] for k in range(order)]
     p1_of = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-    # distinct n-grams of each order: entry in uniq, last token of one occurrence
-    which, local = [], []
-    for k in range(order):
-        u, first, loc = np.unique(inv_of[k], return_index=True, return_inverse=True)
-        which.append((u, gs[k][1][first]))
-        local.append(loc)
-    place = []  # of each occurrence's n-gram among its order's, by last token
+    # of each order: its distinct n-grams (entry in uniq, last token of one
+    # occurrence), and the number among them of the n-gram that ends at a token
+    which, place = [], []
+    at_token, number = np.full(len(uniq), -1, np.int32), np.zeros(len(uniq), np.int32)
     for k in range(order):
-        x = np.full(len(h), -1, np.int64)
-        x[gs[k][1]] = local[k]
+        own = inv[cut[k]:cut[k + 1]]
+        at_token[:] = -1
+        at_token[own] = ends[k]
+        u = np.flatnonzero(at_token >= 0)
+        number[u] = np.arange(len(u), dtype=np.int32)
+        x = np.full(len(h), -1, np.int32)
+        x[ends[k]] = number[own]
+        which.append((u, at_token[u]))
         place.append(x)
+    del inv, at_token, number
     arrays: dict[str, np.ndarray] = {}
     counts = [total[u] for u, _ in which]
     known = np.flatnonzero(counts[0] > 0)
@@ -271,7 +280,7 @@ def _slice_scores(h: np.ndarray, rows: np.ndarray, order: int, totals_of, n: int
             found.append(hit)
             if k == 1:
                 per_token = np.where(ids >= 0, take("1.p", ids), unknown)[place[0]]
-            per_token[gs[k][1]] = score[local[k]]
+            per_token[ends[k]] = score[place[k][ends[k]]]
         if order == 1:
             per_token = score[place[0]]
         del trie
