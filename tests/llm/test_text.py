@@ -11,7 +11,7 @@ from tillroll.llm.fingerprints import fingerprint_neighbours
 from tillroll.llm.secrets import find_secrets, redact
 
 
-@pytest.mark.parametrize("bucket", [256, 1])
+@pytest.mark.parametrize("bucket", [4096, 1])
 def test_repeats(docs, rows, bucket, monkeypatch):
     monkeypatch.setattr(R, "BUCKET", bucket)  # 1: all buckets by their windows
     got = R.remove_repeats(docs).collect()

@@ -41,7 +41,7 @@ from . import kernels as K
 from .common import stored
 
 GRAM = 64
-BUCKET = 256
+BUCKET = 4096  # about 2 MB of regions in one task
 
 
 def regions(buf: np.ndarray, offs: np.ndarray, length: int, gram: int = GRAM):
