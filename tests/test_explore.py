@@ -70,11 +70,11 @@ def test_catalog_and_stock_edges(spark):
                                 "product_code string, supplier_option string, normal_stock int, "
                                 "available_stock int, product_name string")
     one = {r.supplier_option: r.normal_stock for r in
-           K.product_options_with_stock(imgs, inv, "1").collect()}
+           K.product_options_with_stock(imgs, inv, "1", one_per_option=True).collect()}
     assert one == {"o1": 7, "o2": 0}
-    fan = K.product_options_with_stock(imgs, inv, "1", one_per_option=False).collect()
+    fan = K.product_options_with_stock(imgs, inv, "1").collect()
     assert len(fan) == 5  # two o1 catalog rows x two o1 stock rows + o2
-    roll = K.option_rollup(K.product_options_with_stock(imgs, inv)).collect()
+    roll = K.option_rollup(K.product_options_with_stock(imgs, inv, one_per_option=True)).collect()
     assert {r.product_code: (r.option_count, r.total_stock, r.soldout_options) for r in roll} == {
         "1": (3, 14, 1), "2": (1, 0, 1)}
     s = I.inventory_summary(inv).first()

@@ -99,6 +99,13 @@ def to_number(c) -> Column:
     return F.when(s.rlike(NUMERIC_RE), s.try_cast("double"))
 
 
+def to_decimal(c, kind) -> Column:
+    """Text -> exact decimal of type ``kind``: commas removed, stripped; null
+    for what is no number or does not fit."""
+    s = ustrip(F.replace(_c(c).cast("string"), F.lit(","), F.lit("")))
+    return F.when(s.rlike(NUMERIC_RE), s.try_cast(kind))
+
+
 def number_or_zero(c) -> Column:
     """``safe_float``: C2 with 0.0 for anything unparsable."""
     return F.coalesce(to_number(c), F.lit(0.0))

@@ -143,15 +143,17 @@ def one_stock_row(inventory: DataFrame) -> DataFrame:
 
 def product_options_with_stock(images: DataFrame, inventory: DataFrame,
                                product_code: str | None = None,
-                               one_per_option: bool = True) -> DataFrame:
+                               one_per_option: bool = False) -> DataFrame:
     """Catalog options with their stock (missing stock -> 0).
 
     ``product_code`` limits the answer to one product; None answers every
-    product at once. ``one_per_option=True`` (J2) joins at most one stock
-    row per option, so the join never multiplies rows; ``False`` (J1) joins
-    every matching stock row, as a plain LEFT JOIN does, and is meant for
-    one product's options.
+    product at once and needs ``one_per_option=True`` (J2), which joins at
+    most one stock row per option, so the join never multiplies rows. The
+    default (J1) joins every matching stock row of one product's options, as
+    a plain LEFT JOIN does.
     """
+    if product_code is None and not one_per_option:
+        raise ValueError("all products at once need one_per_option=True")
     pi = images
     if product_code is not None:
         pi = pi.filter(F.col("product_code") == str(product_code))

@@ -40,16 +40,24 @@ def js_text(c: Column, dt: T.DataType) -> Column:
     return c.cast("string")
 
 
+def _quoted(c: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
+def _falsy(col: Column, dt: T.DataType) -> Column:
+    """Null, '', 0, NaN and false."""
+    if _is_numeric(dt):
+        return col.isNull() | (col == 0) | F.isnan(col.cast("double"))
+    if isinstance(dt, T.BooleanType):
+        return col.isNull() | ~col
+    return col.isNull() | (col.cast("string") == "")
+
+
 def group_key(df: DataFrame, c: str) -> Column:
     """C22 key: falsy values (null, '', 0, NaN) become the "(none)" label."""
-    col, dt = F.col(c), _dtype(df, c)
-    if _is_numeric(dt):
-        falsy = col.isNull() | (col == 0) | F.isnan(col.cast("double"))
-    elif isinstance(dt, T.BooleanType):
-        falsy = col.isNull() | ~col
-    else:
-        falsy = col.isNull() | (col.cast("string") == "")
-    return F.when(falsy, F.lit(NONE_LABEL)).otherwise(js_text(col, dt))
+    col, dt = _quoted(c), _dtype(df, c)
+    return F.when(_falsy(col, dt), F.lit(NONE_LABEL)).otherwise(js_text(col, dt))
 
 
 def measure(df: DataFrame, c: str) -> Column:
@@ -58,8 +66,8 @@ def measure(df: DataFrame, c: str) -> Column:
         return F.lit(1.0)
     dt = _dtype(df, c)
     if isinstance(dt, T.DecimalType):
-        return F.coalesce(F.col(c), F.lit(0).cast(dt))
-    v = F.col(c).cast("double") if _is_numeric(dt) else to_number(F.col(c))
+        return F.coalesce(_quoted(c), F.lit(0).cast(dt))
+    v = _quoted(c).cast("double") if _is_numeric(dt) else to_number(_quoted(c))
     return F.when(v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(v)
 
 
@@ -96,10 +104,10 @@ def column_roles(df: DataFrame) -> DataFrame:
     """
     # parse each text column once (a projection below the aggregate)
     parsed = df.select(*[
-        (to_number(F.col(f"`{f.name}`")).isNotNull() if isinstance(f.dataType, T.StringType)
-         else F.col(f"`{f.name}`").isNotNull()).alias(f"p{i}")
+        (to_number(_quoted(f.name)).isNotNull() if isinstance(f.dataType, T.StringType)
+         else _quoted(f.name).isNotNull()).alias(f"p{i}")
         for i, f in enumerate(df.schema.fields)],
-        *[F.col(f"`{f.name}`").isNotNull().alias(f"v{i}") for i, f in enumerate(df.schema.fields)])
+        *[_quoted(f.name).isNotNull().alias(f"v{i}") for i, f in enumerate(df.schema.fields)])
     aggs = []
     for i, f in enumerate(df.schema.fields):
         p, v = F.col(f"p{i}"), F.col(f"v{i}")
@@ -112,10 +120,10 @@ def column_roles(df: DataFrame) -> DataFrame:
         aggs += [F.coalesce(num, F.lit(False)).alias(f"n{i}"),
                  F.coalesce(txt, F.lit(False)).alias(f"t{i}")]
     one = parsed.agg(*aggs)
-    parts = ", ".join(f"{i}, '{f.name.replace(chr(39), chr(39) * 2)}', n{i}, t{i}"
-                      for i, f in enumerate(df.schema.fields))
-    return one.selectExpr(
-        f"stack({len(df.schema.fields)}, {parts}) AS (position, column_name, is_numeric, is_text)")
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column_name"),
+                     F.col(f"n{i}").alias("is_numeric"), F.col(f"t{i}").alias("is_text"))
+            for i, f in enumerate(df.schema.fields)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 # --- X2 ----------------------------------------------------------------------------------
@@ -129,7 +137,7 @@ def profile(df: DataFrame, max_sums: int = 4) -> DataFrame:
     numeric = [f.name for f in df.schema.fields if _is_numeric(f.dataType)]
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(numeric):
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"c{i}"),
+        aggs += [F.count(_quoted(c)).alias(f"c{i}"),
                  F.coalesce(F.sum(measure(df, c)), F.lit(0)).cast("double").alias(f"s{i}")]
     one = df.agg(*aggs)
     head = one.select(F.lit("rows").alias("stat"), F.lit(None).cast("string").alias("column_name"),
@@ -139,9 +147,9 @@ def profile(df: DataFrame, max_sums: int = 4) -> DataFrame:
                       F.lit(float(len(df.columns))).alias("value"), F.lit(0).alias("position"))
     out = head.unionByName(cols)
     if numeric:
-        parts = ", ".join(f"{i}, '{c}', c{i}, s{i}" for i, c in enumerate(numeric))
-        sums = (one.selectExpr(f"stack({len(numeric)}, {parts}) AS (position, column_name, n, value)")
-                .filter(F.col("n") > 0))
+        stats = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
+                          F.col(f"c{i}").alias("n"), F.col(f"s{i}").alias("value")) for i, c in enumerate(numeric)]
+        sums = one.select(F.explode(F.array(*stats)).alias("r")).select("r.*").filter(F.col("n") > 0)
         # at most len(columns) rows: a bounded window
         sums = (sums.withColumn("_k", F.row_number().over(Window.orderBy("position")))
                 .filter(F.col("_k") <= max_sums)
@@ -156,8 +164,10 @@ def top_items(df: DataFrame, value_col: str = COUNT_MEASURE, name_col: str = "pr
     """The name column (or the first column when the name is empty) by
     the summed measure; top ``top`` (ties: name), ranked."""
     first = df.columns[0]
-    name = F.col(name_col) if name_col in df.columns else F.lit(None).cast("string")
-    key = F.coalesce(F.when(name != "", name), js_text(F.col(f"`{first}`"), _dtype(df, first)))
+    key = js_text(_quoted(first), _dtype(df, first))
+    if name_col in df.columns:
+        name, kind = _quoted(name_col), _dtype(df, name_col)
+        key = F.coalesce(F.when(~_falsy(name, kind), js_text(name, kind)), key)
     out = (df.groupBy(key.alias("name")).agg(F.sum(measure(df, value_col)).cast("double").alias("value"))
            .orderBy(F.col("value").desc(), F.col("name").asc_nulls_first()).limit(top))
     return out.withColumn("rank", F.row_number().over(
@@ -206,7 +216,7 @@ def with_share(df: DataFrame, value_col: str, out: str = "share") -> DataFrame:
 def preview(df: DataFrame, n: int = 500, order_by: list[str] | None = None) -> DataFrame:
     """The first ``n`` rows (in ``order_by`` order when given)."""
     if order_by:
-        df = df.orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
+        df = df.orderBy(*[_quoted(c).asc_nulls_first() for c in order_by])
     return df.limit(n)
 
 

@@ -1,20 +1,19 @@
 """File registry and table maintenance.
 
-Row counts are derived from the fact tables instead of being mutated in
-place. Deleting a file drops its partitions through the table's deletion
-log; deleting a year rewrites only the partitions that hold lines of that
-year (see ``sources.store``). Nothing here collects table data to the driver;
-the only driver reads are small metadata: single-row aggregates (next file
-id) and per-file counts of the files a year delete touches.
+Row counts are derived from the fact tables or the upload ledger instead of
+being mutated row by row. Deleting a file or a year hides its partitions
+through the table's drop log (see ``sources.store``); no data is read or
+rewritten but for the count of deleted lines. Nothing here collects table data
+to the driver; the driver reads single-row aggregates only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FILES_SCHEMA, SALES_SCHEMA, STORE_SALES_SCHEMA
-from ..sources.ingest import store_layout
+from ..sources.ingest import STORE_PARTS, store_layout
 from ..sources.store import TableStore
 
 SALES, STORE_SALES, FILES = "sales", "store_sales", "files"
@@ -90,7 +89,7 @@ def set_file_period(store: TableStore, file_id: int, data_period: str) -> None:
 def delete_file(store: TableStore, file_id: int) -> None:
     """T4: drop one file's rows from both fact tables; mark the file deleted.
 
-    The file's partitions go to the tables' deletion logs, so the delete
+    The file's partitions go to the tables' drop logs, so the delete
     reads and rewrites no data; only the small file registry is rewritten.
     """
     store.drop_partitions(SALES, "file_id", [file_id])
@@ -100,41 +99,62 @@ def delete_file(store: TableStore, file_id: int) -> None:
         "status", F.when(F.col("id") == file_id, F.lit("deleted")).otherwise(F.col("status"))))
 
 
+def open_uploads(store: TableStore, docs: DataFrame) -> DataFrame:
+    """T1 for chunked uploads: ``docs`` (file_id, original_name, file_type)
+    -> (name, id). Files not yet in the registry are recorded.
+
+    Documents that carry no id belong to the newest active file of their
+    original name, or open a new one; so a repeated call gives the same ids.
+    """
+    files = store.read(FILES, FILES_SCHEMA)
+    docs = docs.withColumn("name", F.coalesce("original_name", F.lit("")))
+    names = docs.filter("file_id is null").groupBy("name").agg(F.min("file_type").alias("file_type"))
+    known = (files.filter(F.col("status") == "active").groupBy(F.col("filename").alias("name"))
+             .agg(F.max("id").alias("id")))
+    top = files.select("id").union(docs.select("file_id")).agg(F.max("id")).first()[0] or 0
+    # new names of one batch of documents: a bounded window
+    opened = (names.join(known, "name", "left_anti")
+              .withColumn("id", (F.lit(top) + F.row_number().over(Window.orderBy("name"))).cast("int")))
+    given = (docs.filter("file_id is not null").groupBy(F.col("file_id").alias("id"))
+             .agg(F.min("name").alias("name"), F.min("file_type").alias("file_type"))
+             .join(files.select("id"), "id", "left_anti"))
+    new = opened.select("id", "name", "file_type").unionByName(given.select("id", "name", "file_type"))
+    rows = new.select("id", F.col("name").alias("filename"), F.col("name").alias("original_name"), "file_type",
+                      F.lit(0).cast("long").alias("row_count"), F.current_timestamp().alias("upload_date"),
+                      F.lit("active").alias("status"), F.lit(None).cast("string").alias("data_period"))
+    if not new.isEmpty():
+        store.append(FILES, rows.select(*FILES_SCHEMA.fieldNames()))
+        files = store.read(FILES, FILES_SCHEMA)
+        known = (files.filter(F.col("status") == "active").groupBy(F.col("filename").alias("name"))
+                 .agg(F.max("id").alias("id")))
+    return names.select("name").join(known, "name")
+
+
+def set_row_counts(store: TableStore, counts: DataFrame) -> None:
+    """row_count of the files in ``counts`` (id, row_count)."""
+    files = store.read(FILES, FILES_SCHEMA)
+    new = counts.select("id", F.col("row_count").alias("_n"))
+    out = files.join(new, "id", "left").withColumn("row_count", F.coalesce("_n", "row_count").cast("long"))
+    store.replace(FILES, out.select(*FILES_SCHEMA.fieldNames()))
+
+
 def delete_year(store: TableStore, year: int, valid_years: tuple[int, int] | None = (2000, 2100)
                 ) -> DataFrame:
     """T5: drop store lines of one calendar year.
 
-    Only the ``file_id`` partitions holding lines of that year are touched:
-    they are found with a date-range filter that reaches the Parquet scan;
-    partitions left with rows are rewritten in place (dynamic partition
-    overwrite of exactly those partitions), partitions left empty are
-    dropped through the deletion log. Every other partition is neither read
-    nor written. ``valid_years`` is the accepted input range (the web form's
-    check); ``None`` accepts any year. Returns ``(table_name, deleted)``
-    rows; the sales table has no dates and is left alone (0).
+    The year's partitions are hidden by one entry of the drop log; lines
+    without a date stay, and lines of that year loaded later show. The only
+    data read are the year's partitions, for the count. ``valid_years`` is
+    the accepted input range (the web form's check); ``None`` accepts any
+    year. Returns ``(table_name, deleted)`` rows; the sales table has no dates
+    and is left alone (0).
     """
     if valid_years and not valid_years[0] <= int(year) <= valid_years[1]:
         raise ValueError(f"year must be between {valid_years[0]} and {valid_years[1]}")
-    df = store.read(STORE_SALES, STORE_SALES_SCHEMA)
-    d = F.col("sale_date")
-    in_year = (d >= F.lit(f"{int(year):04d}-01-01").cast("date")) & \
-              (d <= F.lit(f"{int(year):04d}-12-31").cast("date"))
-    # per affected file: lines in the year and lines kept (a few small rows)
-    hit = [r["file_id"] for r in df.filter(in_year).select("file_id").distinct().collect()]
-    stats = []
-    if hit:
-        stats = (df.filter(F.col("file_id").isin(hit)).groupBy("file_id")
-                 .agg(F.count(F.when(in_year, F.lit(1))).alias("gone"),
-                      F.count(F.when(~F.coalesce(in_year, F.lit(False)), F.lit(1))).alias("kept"))
-                 .collect())
-    emptied = [r["file_id"] for r in stats if r["kept"] == 0]
-    partial = [r["file_id"] for r in stats if r["kept"] > 0]
-    if partial:
-        kept = df.filter(F.col("file_id").isin(partial) & ~F.coalesce(in_year, F.lit(False)))
-        store.overwrite_partitions(STORE_SALES, store_layout(kept), ["file_id"])
-    if emptied:
-        store.drop_partitions(STORE_SALES, "file_id", emptied)
-    n = sum(r["gone"] for r in stats)
+    n = 0
+    if store.current_version(STORE_SALES) is not None:
+        n = store.read(STORE_SALES, STORE_SALES_SCHEMA, F.col("sale_year") == int(year)).count()
+        store.drop_partitions(STORE_SALES, "sale_year", [int(year)])
     return store.spark.createDataFrame([(STORE_SALES, n), (SALES, 0)],
                                        "table_name string, deleted long")
 
@@ -143,5 +163,5 @@ def reset_all(store: TableStore) -> None:
     """Empty both fact tables and the file registry."""
     spark = store.spark
     store.replace(SALES, spark.createDataFrame([], SALES_SCHEMA), ["file_id"])
-    store.replace(STORE_SALES, spark.createDataFrame([], STORE_SALES_SCHEMA), ["file_id"])
+    store.replace(STORE_SALES, store_layout(spark.createDataFrame([], STORE_SALES_SCHEMA)), STORE_PARTS)
     store.replace(FILES, spark.createDataFrame([], FILES_SCHEMA))

@@ -103,7 +103,7 @@ LEFT JOIN LATERAL (SELECT t.st.n AS normal_stock, t.st.a AS available_stock) s O
 ORDER BY p.product_code, p.supplier_option""")
 def _j2(fx):
     """Every catalog option with one stock row (missing stock -> 0)."""
-    return K.product_options_with_stock(fx.product_images, fx.inventory)
+    return K.product_options_with_stock(fx.product_images, fx.inventory, one_per_option=True)
 
 
 @query("product_options_fanout", views=("product_images", "inventory"), sql="""
@@ -113,8 +113,7 @@ FROM product_images p LEFT JOIN inventory i ON p.supplier_option = i.supplier_op
 WHERE p.product_code = '00007' ORDER BY p.supplier_option""")
 def _j1(fx):
     """One product's options LEFT JOIN every matching stock row."""
-    return K.product_options_with_stock(fx.product_images, fx.inventory, product_code="00007",
-                                        one_per_option=False)
+    return K.product_options_with_stock(fx.product_images, fx.inventory, product_code="00007")
 
 
 @query("option_rollup", views=("product_images", "inventory"), sql="""
@@ -127,7 +126,7 @@ FROM (SELECT p.product_code, coalesce(t.st.n, 0) AS ns
 GROUP BY product_code""")
 def _j3(fx):
     """Per product: options, total stock and sold-out options."""
-    return K.option_rollup(K.product_options_with_stock(fx.product_images, fx.inventory))
+    return K.option_rollup(K.product_options_with_stock(fx.product_images, fx.inventory, one_per_option=True))
 
 
 @query("inventory_summary", views=("inventory",), sql="""

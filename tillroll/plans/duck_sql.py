@@ -39,6 +39,7 @@ def group_name(name: str) -> str:
             f"THEN coalesce(nullif({picked}, ''), {last}) ELSE {last} END")
 
 
+# fixed values: the patterns of the classification and of numbers
 CLASS_RE = r"(?s)^(.*)\(([^(]*)\)[^()]*$"
 NUM_RE = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
 
@@ -60,6 +61,12 @@ def to_number(c: str) -> str:
     return f"CASE WHEN regexp_full_match({s}, '{NUM_RE}') THEN try_cast({s} AS double) END"
 
 
+def to_money(c: str) -> str:
+    """C2 in DuckDB SQL, exact."""
+    s = f"trim(replace({c}, ',', ''))"
+    return f"CASE WHEN regexp_full_match({s}, '{NUM_RE}') THEN try_cast({s} AS decimal(28,4)) END"
+
+
 def to_date(c: str) -> str:
     """Mixed date text -> date for the layouts present in the fixture."""
     s = f"trim({c})"

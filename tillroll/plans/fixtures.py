@@ -46,20 +46,24 @@ from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey
   join nation on c_nationkey = n_nationkey join named_part on l_partkey = p_partkey
   join supplier on l_suppkey = s_suppkey""",
     "product_images": """
-select 'SO' || lpad(cast(p_partkey % 997 as string), 4, '0') || ' ' || p_type as supplier_option,
-  lpad(cast(p_partkey % 400 as string), 5, '0') as product_code, product_name,
+select case when p_partkey % 3 = 2 then 'SX' else 'SO' end || lpad(cast(p_partkey % 997 as string), 4, '0')
+    || ' ' || p_type as supplier_option,
+  case when cast(floor(p_partkey / 5.0) as int) % 7 = 3 then 'BJK' when cast(floor(p_partkey / 5.0) as int) % 7 = 5 then 'PT'
+    else '' end || lpad(cast(cast(floor(p_partkey / 5.0) as int) as string), 5, '0') as product_code,
+  case p_partkey % 11 when 1 then '티셔츠 ' when 2 then '바지 ' when 3 then '조끼 바지 ' when 4 then '모자 ' else '' end
+    || product_name as product_name,
   '880' || lpad(cast(p_partkey as string), 10, '0') as barcode,
-  'img/' || lpad(cast(p_partkey % 400 as string), 5, '0') || '_500.png' as image_url
+  'img/' || lpad(cast(cast(floor(p_partkey / 5.0) as int) as string), 5, '0') || '_500.png' as image_url
 from named_part""",
     "inventory": """
-select lpad(cast(p_partkey % 400 as string), 5, '0') as product_code, s_name as supplier,
+select lpad(cast(cast(floor(p_partkey / 5.0) as int) as string), 5, '0') as product_code, s_name as supplier,
   p_name as product_name, p_type as option_name,
   p_retailprice as sale_price,
   'SO' || lpad(cast(p_partkey % 997 as string), 4, '0') || ' ' || p_type as supplier_option,
   case when p_partkey % 5 = 0 then 0 when p_partkey % 53 = 1 then -1 else p_size end as normal_stock,
   case when p_partkey % 5 = 0 then 0 else p_size - p_size % 3 end as available_stock
-from part join supplier on s_suppkey = p_partkey % 10
-where p_partkey % 3 <> 2""",
+from (select *, p_partkey % n as sk from part cross join (select max(s_suppkey) + 1 as n from supplier) c) p
+left join supplier on s_suppkey = sk""",
     "raw_lines": """
 select l_orderkey, l_linenumber,
   case l_linenumber % 4 when 0 then ' ' || cast(cast(l_quantity as int) as string) || ' '
@@ -70,6 +74,9 @@ select l_orderkey, l_linenumber,
     when 2 then cast(35000 + l_orderkey % 3000 as string)
     when 3 then replace(cast(cast(l_shipdate as date) as string), '-', '')
     else 'unknown' end as date_text,
+  case l_linenumber when 1 then '12,345,678,901,234,567.25' when 2 then '-0.5' when 3 then 'n/a'
+    else cast(cast(l_extendedprice as decimal(18,2)) as string) end as money_text,
+  lpad(cast(l_partkey as string), 5, '0') as code_text,
   case when l_orderkey % 50 = 0 then '7 row(s)' when l_orderkey % 51 = 0 then '' else product_name end as product_name,
   case when l_orderkey % 40 = 0 then '매장수: 3' when l_orderkey % 41 = 0 then null
        else 'store ' || cast(l_suppkey as string) end as store,
@@ -118,33 +125,16 @@ def _spark_text(sql: str, names: list[str]) -> str:
     return sql
 
 
-# the fact table whose scan is spread over the cores when its files give
-# fewer splits than there are cores (one Parquet row group per file in the
-# test data); on a cluster the scan already has more splits than cores.
-# Dimension tables are not spread: they are broadcast or joined as they are.
-FACT_TABLES = ("lineitem",)
-
-
 class Fixtures:
     """Lazily built fixture DataFrames over one scale-factor folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, spread: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self.spread = spread
         self._cache: dict[str, DataFrame] = {}
 
     def _read(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if self.spread and name in FACT_TABLES:
-            try:
-                cores = self.spark.sparkContext.defaultParallelism
-                splits = df.rdd.getNumPartitions()
-            except Exception:  # no RDD access (e.g. Spark Connect): leave as is
-                return df
-            if splits < cores:
-                df = df.repartition(cores)
-        return df
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:

@@ -9,56 +9,63 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import maintain as M, sales as S
-from ..schemas import SALES_SCHEMA, STORE_SALES_SCHEMA
+from ..schemas import (FILES_SCHEMA, INVENTORY_SCHEMA, PRODUCT_IMAGES_SCHEMA, SALES_SCHEMA,
+                       STORE_SALES_SCHEMA)
 from ..session import work_path
 from ..sources import export as X, ingest as G
 from ..sources.store import TableStore
 from ..streaming import chunks as CH
 from . import duck_sql as Q
-from .clean_queries import CLEAN_SALES_SQL, CLEAN_STORE_SQL, raw_sales_file
+from .clean_queries import (CLEAN_CATALOG_SQL, CLEAN_INVENTORY_SQL, CLEAN_SALES_SQL, CLEAN_STORE_SQL,
+                            SALES_TEXT, raw_catalog_file, raw_sales_file, raw_stock_file)
 from .registry import query
 
-_STAGED = [T.StructField("chunk_index", T.IntegerType()),
-           T.StructField("total_chunks", T.IntegerType())]
-_CHUNKED_STORE = T.StructType(STORE_SALES_SCHEMA.fields + _STAGED)
-
-
-@query("chunk_upload", views=("raw_lines",), sql=CLEAN_SALES_SQL)
-def _s3(fx):
-    """S3: sales lines sent as JSON chunks, loaded by the streaming job
-    (dynamic overwrite per chunk), which folds the file into the sales table
-    once all its chunks are in; read from that table."""
+def _chunked_upload(fx):
+    """S3: sales lines sent as JSON chunks that carry no file id, loaded by
+    the streaming job, which opens the file record and folds the file into
+    the sales table once all its chunks are in. Returns the store."""
     spark = fx.spark
-    r = fx.raw_lines
     # client chunk size: the lines of 2000 consecutive order keys (~8000 lines)
-    lines = r.select(F.floor(F.col("l_orderkey") / 2000).alias("_chunk"),
-                     F.col("classification").alias("분류명"), F.col("product_name").alias("상품명"),
-                     F.col("qty_text").alias("판매량"))
+    lines = raw_sales_file(fx, F.floor(F.col("l_orderkey") / 2000).alias("_chunk"))
     root = work_path(spark, "chunk-upload")
-    CH.write_chunks(lines, f"{root}/in", 1, "original", "_chunk", ["분류명", "상품명", "판매량"])
+    CH.write_chunks(lines, f"{root}/in", None, "original", "_chunk", list(SALES_TEXT), "export.xlsx")
     store = TableStore(spark)
     CH.run_chunk_upload(spark, f"{root}/in", f"{root}/tables", finalize_into=store)
-    return store.read(M.SALES, SALES_SCHEMA)
+    return store
+
+
+@query("chunk_upload", views=("raw_lines",), sql=CLEAN_SALES_SQL)
+def _s3(fx):
+    """S3: sales lines sent as JSON chunks, read from the sales table."""
+    return _chunked_upload(fx).read(M.SALES, SALES_SCHEMA)
+
+
+@query("chunk_registry", views=("raw_lines",), sql=f"""
+SELECT cast(1 AS integer) AS id, 'export.xlsx' AS original_name, 'original' AS file_type, count(*) AS row_count
+FROM raw_lines WHERE {Q.keep_sales_line("product_name")}""")
+def _s3r(fx):
+    """S3 + T1 + T2: the file record that a chunked upload opens and counts."""
+    return _chunked_upload(fx).read(M.FILES, FILES_SCHEMA).select("id", "original_name", "file_type", "row_count")
 
 
 @query("store_chunk_upload", views=("raw_lines",), sql=CLEAN_STORE_SQL)
 def _s3m(fx):
-    """S3 for store/day chunks (file_type 'monthly', data type in the envelope)."""
+    """S3 for store/day chunks (file_type 'monthly', data type in the
+    envelope, file id given), read from the store table."""
     spark = fx.spark
-    r = fx.raw_lines
     hdr = {"date_text": "판매일자", "store": "매장명", "classification": "분류명",
            "product_name": "상품명", "qty_text": "판매량"}
-    lines = r.select(F.floor(F.col("l_orderkey") / 2000).alias("_chunk"),
-                     *[F.col(k).alias(v) for k, v in hdr.items()])
+    lines = fx.raw_lines.select(F.floor(F.col("l_orderkey") / 2000).alias("_chunk"),
+                                *[F.col(k).alias(v) for k, v in hdr.items()])
     root = work_path(spark, "chunk-upload")
     CH.write_chunks(lines, f"{root}/in", 2, "monthly", "_chunk", list(hdr.values()),
                     data_type="의류")
-    paths = CH.run_chunk_upload(spark, f"{root}/in", f"{root}/tables")
-    return (spark.read.schema(_CHUNKED_STORE).parquet(paths["store_sales"])
-            .drop("chunk_index", "total_chunks"))
+    store = TableStore(spark)
+    CH.run_chunk_upload(spark, f"{root}/in", f"{root}/tables", finalize_into=store)
+    return store.read(M.STORE_SALES, STORE_SALES_SCHEMA)
 
 
-_CSV_RAW = ("(SELECT nullif(classification, '') AS classification, "
+_CSV_RAW = ("(SELECT nullif(classification, '') AS classification, money_text, code_text, "
             "nullif(product_name, '') AS product_name, nullif(qty_text, '') AS qty_text "
             "FROM raw_lines) raw_csv")
 
@@ -94,15 +101,29 @@ _STORE_COLS = ["file_id", "data_type", "sale_date", "store_code", "store", "clas
 SELECT {_full(STORE_SALES_SCHEMA, _STORE_COLS)} FROM store_sales
 WHERE sale_date IS NULL OR year(sale_date) <> 1995""")
 def _t5(fx):
-    """T5: store table stored, one year's lines deleted by rewriting the
-    kept rows to a new version, read back."""
-    spark = fx.spark
-    store = TableStore(spark)
-    store.replace(M.STORE_SALES, G.conform(fx.store_sales, STORE_SALES_SCHEMA), ["file_id"])
+    """T5: store table stored, one year's partitions dropped, read back."""
+    store = TableStore(fx.spark)
+    store.replace(M.STORE_SALES, G.store_layout(G.conform(fx.store_sales, STORE_SALES_SCHEMA)), G.STORE_PARTS)
     M.delete_year(store, 1995, valid_years=None)
     return store.read(M.STORE_SALES, STORE_SALES_SCHEMA)
 
 
+@query("delete_then_append", views=("store_sales",), sql=f"""
+SELECT {_full(STORE_SALES_SCHEMA, _STORE_COLS)} FROM store_sales
+WHERE (file_id <> 2 AND (sale_date IS NULL OR year(sale_date) <> 1996)) OR (file_id = 2 AND year(sale_date) = 1996)""")
+def _t45(fx):
+    """T4 + T5 + S8: a file and a year deleted, then that file's lines of
+    that year loaded again: only the new ones of either show."""
+    store = TableStore(fx.spark)
+    lines = G.conform(fx.store_sales, STORE_SALES_SCHEMA)
+    store.replace(M.STORE_SALES, G.store_layout(lines), G.STORE_PARTS)
+    M.delete_file(store, 2)
+    M.delete_year(store, 1996, valid_years=None)
+    again = lines.filter((F.col("file_id") == 2) & (F.year("sale_date") == 1996))
+    store.append(M.STORE_SALES, G.store_layout(again), G.STORE_PARTS)
+    return store.read(M.STORE_SALES, STORE_SALES_SCHEMA)
+
+
 @query("delete_file", views=("sales",), sql=f"""
 SELECT {_full(SALES_SCHEMA, _SALES_COLS)} FROM sales WHERE file_id <> 2""")
 def _t4(fx):
@@ -114,33 +135,74 @@ def _t4(fx):
     return store.read(M.SALES, SALES_SCHEMA)
 
 
+@query("restore_tables", views=("sales", "store_sales"), sql="""
+SELECT 'sales' AS table_name, file_id, count(*) AS row_count, cast(sum(net_sales) AS double) AS net_sales,
+  sum(sold_qty) AS sold_qty, NULL::DATE AS last_date FROM sales GROUP BY file_id
+UNION ALL SELECT 'store_sales', file_id, count(*), cast(sum(net_sales) AS double), sum(sold_qty), max(sale_date)
+FROM store_sales GROUP BY file_id
+UNION ALL SELECT 'files', file_id, count(*), NULL, NULL, NULL FROM sales WHERE file_id <> 3 GROUP BY file_id""")
+def _s14(fx):
+    """S13 + S14: both fact tables and the registry written as a JSON
+    snapshot, restored over other content, and read back from the store."""
+    spark = fx.spark
+    path = work_path(spark, "snapshot")
+    counts = fx.sales.groupBy("file_id").agg(F.count("*").alias("row_count"))
+    files = counts.select(F.col("file_id").alias("id"), F.lit("f").alias("filename"), F.lit("f").alias("original_name"),
+                          F.lit("original").alias("file_type"), "row_count",
+                          F.lit(None).cast("timestamp").alias("upload_date"),
+                          F.when(F.col("file_id") == 3, "deleted").otherwise("active").alias("status"),
+                          F.lit("memo").alias("data_period"))
+    X.snapshot(path, G.conform(fx.sales, SALES_SCHEMA), G.conform(fx.store_sales, STORE_SALES_SCHEMA), files)
+    store = TableStore(spark)
+    M.register_file(store, "old", "old", "original")
+    X.restore_snapshot(store, path)
+
+    def summed(table, schema, day):
+        return store.read(table, schema).groupBy("file_id").agg(
+            F.count("*").alias("row_count"), F.sum("net_sales").cast("double").alias("net_sales"),
+            F.sum("sold_qty").alias("sold_qty"), day.alias("last_date")).withColumn("table_name", F.lit(table))
+
+    registry = store.read(M.FILES, FILES_SCHEMA)
+    total = registry.select(F.col("id").alias("file_id"), "row_count", F.lit(None).cast("double").alias("net_sales"),
+                            F.lit(None).cast("double").alias("sold_qty"), F.lit(None).cast("date").alias("last_date"),
+                            F.lit("files").alias("table_name"))
+    return (summed(M.SALES, SALES_SCHEMA, F.lit(None).cast("date"))
+            .unionByName(summed(M.STORE_SALES, STORE_SALES_SCHEMA, F.max("sale_date"))).unionByName(total))
+
+
 @query("snapshot_restore", views=("store_sales",), sql=f"""
 SELECT {_full(STORE_SALES_SCHEMA, _STORE_COLS)} FROM store_sales""")
-def _s14(fx):
-    """S13 + S14: tables written as a JSON snapshot and read back typed."""
+def _s13(fx):
+    """S13 + S14: tables written as a JSON snapshot, restored into a table
+    store, the store lines read from it."""
     spark = fx.spark
     path = work_path(spark, "snapshot")
     X.snapshot(path, G.conform(fx.sales, SALES_SCHEMA),
                G.conform(fx.store_sales, STORE_SALES_SCHEMA))
-    return X.read_snapshot(spark, path, "store_sales")
-
-
-_REPORT_SCHEMA = "supplier string, net_sales double, sold_qty double, product_count long"
+    store = TableStore(spark)
+    X.restore_snapshot(store, path)
+    return store.read(M.STORE_SALES, STORE_SALES_SCHEMA)
 
 
-@query("report_export", views=("sales",), sql="""
-SELECT supplier, cast(sum(net_sales) AS double) AS net_sales, sum(sold_qty) AS sold_qty,
-       count(DISTINCT product_code) AS product_count
-FROM sales WHERE supplier IS NOT NULL AND supplier <> '' GROUP BY supplier""")
+@query("report_export", views=("sales", "store_sales"), sql="""
+SELECT 'category' AS dataset, count(*) AS row_count FROM (SELECT category FROM sales
+  WHERE category IS NOT NULL AND category <> '' GROUP BY category ORDER BY sum(net_sales) DESC LIMIT 30)
+UNION ALL SELECT 'daily', count(DISTINCT sale_date) FROM store_sales
+UNION ALL SELECT 'supplier', least(30, count(DISTINCT supplier)) FROM sales WHERE supplier <> ''
+UNION ALL SELECT 'products', least(100, count(*)) FROM (
+  SELECT DISTINCT product_code, product_name FROM sales WHERE product_name IS NOT NULL AND product_name <> '')
+""")
 def _s12(fx):
-    """S11 + S12: a report of several datasets written as CSV; the supplier
-    dataset read back with its schema."""
+    """S11 + S12: the six datasets of the combined report written as CSV
+    folders; rows of four of them counted in the files."""
     spark = fx.spark
-    path = work_path(spark, "report")
-    X.save_report({"supplier": S.sales_by_supplier(fx.sales, top=None),
-                   "monthly": S.monthly_sales(fx.store_sales)}, path)
-    return spark.read.schema(_REPORT_SCHEMA).option("header", True).csv(f"{path}/supplier")
-
+    paths = X.combined_report(fx.sales, fx.store_sales, work_path(spark, "report"))
+    out = None
+    for name in ("category", "daily", "supplier", "products"):
+        n = spark.read.option("header", True).csv(paths[name]).agg(F.count("*").alias("row_count")) \
+            .select(F.lit(name).alias("dataset"), "row_count")
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
 @query("export_weekly", views=("store_sales",), sql="""
@@ -165,12 +227,16 @@ _SHEET_RAW_COLS = {"판매일자": "cast(sale_date AS string)", "매장코드":
                    "매장명": "store", "분류명": "classification", "상품코드": "product_code",
                    "상품명": "product_name", "판매량": "cast(sold_qty AS string)",
                    "실판매금액": "cast(net_sales AS string)"}
+# market segment -> sheet name, with the words of C7 in both languages
+_SHEETS = {"AUTOMOBILE": "Clothing A", "BUILDING": "신발 2024", "FURNITURE": "ACCESSORIES", "MACHINERY": "의류시트"}
+_SHEET_SQL = ("CASE data_type WHEN 'AUTOMOBILE' THEN '의류' WHEN 'BUILDING' THEN '신발' WHEN 'FURNITURE' THEN '잡화' "
+              "WHEN 'MACHINERY' THEN '의류' ELSE data_type END")
 _SCAT, _SSUP = Q.class_parts("classification")
 
 
 @query("sheets_load", views=("store_sales",), sql=f"""
 SELECT {Q.typed_select(STORE_SALES_SCHEMA, {
-    "file_id": "5", "data_type": "data_type", "sale_date": "sale_date", "store_code": "store_code",
+    "file_id": "5", "data_type": _SHEET_SQL, "sale_date": "sale_date", "store_code": "store_code",
     "store": "store", "classification": "classification", "category": _SCAT, "supplier": _SSUP,
     "product_code": "product_code", "product_name": "product_name", "sold_qty": "sold_qty",
     "net_sales": "net_sales"})}
@@ -178,16 +244,19 @@ FROM store_sales WHERE {Q.keep_store_line("store")}""")
 def _s2(fx):
     """S2 + S8: a workbook stand-in with one CSV folder per sheet (sheet =
     market segment), read sheet by sheet with the sheet's data type (C7),
-    aligned by header, cleaned as store/day lines."""
+    aligned by header, cleaned and appended as store/day lines."""
     spark = fx.spark
     root = work_path(spark, "sheets")
-    raw = fx.store_sales.selectExpr("data_type AS sheet",
-                                    *[f"{v} AS `{k}`" for k, v in _SHEET_RAW_COLS.items()])
+    label = F.create_map(*[F.lit(x) for kv in _SHEETS.items() for x in kv])[F.col("data_type")]
+    raw = fx.store_sales.select(F.coalesce(label, F.col("data_type")).alias("sheet"),
+                                *[F.expr(v).alias(k) for k, v in _SHEET_RAW_COLS.items()])
     raw.write.partitionBy("sheet").option("header", True).csv(root)
-    # sheet names are workbook metadata: a handful of names, read once
-    names = [r.sheet for r in raw.select("sheet").distinct().collect()]
+    # sheet names are workbook metadata: the written folders, read once
+    names = [r.sheet for r in spark.read.option("header", True).csv(root).select("sheet").distinct().collect()]
     sheets = {n: f"{root}/sheet={n}" for n in names}
-    return G.clean_store_sales(G.read_sheets(spark, sheets), 5)
+    store = TableStore(spark)
+    G.save_store_sales(store, G.read_sheets(spark, sheets), 5)
+    return store.read(M.STORE_SALES, STORE_SALES_SCHEMA)
 
 
 @query("file_row_counts", views=("sales", "store_sales"), sql="""
@@ -197,3 +266,78 @@ SELECT file_id, count(*), 'store_sales' FROM store_sales GROUP BY file_id""")
 def _t2(fx):
     """Inserted rows per file and table, derived from the fact tables."""
     return M.file_row_counts(fx.sales, fx.store_sales)
+
+
+@query("catalog_load", views=("product_images",), sql=CLEAN_CATALOG_SQL)
+def _s9(fx):
+    """A raw catalog export replaces the catalog table; read back."""
+    store = TableStore(fx.spark)
+    G.load_catalog(store, raw_catalog_file(fx).limit(0), "old/")
+    G.load_catalog(store, raw_catalog_file(fx), "img/")
+    return store.read("product_images", PRODUCT_IMAGES_SCHEMA)
+
+
+@query("inventory_load", views=("inventory",), sql=CLEAN_INVENTORY_SQL)
+def _s10(fx):
+    """A raw stock export replaces the stock table; read back."""
+    store = TableStore(fx.spark)
+    G.load_inventory(store, raw_stock_file(fx).limit(0))
+    G.load_inventory(store, raw_stock_file(fx))
+    return store.read("inventory", INVENTORY_SCHEMA)
+
+
+def _two_files(fx):
+    """A store with the lines of files 1 and 2 of both fact tables, recorded
+    (T1) and counted; file 2 deleted (T4), file 1 with a memo (T3)."""
+    store = TableStore(fx.spark)
+    sales = G.conform(fx.sales.filter("file_id <= 2"), SALES_SCHEMA)
+    lines = G.conform(fx.store_sales.filter("file_id = 2"), STORE_SALES_SCHEMA)
+    for name, kind in (("a.csv", "original"), ("b.xlsx", "monthly")):
+        M.register_file(store, name, name, kind)
+    store.append(M.SALES, sales, ["file_id"])
+    store.append(M.STORE_SALES, G.store_layout(lines), G.STORE_PARTS)
+    M.refresh_row_counts(store)
+    M.set_file_period(store, 1, "2024 Q1")
+    return store
+
+
+@query("file_registry", views=("sales", "store_sales"), sql="""
+SELECT cast(1 AS integer) AS id, 'a.csv' AS filename, 'original' AS file_type,
+  (SELECT count(*) FROM sales WHERE file_id = 1) AS row_count, '2024 Q1' AS data_period""")
+def _t13(fx):
+    """Two files recorded and counted, one given a memo,
+    one deleted; the active files."""
+    store = _two_files(fx)
+    M.delete_file(store, 2)
+    return M.active_files(store.read(M.FILES, FILES_SCHEMA)).select("id", "filename", "file_type", "row_count", "data_period")
+
+
+@query("data_counts_registry", views=("sales", "store_sales"), sql="""
+SELECT 'sales' AS table_name, count(*) AS row_count FROM sales WHERE file_id = 1
+UNION ALL SELECT 'store_sales', 0 UNION ALL SELECT 'files', 2""")
+def _a14(fx):
+    """Rows of the fact tables and of the registry after one of two
+    files was deleted (the registry counts it still)."""
+    store = _two_files(fx)
+    M.delete_file(store, 2)
+    return S.data_counts(sales=store.read(M.SALES, SALES_SCHEMA), store_sales=store.read(M.STORE_SALES, STORE_SALES_SCHEMA),
+                         files=store.read(M.FILES, FILES_SCHEMA))
+
+
+@query("custom_rows", views=("store_sales",), sql=f"""
+SELECT {Q.typed_select(T.StructType([f for f in STORE_SALES_SCHEMA.fields if f.name != "file_id"]),
+                       {c: c for c in _STORE_COLS if c != "file_id"})} FROM store_sales WHERE file_id = 2""")
+def _s15(fx):
+    """The raw rows of a file whose type ('monthly') leads to the store
+    table, without internal columns and without the row cap."""
+    return X.custom_rows(_two_files(fx), 2, limit=None)
+
+
+@query("reset_tables", views=("sales",), sql=f"""
+SELECT {_full(SALES_SCHEMA, _SALES_COLS)} FROM sales WHERE file_id = 3""")
+def _t6(fx):
+    """All tables emptied, then one file's lines appended; read back."""
+    store = _two_files(fx)
+    M.reset_all(store)
+    store.append(M.SALES, G.conform(fx.sales.filter("file_id = 3"), SALES_SCHEMA), ["file_id"])
+    return store.read(M.SALES, SALES_SCHEMA)

@@ -54,7 +54,7 @@ SUMMARY_ROW_MARK = "row(s)"      # product-name of summary lines
 # Numeric measure columns (all but money are plain doubles).
 MONEY_COLUMNS = ["unit_price", "final_unit_price", "purchase_unit_price", "list_amount",
                  "cancel_amount", "discount_amount", "net_unit_price", "net_sales"]
-MONEY = T.DecimalType(18, 4)
+MONEY = T.DecimalType(28, 4)
 
 
 def _measure_fields(skip=()):

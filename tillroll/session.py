@@ -3,8 +3,8 @@
 Everything in the library is DataFrame in / DataFrame out; only the few
 writers (sources, maintenance, streaming) need a place on shared storage.
 That place is taken from the session's ``spark.checkpoint.dir`` so that on a
-cluster every executor sees it. A fresh local folder is set only when the
-session has none (tests, local runs).
+cluster every executor sees it. A fresh local folder is set only on a local
+master; any other session without the setting is refused.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ SCALE_CONFS = {
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
 }
 
@@ -61,9 +60,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf = spark.conf.get("spark.checkpoint.dir", None)
         if conf:
             return conf
-        local = tempfile.mkdtemp(prefix="tillroll-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", local)
-        return local
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share") from None
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -71,6 +68,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="tillroll-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import FILES_SCHEMA, SALES_SCHEMA, STORE_SALES_SCHEMA
+from .ingest import STORE_PARTS, store_layout
+from .store import path_exists
 
 INTERNAL_COLUMNS = ("id", "file_id", "created_at")
 
@@ -22,6 +24,18 @@ def file_rows(df: DataFrame, file_id=None, limit: int | None = None) -> DataFram
     return df.limit(limit) if limit else df
 
 
+def custom_rows(store, file_id: int, limit: int | None = 100_000) -> DataFrame:
+    """Raw rows of one active file; the registry's file type says which
+    fact table they are in ('monthly': store lines, else sales lines). The
+    row cap is the web page's; None gives all rows."""
+    files = store.read("files", FILES_SCHEMA)
+    row = files.filter((F.col("id") == int(file_id)) & (F.col("status") == "active")).select("file_type").first()
+    if row is None:
+        raise KeyError(f"no active file {file_id}")
+    table = "store_sales" if row[0] == "monthly" else "sales"
+    return file_rows(store.read(table, SNAPSHOT_TABLES[table]), file_id, limit)
+
+
 def export_dataset(df: DataFrame, path: str, fmt: str = "csv") -> str:
     """Write one dataset as CSV with a header (or Parquet / JSON).
 
@@ -44,6 +58,16 @@ def save_report(datasets: dict[str, DataFrame], path: str, fmt: str = "csv") ->
             for name, df in datasets.items()}
 
 
+REPORT = ("supplier", "category", "products", "daily", "store", "matrix")
+
+
+def combined_report(sales: DataFrame, store_sales: DataFrame, path: str, fmt: str = "csv") -> dict[str, str]:
+    """The six datasets of the combined report, unfiltered, one folder
+    each under ``path``."""
+    builders = export_builders(sales, store_sales)
+    return save_report({name: builders[name]() for name in REPORT}, path, fmt)
+
+
 def export_by_name(builders: dict[str, Callable[[], DataFrame]], name: str, path: str,
                    fmt: str = "csv") -> str:
     """S11 dispatch: dataset name -> operator -> write."""
@@ -56,14 +80,23 @@ def export_by_name(builders: dict[str, Callable[[], DataFrame]], name: str, path
 SNAPSHOT_TABLES = {"sales": SALES_SCHEMA, "store_sales": STORE_SALES_SCHEMA, "files": FILES_SCHEMA}
 
 
+MANIFEST = "table_name string, row_count long"
+
+
 def snapshot(path: str, sales: DataFrame, store_sales: DataFrame, files: DataFrame | None = None
              ) -> str:
-    """All sales, all store lines and the active files as JSON folders."""
+    """All sales, all store lines and the active files as JSON folders.
+    A manifest with the row counts is written last: a snapshot without one is
+    not complete."""
     base = path.rstrip("/")
-    sales.write.mode("overwrite").json(f"{base}/sales")
-    store_sales.write.mode("overwrite").json(f"{base}/store_sales")
-    if files is not None:
-        files.filter(F.col("status") == "active").write.mode("overwrite").json(f"{base}/files")
+    spark = sales.sparkSession
+    files = spark.createDataFrame([], FILES_SCHEMA) if files is None else files.filter(F.col("status") == "active")
+    counts = []
+    for table, df in (("sales", sales), ("store_sales", store_sales), ("files", files)):
+        seen = Observation(f"snapshot_{table}")
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{base}/{table}")
+        counts.append((table, int(seen.get.get("n", 0))))
+    spark.createDataFrame(counts, MANIFEST).coalesce(1).write.mode("overwrite").json(f"{base}/manifest")
     return base
 
 
@@ -100,20 +133,21 @@ def export_builders(sales: DataFrame, store_sales: DataFrame, **filters
 def restore_snapshot(store, path: str) -> dict[str, int]:
     """Replace the fact tables and the file registry with a snapshot.
 
-    Each table is read back with its declared schema and written as a new
-    table version (so a failed restore leaves the old tables in place).
-    Returns the restored row counts (one small aggregate per table).
+    Nothing changes unless the snapshot has a manifest and every table holds
+    as many rows as that says. Each table is then written as a new version.
+    Returns the restored row counts.
     """
-    from pyspark.sql import Observation
-
-    counts: dict[str, int] = {}
-    for table, parts in (("sales", ["file_id"]), ("store_sales", ["file_id"]), ("files", None)):
-        try:
-            df = read_snapshot(store.spark, path, table)
-            df.schema  # resolve now: a missing table raises here
-        except Exception:  # table absent from the snapshot: restore it empty
-            df = store.spark.createDataFrame([], SNAPSHOT_TABLES[table])
-        obs = Observation(f"restored_{table}")
-        store.replace(table, df.observe(obs, F.count(F.lit(1)).alias("n")), parts)
-        counts[table] = int(obs.get.get("n", 0))
-    return counts
+    spark, base = store.spark, path.rstrip("/")
+    if not path_exists(spark, f"{base}/manifest"):
+        raise FileNotFoundError(f"no complete snapshot at {path}")
+    want = {r["table_name"]: r["row_count"] for r in spark.read.schema(MANIFEST).json(f"{base}/manifest").collect()}
+    if set(want) != set(SNAPSHOT_TABLES):
+        raise ValueError(f"the snapshot at {path} lacks {sorted(set(SNAPSHOT_TABLES) - set(want))}")
+    found = {t: read_snapshot(spark, path, t) for t in SNAPSHOT_TABLES}
+    for table, df in found.items():
+        if df.count() != want[table]:
+            raise ValueError(f"{table} in the snapshot at {path} does not hold {want[table]} rows")
+    store.replace("sales", found["sales"], ["file_id"])
+    store.replace("store_sales", store_layout(found["store_sales"]), STORE_PARTS)
+    store.replace("files", found["files"])
+    return want

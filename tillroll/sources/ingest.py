@@ -9,6 +9,8 @@ instead of a second pass.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,41 +73,58 @@ def conform(df: DataFrame, schema: T.StructType, carry: tuple[str, ...] = ()) ->
                        .alias(f.name) for f in schema.fields], *carry)
 
 
-# Catalog and stock header rules. Each rule is (target,
-# test(header, taken)); per header the first passing rule decides, like an
-# if/elif chain, and a later header for the same target replaces an earlier
-# one unless the test itself checks ``taken``.
+@dataclass(frozen=True)
+class HeaderRule:
+    """How the headers of one target column read: any of ``words`` in them,
+    none of ``without``; ``starts`` / ``equals`` narrow the place. The first
+    fitting header keeps the target when ``first`` is set, else the last."""
+    target: str
+    words: tuple[str, ...] = ()
+    without: tuple[str, ...] = ()
+    starts: str = ""
+    equals: str | None = None
+    first: bool = False
+
+    def fits(self, header: str) -> bool:
+        return ((self.equals is None or header == self.equals) and header.startswith(self.starts)
+                and (not self.words or any(w in header for w in self.words))
+                and not any(w in header for w in self.without))
+
+
+# The words that the catalog and stock headers carry, in order
+# of precedence.
 CATALOG_RULES = [
-    ("product_code", lambda h, m: "상품코드" in h and "대표" not in h and "product_code" not in m),
-    ("product_name", lambda h, m: "상품명" in h and "공급처" not in h and "product_name" not in m),
-    ("supplier_option", lambda h, m: "공급처 옵션" in h or "공급처옵션" in h),
-    ("barcode", lambda h, m: "바코드" in h),
+    HeaderRule("product_code", ("상품코드",), without=("대표",), first=True),
+    HeaderRule("product_name", ("상품명",), without=("공급처",), first=True),
+    HeaderRule("supplier_option", ("공급처 옵션", "공급처옵션")),
+    HeaderRule("barcode", ("바코드",)),
 ]
 STOCK_RULES = [
-    ("product_code", lambda h, m: "상품코드" in h and "product_code" not in m),
-    ("supplier", lambda h, m: h == "공급처" or (h.startswith("공급처") and "옵션" not in h
-                                             and "상품" not in h and "supplier" not in m)),
-    ("product_name", lambda h, m: "상품명" in h and "공급처" not in h and "product_name" not in m),
-    ("option_name", lambda h, m: "옵션명" in h or h == "옵션"),
-    ("supply_price", lambda h, m: "공급가" in h),
-    ("sale_price", lambda h, m: "판매가" in h),
-    ("supplier_option", lambda h, m: "공급처옵션코드" in h or "업체옵션코드" in h or "공급처 옵션" in h),
-    ("barcode", lambda h, m: "바코드" in h),
-    ("normal_stock", lambda h, m: "정상재고" in h),
-    ("available_stock", lambda h, m: "가용재고" in h),
-    ("is_soldout", lambda h, m: "품절여부" in h),
+    HeaderRule("product_code", ("상품코드",), first=True),
+    HeaderRule("supplier", equals="공급처"),
+    HeaderRule("supplier", starts="공급처", without=("옵션", "상품"), first=True),
+    HeaderRule("product_name", ("상품명",), without=("공급처",), first=True),
+    HeaderRule("option_name", ("옵션명",)),
+    HeaderRule("option_name", equals="옵션"),
+    HeaderRule("supply_price", ("공급가",)),
+    HeaderRule("sale_price", ("판매가",)),
+    HeaderRule("supplier_option", ("공급처옵션코드", "업체옵션코드", "공급처 옵션")),
+    HeaderRule("barcode", ("바코드",)),
+    HeaderRule("normal_stock", ("정상재고",)),
+    HeaderRule("available_stock", ("가용재고",)),
+    HeaderRule("is_soldout", ("품절여부",)),
 ]
 
 
-def resolve_headers(columns: list[str], rules) -> dict[str, str]:
-    """Map input headers (stripped for the tests) to target names."""
+def resolve_headers(columns: list[str], rules: list[HeaderRule]) -> dict[str, str]:
+    """Target -> input header. A header serves one target: the
+    foremost rule that it fits and that may still take it."""
     out: dict[str, str] = {}
     for col in columns:
-        h = str(col).strip()
-        for target, test in rules:
-            if test(h, out):
-                out[target] = col
-                break
+        open_rules = (r for r in rules if r.fits(str(col).strip()) and not (r.first and r.target in out))
+        rule = next(open_rules, None)
+        if rule:
+            out[rule.target] = col
     return out
 
 
@@ -117,13 +136,26 @@ def select_mapped(df: DataFrame, mapping: dict[str, str], targets: list[str]) ->
 
 # --- S7 / S8: sales lines ---------------------------------------------------------------------
 def _measures(df: DataFrame, schema: T.StructType) -> list:
-    out = []
-    for f in schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.DecimalType)) and f.name in df.columns:
-            v = C.to_number(F.col(f.name))
-            out.append(v.try_cast(f.dataType).alias(f.name) if isinstance(f.dataType, T.DecimalType)
-                       else v.alias(f.name))
-    return out
+    return [(C.to_decimal(F.col(f.name), f.dataType) if isinstance(f.dataType, T.DecimalType)
+             else C.to_number(F.col(f.name))).alias(f.name)
+            for f in schema.fields
+            if isinstance(f.dataType, (T.DoubleType, T.DecimalType)) and f.name in df.columns]
+
+
+def rejected_numbers(raw: DataFrame, headers: dict[str, str], schema: T.StructType) -> DataFrame:
+    """Per measure column, how many non-empty values are no number, or no
+    number that its type holds, and so load as null: (column_name, rejected)."""
+    df = rename_headers(raw, headers)
+    kinds = {f.name: f.dataType for f in schema.fields
+             if isinstance(f.dataType, (T.DoubleType, T.DecimalType)) and f.name in df.columns}
+    lost = [F.count(F.when((C.ustrip(F.col(n).cast("string")) != "")
+                           & (C.to_decimal(F.col(n), k) if isinstance(k, T.DecimalType)
+                              else C.to_number(F.col(n))).isNull(), F.lit(1))).alias(n) for n, k in kinds.items()]
+    if not lost:
+        return df.sparkSession.createDataFrame([], "column_name string, rejected long")
+    one = df.agg(*lost)
+    return one.select(F.explode(F.create_map(*[x for n in kinds for x in (F.lit(n), F.col(n))]))
+                      .alias("column_name", "rejected"))
 
 
 def _file_id(file_id) -> Column:
@@ -180,24 +212,40 @@ def save_sales(store: TableStore, raw: DataFrame, file_id: int) -> int:
     return _append_counted(store, "sales", clean_sales(raw, file_id), ["file_id"])
 
 
+STORE_PARTS = ["file_id", "sale_year"]  # partitions of the store table
+
+
 def store_layout(df: DataFrame) -> DataFrame:
-    """Row order inside each written file: by day, so Parquet row-group
-    statistics let date-range filters skip data (a per-task sort, no shuffle)."""
-    return df.sortWithinPartitions("file_id", "sale_date")
+    """How store lines are written: with the sale year as a partition column
+    (null for lines without a date), and in day order inside each file, so
+    that date filters prune partitions and skip row groups (a per-task sort,
+    no shuffle)."""
+    return df.withColumn("sale_year", F.year("sale_date")).sortWithinPartitions("file_id", "sale_year", "sale_date")
+
+
+def stored_between(store: TableStore, start_date: str | None = None, end_date: str | None = None) -> DataFrame:
+    """Store lines of a date range (F2), pruned by sale year."""
+    where = F.lit(True)
+    for day, keep in ((start_date, lambda c, d: c >= d), (end_date, lambda c, d: c <= d)):
+        if day:
+            where = where & keep(F.col("sale_date"), F.lit(day).cast("date")) & keep(F.col("sale_year"), F.lit(int(day[:4])))
+    return store.read("store_sales", STORE_SALES_SCHEMA, where)
 
 
 def save_store_sales(store: TableStore, raw: DataFrame, file_id: int,
                      data_type: str | None = None) -> int:
     """Clean and append store/day lines; returns the inserted row count."""
     return _append_counted(store, "store_sales",
-                           store_layout(clean_store_sales(raw, file_id, data_type)), ["file_id"])
+                           store_layout(clean_store_sales(raw, file_id, data_type)), STORE_PARTS)
 
 
 # --- S9 / S10: catalog and stock --------------------------------------------------------------
-def clean_catalog(raw: DataFrame, image_base_url: str) -> DataFrame:
+def clean_catalog(raw: DataFrame, image_base_url: str, clip_keys: bool = False) -> DataFrame:
     """S9 cleaning: resolve headers (S5), zero-pad numeric codes (C10), drop
     rows without code or option (C15), clip and strip text (C14), build the
-    image address (C11)."""
+    image address (C11). The join keys (code, option) keep their whole text;
+    ``clip_keys`` cuts them to the source's field widths too, which merges
+    keys that differ only beyond those."""
     m = resolve_headers(raw.columns, CATALOG_RULES)
     df = select_mapped(raw, m, ["product_code", "product_name", "supplier_option", "barcode"])
     code = C.padded_code(F.col("product_code"))
@@ -206,32 +254,33 @@ def clean_catalog(raw: DataFrame, image_base_url: str) -> DataFrame:
     df = df.filter((F.col("code") != "") & F.col("so").isNotNull() & (F.col("so") != "")
                    & (F.col("so") != "nan"))
     out = df.select(
-        F.substring("so", 1, 200).alias("supplier_option"),
-        F.substring("code", 1, 50).alias("product_code"),
+        (F.substring("so", 1, 200) if clip_keys else F.col("so")).alias("supplier_option"),
+        (F.substring("code", 1, 50) if clip_keys else F.col("code")).alias("product_code"),
         C.clip("product_name", 200).alias("product_name"),
         C.clip("barcode", 50).alias("barcode"),
         C.image_url(image_base_url, F.col("code")).alias("image_url"))
     return conform(out, PRODUCT_IMAGES_SCHEMA)
 
 
-def clean_inventory(raw: DataFrame) -> DataFrame:
+def clean_inventory(raw: DataFrame, clip_keys: bool = False) -> DataFrame:
     """S10 cleaning: resolve headers (S6), drop rows without a code (C15),
-    clip text (C14), tolerant numbers with 0 fallback (C12), sold-out flag
+    clip text (C14; the keys only with ``clip_keys``, see
+    ``clean_catalog``), tolerant numbers with 0 fallback (C12), sold-out flag
     (C13)."""
     m = resolve_headers(raw.columns, STOCK_RULES)
-    df = select_mapped(raw, m, [r[0] for r in STOCK_RULES])
+    df = select_mapped(raw, m, list(dict.fromkeys(r.target for r in STOCK_RULES)))
     code = C.ustrip(F.col("product_code").cast("string"))
     df = df.withColumn("product_code", code).filter(
         F.col("product_code").isNotNull() & (F.col("product_code") != "")
         & (F.col("product_code") != "nan"))
     out = df.select(
-        F.substring("product_code", 1, 50).alias("product_code"),
+        (F.substring("product_code", 1, 50) if clip_keys else F.col("product_code")).alias("product_code"),
         C.clip("supplier", 100).alias("supplier"),
         C.clip("product_name", 200).alias("product_name"),
         C.clip("option_name", 100).alias("option_name"),
         C.number_or_zero("supply_price").alias("supply_price"),
         C.number_or_zero("sale_price").alias("sale_price"),
-        C.clip("supplier_option", 200).alias("supplier_option"),
+        (C.clip("supplier_option", 200) if clip_keys else C.ustrip("supplier_option")).alias("supplier_option"),
         C.clip("barcode", 50).alias("barcode"),
         C.int_or_zero("normal_stock").alias("normal_stock"),
         C.int_or_zero("available_stock").alias("available_stock"),
