@@ -10,12 +10,13 @@ partitions too far apart to reach the asked likeness are not compared.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,6 +123,77 @@ def _schema(id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("id", id_type), *[T.StructField(c, k) for c, k in zip(_RESULT, kinds)]])
 
 
+def _key(ident, h: int) -> tuple:
+    """Sorts as descending ids, nulls last, then ascending hashes do (ids of
+    one type compare among themselves only)."""
+    return (ident is None, _Descending(ident), h)
+
+
+class _Descending:
+    def __init__(self, value):
+        self.value = value
+
+    def __lt__(self, other):
+        return self.value is not None and other.value is not None and other.value < self.value
+
+    def __eq__(self, other):
+        return self.value == other.value
+
+
+def _splits(src: DataFrame, order: list) -> list[tuple]:
+    """(id, hash) of the first row of each part of the order: one per shuffle
+    partition."""
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.slice(0, 1)
+                break
+        for _ in batches:  # read to the end
+            pass
+
+    keys = src.select("id", "h").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = keys.mapInArrow(first, keys.schema).distinct().collect()
+    return sorted(((r["id"], r["h"]) for r in rows), key=lambda r: _key(*r))
+
+
+def _range_of(splits: list[tuple]):
+    """(ids, hashes) -> range numbers; range k begins at the k-th split."""
+    keys = [_key(*s) for s in splits]
+    return lambda ids, hs: [max(0, bisect.bisect_right(keys, _key(i, h)) - 1) for i, h in zip(ids, hs)]
+
+
+def _with_range(src: DataFrame, splits: list[tuple]) -> DataFrame:
+    schema = T.StructType([*src.schema.fields, T.StructField("range", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = _range_of(splits)
+        for b in batches:
+            k = place(b.column(0).to_pylist(), b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k, pa.int32())], names=schema.names)
+
+    return src.mapInArrow(run, schema)
+
+
+def _first_rows(src: DataFrame, splits: list[tuple]) -> DataFrame:
+    """The foremost row of each range: every task finds its own, the few
+    that are left meet by range."""
+    schema = T.StructType([*src.schema.fields, T.StructField("range", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, best = _range_of(splits), {}
+        for b in batches:
+            ids, hs = b.column(0).to_pylist(), b.column(2).to_pylist()
+            for row, (i, h, k) in enumerate(zip(ids, hs, place(ids, hs))):
+                if k not in best or _key(i, h) < best[k][0]:
+                    best[k] = (_key(i, h), b.slice(row, 1))
+            best = {k: (key, pa.RecordBatch.from_pylist(r.to_pylist(), r.schema)) for k, (key, r) in best.items()}
+        for k, (_, r) in best.items():
+            yield pa.RecordBatch.from_arrays([*r.columns, pa.array([k], pa.int32())], names=schema.names)
+
+    top = Window.partitionBy("range").orderBy(F.col("id").desc_nulls_last(), "h")
+    return (src.mapInArrow(run, schema).withColumn("n", F.row_number().over(top)).filter("n = 1").drop("n"))
+
+
 def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            least: float = 0.0) -> DataFrame:
     """One row per row of ``docs``: id, ``n_chars``, ``edited_sha256``,
@@ -136,62 +208,43 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     A repeated row is its twin's next document. An empty table gives an empty
     result; other columns are not read.
 
-    The order is made by one range-partitioned sort. A task sees each row's
-    successor but for its last row; those last rows (one per partition) are
-    joined to the first rows of the following partitions.
+    Texts travel once: split points of the order (one id and hash per
+    partition) cut it into ranges, and each range also gets a copy of the
+    row that follows its last one.
     """
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    order = [F.col("id").desc_nulls_last(), F.xxhash64("text")]
-    placed = src.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
-    done = _schema(src.schema["id"].dataType)
-    schema = T.StructType([*done.fields, T.StructField("pid", T.IntegerType()), T.StructField("role", T.StringType()),
-                           T.StructField("text", T.StringType())])
+    id_type = docs.schema[id_col].dataType
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    order = [F.col("id").desc_nulls_last(), F.col("h").asc()]
+    splits = _splits(src, order)
+    done = _schema(id_type)
+    if not splits:
+        return docs.sparkSession.createDataFrame([], done).withColumnRenamed("id", id_col)
+    ranged = _with_range(src, splits)
+    # the first row of each range, held as the last one of the range before
+    first = stored(_first_rows(src, splits), "first")
+    parts = [r[0] for r in first.select("range").orderBy("range").collect()]  # ranges that have rows
+    before = docs.sparkSession.createDataFrame(list(zip(parts, parts[-1:] + parts[:-1])), "range int, before int")
+    after = first.join(before, "range").select("id", "text", "h", F.col("before").alias("range"), F.lit(1).alias("extra"))
+    rows = (ranged.withColumn("extra", F.lit(0)).unionByName(after).repartition("range")
+            .sortWithinPartitions("range", "extra", *order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = None
-        last_id, last, pid = None, None, None
-
-        def edge(role, ident, text, pid):
-            return pa.RecordBatch.from_arrays(
-                [ident, *[pa.nulls(1, k) for k in kinds], pa.array([pid], pa.int32()), pa.array([role]),
-                 pa.array([text], pa.string())], names=schema.names)
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            ids, size = b.column(0), np.append(0, np.cumsum(K.utf8(b.column(1))[1][1:] - K.utf8(b.column(1))[1][:-1]))
-            for i, j in K.slices(size):
-                texts = b.column(1).slice(i, j - i).to_pylist()
-                if last is None:
-                    pid = b.column(2)[0].as_py()
-                    yield edge("first", ids.slice(i, 1), texts[0], pid)
-                    who, here = ids.slice(i, j - i), texts
-                else:
-                    who, here = pa.concat_arrays([last_id, ids.slice(i, j - i)]), [last, *texts]
-                m = len(here) - 1
-                if m:
-                    cols = _rows(here[:-1], here[1:], least)
-                    yield pa.RecordBatch.from_arrays([who.slice(0, m), *cols, pa.array([pid] * m, pa.int32()),
-                                                      pa.array(["done"] * m), pa.nulls(m, pa.string())], names=schema.names)
-                last_id, last = who.slice(m, 1), here[-1]
-        if last is not None:
-            yield edge("last", last_id, last, pid)
-
-    rows = stored(placed.mapInArrow(run, schema), "fingerprints")
-    # one number per partition: which one follows which
-    pids = sorted(r["pid"] for r in rows.filter("role = 'first'").select("pid").collect())
-    after = dict(zip(pids, pids[1:] + pids[:1]))
-    spark = docs.sparkSession
-    follows = spark.createDataFrame(list(after.items()), "pid int, next int")
-    heads = rows.filter("role = 'first'").select(F.col("pid").alias("next"), F.col("text").alias("other"))
-    tails = (rows.filter("role = 'last'").select("id", "text", "pid").join(follows, "pid").join(heads, "next")
-             .select("id", "text", "other"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row so far: (id as an array, text, range)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), *_rows(b.column(1).to_pylist(), b.column(2).to_pylist(), least)],
-                                             names=done.names)
-
-    out = rows.filter("role = 'done'").select(*done.names).unionByName(tails.mapInArrow(finish, done))
-    return out.withColumnRenamed("id", id_col)
+            size = np.diff(K.utf8(b.column(1))[1])
+            for i, j in K.slices(np.append(0, np.cumsum(size))):
+                ids, texts = b.column(0).slice(i, j - i), b.column(1).slice(i, j - i).to_pylist()
+                where, extra = (b.column(k).slice(i, j - i).to_pylist() for k in (2, 3))
+                if held:
+                    ids, texts = pa.concat_arrays([held[0], ids]), [held[1], *texts]
+                    where, extra = [held[2], *where], [0, *extra]
+                n = len(texts) - 1
+                use = [k for k in range(n) if not extra[k]]
+                if use:
+                    cols = _rows([texts[k] for k in use], [texts[k + 1] for k in use], least)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(use)), *cols], names=done.names)
+                held = None if extra[n] else (ids.slice(n, 1), texts[n], where[n])
+
+    return (rows.select("id", "text", "range", "extra").mapInArrow(run, done)
+            .withColumnRenamed("id", id_col))
