@@ -25,9 +25,8 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 
-BLOCK_BYTES = 32 << 20
-OUT_BYTES = 4 << 20       # texts whose ids are laid out together
-CACHE_PIECES = 2_000_000
+BLOCK_BYTES = 8 << 20
+CACHE_PIECES = 1_000_000
 
 #: Fixed value: the pattern that splits text before the merges.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -91,22 +90,22 @@ class Vocabulary:
         size = np.array([len(t) for t in tokens], np.int64)
         sym = self.byte_id[np.frombuffer(b"".join(tokens), np.uint8)]
         n = len(sym)
-        owner = np.repeat(np.arange(len(tokens)), size)
+        owner = np.repeat(np.arange(len(tokens), dtype=np.int32), size)
         if n == 0:
             return sym, size
         last = np.append(owner[1:] != owner[:-1], True)
-        nxt = np.arange(1, n + 1)
+        nxt = np.arange(1, n + 1, dtype=np.int32)
         nxt[last] = -1
-        prv = np.arange(-1, n - 1)
+        prv = np.arange(-1, n - 1, dtype=np.int32)
         prv[np.append(True, last[:-1])] = -1
-        rank = np.full(n, -1, np.int64)
+        rank = np.full(n, -1, np.int32)
         live = np.ones(n, bool)
         index: dict[int, list[np.ndarray]] = defaultdict(list)
         heap: list[int] = []
 
         def enter(pos: np.ndarray) -> None:
             """Rank the pairs that begin at pos and enter them in the index."""
-            r = np.full(len(pos), -1, np.int64)
+            r = np.full(len(pos), -1, np.int32)
             right = nxt[pos]
             has = np.flatnonzero(right >= 0)
             r[has] = self.ranks(sym[pos[has]], sym[right[has]])
@@ -123,7 +122,7 @@ class Vocabulary:
                     heapq.heappush(heap, k)
                 index[k].append(part)
 
-        enter(np.arange(n))
+        enter(np.arange(n, dtype=np.int32))
         while heap:
             k = heapq.heappop(heap)
             lists = index.pop(k)
