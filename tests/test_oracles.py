@@ -6,9 +6,10 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_CHECK
 from oracle import compare, duck_conn
+from tillroll.plans import registry
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = registry.queries()
+ORACLES = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -6,15 +6,15 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
 from tillroll.operators import sales as S
+from tillroll.plans import registry
 from tillroll.plans.fixtures import Fixtures
 from tillroll.schemas import SALES_SCHEMA
 from tillroll.sources import ingest as G
 from tillroll.sources.store import TableStore
 
-QUERIES = E.queries()
+QUERIES = registry.queries()
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas")
 
@@ -38,6 +38,17 @@ def test_top_n_is_window_group_limit(spark, name):
     assert "WindowGroupLimit" in plan_text(QUERIES[name](spark, SF_SMALL))
 
 
+@pytest.mark.parametrize("name,scans", [("supplier_category_matrix", 1), ("matrix_export", 1),
+                                        ("store_category_matrix", 1)])
+def test_drilldowns_scan_the_lines_once(spark, name, scans):
+    """On the plan that ran: the leaf aggregate is made once and reused."""
+    df = QUERIES[name](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert plan.count("l_extendedprice") > 0
+    assert sum("FileScan parquet" in x and "l_orderkey" in x for x in plan.splitlines()) <= scans
+
+
 def test_top_list_is_take_ordered(spark):
     assert "TakeOrderedAndProject" in plan_text(QUERIES["sales_by_supplier"](spark, SF_SMALL))
 

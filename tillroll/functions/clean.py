@@ -308,6 +308,13 @@ def week_label(d, mode: str = "monday") -> Column:
     return F.format_string("%04d-W%02d", F.year(d), wk)
 
 
+def week_number(d, mode: str = "monday") -> Column:
+    """The week of ``week_label`` as one integer: year * 100 + week."""
+    d = _c(d)
+    wk = monday_week_number(d) + 1 if mode == "monday" else F.weekofyear(d)
+    return F.year(d) * 100 + wk
+
+
 def month_key(d) -> Column:
     """``YYYY-MM`` of a date."""
     return F.date_format(_c(d), "yyyy-MM")

@@ -48,12 +48,13 @@ def catalog_listing(images: DataFrame) -> DataFrame:
     substring of the text so far. ``option_count`` counts all rows.
 
     The ordered fold is Spark's ``aggregate`` higher-order function over the
-    code's rows (JVM-side, no UDF); the rows of one code are the options of
-    one product.
+    code's different options (JVM-side, no UDF): a repeated option adds
+    nothing after its first row, so only that one is gathered.
     """
-    rows = F.array_sort(F.collect_list(F.struct("product_name", "supplier_option", "image_url")))
-    g = images.groupBy("product_code").agg(rows.alias("_rows"),
-                                           F.count(F.lit(1)).alias("option_count"))
+    row = F.struct("product_name", "supplier_option", "image_url")
+    each = images.groupBy("product_code", "supplier_option").agg(F.min(row).alias("_row"), F.count(F.lit(1)).alias("_n"))
+    g = each.groupBy("product_code").agg(F.array_sort(F.collect_list("_row")).alias("_rows"),
+                                         F.sum("_n").alias("option_count"))
     first = F.col("_rows")[0]
 
     def add(acc, x):

@@ -113,6 +113,21 @@ def matrix_order(flat: DataFrame) -> DataFrame:
                         "product_name")
 
 
+def matrix_export(sales: DataFrame, file_id=None, top_groups: int = 50) -> DataFrame:
+    """H3: export rows (supplier, category, code, name, net, qty) of the
+    options of H1's kept groups, from the leaves and the kept groups alone."""
+    keys = ["supplier", "category", "base_code"]
+    leaf = supplier_category_leaves(sales, file_id).select(*keys, "product_code", "product_name", "net", "qty")
+    groups = leaf.groupBy(*keys).agg(F.sum("net").alias("total"), F.sum("qty").alias("sold"))
+    w = Window.partitionBy("supplier", "category").orderBy(F.col("total").desc(), F.col("base_code").asc())
+    # the sums of leaves are never null; reading both keeps the leaf
+    # aggregate the same on both sides of the join, so that it is made once
+    kept = (groups.filter("total is not null and sold is not null").withColumn("rank", F.row_number().over(w))
+            .filter(F.col("rank") <= top_groups).select(*keys))
+    return leaf.join(kept, keys).select("supplier", "category", "product_code", "product_name",
+                                        F.col("net").cast("double").alias("net_sales"), F.col("qty").alias("sold_qty"))
+
+
 def flatten_matrix(flat: DataFrame) -> DataFrame:
     """H3: export rows (supplier, category, code, name, net, qty) of H1."""
     return flat.select("supplier", "category", "product_code", "product_name", "net_sales",

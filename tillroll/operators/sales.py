@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import month_key, week_label
+from ..functions.clean import month_key, week_label, week_number
 
 
 def money(c) -> Column:
@@ -166,19 +166,22 @@ def weekly_sales(store_sales: DataFrame, file_id=None, start_date=None, end_date
     week numbers (still with the calendar year).
     """
     df = _dated(store_sales, file_id, start_date, end_date)
-    return (df.groupBy(week_label("sale_date", week_mode).alias("week"))
+    # grouped by an integer; the label is made once per week
+    return (df.groupBy(week_number("sale_date", week_mode).alias("_week"))
             .agg(F.min("sale_date").alias("start_date"), F.max("sale_date").alias("end_date"),
                  *_totals(), F.count(F.lit(1)).alias("row_count"),
                  F.countDistinct("store").alias("store_count"))
+            .select(week_label("start_date", week_mode).alias("week"), "*").drop("_week")
             .orderBy("week"))
 
 
 def monthly_sales(store_sales: DataFrame, file_id=None, start_date=None, end_date=None) -> DataFrame:
     """Per ``YYYY-MM``: net sales, quantity, rows, distinct stores."""
     df = _dated(store_sales, file_id, start_date, end_date)
-    return (df.groupBy(month_key("sale_date").alias("month"))
-            .agg(*_totals(), F.count(F.lit(1)).alias("row_count"),
+    return (df.groupBy((F.year("sale_date") * 12 + F.month("sale_date")).alias("_month"))
+            .agg(F.min("sale_date").alias("_day"), *_totals(), F.count(F.lit(1)).alias("row_count"),
                  F.countDistinct("store").alias("store_count"))
+            .select(month_key("_day").alias("month"), "*").drop("_month", "_day")
             .orderBy("month"))
 
 

@@ -70,7 +70,7 @@ FROM leaf l
 JOIN kept k ON l.supplier = k.supplier AND l.category = k.category AND l.base_code = k.base_code""")
 def _h3(fx):
     """H3: export rows of the supplier drill-down."""
-    return D.flatten_matrix(D.supplier_category_matrix(fx.sales))
+    return D.matrix_export(fx.sales)
 
 
 @query("store_category_matrix", views=("store_sales",), sql=""",

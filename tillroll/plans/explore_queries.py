@@ -77,7 +77,7 @@ _NUM = r"regexp_full_match(trim(replace({c}, ',', '')), '[+-]?(\d+\.?\d*|\.\d+)(
 
 def _roles_sql() -> str:
     typed = [("l_orderkey", "num"), ("l_linenumber", "num")]
-    text = ["qty_text", "date_text", "product_name", "store", "classification"]
+    text = ["qty_text", "date_text", "money_text", "code_text", "product_name", "store", "classification"]
     parts = []
     for i, (c, _) in enumerate(typed):
         parts.append(f"SELECT {i} AS position, '{c}' AS column_name, "
@@ -168,3 +168,24 @@ def _o3(fx):
 def _o3n(fx):
     """O3: page count of the grouped catalog at 50 per page."""
     return X.page_count(K.catalog_groups(fx.product_images), 50)
+
+
+_DOTTED = """(SELECT supplier AS g, sold_qty AS v, CASE WHEN file_id = 4 THEN 0 ELSE file_id END AS n FROM sales)"""
+
+
+@query("explore_dotted", views=("sales",), sql=f"""
+SELECT 'group' AS view, key, value, row_number() OVER (ORDER BY value DESC, key) AS rank FROM (
+  SELECT g AS key, cast(sum(coalesce(v, 0)) AS double) AS value FROM {_DOTTED} GROUP BY 1 ORDER BY value DESC, key LIMIT 20)
+UNION ALL
+SELECT 'item', key, value, row_number() OVER (ORDER BY value DESC, key) FROM (
+  SELECT CASE WHEN n = 0 THEN g ELSE cast(n AS varchar) END AS key, cast(sum(coalesce(v, 0)) AS double) AS value
+  FROM {_DOTTED} GROUP BY 1 ORDER BY value DESC, key LIMIT 20)""")
+def _x14d(fx):
+    """X1 and X4 over a table whose headers hold dots and whose name column is
+    numeric (0 counts as empty, so the first column names the row)."""
+    df = fx.sales.selectExpr("supplier AS `품목.코드`", "sold_qty AS `판매.수량`",
+                             "CASE WHEN file_id = 4 THEN 0 ELSE file_id END AS `이름.번호`")
+    a = X.group_measure(df, "품목.코드", "판매.수량", "sum")
+    b = X.top_items(df, "판매.수량", name_col="이름.번호").withColumnRenamed("name", "key")
+    return a.selectExpr("'group' AS view", "key", "value", "rank").unionByName(
+        b.selectExpr("'item' AS view", "key", "value", "rank"))

@@ -62,7 +62,7 @@ select lpad(cast(cast(floor(p_partkey / 5.0) as int) as string), 5, '0') as prod
   'SO' || lpad(cast(p_partkey % 997 as string), 4, '0') || ' ' || p_type as supplier_option,
   case when p_partkey % 5 = 0 then 0 when p_partkey % 53 = 1 then -1 else p_size end as normal_stock,
   case when p_partkey % 5 = 0 then 0 else p_size - p_size % 3 end as available_stock
-from (select *, p_partkey % n as sk from part cross join (select max(s_suppkey) + 1 as n from supplier) c) p
+from (select *, p_partkey % (select max(s_suppkey) + 1 from supplier) as sk from part) p
 left join supplier on s_suppkey = sk""",
     "raw_lines": """
 select l_orderkey, l_linenumber,

@@ -125,7 +125,7 @@ def export_builders(sales: DataFrame, store_sales: DataFrame, **filters
         "daily": lambda: S.daily_sales(store_sales, **rng),
         "weekly": lambda: S.weekly_sales(store_sales, **rng),
         "store": lambda: S.store_sales_top(store_sales, **rng),
-        "matrix": lambda: D.flatten_matrix(D.supplier_category_matrix(sales, fid)),
+        "matrix": lambda: D.matrix_export(sales, fid),
         "monthly": lambda: S.monthly_sales(store_sales, **rng),
     }
 
