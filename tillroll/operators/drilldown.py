@@ -154,6 +154,9 @@ def store_category_matrix(store_sales: DataFrame, file_id=None, top_stores: int
     stores = cats.groupBy("store").agg(F.sum("category_total").alias("store_total"),
                                        F.sum("category_qty").alias("store_qty"))
     # at most top_stores rows: a proven bound, so broadcasting it is safe
+    # (the sums are never null; reading both in every branch keeps the leaf
+    # aggregate the same everywhere, so that it is made once)
+    stores = stores.filter("store_total is not null and store_qty is not null")
     best = stores.orderBy(F.col("store_total").desc(), F.col("store").asc()).limit(top_stores)
     best = best.withColumn("store_rank", F.row_number().over(
         Window.orderBy(F.col("store_total").desc(), F.col("store").asc())))
