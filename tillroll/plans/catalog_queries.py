@@ -225,3 +225,25 @@ FROM (SELECT product_code,
 def _a11l(fx):
     """A11 in the listing form (name order, substring-checked options)."""
     return K.catalog_listing(fx.product_images)
+
+
+@query("stock_list_low", views=("inventory",), sql="""
+SELECT * FROM inventory WHERE normal_stock > 0 AND normal_stock <= 10""")
+def _f13(fx):
+    """the stock list dispatcher without a keyword, asked for low stock."""
+    return I.inventory_list(fx.inventory, low=True)
+
+
+@query("image_lookup_code", views=("product_images",), sql="""
+SELECT * FROM product_images WHERE product_code = '00007'
+ORDER BY supplier_option NULLS FIRST, product_name NULLS FIRST, barcode NULLS FIRST, image_url NULLS FIRST LIMIT 1""")
+def _f14(fx):
+    """single image, no option given, so by code."""
+    return K.image_lookup(fx.product_images, product_code="00007")
+
+
+@query("image_list_search", views=("product_images",), sql=_GROUPS.format(
+    where="WHERE contains(lower(product_name), 'red')", limit="LIMIT 100"))
+def _f14l(fx):
+    """the image list dispatcher with a keyword."""
+    return K.catalog_list(fx.product_images, "red")
