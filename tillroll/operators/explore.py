@@ -226,6 +226,23 @@ def page(df: DataFrame, order_by: list[str], page_no: int = 1, size: int = 50) -
     return df.orderBy(*order).offset((max(page_no, 1) - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, order_by: list[str], last: dict | None, size: int = 50) -> DataFrame:
+    """O3 by key: the ``size`` rows that follow the row with the key ``last``
+    ({column: value}; None: from the start) in the order of ``order_by``
+    (ascending, nulls first). Every task keeps its own first ``size`` rows, so a
+    deep page costs no more than the first; the columns should identify a
+    row, as equal keys are passed over together."""
+    if last is not None:
+        later, same = F.lit(False), F.lit(True)
+        for c in order_by:
+            v = last[c]
+            col = _quoted(c)
+            later = later | (same & (col.isNotNull() if v is None else F.coalesce(col > F.lit(v), F.lit(False))))
+            same = same & col.eqNullSafe(F.lit(v))
+        df = df.filter(later)
+    return df.orderBy(*[_quoted(c).asc_nulls_first() for c in order_by]).limit(size)
+
+
 def page_count(df: DataFrame, size: int = 50) -> DataFrame:
     """O3: number of pages of ``size`` rows."""
     return df.agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("long").alias("pages"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import FILES_SCHEMA, SALES_SCHEMA, STORE_SALES_SCHEMA
 from ..sources.ingest import STORE_PARTS, store_layout
-from ..sources.store import TableStore
+from ..sources.store import TableStore, VersionConflict
 
 SALES, STORE_SALES, FILES = "sales", "store_sales", "files"
 
@@ -54,6 +54,8 @@ def register_file(store: TableStore, filename: str, original_name: str, file_typ
         [(new_id, filename, original_name, file_type, row_count, None, "active", None)],
         FILES_SCHEMA).withColumn("upload_date", F.current_timestamp())
     store.append(FILES, row.select(*FILES_SCHEMA.fieldNames()))
+    if store.read(FILES, FILES_SCHEMA).filter(F.col("id") == new_id).count() > 1:
+        raise VersionConflict(f"two files were recorded under id {new_id} at once; record this one again")
     return new_id
 
 

@@ -189,3 +189,12 @@ def _x14d(fx):
     b = X.top_items(df, "판매.수량", name_col="이름.번호").withColumnRenamed("name", "key")
     return a.selectExpr("'group' AS view", "key", "value", "rank").unionByName(
         b.selectExpr("'item' AS view", "key", "value", "rank"))
+
+
+@query("catalog_page_after", views=("product_images",), sql="""
+SELECT * FROM product_images WHERE (product_code, barcode) > ('00007', '8800000000036')
+ORDER BY product_code, barcode LIMIT 50""")
+def _o3k(fx):
+    """O3 by key: the 50 catalog rows after a given one."""
+    return X.page_after(fx.product_images, ["product_code", "barcode"],
+                        {"product_code": "00007", "barcode": "8800000000036"})
