@@ -168,15 +168,17 @@ def _holds(rule: Rule, x: np.ndarray) -> np.ndarray:
 def _lasso(a: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Logistic lasso by accelerated proximal gradient; the last weight is
     the free intercept."""
-    n = len(y)
-    v = np.full(a.shape[1], 1 / np.sqrt(a.shape[1]))
+    n, back = len(y), np.ascontiguousarray(a.T)  # both in 32 bits, as the vectors they meet
+    f32 = np.float32
+    v = np.full(a.shape[1], 1 / np.sqrt(a.shape[1]), f32)
     for _ in range(12):  # largest singular value
-        v = a.T @ (a @ v)
+        v = back @ (a @ v)
         v /= np.linalg.norm(v)
     rate = 4 * n / max(float(np.linalg.norm(a @ v) ** 2), 1e-9) / 1.1
     w, z, k = start.copy(), start.copy(), 1.0
     for _ in range(rounds):
-        g = a.T @ (1 / (1 + np.exp(-(a @ z))) - y) / n
+        p = 1 / (1 + np.exp(-np.clip(a @ z.astype(f32), -30, 30)))
+        g = (back @ (p - y).astype(f32)).astype(np.float64) / n
         new = z - rate * g
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * penalty, 0)
         nk = (1 + np.sqrt(1 + 4 * k * k)) / 2
@@ -227,7 +229,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> RuleModel:
     start, best = np.zeros(a.shape[1]), (np.inf, 1e-3)
     for penalty in (3e-2, 1e-2, 4e-3, 2e-3, 1e-3, 5e-4, 2e-4):
         start = _lasso(a[~test], y[~test], penalty, start, 150)
-        p = np.clip(1 / (1 + np.exp(-(a[test] @ start))), 1e-6, 1 - 1e-6)
+        p = np.clip(1 / (1 + np.exp(-(a[test] @ start.astype(np.float32)))), 1e-6, 1 - 1e-6)
         loss = -np.mean(y[test] * np.log(p) + (1 - y[test]) * np.log(1 - p))
         best = min(best, (loss, penalty))
     w = _lasso(a, y, best[1], np.zeros(a.shape[1]))
