@@ -12,8 +12,9 @@ chosen by a hash of the row.
 3. Each part builds its slice of the model, the n-grams that its texts can ask
    for: levels of a trie whose pointers and successors are monotone
    Elias-Fano sequences, with quantised log probabilities and back-off
-   weights. The levels are written to a file and memory-mapped. Texts are
-   scored by context-relative successor search in them.
+   weights. The levels are written to a file that only this task reads, and
+   memory-mapped. Texts are scored by context-relative successor search in
+   them.
 
 So the model's size follows the corpus while no task, and never the driver,
 holds more of it than one part or one shard.
