@@ -3,8 +3,8 @@
 Counting and scoring go by *parts*: a part is about ``PART_BYTES`` of documents,
 chosen by a hash of the row.
 
-1. Each part lists its distinct n-grams of all orders as sorted 64-bit hashes,
-   with their counts in its training documents, and sends each hash range
+1. Documents travel as compressed blocks of their part. Each part lists its
+   distinct n-grams of all orders as sorted 56-bit hashes, with their counts in its training documents, and sends each hash range
    (*shard*) of the list, Elias-Fano coded, to the shard's task. A frequent
    n-gram is one entry per part, however often it occurs.
 2. A shard adds the counts up and answers every part with the totals of that
@@ -28,6 +28,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ PART_BYTES = 2 << 20
 SHARD_BYTES = 6 << 20
 LEAST_PARTS, LEAST_SHARDS = 64, 144
 PRIOR = 2.0
+BITS = 56  # of the n-gram hashes
 STEP = 1 / 4000  # of the quantised log10 probabilities
 _END = K.mix(np.array([0xE0D], np.uint64))[0]
 
@@ -67,10 +69,35 @@ def grams(h: np.ndarray, rows: np.ndarray, order: int) -> list[tuple[np.ndarray,
     out = []
     for k in range(1, order + 1):
         at = np.flatnonzero(rows[k - 1:] == rows[:len(rows) - k + 1])
-        out.append((K.chain_hash(h, k)[at], at + k - 1))
+        out.append((K.chain_hash(h, k)[at] >> np.uint64(64 - BITS), at + k - 1))
     return out
 
 
+def _pack(docs: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(docs)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(blocks: pa.ChunkedArray) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in blocks])
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, ...) -> (part, block): the rows of each part, compressed."""
+    for b in batches:
+        part = b.column(0).to_numpy()
+        order = np.argsort(part, kind="stable")
+        docs = pa.Table.from_batches([b]).drop_columns(["part"])
+        cells, parts = [], []
+        for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if len(rows):
+                parts.append(int(part[rows[0]]))
+                cells.append(_pack(docs.take(pa.array(rows))))
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(cells, pa.binary())], names=["part", "block"])
+
+
 def _counts_out(c: np.ndarray) -> bytes:
     """Counts as bytes, with the large ones apart."""
     big = np.flatnonzero(c > 254)
@@ -88,7 +115,7 @@ def _counts_in(data: bytes) -> np.ndarray:
 
 
 def _shard_starts(shards: int) -> np.ndarray:
-    return np.array([(k << 64) // shards for k in range(shards)], np.uint64)
+    return np.array([(k << BITS) // shards for k in range(shards)], np.uint64)
 
 
 def _list_out(v: np.ndarray, base: int, top: int) -> bytes:
@@ -111,15 +138,14 @@ def _messages(uniq: np.ndarray, counts: np.ndarray, shards: int):
     for k in range(shards):
         a, b = cut[k], cut[k + 1]
         if a < b:
-            top = ((int(starts[k + 1]) if k + 1 < shards else 1 << 64) - 1) - int(starts[k])
+            top = ((int(starts[k + 1]) if k + 1 < shards else 1 << BITS) - 1) - int(starts[k])
             yield k, _list_out(uniq[a:b], int(starts[k]), top), _counts_out(counts[a:b])
 
 
-def _ask(table: pa.Table, order: int, shards: int) -> pa.Table:
+def _ask(part: int, docs: pa.Table, order: int, shards: int) -> pa.Table:
     """A part's message to each shard."""
-    part = table.column("part")[0].as_py()
-    h, rows = tokens(table.column("text"))
-    learn = np.asarray(table.column("learn").to_numpy(), bool)[rows]
+    h, rows = tokens(docs.column("text"))
+    learn = ~np.asarray(docs.column("held_out").to_numpy(), bool)[rows]
     gs = grams(h, rows, order)
     every = np.concatenate([g for g, _ in gs])
     uniq, inv = np.unique(every, return_inverse=True)
@@ -288,7 +314,8 @@ def _slice_scores(h: np.ndarray, rows: np.ndarray, order: int, totals_of, n: int
     return counts[0][place[0]], per_token
 
 
-def _score(docs: pa.Table, back: pa.Table, order: int, n: int, v: int, schema: pa.Schema) -> pa.Table:
+def _score(blocks: pa.Table, back: pa.Table, order: int, n: int, v: int, schema: pa.Schema) -> pa.Table:
+    docs = _unpack(blocks.column("block"))
     h, rows = tokens(docs.column("text"))
     shard = np.asarray(back.column("shard").to_numpy())
     cells = back.column("counts").to_pylist()
@@ -325,22 +352,25 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     """
     held = F.coalesce(crc_mod(id_col, folds) == held_out_fold, F.lit(False))
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
-                      held.alias("held_out"), (~held).alias("learn"))
+                      held.alias("held_out"))
     size = src.agg(F.sum(F.octet_length("text") + F.lit(1).cast("long"))).first()[0] or 0
     parts, shards = max(LEAST_PARTS, size // PART_BYTES + 1), max(LEAST_SHARDS, size // SHARD_BYTES + 1)
-    src = src.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int")
+    blocks = src.select(part.alias("part"), "id", "text", "held_out").mapInArrow(_in_blocks, "part int, block binary")
     message = "part int, shard int, keys binary, counts binary"
 
     def first_level(batches):
         for b in batches:
-            yield from _ask(pa.Table.from_batches([b]), 1, shards).to_batches()
+            if b.num_rows:
+                yield from _ask(0, pa.Table.from_batches([b]), 1, shards).to_batches()
 
-    words = (src.select("part", "text", "learn").mapInArrow(first_level, message)
+    words = (src.select("text", "held_out").mapInArrow(first_level, message)
              .groupBy("shard").applyInArrow(lambda t: _vocabulary(t, shards), "n long, v long")
              .agg(F.sum("n"), F.sum("v")).first())
     n, v = int(words[0] or 0), int(words[1] or 0)
 
-    asked = src.groupBy("part").applyInArrow(lambda t: _ask(t, order, shards), message)
+    asked = blocks.groupBy("part").applyInArrow(
+        lambda t: _ask(t.column("part")[0].as_py(), _unpack(t.column("block")), order, shards), message)
     back = asked.groupBy("shard").applyInArrow(lambda t: _answer(t, shards), "part int, shard int, counts binary")
     schema = T.StructType([T.StructField(id_col, src.schema["id"].dataType), T.StructField("held_out", T.BooleanType()),
                            *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")],
@@ -348,5 +378,5 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
-    return (src.groupBy("part").cogroup(back.groupBy("part"))
+    return (blocks.groupBy("part").cogroup(back.groupBy("part"))
             .applyInArrow(lambda x, y: _score(x, y, order, n, v, arrow), schema))
