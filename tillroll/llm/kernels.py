@@ -36,7 +36,7 @@ _POW = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse mod 2**64, at least ``n``."""
     if "p" not in _POW or len(_POW["p"]) < n:
-        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 1))
+        size = max(1 << 12, 1 << (n - 1).bit_length())
         out = []
         for b in (_BASE, _INV):
             p = np.empty(size, np.uint64)

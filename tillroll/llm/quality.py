@@ -221,10 +221,12 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> RuleModel:
         return RuleModel([], [], float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
     rules = _trees(x, y, rng)
-    a = np.column_stack([*[_holds(r, x) for r in rules], np.ones(len(x), bool)]).astype(np.float32)
-    _, keep = np.unique(a, axis=1, return_index=True)  # rules that say the same on the sample
-    keep = np.append(np.sort(keep[keep < len(rules)]), len(rules))
-    rules, a = [rules[k] for k in keep[:-1]], a[:, keep]
+    bits = np.stack([np.packbits(_holds(r, x)) for r in rules])
+    _, keep = np.unique(bits, axis=0, return_index=True)  # of rules that say the same on the sample one
+    rules = [rules[k] for k in np.sort(keep)]
+    a = np.ones((len(x), len(rules) + 1), np.float32)
+    for k, r in enumerate(rules):
+        a[:, k] = _holds(r, x)
     test = rng.random(len(y)) < 0.2
     start, best = np.zeros(a.shape[1]), (np.inf, 1e-3)
     for penalty in (3e-2, 1e-2, 4e-3, 2e-3, 1e-3, 5e-4, 2e-4):
