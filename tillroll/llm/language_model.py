@@ -7,8 +7,8 @@ chosen by a hash of the row.
    distinct n-grams of all orders as sorted 56-bit hashes, with their counts in its training documents, and sends each hash range
    (*shard*) of the list, Elias-Fano coded, to the shard's task. A frequent
    n-gram is one entry per part, however often it occurs.
-2. A shard adds the counts up and answers every part with the totals of that
-   part's entries.
+2. A shard adds the counts up and answers every part with what the other
+   parts add to the counts of its entries.
 3. Each part builds its slice of the model, the n-grams that its texts can ask
    for: levels of a trie whose pointers and successors are monotone
    Elias-Fano sequences, with quantised log probabilities and back-off
@@ -156,7 +156,7 @@ def _ask(part: int, docs: pa.Table, order: int, shards: int) -> pa.Table:
 
 
 def _answer(table: pa.Table, shards: int) -> pa.Table:
-    """A shard's totals for each part that asked."""
+    """For each part that asked, what the others add to its own counts."""
     k = table.column("shard")[0].as_py()
     base = int(_shard_starts(shards)[k])
     keys = [_list_in(x, base) for x in table.column("keys").to_pylist()]
@@ -165,8 +165,8 @@ def _answer(table: pa.Table, shards: int) -> pa.Table:
     total = np.zeros(len(uniq), np.int64)
     np.add.at(total, inv, np.concatenate(counts))
     back, at = [], 0
-    for x in keys:
-        back.append(_counts_out(total[inv[at:at + len(x)]]))
+    for x, own in zip(keys, counts):
+        back.append(_counts_out(total[inv[at:at + len(x)]] - own))
         at += len(x)
     return pa.table({"part": table.column("part"), "shard": table.column("shard"),
                      "counts": pa.array(back, pa.binary())})
@@ -227,10 +227,12 @@ class Trie:
         if not int(seq["n"][0]):
             return out
         top = int(self.a[f"{name}.top"][0])
+        start = ef.values(ptr).astype(np.int64)  # of every context's successors
+        last = ef.get(seq, np.maximum(start[:-1] - 1, 0))
+        last[start[:-1] == 0] = 0
         for i in range(0, len(context), 1 << 17):
             c, w = context[i:i + (1 << 17)], word[i:i + (1 << 17)].astype(np.uint64)
-            lo, hi = ef.get(ptr, c).astype(np.int64), ef.get(ptr, c + 1).astype(np.int64)
-            base = np.where(lo > 0, ef.get(seq, np.maximum(lo - 1, 0)), np.uint64(0))
+            lo, hi, base = start[c], start[c + 1], last[c]
             ok = np.flatnonzero(lo < hi)
             x = np.minimum(base[ok] + w[ok] + np.uint64(1), np.uint64(top))
             at, same = ef.successor(seq, x)
@@ -239,8 +241,10 @@ class Trie:
         return out
 
 
-def _slice_scores(h: np.ndarray, rows: np.ndarray, order: int, totals_of, n: int, v: int):
-    """(count of each token, log10 probability of each token)."""
+def _slice_scores(h: np.ndarray, rows: np.ndarray, learn: np.ndarray, order: int, others, n: int, v: int):
+    """(count of each token, log10 probability of each token). ``learn`` marks
+    the rows that are learned from, ``others`` gives what the other parts
+    count of the sorted n-grams."""
     gs = grams(h, rows, order)
     ends = [at for _, at in gs]
     cut = np.cumsum([0] + [len(at) for at in ends])
@@ -248,7 +252,7 @@ def _slice_scores(h: np.ndarray, rows: np.ndarray, order: int, totals_of, n: int
     del gs
     uniq, inv = np.unique(every, return_inverse=True)
     del every
-    total = totals_of(uniq)
+    total = others(uniq) + np.bincount(inv[learn[rows[np.concatenate(ends)]]], minlength=len(uniq))
     p1_of = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     # of each order: its distinct n-grams (entry in uniq, last token of one
     # occurrence), and the number among them of the n-gram that ends at a token
@@ -320,13 +324,14 @@ def _score(blocks: pa.Table, back: pa.Table, order: int, n: int, v: int, schema:
     shard = np.asarray(back.column("shard").to_numpy())
     cells = back.column("counts").to_pylist()
 
-    def totals(uniq: np.ndarray) -> np.ndarray:
+    def others(uniq: np.ndarray) -> np.ndarray:
         got = np.concatenate([_counts_in(cells[k]) for k in np.argsort(shard)])
         if len(got) != len(uniq):
             raise ValueError("a part's totals do not fit its n-grams")
         return got
 
-    c, log10 = _slice_scores(h, rows, order, totals, n, v)
+    learn = ~np.asarray(docs.column("held_out").to_numpy(), bool)
+    c, log10 = _slice_scores(h, rows, learn, order, others, n, v)
     m = docs.num_rows
     base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     return pa.Table.from_arrays([
