@@ -141,7 +141,7 @@ class _Descending:
 
 
 def _splits(src: DataFrame, order: list) -> list[tuple]:
-    """(id, hash) of the first row of each part of the order: one per shuffle
+    """(id, hash) of the first row of each part of the order: four per shuffle
     partition."""
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,7 +151,9 @@ def _splits(src: DataFrame, order: list) -> list[tuple]:
         for _ in batches:  # read to the end
             pass
 
-    keys = src.select("id", "h").repartitionByRange(*order).sortWithinPartitions(*order)
+    # a stated number of parts: small as the ids are, they are not merged
+    parts = 4 * int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = src.select("id", "h").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     rows = keys.mapInArrow(first, keys.schema).distinct().collect()
     return sorted(((r["id"], r["h"]) for r in rows), key=lambda r: _key(*r))
 
