@@ -1,13 +1,16 @@
 """Repeats, decontamination, secrets, fingerprints against brute force."""
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import brute
+import pyarrow as pa
 import pytest
 
+from tillroll.llm import kernels as K
 from tillroll.llm import repeats as R
 from tillroll.llm.decontaminate import contamination
-from tillroll.llm.fingerprints import fingerprint_neighbours
+from tillroll.llm.fingerprints import fingerprint_neighbours, signatures
 from tillroll.llm.secrets import find_secrets, redact
 
 
@@ -148,6 +151,25 @@ def test_equal_texts_have_equal_fingerprints(spark):
     assert got[3].near_next == 1.0 and got[2].near_next < 0.2 and 0.1 < got[2].near_edited < 1
 
 
+def test_unanchored_half_stays_in_the_edited_fingerprint(spark):
+    parts = " ".join(f"zq{k}x" for k in range(120))
+    prose = " ".join(f"the aq{k}x of bq{k}x cq{k}x" for k in range(40))
+    d = spark.createDataFrame([(3, parts), (2, prose), (1, parts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint_neighbours(d).collect()}
+    assert 0.2 < got[3].near_edited < 0.8 and 0.2 < got[2].near_edited < 0.8
+    assert got[3].near_next == 0
+
+
+def test_every_word_is_in_a_signature():
+    rng = random.Random(9)
+    for n in (1, 2, 3, 4, 9, 40):
+        for _ in range(20):
+            w = [rng.choice(["the", "und", "que"]) if rng.random() < 0.3 else f"q{k}z" for k in range(n)]
+            texts = [" ".join(w)] + [" ".join([*w[:k], "other", *w[k + 1:]]) for k in range(n)]
+            own, *changed = (s.tolist() for s in signatures(*K.utf8(pa.array(["", *texts, "..."], pa.large_string())))[1:-1])
+            assert len(changed) == n and all(s != own for s in changed)
+
+
 def test_fingerprints_empty_and_single(spark, no_docs):
     assert fingerprint_neighbours(no_docs).count() == 0
     d = spark.createDataFrame([(1, "only one of the texts")], "doc_id long, text string")

@@ -2,8 +2,9 @@
 
 Anchors are common words (a fixed list for English, French, German and
 Spanish). Each anchor and the chain of the next ``CHAIN`` content words form a
-spot signature. A document's fingerprint is its set of signature hashes, so it
-follows the running prose and ignores what has no common words around it.
+spot signature. Words outside these chains (lists, code, other languages) begin
+plain word runs. A document's fingerprint is its set of signature hashes, so
+every stretch of a text is in it before and after an edit.
 Fingerprints are compared by Jaccard similarity; sets whose lengths lie in
 partitions too far apart to reach the asked likeness are not compared.
 """
@@ -45,12 +46,32 @@ def _word_hashes(words: list[str]) -> np.ndarray:
 ANCHORS = _word_hashes(COMMON)
 
 
+def _rest(h: np.ndarray, rows: np.ndarray, spot: np.ndarray, last: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the word runs for what the chains from ``spot`` to
+    ``last`` leave out: of ``CHAIN`` + 1 words from each word outside them, or
+    up to the row's end near it. Shorter rows: the whole sequence."""
+    step = np.zeros(len(h) + 1, np.int64)
+    np.add.at(step, spot, 1)
+    np.add.at(step, last + 1, -1)
+    out = np.flatnonzero(np.cumsum(step[:-1]) == 0)
+    cut = np.searchsorted(rows, np.arange(n + 1))
+    begin, end = cut[rows[out]], cut[rows[out] + 1]
+    at = np.maximum(np.minimum(out, end - CHAIN - 1), begin)
+    size = np.minimum(end - begin, CHAIN + 1)
+    value = np.zeros(len(out), np.uint64)
+    for k in range(1, CHAIN + 2):
+        value[size == k] = K.chain_hash(h, k)[at[size == k]]
+    return rows[out], value
+
+
 def signatures(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct 32-bit signatures of each row.
 
-    A row without a complete anchored chain has the runs of ``CHAIN`` + 1 words instead
-    (fewer words: the whole sequence); a row without words, but not empty, has
-    the hash of its bytes; an empty row has none.
+    Words outside all complete anchored chains begin runs of ``CHAIN`` + 1
+    words (fewer in the row: the whole sequence), so every word is in a
+    signature, and which ones depends on the words around it only. A row
+    without words, but not empty, has the hash of its bytes; an empty row has
+    none.
     """
     n = len(offs) - 1
     h, rows, _, _ = K.words(buf, offs, K.ALNUM)
@@ -65,20 +86,18 @@ def signatures(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     sig = h[spot]
     for c in range(CHAIN):
         sig = K.mix(sig * np.uint64(0x9E3779B97F4A7C15) + h[content[k + c]])
-    sig = (sig >> np.uint64(32)).astype(np.uint32)
-    cut = np.searchsorted(rows[spot], np.arange(n + 1))
-    word_cut = np.searchsorted(rows, np.arange(n + 1))
+    rest_rows, rest = _rest(h, rows, spot, content[k + CHAIN - 1], n)
+    sig = np.concatenate([sig, rest]) >> np.uint64(32)
+    sig = np.unique((np.concatenate([rows[spot], rest_rows]).astype(np.uint64) << np.uint64(32)) | sig)
+    cut = np.searchsorted(sig, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
+    sig = sig.astype(np.uint32)
     out = []
     for i in range(n):
         s = sig[cut[i]:cut[i + 1]]
         if not len(s) and offs[i + 1] > offs[i]:
-            w = h[word_cut[i]:word_cut[i + 1]]
-            if len(w):
-                s = (K.chain_hash(w, min(len(w), CHAIN + 1)) >> np.uint64(32)).astype(np.uint32)
-            else:
-                digest = hashlib.sha256(buf[offs[i]:offs[i + 1]].tobytes()).digest()
-                s = np.frombuffer(digest[:4], np.uint32)
-        out.append(np.unique(s))
+            digest = hashlib.sha256(buf[offs[i]:offs[i + 1]].tobytes()).digest()
+            s = np.frombuffer(digest[:4], np.uint32)
+        out.append(s)
     return out
 
 
