@@ -6,10 +6,13 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tillroll.llm import elias_fano as ef
+from tillroll.llm import kernels as K
+from tillroll.llm import language_model as LM
 from tillroll.llm.language_model import PRIOR, lm_scores
 from tillroll.llm.quality import STATISTICS, fit, quality_scores, train
 from tillroll.llm.warc import archive_round_trip, read_archives, write_archives
@@ -59,6 +62,45 @@ def test_language_model(docs, rows, order):
         assert g[6] == pytest.approx(w[6], abs=2e-4 * w[2] + 1e-6)
 
 
+def _word_with_key(key):
+    """The word hash whose 64-bit n-gram hash of order 1 is ``key``."""
+    def back(x, shift):
+        y = x
+        for _ in range(64 // shift):
+            y = x ^ (y >> shift)
+        return y
+
+    x = back(key, 31) * pow(0x94D049BB133111EB, -1, 1 << 64) % (1 << 64)
+    x = back(x, 27) * pow(0xBF58476D1CE4E5B9, -1, 1 << 64) % (1 << 64)
+    x = back(x, 30)
+    base = 0xD6E8FEB86659FD93
+    return (x - (base ^ (base >> 29)) * 0x9FB21C651E98DF25) % (1 << 64)
+
+
+def test_words_meet_no_other_ngram(monkeypatch):
+    a, b = 12345, 67890
+    pair = int(K.chain_hash(np.array([a, b], np.uint64), 2)[0])
+    # two words that agree in 56 bits with the bigram (a, b), and with each other
+    near, next_ = (_word_with_key(pair ^ x) for x in (1, 2))
+    h = np.array([a, b, a, b, near, next_], np.uint64)
+    assert len({int(x) >> 8 for x in K.chain_hash(h[4:], 1)} | {pair >> 8}) == 1
+    rows, learn = np.zeros(6, np.int64), np.ones(1, bool)
+    counts, _ = LM._slice_scores(h, rows, learn, 3, lambda x: np.zeros(x if isinstance(x, int) else len(x), np.int64), 6, 4)
+    assert counts.tolist() == [2, 2, 2, 2, 1, 1]
+    monkeypatch.setattr(LM, "tokens", lambda text: (h, rows))
+    docs = pa.table({"text": ["any"], "held_out": [False]})
+    asked = LM._ask(0, docs, 1, 144)
+    each = [LM._vocabulary(asked.slice(k, 1), 144) for k in range(asked.num_rows)]
+    assert [sum(t.column(c)[0].as_py() for t in each) for c in ("n", "v")] == [6, 4]
+    # other parts' counts of a part that asks twice: its own, for words and longer n-grams alike
+    asked = LM._ask(0, docs, 3, 144)
+    for k in range(asked.num_rows):
+        one = asked.slice(k, 1)
+        got = LM._answer(pa.concat_tables([one, one]), 144).column("counts").to_pylist()
+        own = LM._counts_in(one.column("counts")[0].as_py()).tolist()
+        assert [LM._counts_in(x).tolist() for x in got] == [own, own]
+
+
 def test_language_model_empty(spark, no_docs):
     assert lm_scores(no_docs).count() == 0
     held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)

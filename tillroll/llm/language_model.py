@@ -4,9 +4,10 @@ Counting and scoring go by *parts*: a part is about ``PART_BYTES`` of documents,
 chosen by a hash of the row.
 
 1. Documents travel as compressed blocks of their part. Each part lists its
-   distinct n-grams of all orders as sorted 56-bit hashes, with their counts in its training documents, and sends each hash range
-   (*shard*) of the list, Elias-Fano coded, to the shard's task. A frequent
-   n-gram is one entry per part, however often it occurs.
+   distinct words as sorted 64-bit hashes and its longer n-grams, apart from
+   them, as 56-bit ones, with their counts in its training documents, and
+   sends each hash range (*shard*) of a list, Elias-Fano coded, to the shard's
+   task. A frequent n-gram is one entry per part, however often it occurs.
 2. A shard adds the counts up and answers every part with what the other
    parts add to the counts of its entries.
 3. Each part builds its slice of the model, the n-grams that its texts can ask
@@ -44,7 +45,7 @@ PART_BYTES = 2 << 20
 SHARD_BYTES = 6 << 20
 LEAST_PARTS, LEAST_SHARDS = 64, 144
 PRIOR = 2.0
-BITS = 56  # of the n-gram hashes
+WORD_BITS, BITS = 64, 56  # of the hashes of words and of longer n-grams
 STEP = 1 / 4000  # of the quantised log10 probabilities
 _END = K.mix(np.array([0xE0D], np.uint64))[0]
 
@@ -69,10 +70,18 @@ def grams(h: np.ndarray, rows: np.ndarray, order: int) -> list[tuple[np.ndarray,
     out = []
     for k in range(1, order + 1):
         at = np.flatnonzero(rows[k - 1:] == rows[:len(rows) - k + 1])
-        out.append((K.chain_hash(h, k)[at] >> np.uint64(64 - BITS), at + k - 1))
+        out.append((K.chain_hash(h, k)[at] >> np.uint64(64 - (WORD_BITS if k == 1 else BITS)), at + k - 1))
     return out
 
 
+def _distinct(gs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of the longer n-grams and of the words, and each
+    n-gram's entry: the words' come after the longer ones'."""
+    uniq, inv = np.unique(np.concatenate([np.zeros(0, np.uint64), *[g for g, _ in gs[1:]]]), return_inverse=True)
+    words, word = np.unique(gs[0][0], return_inverse=True)
+    return uniq, words, np.concatenate([word + len(uniq), inv])
+
+
 def _pack(docs: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -114,8 +123,13 @@ def _counts_in(data: bytes) -> np.ndarray:
     return c
 
 
-def _shard_starts(shards: int) -> np.ndarray:
-    return np.array([(k << BITS) // shards for k in range(shards)], np.uint64)
+def _shard_starts(shards: int, bits: int) -> np.ndarray:
+    return np.array([(k << bits) // shards for k in range(shards)], np.uint64)
+
+
+def _shard_base(k: int, shards: int) -> int:
+    """First hash of a shard; those from ``shards`` on hold words."""
+    return (k % shards << (BITS if k < shards else WORD_BITS)) // shards
 
 
 def _list_out(v: np.ndarray, base: int, top: int) -> bytes:
@@ -131,15 +145,15 @@ def _list_in(data: bytes, base: int) -> np.ndarray:
     return ef.values(s) + np.uint64(base)
 
 
-def _messages(uniq: np.ndarray, counts: np.ndarray, shards: int):
+def _messages(uniq: np.ndarray, counts: np.ndarray, shards: int, bits: int):
     """(shard, coded hashes, coded counts) of each shard that is asked."""
-    starts = _shard_starts(shards)
+    starts = _shard_starts(shards, bits)
     cut = np.append(np.searchsorted(uniq, starts), len(uniq))
     for k in range(shards):
         a, b = cut[k], cut[k + 1]
         if a < b:
-            top = ((int(starts[k + 1]) if k + 1 < shards else 1 << BITS) - 1) - int(starts[k])
-            yield k, _list_out(uniq[a:b], int(starts[k]), top), _counts_out(counts[a:b])
+            top = ((int(starts[k + 1]) if k + 1 < shards else 1 << bits) - 1) - int(starts[k])
+            yield k + (shards if bits == WORD_BITS else 0), _list_out(uniq[a:b], int(starts[k]), top), _counts_out(counts[a:b])
 
 
 def _ask(part: int, docs: pa.Table, order: int, shards: int) -> pa.Table:
@@ -147,18 +161,17 @@ def _ask(part: int, docs: pa.Table, order: int, shards: int) -> pa.Table:
     h, rows = tokens(docs.column("text"))
     learn = ~np.asarray(docs.column("held_out").to_numpy(), bool)[rows]
     gs = grams(h, rows, order)
-    every = np.concatenate([g for g, _ in gs])
-    uniq, inv = np.unique(every, return_inverse=True)
-    counts = np.bincount(inv[np.concatenate([learn[at] for _, at in gs])], minlength=len(uniq))
-    k, keys, cs = zip(*_messages(uniq, counts, shards))
+    uniq, words, inv = _distinct(gs)
+    counts = np.bincount(inv[np.concatenate([learn[at] for _, at in gs])], minlength=len(uniq) + len(words))
+    k, keys, cs = zip(*_messages(uniq, counts[:len(uniq)], shards, BITS),
+                      *_messages(words, counts[len(uniq):], shards, WORD_BITS))
     return pa.table({"part": pa.array([part] * len(k), pa.int32()), "shard": pa.array(k, pa.int32()),
                      "keys": pa.array(keys, pa.binary()), "counts": pa.array(cs, pa.binary())})
 
 
 def _answer(table: pa.Table, shards: int) -> pa.Table:
     """For each part that asked, what the others add to its own counts."""
-    k = table.column("shard")[0].as_py()
-    base = int(_shard_starts(shards)[k])
+    base = _shard_base(table.column("shard")[0].as_py(), shards)
     keys = [_list_in(x, base) for x in table.column("keys").to_pylist()]
     counts = [_counts_in(x) for x in table.column("counts").to_pylist()]
     uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
@@ -174,7 +187,7 @@ def _answer(table: pa.Table, shards: int) -> pa.Table:
 
 def _vocabulary(table: pa.Table, shards: int) -> pa.Table:
     """(training tokens, distinct ones) of a shard of single tokens."""
-    base = int(_shard_starts(shards)[table.column("shard")[0].as_py()])
+    base = _shard_base(table.column("shard")[0].as_py(), shards)
     keys = [_list_in(x, base) for x in table.column("keys").to_pylist()]
     counts = [_counts_in(x) for x in table.column("counts").to_pylist()]
     seen = np.concatenate(counts) > 0
@@ -244,20 +257,19 @@ class Trie:
 def _slice_scores(h: np.ndarray, rows: np.ndarray, learn: np.ndarray, order: int, others, n: int, v: int):
     """(count of each token, log10 probability of each token). ``learn`` marks
     the rows that are learned from, ``others`` gives what the other parts
-    count of the sorted n-grams."""
+    count of the entries of ``_distinct``, whose number it gets."""
     gs = grams(h, rows, order)
     ends = [at for _, at in gs]
     cut = np.cumsum([0] + [len(at) for at in ends])
-    every = np.concatenate([g for g, _ in gs])
-    del gs
-    uniq, inv = np.unique(every, return_inverse=True)
-    del every
-    total = others(uniq) + np.bincount(inv[learn[rows[np.concatenate(ends)]]], minlength=len(uniq))
+    uniq, words, inv = _distinct(gs)
+    m = len(uniq) + len(words)
+    del gs, uniq, words
+    total = others(m) + np.bincount(inv[learn[rows[np.concatenate(ends)]]], minlength=m)
     p1_of = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-    # of each order: its distinct n-grams (entry in uniq, last token of one
+    # of each order: its distinct n-grams (entry, last token of one
     # occurrence), and the number among them of the n-gram that ends at a token
     which, place = [], []
-    at_token, number = np.full(len(uniq), -1, np.int32), np.zeros(len(uniq), np.int32)
+    at_token, number = np.full(m, -1, np.int32), np.zeros(m, np.int32)
     for k in range(order):
         own = inv[cut[k]:cut[k + 1]]
         at_token[:] = -1
@@ -324,9 +336,9 @@ def _score(blocks: pa.Table, back: pa.Table, order: int, n: int, v: int, schema:
     shard = np.asarray(back.column("shard").to_numpy())
     cells = back.column("counts").to_pylist()
 
-    def others(uniq: np.ndarray) -> np.ndarray:
+    def others(m: int) -> np.ndarray:
         got = np.concatenate([_counts_in(cells[k]) for k in np.argsort(shard)])
-        if len(got) != len(uniq):
+        if len(got) != m:
             raise ValueError("a part's totals do not fit its n-grams")
         return got
 
