@@ -7,6 +7,7 @@ import brute
 import pyarrow as pa
 import pytest
 
+from tillroll.llm import fingerprints as FP
 from tillroll.llm import kernels as K
 from tillroll.llm import repeats as R
 from tillroll.llm.decontaminate import contamination
@@ -170,6 +171,29 @@ def test_every_word_is_in_a_signature():
             assert len(changed) == n and all(s != own for s in changed)
 
 
+@pytest.mark.parametrize("least,hot", [(0.2, 3), (0.5, 1000), (0.8, 3), (1.0, 1000)])
+def test_similar_pairs(spark, rows, least, hot, monkeypatch):
+    monkeypatch.setattr(FP, "HOT", hot)
+    rng = random.Random(4)
+    texts = [r[1] for r in rows][:60] + [None, "", "", "a", "!!"]
+    for k in range(180):  # copies and edits of one text, of many lengths
+        w = [f"v{j}" for j in range(rng.choice([3, 4, 5, 10, 80]))] + ["the", "x", "y", "z"]
+        for _ in range(rng.choice([0, 1, 2])):
+            w[rng.randrange(len(w))] = rng.choice(["the", f"e{k}"])
+        texts.append(" ".join(w))
+    sets = {hashlib.sha256(FP.written(s).encode()).hexdigest(): s
+            for s in signatures(*K.utf8(pa.array([t or "" for t in texts], pa.large_string()))) if len(s)}
+    want = {(a, b): FP.likeness(x, y) for a, x in sets.items() for b, y in sets.items() if a < b}
+    want = {k: v for k, v in want.items() if v >= least}
+    got = FP.similar_pairs(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), least).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.likeness for r in got} == pytest.approx(want)
+    assert len(want) > 10 or least == 1.0
+
+
+def test_similar_pairs_empty(no_docs):
+    assert FP.similar_pairs(no_docs, 0.5).count() == 0
+
+
 def test_fingerprints_empty_and_single(spark, no_docs):
     assert fingerprint_neighbours(no_docs).count() == 0
     d = spark.createDataFrame([(1, "only one of the texts")], "doc_id long, text string")

@@ -5,14 +5,16 @@ Spanish). Each anchor and the chain of the next ``CHAIN`` content words form a
 spot signature. Words outside these chains (lists, code, other languages) begin
 plain word runs. A document's fingerprint is its set of signature hashes, so
 every stretch of a text is in it before and after an edit.
-Fingerprints are compared by Jaccard similarity; sets whose lengths lie in
-partitions too far apart to reach the asked likeness are not compared.
+Fingerprints are compared by Jaccard similarity. ``similar_pairs`` finds all
+pairs that reach an asked likeness: sets meet on their rarest signatures, and
+only between length partitions close enough to reach it.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,7 @@ from . import kernels as K
 from .common import stored
 
 CHAIN = 2
+HOT = 1000  # sets that list a signature, from which on they are salted
 
 #: Common words of four languages.
 COMMON = """
@@ -269,3 +272,65 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     return (rows.select("id", "text", "range", "extra").mapInArrow(run, done)
             .withColumnRenamed("id", id_col))
+
+
+def _sets(docs: DataFrame, text_col: str) -> DataFrame:
+    """(fp, sigs) of the distinct non-empty fingerprints."""
+    schema = T.StructType([T.StructField("fp", T.StringType()), T.StructField("sigs", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, offs = K.utf8(b.column(0))
+            for i, j in K.slices(offs):
+                some = [x for x in signatures(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i]) if len(x)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([hashlib.sha256(written(x).encode()).hexdigest() for x in some], pa.string()),
+                     pa.array([x.astype(np.int64) for x in some], pa.list_(pa.int64()))], names=schema.names)
+
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(text.alias("t")).mapInArrow(run, schema).dropDuplicates(["fp"])
+
+
+def similar_pairs(docs: DataFrame, least: float, text_col: str = "text") -> DataFrame:
+    """All pairs of different fingerprints in ``docs`` whose Jaccard similarity
+    is ``least`` (over 0, at most 1) or more: ``a`` < ``b`` and ``likeness``.
+
+    A fingerprint is named by the SHA-256 of its written form, as
+    ``sha2(fingerprint, 256)`` of ``fingerprint_neighbours`` gives it; texts
+    of equal fingerprints are one set, so copies are compared once. Empty
+    fingerprints are in no pair.
+
+    Signatures are ordered from rare to common over the sets. Two sets that
+    are alike share one in their prefixes of size - ceil(least * size) + 1,
+    and their length partitions (powers of 1 / ``least``) are the same or
+    adjacent. Lengths and places rule pairs out before the sets are compared.
+    Sets that list a common signature are salted, those that probe repeated.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be over 0 and at most 1")
+    sets = stored(_sets(docs, text_col).withColumn("size", F.size("sigs").cast("long")), "sets")
+    each = sets.select("fp", "size", F.explode("sigs").alias("sig"))
+    held = each.groupBy("sig").agg(F.count("*").alias("n"))
+    rare = each.join(held, "sig").groupBy("fp", "size").agg(F.array_sort(F.collect_list(F.struct("n", "sig"))).alias("sigs"))
+    prefix = (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int")
+    # a little wider than 1 / least: rounding puts no pair two partitions apart
+    width = -math.log(least * (1 - 1e-9))
+    entries = stored(rare.select("fp", "size", F.posexplode(F.slice("sigs", 1, prefix)).alias("at", "s"))
+                     .select("fp", "size", "at", "s.sig", F.floor(F.log("size") / width).alias("part"),
+                             (F.floor(F.col("s.n") / HOT) + 1).alias("salts")), "entries")
+    listed = entries.select("part", "sig", F.expr("pmod(xxhash64(fp), salts)").alias("salt"),
+                            F.col("fp").alias("x"), F.col("size").alias("nx"), F.col("at").alias("ax"))
+    probes = entries.select(F.explode(F.array("part", F.col("part") - 1)).alias("part"), F.col("part").alias("own"), "sig",
+                            "salts", F.col("fp").alias("y"), F.col("size").alias("ny"), F.col("at").alias("ay"))
+    probes = probes.withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)"))).drop("salts")
+    most = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))  # shared from here on
+    near = (F.least("nx", "ny") >= F.greatest("nx", "ny") * least - 1e-6) & (
+        most * (1 + least) >= (F.col("nx") + F.col("ny")) * least - 1e-6)
+    once = (F.col("own") > F.col("part")) | (F.col("x") < F.col("y"))
+    found = (listed.join(probes, ["part", "sig", "salt"]).filter(once & near)
+             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    side = lambda c: sets.select(F.col("fp").alias(c), F.col("sigs").alias(f"s{c}"))
+    same = F.size(F.array_intersect("sa", "sb"))
+    return (found.join(side("a"), "a").join(side("b"), "b")
+            .select("a", "b", (same / (F.size("sa") + F.size("sb") - same)).alias("likeness"))
+            .filter(F.col("likeness") >= least))
