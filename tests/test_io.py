@@ -386,3 +386,30 @@ def test_stream_finalizes_as_chunks_complete(spark):
     CH.run_chunk_upload(spark, f"{root}/in", f"{root}/t", checkpoint=f"{root}/ck",
                         finalize_into=store)
     assert store.read(M.SALES, SALES_SCHEMA).count() == G.clean_sales(lines.drop("_chunk"), 8).count()
+
+
+def test_reset_and_custom_rows_run_over_whole_tables(spark, monkeypatch):
+    from tillroll.operators import maintain
+    from tillroll.plans import registry
+    from tillroll.plans.fixtures import Fixtures
+    from tillroll.schemas import FILES_SCHEMA, SALES_SCHEMA, STORE_SALES_SCHEMA
+    from tillroll.sources import export
+
+    fx = Fixtures(spark, SF_SMALL)
+    want = (fx.sales.count(), fx.store_sales.count(), 4)
+    seen = []
+
+    def watched(real):
+        def run(store, *args, **kw):
+            seen.append(tuple(store.read(n, k).count() for n, k in (
+                ("sales", SALES_SCHEMA), ("store_sales", STORE_SALES_SCHEMA), ("files", FILES_SCHEMA))))
+            return real(store, *args, **kw)
+        return run
+
+    monkeypatch.setattr(maintain, "reset_all", watched(maintain.reset_all))
+    monkeypatch.setattr(export, "custom_rows", watched(export.custom_rows))
+    queries = registry.queries()
+    n = fx.sales.filter("file_id = 3").count()
+    assert queries["reset_tables"](spark, SF_SMALL).count() == n
+    assert queries["custom_rows"](spark, SF_SMALL).count() == fx.store_sales.filter("file_id = 2").count()
+    assert seen == [want, want]

@@ -301,6 +301,18 @@ def _two_files(fx):
     return store
 
 
+def _all_files(fx):
+    """A store with all lines of both fact tables, their four files recorded
+    (T1) and counted; file 2 is of the store table's type."""
+    store = TableStore(fx.spark)
+    for name, kind in (("a.csv", "original"), ("b.xlsx", "monthly"), ("c.csv", "original"), ("d.csv", "original")):
+        M.register_file(store, name, name, kind)
+    store.append(M.SALES, G.conform(fx.sales, SALES_SCHEMA), ["file_id"])
+    store.append(M.STORE_SALES, G.store_layout(G.conform(fx.store_sales, STORE_SALES_SCHEMA)), G.STORE_PARTS)
+    M.refresh_row_counts(store)
+    return store
+
+
 @query("file_registry", views=("sales", "store_sales"), sql="""
 SELECT cast(1 AS integer) AS id, 'a.csv' AS filename, 'original' AS file_type,
   (SELECT count(*) FROM sales WHERE file_id = 1) AS row_count, '2024 Q1' AS data_period""")
@@ -329,15 +341,16 @@ SELECT {Q.typed_select(T.StructType([f for f in STORE_SALES_SCHEMA.fields if f.n
                        {c: c for c in _STORE_COLS if c != "file_id"})} FROM store_sales WHERE file_id = 2""")
 def _s15(fx):
     """The raw rows of a file whose type ('monthly') leads to the store
-    table, without internal columns and without the row cap."""
-    return X.custom_rows(_two_files(fx), 2, limit=None)
+    table, without internal columns and without the row cap, among the lines
+    of all files."""
+    return X.custom_rows(_all_files(fx), 2, limit=None)
 
 
 @query("reset_tables", views=("sales",), sql=f"""
 SELECT {_full(SALES_SCHEMA, _SALES_COLS)} FROM sales WHERE file_id = 3""")
 def _t6(fx):
-    """All tables emptied, then one file's lines appended; read back."""
-    store = _two_files(fx)
+    """Whole tables emptied, then one file's lines appended; read back."""
+    store = _all_files(fx)
     M.reset_all(store)
     store.append(M.SALES, G.conform(fx.sales.filter("file_id = 3"), SALES_SCHEMA), ["file_id"])
     return store.read(M.SALES, SALES_SCHEMA)
