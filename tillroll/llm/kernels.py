@@ -1,8 +1,9 @@
 """Vectorised byte kernels that run inside Arrow tasks.
 
 They work on the concatenated UTF-8 bytes of a slice of rows, so no Python
-object is made per word. A slice holds about ``SLICE_BYTES`` bytes (one longer
-row is a slice of its own), which bounds the temporary arrays.
+object is made per word. A slice holds about ``SLICE_BYTES`` bytes. One longer
+row is a slice of its own; inside it, what is as large as its bytes is made
+piece by piece, and only places and hashes of its words are held whole.
 """
 
 from __future__ import annotations
@@ -82,31 +83,55 @@ def slices(offs: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 def range_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte range (sorted, disjoint); ``value[b]`` is what
-    byte ``b`` counts as, and must be 0 for bytes outside the ranges."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    pw, inv = _powers(len(buf))
-    c = value[buf]
-    c *= pw[:len(buf)]
-    h = np.add.reduceat(c, starts)
-    return mix(h * inv[starts] + (ends - starts).astype(np.uint64))
-
-
-def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray):
-    """Words of each row after lower-casing A-Z: (hash, row, start, end)."""
-    low = LOWER[buf]
-    w = is_word[low]
-    first = np.zeros(len(buf) + 1, bool)
-    first[offs] = True  # a row starts here: no word runs across
-    prev = np.empty_like(w)
-    prev[:1] = False
-    prev[1:] = w[:-1]
-    starts = np.flatnonzero(w & (~prev | first[:-1]))
-    nxt = np.empty_like(w)
-    nxt[-1:] = False
-    nxt[:-1] = w[1:]
-    ends = np.flatnonzero(w & (~nxt | first[1:])) + 1
-    h = range_hash(low, starts, ends, np.where(is_word, _TABLE, _U(0)))
+    byte ``b`` counts as, and must be 0 for bytes between the ranges. Ranges
+    are hashed some ``SLICE_BYTES`` at a time, a longer one in pieces."""
+    n = len(starts)
+    out = np.zeros(n, np.uint64)
+    i = 0
+    while i < n:
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + SLICE_BYTES, "right")))
+        b = int(ends[j - 1])
+        pw, inv = _powers(min(b - a, SLICE_BYTES))
+        if b - a <= SLICE_BYTES:
+            c = value[buf[a:b]]
+            c *= pw[:b - a]
+            at = starts[i:j] - a
+            out[i:j] = np.add.reduceat(c, at) * inv[at]
+        else:
+            total = 0
+            for p in range(a, b, SLICE_BYTES):
+                c = value[buf[p:min(p + SLICE_BYTES, b)]]
+                c *= pw[:len(c)]
+                total += int(c.sum(dtype=np.uint64)) * pow(_BASE, p - a, 1 << 64)
+            out[i] = total % (1 << 64)
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray, lower: bool = True):
+    """Words of each row, after lower-casing A-Z unless not asked for:
+    (hash, row, start, end). Bytes are looked at some ``SLICE_BYTES`` at a
+    time, so that a long row needs little more than its words' places."""
+    n = len(buf)
+    if lower:
+        is_word = is_word[LOWER]
+        value = np.where(is_word, _TABLE[LOWER], _U(0))
+    else:
+        value = np.where(is_word, _TABLE, _U(0))
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for p in range(0, n, SLICE_BYTES):
+        q = min(p + SLICE_BYTES, n)
+        w = np.zeros(q - p + 2, bool)  # with the byte before and the one after
+        a, b = max(p - 1, 0), min(q + 1, n)
+        w[a - p + 1:b - p + 1] = is_word[buf[a:b]]
+        first = np.zeros(q - p + 1, bool)
+        first[offs[np.searchsorted(offs, p):np.searchsorted(offs, q, "right")] - p] = True  # no word runs across
+        here = w[1:-1]
+        starts.append(np.flatnonzero(here & (~w[:-2] | first[:-1])) + p)
+        ends.append(np.flatnonzero(here & (~w[2:] | first[1:])) + p + 1)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
+    h = range_hash(buf, starts, ends, value)
     rows = np.searchsorted(offs, starts, "right") - 1
     return h, rows, starts, ends
 
@@ -132,16 +157,17 @@ def pieces(buf: np.ndarray, offs: np.ndarray, special: bytes | None = None):
         return np.zeros(0, np.uint64), z, z, z
     cut = np.zeros(n + 1, bool)
     cut[offs] = True
-    sp = np.flatnonzero(buf == 0x20)
-    sp = sp[sp > 0]
-    p1 = buf[sp - 1]
-    ok = NON_SPACE[p1] & ~((p1 >= 0x1C) & (p1 <= 0x1F))
-    # after a multi-byte character: not after U+0085, U+00A0 or any character
-    # that may be one of the white-space characters from U+1680 on
-    p2, p3 = buf[np.maximum(sp - 2, 0)], buf[np.maximum(sp - 3, 0)]
-    wide = p1 >= 0x80
-    ok &= ~(wide & (((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))) | ((p3 >= 0xE1) & (p3 <= 0xE3))))
-    cut[sp[ok]] = True
+    for p in range(0, n, SLICE_BYTES):
+        sp = np.flatnonzero(buf[p:p + SLICE_BYTES] == 0x20) + p
+        sp = sp[sp > 0]
+        p1 = buf[sp - 1]
+        ok = NON_SPACE[p1] & ~((p1 >= 0x1C) & (p1 <= 0x1F))
+        # after a multi-byte character: not after U+0085, U+00A0 or any
+        # character that may be one of the white-space characters from U+1680 on
+        p2, p3 = buf[np.maximum(sp - 2, 0)], buf[np.maximum(sp - 3, 0)]
+        wide = p1 >= 0x80
+        ok &= ~(wide & (((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))) | ((p3 >= 0xE1) & (p3 <= 0xE3))))
+        cut[sp[ok]] = True
     if special:
         whole, at = buf.tobytes(), -1
         while (at := whole.find(special, at + 1)) >= 0:

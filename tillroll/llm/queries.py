@@ -106,6 +106,47 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their eight leading whitened components."""
+    from .whitening import whiten
+
+    out = whiten(table(spark, sf_dir, "embeddings"), components=8)
+    return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents that four-word shingles link at 0.85."""
+    from .ngram_join import linked_documents
+
+    return linked_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the texts, by the id's checksum, repeat a
+    stretch of their own words up to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    d = docs.select("doc_id", "text", h.alias("h"), F.expr(r"""
+        if(crc32(cast(cast(doc_id as string) as binary)) % 10 = 0,
+           regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), array())""").alias("w"))
+    d = d.selectExpr("*", "size(w) as n", "floor(h / 10) as g").selectExpr("*", "if(n > 0, g % n, 0) as a")
+    d = d.selectExpr("*", "cast(1 + floor((n - a) / (3 + g % 8)) as int) as p")
+    tail = "slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int))), 1, cast(n - a as int))"
+    return d.selectExpr("doc_id", f"if(h % 10 = 0 and n > 0, array_join(concat(slice(w, 1, cast(a as int)), {tail}), ' '), text) as text")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic word runs of all documents, a tenth of them with planted ones."""
+    from .periodic import periodic_runs
+
+    found = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")), collapsed=False, digests=True)
+    first = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return (found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), first.alias("top"),
+                         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), "collapsed_sha256")
+            .select("doc_id", "n_runs", (-F.col("top.s")).alias("start"), F.col("top.length"), (-F.col("top.p")).alias("period"),
+                    F.expr("(1000 * top.length) div -top.p").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash": op2_minhash,
@@ -117,6 +158,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_fingerprints": op9_fingerprints,
     "op10_decontamination": op10_decontamination,
+    "op11_whitening": op11_whitening,
+    "op12_ngram_join": op12_ngram_join,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Of the queries that SQL can express; the others are held against
@@ -126,4 +170,6 @@ ORACLES: dict[str, str] = {
     "op7_warc": duck_sql.OP7,
     "op8_secrets": duck_sql.OP8,
     "op10_decontamination": duck_sql.OP10,
+    "op12_ngram_join": duck_sql.OP12,
+    "op13_periodic_runs": duck_sql.OP13,
 }
