@@ -212,7 +212,7 @@ def test_load_file_lifecycle(spark):
     store = TableStore(spark)
     a = G.load_file(store, os.path.join(d, "s.csv"), "original", "s.csv", encoding="cp949")
     b = G.load_file(store, {"의류": os.path.join(d, "m.csv")}, "monthly", "m.xlsx", encoding="cp949")
-    assert a == (1, 1) and b == (2, 1)
+    assert a == (1, 1, 0) and b == (2, 1, 0)
     files = {r.id: (r.file_type, r.row_count) for r in store.read(M.FILES, FILES_SCHEMA).collect()}
     assert files == {1: ("original", 1), 2: ("monthly", 1)}
     st = store.read(M.STORE_SALES, STORE_SALES_SCHEMA).first()

@@ -93,17 +93,48 @@ def with_classification(df, src: str = "classification", cat: str = "category",
 
 
 # --- C2 / C12 ----------------------------------------------------------------
+def number_text(c) -> Column:
+    """The text of a number: commas and outer spaces removed. Other white
+    space is left to ``_odd_ends``."""
+    return F.trim(F.replace(_c(c).cast("string"), F.lit(","), F.lit("")))
+
+
+def _odd_ends(t: Column) -> Column:
+    """Whether a text begins or ends with a character that is no visible ASCII
+    one, as white space other than a space does."""
+    return ~F.ascii(t).between(33, 126) | ~F.ascii(F.substring(t, -1, 1)).between(33, 126)
+
+
+def is_number_text(t: Column) -> Column:
+    """Whether a prepared text (``number_text``) is a number. The whole white
+    space set is trimmed only from texts with odd ends."""
+    return F.when(t.rlike(NUMERIC_RE), F.lit(True)).when(_odd_ends(t), ustrip(t).rlike(NUMERIC_RE)).otherwise(F.lit(False))
+
+
+def number_of(t: Column, kind) -> Column:
+    """A prepared text as a number of type ``kind``; null for what is no
+    number or does not fit."""
+    return (F.when(t.rlike(NUMERIC_RE), t.try_cast(kind))
+            .when(_odd_ends(t), F.when(ustrip(t).rlike(NUMERIC_RE), ustrip(t).try_cast(kind))))
+
+
 def to_number(c) -> Column:
     """Text -> double: commas removed, stripped; unparsable -> null."""
-    s = ustrip(F.replace(_c(c).cast("string"), F.lit(","), F.lit("")))
-    return F.when(s.rlike(NUMERIC_RE), s.try_cast("double"))
+    return number_of(number_text(c), "double")
 
 
 def to_decimal(c, kind) -> Column:
     """Text -> exact decimal of type ``kind``: commas removed, stripped; null
     for what is no number or does not fit."""
-    s = ustrip(F.replace(_c(c).cast("string"), F.lit(","), F.lit("")))
-    return F.when(s.rlike(NUMERIC_RE), s.try_cast(kind))
+    return number_of(number_text(c), kind)
+
+
+def with_numbers(df, kinds: dict):
+    """C2 for the columns ``kinds`` (name -> type) in place. Every text is
+    prepared once, in a projection below the one that parses it."""
+    texts = {n: f"_text_{n}" for n in kinds}
+    return (df.withColumns({t: number_text(F.col(n)) for n, t in texts.items()})
+            .withColumns({n: number_of(F.col(texts[n]), kind) for n, kind in kinds.items()}).drop(*texts.values()))
 
 
 def number_or_zero(c) -> Column:

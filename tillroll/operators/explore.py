@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.clean import to_number
+from ..functions.clean import is_number_text, number_text, to_number
 from ..schemas import NONE_LABEL
 
 COUNT_MEASURE = "_count"
@@ -102,12 +102,13 @@ def column_roles(df: DataFrame) -> DataFrame:
     columns by parsing every value (one aggregate pass for all columns).
     Result rows: (position, column_name, is_numeric, is_text).
     """
-    # parse each text column once (a projection below the aggregate)
-    parsed = df.select(*[
-        (to_number(_quoted(f.name)).isNotNull() if isinstance(f.dataType, T.StringType)
-         else _quoted(f.name).isNotNull()).alias(f"p{i}")
-        for i, f in enumerate(df.schema.fields)],
-        *[_quoted(f.name).isNotNull().alias(f"v{i}") for i, f in enumerate(df.schema.fields)])
+    # each text is prepared, then tested, once (projections below the aggregate)
+    texts = [i for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
+    staged = df.select(*[_quoted(f.name).isNotNull().alias(f"v{i}") for i, f in enumerate(df.schema.fields)],
+                       *[number_text(_quoted(df.schema[i].name)).alias(f"t{i}") for i in texts])
+    parsed = staged.select(*[f"v{i}" for i in range(len(df.columns))],
+                           *[(F.coalesce(is_number_text(F.col(f"t{i}")), F.lit(False)) if i in texts
+                              else F.col(f"v{i}")).alias(f"p{i}") for i in range(len(df.columns))])
     aggs = []
     for i, f in enumerate(df.schema.fields):
         p, v = F.col(f"p{i}"), F.col(f"v{i}")

@@ -5,6 +5,10 @@ being mutated row by row. Deleting a file or a year hides its partitions
 through the table's drop log (see ``sources.store``); no data is read or
 rewritten but for the count of deleted lines. Nothing here collects table data
 to the driver; the driver reads single-row aggregates only.
+
+The registry is small and changed by reading it and writing it anew, so its
+writers take turns (``sources.claims``); a new file's id is claimed before its
+record is written.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import FILES_SCHEMA, SALES_SCHEMA, STORE_SALES_SCHEMA
 from ..sources.ingest import STORE_PARTS, store_layout
-from ..sources.store import TableStore, VersionConflict
+from ..sources.store import TableStore
 
 SALES, STORE_SALES, FILES = "sales", "store_sales", "files"
 
@@ -44,48 +48,62 @@ def active_files(files: DataFrame) -> DataFrame:
                                                              F.col("id").desc())
 
 
-def register_file(store: TableStore, filename: str, original_name: str, file_type: str,
-                  row_count: int = 0) -> int:
-    """Record a loaded file; returns its new id."""
-    files = store.read(FILES, FILES_SCHEMA)
-    top = files.agg(F.max("id").alias("m")).first()["m"]
-    new_id = (top or 0) + 1
+def registry_turn(store: TableStore):
+    """Context: this writer alone changes the registry."""
+    return store.claims.turn(FILES)
+
+
+def _file_row(store: TableStore, file_id: int, filename: str, original_name: str, file_type: str, row_count: int) -> DataFrame:
     row = store.spark.createDataFrame(
-        [(new_id, filename, original_name, file_type, row_count, None, "active", None)],
+        [(file_id, filename, original_name, file_type, row_count, None, "active", None)],
         FILES_SCHEMA).withColumn("upload_date", F.current_timestamp())
-    store.append(FILES, row.select(*FILES_SCHEMA.fieldNames()))
-    if store.read(FILES, FILES_SCHEMA).filter(F.col("id") == new_id).count() > 1:
-        raise VersionConflict(f"two files were recorded under id {new_id} at once; record this one again")
+    return row.select(*FILES_SCHEMA.fieldNames())
+
+
+def register_file(store: TableStore, filename: str, original_name: str, file_type: str,
+                  row_count: int = 0) -> int:
+    """Record a loaded file; returns its new id, which no other file gets
+    even if both are recorded at once."""
+    with registry_turn(store):
+        top = store.read(FILES, FILES_SCHEMA).agg(F.max("id").alias("m")).first()["m"]
+        new_id = store.claims.take(f"{FILES}-ids", (top or 0) + 1)
+        store.append(FILES, _file_row(store, new_id, filename, original_name, file_type, row_count))
     return new_id
 
 
+def _change_files(store: TableStore, change) -> None:
+    """Writes the registry anew, as ``change`` makes it of what it is."""
+    with registry_turn(store):
+        store.replace(FILES, change(store.read(FILES, FILES_SCHEMA)).select(*FILES_SCHEMA.fieldNames()))
+
+
 def set_row_count(store: TableStore, file_id: int, row_count: int, increment: bool = False) -> None:
     """Set (or add to) one file's row_count; only the small registry is
     rewritten."""
-    files = store.read(FILES, FILES_SCHEMA)
-    new = (F.coalesce(F.col("row_count"), F.lit(0)) + F.lit(row_count)) if increment \
-        else F.lit(row_count)
-    store.replace(FILES, files.withColumn(
+    new = (F.coalesce(F.col("row_count"), F.lit(0)) + F.lit(row_count)) if increment else F.lit(row_count)
+    _change_files(store, lambda files: files.withColumn(
         "row_count", F.when(F.col("id") == file_id, new.cast("long")).otherwise(F.col("row_count"))))
 
 
 def refresh_row_counts(store: TableStore) -> None:
     """T2 for all files at once: recount every file from the fact tables (a
     full scan of both; for one new file use ``set_row_count``)."""
-    files = store.read(FILES, FILES_SCHEMA)
     counts = derive_files(store.read(SALES, SALES_SCHEMA),
-                          store.read(STORE_SALES, STORE_SALES_SCHEMA))
-    out = (files.join(counts.select("id", F.col("row_count").alias("_n")), "id", "left")
-           .withColumn("row_count", F.coalesce("_n", F.lit(0)).cast("long")).drop("_n"))
-    store.replace(FILES, out.select(*FILES_SCHEMA.fieldNames()))
+                          store.read(STORE_SALES, STORE_SALES_SCHEMA)).select("id", F.col("row_count").alias("_n"))
+    _change_files(store, lambda files: files.join(counts, "id", "left")
+                  .withColumn("row_count", F.coalesce("_n", F.lit(0)).cast("long")))
 
 
 def set_file_period(store: TableStore, file_id: int, data_period: str) -> None:
     """Set a file's free-text period memo."""
-    files = store.read(FILES, FILES_SCHEMA)
-    out = files.withColumn("data_period", F.when(F.col("id") == file_id, F.lit(data_period))
-                           .otherwise(F.col("data_period")))
-    store.replace(FILES, out)
+    _change_files(store, lambda files: files.withColumn(
+        "data_period", F.when(F.col("id") == file_id, F.lit(data_period)).otherwise(F.col("data_period"))))
+
+
+def set_status(store: TableStore, file_ids: list[int], status: str) -> None:
+    """Marks files in the registry."""
+    _change_files(store, lambda files: files.withColumn(
+        "status", F.when(F.col("id").isin(file_ids), F.lit(status)).otherwise(F.col("status"))))
 
 
 def delete_file(store: TableStore, file_id: int) -> None:
@@ -96,48 +114,52 @@ def delete_file(store: TableStore, file_id: int) -> None:
     """
     store.drop_partitions(SALES, "file_id", [file_id])
     store.drop_partitions(STORE_SALES, "file_id", [file_id])
-    files = store.read(FILES, FILES_SCHEMA)
-    store.replace(FILES, files.withColumn(
-        "status", F.when(F.col("id") == file_id, F.lit("deleted")).otherwise(F.col("status"))))
+    set_status(store, [file_id], "deleted")
 
 
 def open_uploads(store: TableStore, docs: DataFrame) -> DataFrame:
     """T1 for chunked uploads: ``docs`` (file_id, original_name, file_type)
-    -> (name, id). Files not yet in the registry are recorded.
+    -> (name, id). Files not yet in the registry are recorded, under ids that
+    nobody else gets.
 
     Documents that carry no id belong to the newest active file of their
     original name, or open a new one; so a repeated call gives the same ids.
     """
-    files = store.read(FILES, FILES_SCHEMA)
     docs = docs.withColumn("name", F.coalesce("original_name", F.lit("")))
     names = docs.filter("file_id is null").groupBy("name").agg(F.min("file_type").alias("file_type"))
-    known = (files.filter(F.col("status") == "active").groupBy(F.col("filename").alias("name"))
-             .agg(F.max("id").alias("id")))
-    top = files.select("id").union(docs.select("file_id")).agg(F.max("id")).first()[0] or 0
-    # new names of one batch of documents: a bounded window
-    opened = (names.join(known, "name", "left_anti")
-              .withColumn("id", (F.lit(top) + F.row_number().over(Window.orderBy("name"))).cast("int")))
-    given = (docs.filter("file_id is not null").groupBy(F.col("file_id").alias("id"))
-             .agg(F.min("name").alias("name"), F.min("file_type").alias("file_type"))
-             .join(files.select("id"), "id", "left_anti"))
-    new = opened.select("id", "name", "file_type").unionByName(given.select("id", "name", "file_type"))
-    rows = new.select("id", F.col("name").alias("filename"), F.col("name").alias("original_name"), "file_type",
-                      F.lit(0).cast("long").alias("row_count"), F.current_timestamp().alias("upload_date"),
-                      F.lit("active").alias("status"), F.lit(None).cast("string").alias("data_period"))
-    if not new.isEmpty():
-        store.append(FILES, rows.select(*FILES_SCHEMA.fieldNames()))
+
+    def newest(files: DataFrame) -> DataFrame:
+        return (files.filter(F.col("status") == "active").groupBy(F.col("filename").alias("name"))
+                .agg(F.max("id").alias("id")))
+
+    with registry_turn(store):
         files = store.read(FILES, FILES_SCHEMA)
-        known = (files.filter(F.col("status") == "active").groupBy(F.col("filename").alias("name"))
-                 .agg(F.max("id").alias("id")))
-    return names.select("name").join(known, "name")
+        fresh = names.join(newest(files), "name", "left_anti")
+        n = fresh.count()
+        first = 0
+        if n:
+            top = files.select("id").union(docs.select("file_id")).agg(F.max("id")).first()[0] or 0
+            first = store.claims.take(f"{FILES}-ids", top + 1, n)
+        # new names of one batch of documents: a bounded window
+        opened = fresh.withColumn("id", (F.lit(first - 1) + F.row_number().over(Window.orderBy("name"))).cast("int"))
+        given = (docs.filter("file_id is not null").groupBy(F.col("file_id").alias("id"))
+                 .agg(F.min("name").alias("name"), F.min("file_type").alias("file_type"))
+                 .join(files.select("id"), "id", "left_anti"))
+        new = opened.select("id", "name", "file_type").unionByName(given.select("id", "name", "file_type"))
+        rows = new.select("id", F.col("name").alias("filename"), F.col("name").alias("original_name"), "file_type",
+                          F.lit(0).cast("long").alias("row_count"), F.current_timestamp().alias("upload_date"),
+                          F.lit("active").alias("status"), F.lit(None).cast("string").alias("data_period"))
+        if n or not given.isEmpty():
+            store.append(FILES, rows.select(*FILES_SCHEMA.fieldNames()))
+            files = store.read(FILES, FILES_SCHEMA)
+    return names.select("name").join(newest(files), "name")
 
 
 def set_row_counts(store: TableStore, counts: DataFrame) -> None:
     """row_count of the files in ``counts`` (id, row_count)."""
-    files = store.read(FILES, FILES_SCHEMA)
     new = counts.select("id", F.col("row_count").alias("_n"))
-    out = files.join(new, "id", "left").withColumn("row_count", F.coalesce("_n", "row_count").cast("long"))
-    store.replace(FILES, out.select(*FILES_SCHEMA.fieldNames()))
+    _change_files(store, lambda files: files.join(new, "id", "left")
+                  .withColumn("row_count", F.coalesce("_n", "row_count").cast("long")))
 
 
 def delete_year(store: TableStore, year: int, valid_years: tuple[int, int] | None = (2000, 2100)
@@ -162,8 +184,12 @@ def delete_year(store: TableStore, year: int, valid_years: tuple[int, int] | Non
 
 
 def reset_all(store: TableStore) -> None:
-    """Empty both fact tables and the file registry."""
+    """Empty both fact tables and the file registry. File and row ids
+    start again."""
     spark = store.spark
-    store.replace(SALES, spark.createDataFrame([], SALES_SCHEMA), ["file_id"])
-    store.replace(STORE_SALES, store_layout(spark.createDataFrame([], STORE_SALES_SCHEMA)), STORE_PARTS)
-    store.replace(FILES, spark.createDataFrame([], FILES_SCHEMA))
+    with registry_turn(store):
+        store.replace(SALES, spark.createDataFrame([], SALES_SCHEMA), ["file_id"])
+        store.replace(STORE_SALES, store_layout(spark.createDataFrame([], STORE_SALES_SCHEMA)), STORE_PARTS)
+        store.replace(FILES, spark.createDataFrame([], FILES_SCHEMA))
+        for name in (f"{FILES}-ids", f"{SALES}-rows", f"{STORE_SALES}-rows"):
+            store.claims.forget(name)

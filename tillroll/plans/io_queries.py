@@ -13,11 +13,13 @@ from ..schemas import (FILES_SCHEMA, INVENTORY_SCHEMA, PRODUCT_IMAGES_SCHEMA, SA
                        STORE_SALES_SCHEMA)
 from ..session import work_path
 from ..sources import export as X, ingest as G
+from ..sources.delimited import read_records
+from ..sources.row_ids import stored_schema
 from ..sources.store import TableStore
 from ..streaming import chunks as CH
 from . import duck_sql as Q
 from .clean_queries import (CLEAN_CATALOG_SQL, CLEAN_INVENTORY_SQL, CLEAN_SALES_SQL, CLEAN_STORE_SQL,
-                            SALES_TEXT, raw_catalog_file, raw_sales_file, raw_stock_file)
+                            SALES_TEXT, raw_catalog_file, raw_sales_file, raw_stock_file, raw_store_file)
 from .registry import query
 
 def _chunked_upload(fx):
@@ -87,6 +89,72 @@ def _s1(fx):
     return store.read(M.SALES, SALES_SCHEMA)
 
 
+_NAMES = """CASE l_linenumber % 3 WHEN 0 THEN product_name || ' "q", ' || chr(10) || 'next' WHEN 1
+  THEN '"' || product_name || '"' ELSE nullif(product_name, '') END"""
+
+
+@query("csv_quoted", views=("raw_lines",), sql=f"""
+SELECT l_orderkey, l_linenumber, {_NAMES} AS name, nullif(classification, '') AS classification FROM raw_lines""")
+def _s1q(fx):
+    """Cells with doubled quotes, separators and line breaks, exported by
+    the library and read back split by split."""
+    spark = fx.spark
+    path = work_path(spark, "csv-quoted")
+    lines = fx.raw_lines.select("l_orderkey", "l_linenumber", F.expr(_NAMES).alias("name"), "classification")
+    X.export_dataset(lines, path)
+    return G.read_delimited(spark, path).select(
+        F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"), "name", "classification")
+
+
+_LINE = """l_orderkey || ',' || l_linenumber || ',"' || replace(coalesce(product_name, ''), '"', '""') || '"'"""
+_BAD = "CASE WHEN l_orderkey % 97 = 3 THEN ',one cell more' ELSE '' END"
+
+
+@query("csv_rejected", views=("raw_lines",), sql=f"""
+SELECT l_orderkey % 97 = 3 AS rejected, CASE WHEN l_orderkey % 97 = 3 THEN {_LINE} || {_BAD}
+  ELSE concat_ws('|', l_orderkey, l_linenumber, nullif(product_name, '')) END AS content,
+  CASE WHEN l_orderkey % 97 = 3 THEN 'more cells than the header' END AS reason FROM raw_lines""")
+def _s1r(fx):
+    """Records with a cell too many stand beside the accepted ones; both
+    together are the lines written."""
+    spark = fx.spark
+    path = work_path(spark, "csv-rejected")
+    fx.raw_lines.select(F.expr(f"{_LINE} || {_BAD}").alias("value")).write.text(path)
+    found = read_records(spark, path, header=False, columns=["l_orderkey", "l_linenumber", "name"])
+    good = found.accepted().select(F.lit(False).alias("rejected"), F.concat_ws("|", *found.header).alias("content"),
+                                   F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(found.rejected().select(F.lit(True).alias("rejected"), F.col("record").alias("content"), "reason"))
+
+
+@query("row_ids", views=("raw_lines",), sql=f"""
+SELECT state, file_id, n AS row_count, (file_id - 1) * n + 1 AS first_id, file_id * n AS last_id, n AS ids, n AS dated
+FROM (SELECT count(*) AS n FROM raw_lines WHERE {Q.keep_store_line("store")}),
+  (VALUES ('loaded', 1), ('loaded', 2), ('restored', 1), ('restored', 2), ('loaded again', 3)) s(state, file_id)""")
+def _s8i(fx):
+    """S8 + S13 + S14: row ids and load times of store lines after two loads,
+    after a restore into another store, and after a load there."""
+    spark = fx.spark
+    first, second = TableStore(spark), TableStore(spark)
+    stored = stored_schema(STORE_SALES_SCHEMA)
+    lines = raw_store_file(fx)
+    for fid in (1, 2):
+        G.save_store_sales(first, lines, fid)
+    path = work_path(spark, "snapshot")
+    X.snapshot(path, first.read(M.SALES, SALES_SCHEMA), first.read(M.STORE_SALES, stored))
+    X.restore_snapshot(second, path)
+    restored = second.read(M.STORE_SALES, stored)
+    G.save_store_sales(second, lines, 3)
+    again = second.read(M.STORE_SALES, stored).filter("file_id = 3")
+
+    def summed(df, state):
+        return df.groupBy("file_id").agg(
+            F.count("*").alias("row_count"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+            F.countDistinct("id").alias("ids"), F.count("created_at").alias("dated")).withColumn("state", F.lit(state))
+
+    return (summed(first.read(M.STORE_SALES, stored), "loaded").unionByName(summed(restored, "restored"))
+            .unionByName(summed(again, "loaded again")))
+
+
 def _full(schema, cols):
     return Q.typed_select(schema, {c: c for c in cols})
 
@@ -286,21 +354,6 @@ def _s10(fx):
     return store.read("inventory", INVENTORY_SCHEMA)
 
 
-def _two_files(fx):
-    """A store with the lines of files 1 and 2 of both fact tables, recorded
-    (T1) and counted; file 2 deleted (T4), file 1 with a memo (T3)."""
-    store = TableStore(fx.spark)
-    sales = G.conform(fx.sales.filter("file_id <= 2"), SALES_SCHEMA)
-    lines = G.conform(fx.store_sales.filter("file_id = 2"), STORE_SALES_SCHEMA)
-    for name, kind in (("a.csv", "original"), ("b.xlsx", "monthly")):
-        M.register_file(store, name, name, kind)
-    store.append(M.SALES, sales, ["file_id"])
-    store.append(M.STORE_SALES, G.store_layout(lines), G.STORE_PARTS)
-    M.refresh_row_counts(store)
-    M.set_file_period(store, 1, "2024 Q1")
-    return store
-
-
 def _all_files(fx):
     """A store with all lines of both fact tables, their four files recorded
     (T1) and counted; file 2 is of the store table's type."""
@@ -313,24 +366,30 @@ def _all_files(fx):
     return store
 
 
-@query("file_registry", views=("sales", "store_sales"), sql="""
-SELECT cast(1 AS integer) AS id, 'a.csv' AS filename, 'original' AS file_type,
-  (SELECT count(*) FROM sales WHERE file_id = 1) AS row_count, '2024 Q1' AS data_period""")
+_FILES_SQL = """(SELECT * FROM (VALUES (1, 'a.csv', 'original'), (2, 'b.xlsx', 'monthly'), (3, 'c.csv', 'original'),
+  (4, 'd.csv', 'original')) f(id, filename, file_type))"""
+
+
+@query("file_registry", views=("sales", "store_sales"), sql=f"""
+SELECT cast(id AS integer) AS id, filename, file_type,
+  (SELECT count(*) FROM sales WHERE file_id = id) + (SELECT count(*) FROM store_sales WHERE file_id = id) AS row_count,
+  CASE WHEN id = 1 THEN '2024 Q1' END AS data_period FROM {_FILES_SQL} WHERE id <> 2""")
 def _t13(fx):
-    """Two files recorded and counted, one given a memo,
-    one deleted; the active files."""
-    store = _two_files(fx)
+    """Four files recorded and counted over both whole
+    fact tables, one given a memo, one deleted; the active files."""
+    store = _all_files(fx)
+    M.set_file_period(store, 1, "2024 Q1")
     M.delete_file(store, 2)
     return M.active_files(store.read(M.FILES, FILES_SCHEMA)).select("id", "filename", "file_type", "row_count", "data_period")
 
 
 @query("data_counts_registry", views=("sales", "store_sales"), sql="""
-SELECT 'sales' AS table_name, count(*) AS row_count FROM sales WHERE file_id = 1
-UNION ALL SELECT 'store_sales', 0 UNION ALL SELECT 'files', 2""")
+SELECT 'sales' AS table_name, count(*) AS row_count FROM sales WHERE file_id <> 2
+UNION ALL SELECT 'store_sales', count(*) FROM store_sales WHERE file_id <> 2 UNION ALL SELECT 'files', 4""")
 def _a14(fx):
-    """Rows of the fact tables and of the registry after one of two
+    """Rows of the fact tables and of the registry after one of four
     files was deleted (the registry counts it still)."""
-    store = _two_files(fx)
+    store = _all_files(fx)
     M.delete_file(store, 2)
     return S.data_counts(sales=store.read(M.SALES, SALES_SCHEMA), store_sales=store.read(M.STORE_SALES, STORE_SALES_SCHEMA),
                          files=store.read(M.FILES, FILES_SCHEMA))

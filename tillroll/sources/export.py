@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import FILES_SCHEMA, SALES_SCHEMA, STORE_SALES_SCHEMA
 from .ingest import STORE_PARTS, store_layout
+from .row_ids import restored, stored_schema
 from .store import path_exists
 
 INTERNAL_COLUMNS = ("id", "file_id", "created_at")
@@ -24,10 +25,11 @@ def file_rows(df: DataFrame, file_id=None, limit: int | None = None) -> DataFram
     return df.limit(limit) if limit else df
 
 
-def custom_rows(store, file_id: int, limit: int | None = 100_000) -> DataFrame:
+def custom_rows(store, file_id: int, limit: int | None = None) -> DataFrame:
     """Raw rows of one active file; the registry's file type says which
-    fact table they are in ('monthly': store lines, else sales lines). The
-    row cap is the web page's; None gives all rows."""
+    fact table they are in ('monthly': store lines, else sales lines). The web
+    page asks for at most 100 000 rows; a caller that wants so passes
+    ``limit``."""
     files = store.read("files", FILES_SCHEMA)
     row = files.filter((F.col("id") == int(file_id)) & (F.col("status") == "active")).select("file_type").first()
     if row is None:
@@ -36,15 +38,23 @@ def custom_rows(store, file_id: int, limit: int | None = 100_000) -> DataFrame:
     return file_rows(store.read(table, SNAPSHOT_TABLES[table]), file_id, limit)
 
 
-def export_dataset(df: DataFrame, path: str, fmt: str = "csv") -> str:
+BOM = "\ufeff"
+
+
+def export_dataset(df: DataFrame, path: str, fmt: str = "csv", bom: bool = True) -> str:
     """Write one dataset as CSV with a header (or Parquet / JSON).
 
     Output is a folder of part files written by the executors; nothing
-    passes through the driver.
+    passes through the driver. CSV is what spreadsheets open: quotes are
+    doubled, and every file begins with a byte order mark unless ``bom`` is
+    off. (It stands before the first header, as a file begins with that.)
     """
+    if fmt == "csv" and bom and df.columns:
+        df = df.toDF(BOM + df.columns[0], *df.columns[1:])
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     elif fmt == "json":
         w.json(path)
     else:
@@ -102,8 +112,11 @@ def snapshot(path: str, sales: DataFrame, store_sales: DataFrame, files: DataFra
 
 def read_snapshot(spark: SparkSession, path: str, table: str, schema=None) -> DataFrame:
     """Read one table of a snapshot back with its declared schema, so
-    types (dates, decimals) survive the JSON round trip."""
-    schema = schema or SNAPSHOT_TABLES[table]
+    types (dates, decimals) survive the JSON round trip. Fact tables come with
+    their row ids and load times."""
+    if schema is None:
+        schema = SNAPSHOT_TABLES[table]
+        schema = schema if table == "files" else stored_schema(schema)
     return spark.read.schema(schema).json(f"{path.rstrip('/')}/{table}")
 
 
@@ -134,8 +147,9 @@ def restore_snapshot(store, path: str) -> dict[str, int]:
     """Replace the fact tables and the file registry with a snapshot.
 
     Nothing changes unless the snapshot has a manifest and every table holds
-    as many rows as that says. Each table is then written as a new version.
-    Returns the restored row counts.
+    as many rows as that says. Each table is then written as a new version;
+    lines keep the row ids and load times that the snapshot has. Returns the
+    restored row counts.
     """
     spark, base = store.spark, path.rstrip("/")
     if not path_exists(spark, f"{base}/manifest"):
@@ -147,7 +161,8 @@ def restore_snapshot(store, path: str) -> dict[str, int]:
     for table, df in found.items():
         if df.count() != want[table]:
             raise ValueError(f"{table} in the snapshot at {path} does not hold {want[table]} rows")
-    store.replace("sales", found["sales"], ["file_id"])
-    store.replace("store_sales", store_layout(found["store_sales"]), STORE_PARTS)
-    store.replace("files", found["files"])
+    with store.claims.turn("files"):
+        store.replace("sales", restored(store, "sales", found["sales"]), ["file_id"])
+        store.replace("store_sales", store_layout(restored(store, "store_sales", found["store_sales"])), STORE_PARTS)
+        store.replace("files", found["files"])
     return want

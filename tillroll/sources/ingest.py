@@ -9,7 +9,9 @@ instead of a second pass.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -18,30 +20,29 @@ from pyspark.sql import types as T
 from ..functions import clean as C
 from ..schemas import (INVENTORY_SCHEMA, PRODUCT_IMAGES_SCHEMA, SALES_HEADERS, SALES_SCHEMA,  # noqa: F401
                        STORE_HEADERS, STORE_SALES_SCHEMA)
+from .delimited import Records, read_records
+from .row_ids import with_row_ids
 from .store import TableStore
 
-_UTF8 = {"utf-8", "utf8"}
-
 
 # --- S1 / S2 ---------------------------------------------------------------------------
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8",
+def read_delimited(spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "utf-8",
                    header: bool = True) -> DataFrame:
     """Delimited text with a header; all columns as text, by header name.
 
-    Spark 4 refuses legacy charsets such as cp949 unless
-    ``spark.sql.legacy.javaCharsets`` is on; it is switched on only when a
-    non-UTF-8 encoding is asked for.
+    Cells may be quoted, with doubled quotes and line breaks. Records that do
+    not fit the header are left out; ``read_records`` gives them too.
     """
-    if encoding.lower() not in _UTF8:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return (spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
-            .option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
+    return read_records(spark, path, sep, encoding, header).accepted()
 
 
 def read_tsv_or_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """S1 for ``.xls`` exports that are really tab-separated text."""
-    sep = "\t" if path.lower().endswith((".xls", ".tsv", ".txt")) else ","
-    return read_delimited(spark, path, sep=sep, encoding=encoding)
+    return read_delimited(spark, path, sep=separator(path), encoding=encoding)
+
+
+def separator(path: str) -> str:
+    return "\t" if path.lower().endswith((".xls", ".tsv", ".txt")) else ","
 
 
 def read_sheets(spark: SparkSession, sheets: dict[str, str], sep: str = ",",
@@ -49,10 +50,13 @@ def read_sheets(spark: SparkSession, sheets: dict[str, str], sep: str = ",",
     """One delimited file per sheet -> one frame with a ``data_type``
     column derived from the sheet name (C7). Files with different headers are
     read separately and aligned by name."""
+    return _sheets(sheets, lambda path: read_delimited(spark, path, sep, encoding))
+
+
+def _sheets(sheets: dict[str, str], read: Callable[[str], DataFrame]) -> DataFrame:
     out = None
     for sheet, path in sheets.items():
-        df = read_delimited(spark, path, sep, encoding).withColumn(
-            "data_type", C.sheet_data_type(F.lit(sheet)))
+        df = read(path).withColumn("data_type", C.sheet_data_type(F.lit(sheet)))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
@@ -135,11 +139,12 @@ def select_mapped(df: DataFrame, mapping: dict[str, str], targets: list[str]) ->
 
 
 # --- S7 / S8: sales lines ---------------------------------------------------------------------
-def _measures(df: DataFrame, schema: T.StructType) -> list:
-    return [(C.to_decimal(F.col(f.name), f.dataType) if isinstance(f.dataType, T.DecimalType)
-             else C.to_number(F.col(f.name))).alias(f.name)
-            for f in schema.fields
-            if isinstance(f.dataType, (T.DoubleType, T.DecimalType)) and f.name in df.columns]
+def _with_measures(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, list[str]]:
+    """``df`` with the measures of ``schema`` that it has as numbers, and
+    their names."""
+    kinds = {f.name: f.dataType for f in schema.fields
+             if isinstance(f.dataType, (T.DoubleType, T.DecimalType)) and f.name in df.columns}
+    return C.with_numbers(df, kinds), list(kinds)
 
 
 def rejected_numbers(raw: DataFrame, headers: dict[str, str], schema: T.StructType) -> DataFrame:
@@ -173,8 +178,8 @@ def clean_sales(raw: DataFrame, file_id, carry: tuple[str, ...] = ()) -> DataFra
     name = F.col("product_name") if "product_name" in df.columns else F.lit(None).cast("string")
     df = C.with_classification(df.filter(C.keep_sales_line(name)))
     keep = [c for c in ("classification", "product_code", "barcode", "product_name") if c in df.columns]
-    out = df.select(_file_id(file_id).alias("file_id"), *keep, "category", "supplier",
-                    *_measures(df, SALES_SCHEMA), *carry)
+    df, measures = _with_measures(df, SALES_SCHEMA)
+    out = df.select(_file_id(file_id).alias("file_id"), *keep, "category", "supplier", *measures, *carry)
     return conform(out, SALES_SCHEMA, carry)
 
 
@@ -195,21 +200,18 @@ def clean_store_sales(raw: DataFrame, file_id, data_type: str | None = None,
     date = F.col("sale_date") if "sale_date" in df.columns else F.lit(None)
     keep = [c for c in ("store_code", "store", "classification", "product_code", "product_name")
             if c in df.columns]
+    df, measures = _with_measures(df, STORE_SALES_SCHEMA)
     out = df.select(_file_id(file_id).alias("file_id"), dtype.alias("data_type"),
-                    date.cast("date").alias("sale_date"), *keep, "category", "supplier",
-                    *_measures(df, STORE_SALES_SCHEMA), *carry)
+                    date.cast("date").alias("sale_date"), *keep, "category", "supplier", *measures, *carry)
     return conform(out, STORE_SALES_SCHEMA, carry)
 
 
-def _append_counted(store: TableStore, table: str, df: DataFrame, partition_by: list[str]) -> int:
-    obs = Observation(f"{table}_inserted")
-    store.append(table, df.observe(obs, F.count(F.lit(1)).alias("n")), partition_by)
-    return int(obs.get.get("n", 0))
-
-
 def save_sales(store: TableStore, raw: DataFrame, file_id: int) -> int:
-    """Clean and append sales lines; returns the inserted row count."""
-    return _append_counted(store, "sales", clean_sales(raw, file_id), ["file_id"])
+    """Clean and append sales lines, with row ids and the load time;
+    returns the inserted row count."""
+    lines, n = with_row_ids(store, "sales", clean_sales(raw, file_id))
+    store.append("sales", lines, ["file_id"])
+    return n
 
 
 STORE_PARTS = ["file_id", "sale_year"]  # partitions of the store table
@@ -234,9 +236,11 @@ def stored_between(store: TableStore, start_date: str | None = None, end_date: s
 
 def save_store_sales(store: TableStore, raw: DataFrame, file_id: int,
                      data_type: str | None = None) -> int:
-    """Clean and append store/day lines; returns the inserted row count."""
-    return _append_counted(store, "store_sales",
-                           store_layout(clean_store_sales(raw, file_id, data_type)), STORE_PARTS)
+    """Clean and append store/day lines, with row ids and the load time;
+    returns the inserted row count."""
+    lines, n = with_row_ids(store, "store_sales", clean_store_sales(raw, file_id, data_type))
+    store.append("store_sales", store_layout(lines), STORE_PARTS)
+    return n
 
 
 # --- S9 / S10: catalog and stock --------------------------------------------------------------
@@ -303,25 +307,43 @@ def load_inventory(store: TableStore, raw: DataFrame) -> int:
     return int(obs.get.get("n", 0))
 
 
+class Loaded(NamedTuple):
+    """What a load did: the file's id, the lines inserted and the records
+    that did not fit the header."""
+
+    file_id: int
+    inserted: int
+    rejected: int
+
+
 def load_file(store: TableStore, path: str | dict[str, str], file_type: str = "original",
-              original_name: str | None = None, encoding: str = "utf-8") -> tuple[int, int]:
+              original_name: str | None = None, encoding: str = "utf-8") -> Loaded:
     """The whole upload of one file: read, register, clean, append, count.
 
     ``file_type`` 'original' / 'custom' load sales lines from one delimited
     file (``.xls`` exports read as tab-separated); 'monthly' loads store/day
     lines from ``{sheet name: path}`` with each sheet's data type. The file
-    is registered (T1) first and its row count set from the rows counted
-    while they were written (T2). Returns ``(file_id, inserted rows)``.
+    is registered (T1) first and its row count set from the rows written (T2).
+    Records that do not fit the header are counted while the others are
+    written; ``read_records(...).rejected()`` lists them.
     """
     from ..operators import maintain as M
 
     spark = store.spark
     name = original_name or (path if isinstance(path, str) else ",".join(path))
+    seen: list[Observation] = []
+
+    def accepted(one: str, sep: str) -> DataFrame:
+        found = read_records(spark, one, sep, encoding)
+        seen.append(Observation(f"rejected_{len(seen)}"))
+        watched = found.cells.observe(seen[-1], F.count("reason").alias("n"))
+        return Records(found.header, watched).accepted()
+
     fid = M.register_file(store, name, name, file_type)
     if file_type == "monthly":
         sheets = path if isinstance(path, dict) else {"sheet": path}
-        n = save_store_sales(store, read_sheets(spark, sheets, encoding=encoding), fid)
+        n = save_store_sales(store, _sheets(sheets, lambda one: accepted(one, ",")), fid)
     else:
-        n = save_sales(store, read_tsv_or_csv(spark, path, encoding=encoding), fid)
+        n = save_sales(store, accepted(path, separator(path)), fid)
     M.set_row_count(store, fid, n)
-    return fid, n
+    return Loaded(fid, n, sum(int(x.get.get("n", 0)) for x in seen))

@@ -22,12 +22,12 @@ reads. All I/O is Spark's own, on any filesystem Spark can write.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import work_path
+from .claims import Claims
 
 GENERATION = "_generation"
 PRUNED_DROPS = 500  # drops that become a partition filter; more are joined
@@ -47,13 +47,8 @@ class VersionConflict(RuntimeError):
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """False only where the path is not there; any other trouble is raised."""
-    try:
-        spark.read.format("binaryFile").load(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 class TableStore:
@@ -89,9 +84,14 @@ class TableStore:
         return 0 if drops is None else drops.agg(F.max("generation")).first()[0] or 0
 
     def _unmoved(self, table: str, version: int | None) -> None:
-        if self.current_version(table) != version:
+        # a first write may share version 1 with another one
+        if self.current_version(table) not in ((None, 1) if version is None else (version,)):
             raise VersionConflict(f"{table} was replaced during a write; repeat it")
 
+    @property
+    def claims(self) -> Claims:
+        return Claims(self.spark, f"{self.root}/_claims")
+
     # -- reads -----------------------------------------------------------------
     def read(self, table: str, schema: T.StructType, where=None) -> DataFrame:
         """The visible rows of the current version, in ``schema``. ``where``
@@ -137,8 +137,10 @@ class TableStore:
     def replace(self, table: str, df: DataFrame, partition_by: list[str] | None = None) -> int:
         """Write ``df`` as a new version and switch to it."""
         old = self.current_version(table)
+        # a folder of its own: not that of a write that was lost or is under way
         v = (old or 0) + 1
-        while path_exists(self.spark, self.path(table, v)):  # left by a write that was lost
+        while path_exists(self.spark, self.path(table, v)) or not self.claims.create_once(
+                f"{self.claims.root}/{table}-versions/{v:06d}"):
             v += 1
         self._write(df, table, v, 0, partition_by, "append")
         self._unmoved(table, old)
