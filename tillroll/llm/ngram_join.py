@@ -8,19 +8,24 @@ shingles last and differ among shingles of one frequency class.
 
 1. One scan counts shingles in a table of ``CELLS`` cells, of fixed size. A
    shingle's class tells how far its cell lies above the mean.
-2. A second scan writes each document's prefixes. Documents with equal sets
-   become one class, for which its smallest id stands.
-3. Classes that share a prefix shingle of the first order meet in its bucket. A
-   bucket is not expanded into pairs: round one pairs its members with the
-   smallest id of their length partition. Round two takes the buckets that
-   still hold several components and compares, block by block, what lies
-   outside the largest one with all members of near lengths.
-4. Pairs pass the length bound, the bound from the places of the shared
-   shingle, and the prefixes of the other orders, before full sets are read
-   and compared.
-
-Which links exist inside a component that is already connected is not asked:
-the result has the components of all links.
+2. A second scan writes each document's set size, a signature of its set (the
+   class of documents with equal sets), the prefixes of the further orders,
+   and the set as a compact list: as many leading bits of each hash as tell
+   its shingles apart, in one byte or so each.
+3. A third scan sends the first order's prefix shingles to their buckets, each
+   class once per task. Buckets with one class go; of several with the same
+   classes one stays.
+4. A bucket is not expanded into pairs: round one pairs its classes with one
+   leader of their length partition. Round two takes the buckets that still
+   hold several components and compares, block by block, what lies outside
+   the largest one with all classes of near lengths.
+5. Pairs pass the length bound, the bound from the places of the shared
+   shingle, the prefixes of the further orders and a bound from the compact
+   lists, which can only overrate an intersection. What is left is verified on
+   full sets.
+
+Whether two texts inside a component are linked is not asked when links of
+others connect them: the result has the components of all links.
 """
 
 from __future__ import annotations
@@ -44,7 +49,8 @@ ORDERS = 3
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
 CHUNK = 1 << 14  # cells that are merged together
-BLOCK = 128  # members of one bucket that are compared at once
+BLOCK = 256  # members of one bucket that are compared at once
+SENT = 200_000  # nodes that a task remembers to have sent
 _SALTS = [np.uint64(x) for x in np.random.default_rng(12).integers(1, 1 << 63, ORDERS)]
 
 
@@ -101,128 +107,201 @@ def prefix_size(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def prefixes(s: np.ndarray, classes: np.ndarray, percent: int) -> list[np.ndarray]:
+def prefixes(s: np.ndarray, classes: np.ndarray, percent: int, orders: int = ORDERS) -> list[np.ndarray]:
     """The prefix of one set under each order, by that order. An entry ranks
     by class, then by the order's own hash of the shingle."""
     if not len(s):
-        return [np.zeros(0, np.uint64)] * ORDERS
+        return [np.zeros(0, np.uint64)] * orders
     top = classes[_cell(s)].astype(np.uint64) << np.uint64(58)
     p = prefix_size(len(s), percent)
-    return [np.sort(np.partition(top | (K.mix(s ^ salt) >> np.uint64(6)), p - 1)[:p]) for salt in _SALTS]
+    return [np.sort(np.partition(top | (K.mix(s ^ salt) >> np.uint64(6)), p - 1)[:p]) for salt in _SALTS[:orders]]
 
 
-def _binary(parts: list[np.ndarray]) -> pa.Array:
-    return pa.array([x.tobytes() for x in parts], pa.binary())
+def compact(s: np.ndarray) -> bytes:
+    """A sorted set as gaps of its leading bits: five more bits than its size
+    has. A gap is written to the base 255, with 255 for each full one."""
+    if not len(s):
+        return b""
+    gap = np.diff(s >> np.uint64(64 - _level(len(s))), prepend=np.uint64(0)).astype(np.int64)
+    out = np.full(int((gap // 255 + 1).sum()), 255, np.uint8)
+    out[np.cumsum(gap // 255 + 1) - 1] = gap % 255
+    return out.tobytes()
+
+
+def _level(n: int) -> int:
+    return n.bit_length() + 5
+
+
+def _expanded(cell: bytes) -> np.ndarray:
+    b = np.frombuffer(cell, np.uint8)
+    return np.cumsum(b, dtype=np.int64)[b != 255]
+
 
+def most_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Upper bound of the intersection of two sets from their compact lists:
+    shingles that agree in the bits that both lists have."""
+    down = _level(len(x)) - _level(len(y))
+    x, y = (x >> down, y) if down >= 0 else (x, y >> -down)
+    ux, cx = np.unique(x, return_counts=True)
+    uy, cy = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
+    return int(np.minimum(cx[i], cy[j]).sum())
 
-def _signatures(s: np.ndarray, at: np.ndarray) -> list[pa.Array]:
-    out = []
-    for salt in (0x51A5, 0xC0FFEE):
-        c = np.append(np.uint64(0), np.cumsum(K.mix(s ^ np.uint64(salt))))
-        out.append(pa.array((c[at[1:]] - c[at[:-1]]).view(np.int64)))
-    return out
 
+def _node(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit signature of each set: documents with equal sets are one node."""
+    c = np.append(np.uint64(0), np.cumsum(K.mix(s ^ np.uint64(0x51A5))))
+    return K.mix(c[at[1:]] - c[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
-def _packed(src: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(id, n, sig_a, sig_b, p, q): set size and signature, the first order's
-    prefix, and those of the others in 32-bit entries, one after the other."""
+
+def _documents(src: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
+    """(id, n, node, q, c): set size, signature, the prefixes of the further
+    orders (16 bits an entry, one order after the other), the compact list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, s, at in _sets(batches, width):
-            each = [prefixes(s[a:b], classes, percent) for a, b in zip(at[:-1], at[1:])]
+            each = [s[a:b] for a, b in zip(at[:-1], at[1:])]
+            q = [np.concatenate(prefixes(x, classes, percent)[1:]).astype(np.uint16).tobytes() for x in each]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(np.diff(at)), *_signatures(s, at), _binary([x[0] for x in each]),
-                 _binary([np.concatenate(x[1:]).astype(np.uint32) for x in each])], names=schema.names)
+                [ids, pa.array(np.diff(at)), pa.array(_node(s, at)), pa.array(q, pa.binary()),
+                 pa.array([compact(x) for x in each], pa.binary())], names=schema.names)
 
-    schema = T.StructType([src.schema["id"], *[T.StructField(c, T.LongType()) for c in ("n", "sig_a", "sig_b")],
-                           T.StructField("p", T.BinaryType()), T.StructField("q", T.BinaryType())])
+    schema = T.StructType([src.schema["id"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()),
+                           T.StructField("q", T.BinaryType()), T.StructField("c", T.BinaryType())])
     return src.mapInArrow(run, schema)
 
 
-def _entries(reps: DataFrame) -> DataFrame:
-    """(id, n, key, at): one row per prefix shingle of the first order."""
-    schema = T.StructType([reps.schema["id"], T.StructField("n", T.LongType()), T.StructField("key", T.LongType()),
-                           T.StructField("at", T.IntegerType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(src: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
+    """(key, node, n, at): the prefix shingles of the first order, of those
+    buckets that hold several nodes."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # copies are sent once, or a few times by a large task
+        for _, s, at in _sets(batches, width):
+            node, size = _node(s, at), np.diff(at)
+            keys, rows = [np.zeros(0, np.uint64)], []
+            if len(sent) > SENT:
+                sent.clear()
+            for i, v in enumerate(node.tolist()):
+                if size[i] and v not in sent:
+                    sent.add(v)
+                    keys.append(prefixes(s[at[i]:at[i + 1]], classes, percent, 1)[0])
+                    rows.append(i)
+            each = np.array([len(k) for k in keys[1:]], np.int64)
+            place = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+            row = np.repeat(np.array(rows, np.int64), each)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node[row]),
+                                              pa.array((size[row] << 32) | place)], names=["key", "node", "place"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of sorted rows, those whose key has another node; equal rows once.
+        The last row waits for the next batch."""
+        last, seen = np.zeros((3, 0), np.int64), False  # a row, and whether it is out already
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                cells = part.column(2).to_pylist()
-                size = np.array([len(x) // 8 for x in cells])
-                idx = pa.array(np.repeat(np.arange(len(cells)), size))
-                at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(idx), part.column(1).take(idx),
-                                                  pa.array(np.frombuffer(b"".join(cells), np.int64)),
-                                                  pa.array(at, pa.int32())], names=schema.names)
-
-    return reps.select("id", "n", "p").mapInArrow(run, schema)
+            x = np.concatenate([last, np.stack([b.column(k).to_numpy() for k in range(3)])], axis=1)
+            new = np.ones(x.shape[1], bool)
+            new[1:] = (x[:2, 1:] != x[:2, :-1]).any(0)
+            x = x[:, new]
+            same = np.append(False, x[0, 1:] == x[0, :-1])
+            out = same | np.append(same[1:], False)
+            if last.shape[1] and seen:
+                out[0] = False
+            if x.shape[1]:
+                seen = bool(out[-1]) or (seen and x.shape[1] == 1)
+                last = x[:, -1:]
+            yield pa.RecordBatch.from_arrays([pa.array(v[out]) for v in x], names=["key", "node", "place"])
+
+    rows = "key long, node long, place long"
+    found = (src.select("id", "text").mapInArrow(send, rows).repartition("key").sortWithinPartitions("key", "node")
+             .mapInArrow(several, rows))
+    return found.select("key", "node", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("at"))
+
+
+def _different_buckets(entries: DataFrame) -> DataFrame:
+    """Of buckets with the same nodes one: a pair that meets in several is
+    compared there, and a bound that rules it out holds wherever it meets."""
+    nodes = entries.groupBy("key").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                                       F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    return entries.join(nodes.groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def _bounded(nx, ny, ax, ay, percent: int, least=np.minimum, most=np.maximum):
+    """Whether sets of sizes nx and ny that share the shingles at places ax
+    and ay of a global order may reach the similarity: what lies before both
+    places, or behind both, is all that they can share besides."""
+    shared = least(ax, ay) + 1 + least(nx - ax - 1, ny - ay - 1)
+    return (100 * least(nx, ny) >= percent * most(nx, ny)) & ((100 + percent) * shared >= percent * (nx + ny))
 
 
-def _orders(cell: bytes) -> np.ndarray:
-    """ORDERS - 1 rows: the prefixes of the orders after the first."""
-    return np.frombuffer(cell, np.uint32).reshape(ORDERS - 1, -1)
+def _leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each node with the leader of its bucket and length partition."""
+    head = entries.groupBy("key", "lc").agg(F.min(F.struct("node", "n", "at")).alias("m"))
+    near = _bounded(F.col("m.n"), F.col("n"), F.col("m.at"), F.col("at"), percent, F.least, F.greatest)
+    return (entries.join(head, ["key", "lc"]).filter((F.col("node") != F.col("m.node")) & near)
+            .select(F.col("m.node").alias("a"), F.col("node").alias("b")).distinct())
 
 
-def _share(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Which x and y have an entry in common, as a matrix."""
-    out = np.zeros((len(x), len(y)), bool)
-    tx, ty = np.concatenate(x), np.concatenate(y)
-    ix, iy = np.repeat(np.arange(len(x)), [len(v) for v in x]), np.repeat(np.arange(len(y)), [len(v) for v in y])
-    order = np.argsort(tx, kind="stable")
-    tx, ix = tx[order], ix[order]
-    lo, hi = np.searchsorted(tx, ty), np.searchsorted(tx, ty, "right")
-    out[ix[K.take_ranges(lo, hi - lo)], np.repeat(iy, hi - lo)] = True
-    return out
+def _between_components(entries: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and pass its
+    bounds."""
+    member = stored(entries.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "member")
+    mixed = (member.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key")
+             .agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("cs"))
+             .filter("cs > 1").select("key", F.col("m.c").alias("main")))
+    sizes = member.groupBy("key", "lc").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = (member.join(mixed, "key").join(sizes, ["key", "lc"])
+            .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    packed = F.collect_list(F.struct("node", "c", "n", "at"))
+    every = rows.groupBy("key", "lc", "blk").agg(packed.alias("y"))
+    strays = (rows.filter("c <> main").groupBy("key", F.col("lc").alias("own"), "blk").agg(packed.alias("x")).drop("blk")
+              .withColumn("lc", F.explode(F.expr("array(own - 1, own, own + 1)")))
+              .join(sizes, ["key", "lc"]).withColumn("blk", F.explode(F.expr("sequence(0L, blocks - 1)"))))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = lambda cell: (cell.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "c", "n", "at"))
+        for b in batches:
+            found = [np.zeros((0, 2), np.int64)]
+            for x, y in zip(b.column(0), b.column(1)):
+                (ix, cx, nx, ax), (iy, cy, ny, ay) = columns(x), columns(y)
+                i, j = np.nonzero((cx[:, None] != cy) & _bounded(nx[:, None], ny, ax[:, None], ay, percent))
+                found.append(np.stack([np.minimum(ix[i], iy[j]), np.maximum(ix[i], iy[j])], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-def _bounded(nx, ny, ax, ay, percent: int):
-    """Whether sets of sizes nx and ny that share the shingles at places ax
-    and ay of a global order may reach the similarity: what lies before both
-    places, or behind both, is all that they can share besides."""
-    most = np.minimum(ax, ay) + 1 + np.minimum(nx - ax - 1, ny - ay - 1)
-    return (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & ((100 + percent) * most >= percent * (nx + ny))
+    return strays.join(every, ["key", "lc", "blk"]).select("x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each member with the smallest id of its bucket and length
-    partition."""
-    head = entries.groupBy("key", "lc").agg(F.min(F.struct("id", "n", "at")).alias("m"))
-    most = F.least("m.at", "at") + 1 + F.least(F.col("m.n") - F.col("m.at"), F.col("n") - F.col("at")) - 1
-    near = (100 * F.least("m.n", "n") >= percent * F.greatest("m.n", "n")) & (
-        (100 + percent) * most >= percent * (F.col("m.n") + F.col("n")))
-    return (entries.join(head, ["key", "lc"]).filter((F.col("id") != F.col("m.id")) & near)
-            .select(F.col("m.id").alias("a"), F.col("id").alias("b")).distinct())
-
-
-def _in_all_orders(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs that share a prefix shingle under each further order."""
+def _in_all_orders(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that share a prefix shingle under each further order, and
+    whose compact lists leave the similarity possible."""
     for side in "ab":
-        pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("q").alias(f"q{side}")).hint("merge"), side)
-    schema = T.StructType([pairs.schema["a"], pairs.schema["b"]])
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("q").alias(f"q{side}"), F.col("c").alias(f"c{side}")), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (_orders(v.as_buffer()) for v in (x, y))
-                ok.append(all(len(np.intersect1d(u, v)) > 0 for u, v in zip(x, y)))
+            for qx, qy, cx, cy in zip(*(b.column(k) for k in (2, 3, 4, 5))):
+                qx, qy = (np.frombuffer(v.as_buffer(), np.uint16).reshape(ORDERS - 1, -1) for v in (qx, qy))
+                good = all(np.isin(u, v).any() for u, v in zip(qx, qy))
+                if good:
+                    x, y = _expanded(cx.as_buffer()), _expanded(cy.as_buffer())
+                    same = most_common(x, y)
+                    good = 100 * same >= percent * (len(x) + len(y) - same)
+                ok.append(good)
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b", "qa", "qb").mapInArrow(run, schema).distinct()
+    return pairs.select("a", "b", "qa", "qb", "ca", "cb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, src: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    spark = src.sparkSession
+def _verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity; ``classes`` has
+    the id (rep) of one document of each node."""
     pairs = stored(pairs, "pairs")
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    # rows that repeat an id and its text count once
-    texts = (src.join(need.hint("merge"), "id", "left_semi").withColumn("h", F.xxhash64("text"))
-             .dropDuplicates(["id", "h"]).select("id", "text"))
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node")
+    texts = src.join(need.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, s, at in _sets(batches, width):
-            yield pa.RecordBatch.from_arrays([ids, _binary([s[a:b] for a, b in zip(at[:-1], at[1:])])], names=["id", "s"])
+        for _, s, at in _sets(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array(_node(s, at)), pa.array([s[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())],
+                                             names=["node", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,54 +312,11 @@ def _verified(pairs: DataFrame, src: DataFrame, width: int, percent: int) -> Dat
                 ok.append(100 * same >= percent * (len(x) + len(y) - same) and same > 0)
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sets = stored(texts.mapInArrow(read, T.StructType([src.schema["id"], T.StructField("s", T.BinaryType())])), "sets")
+    # a row that repeats an id and its text gives its set once
+    sets = stored(texts.mapInArrow(read, "node long, s binary").dropDuplicates(["node"]), "sets")
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("s").alias(f"s{side}")).hint("merge"), side)
-    done = T.StructType([pairs.schema["a"], pairs.schema["b"]])
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(compare, done).distinct()
-
-
-def _between_components(entries: DataFrame, comp: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and pass the
-    filters of all orders."""
-    member = stored(entries.join(comp.hint("merge"), entries.id == comp.node, "left")
-                    .select("key", "lc", "id", "n", "at", F.coalesce("component", "id").alias("c")), "member")
-    mixed = (member.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key")
-             .agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("cs"))
-             .filter("cs > 1").select("key", F.col("m.c").alias("main")))
-    sizes = member.groupBy("key", "lc").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = (member.join(mixed, "key").join(sizes, ["key", "lc"]).join(reps.select("id", "q").hint("merge"), "id")
-            .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks"))))
-    packed = F.collect_list(F.struct("id", "c", "n", "at", "q"))
-    every = rows.groupBy("key", "lc", "blk").agg(packed.alias("y"))
-    strays = (rows.filter("c <> main").groupBy("key", F.col("lc").alias("own"), "blk").agg(packed.alias("x")).drop("blk")
-              .withColumn("lc", F.explode(F.expr("array(own - 1, own, own + 1)")))
-              .join(sizes, ["key", "lc"]).withColumn("blk", F.explode(F.expr("sequence(0L, blocks - 1)"))))
-    schema = T.StructType([T.StructField(c, member.schema["id"].dataType) for c in "ab"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(cell):
-            v = cell.values
-            num = lambda c: v.field(c).to_numpy(zero_copy_only=False).astype(np.int64)
-            return v.field("id").to_pylist(), v.field("c").to_pylist(), num("n"), num("at"), [_orders(q) for q in v.field("q").to_pylist()]
-
-        for b in batches:
-            found = set()
-            for cx, cy in zip(b.column(0), b.column(1)):
-                (ix, gx, nx, ax, qx), (iy, gy, ny, ay, qy) = block(cx), block(cy)
-                number = {g: k for k, g in enumerate(dict.fromkeys(gx + gy))}
-                ok = np.array([number[g] for g in gx])[:, None] != np.array([number[g] for g in gy])
-                ok &= _bounded(nx[:, None], ny, ax[:, None], ay, percent)
-                u, v = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
-                for k in range(ORDERS - 1):
-                    if len(u):
-                        ok[np.ix_(u, v)] &= _share([qx[i][k] for i in u], [qy[j][k] for j in v])
-                found.update((min(ix[i], iy[j]), max(ix[i], iy[j])) for i, j in np.argwhere(ok))
-            cols = list(zip(*found)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, b.column(0).type.value_type.field("id").type) for c in cols],
-                                             names=["a", "b"])
-
-    return strays.join(every, ["key", "lc", "blk"]).select("x", "y").mapInArrow(run, schema).distinct()
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("s").alias(f"s{side}")), side)
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long").distinct()
 
 
 def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -292,7 +328,7 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     their sets of ``width``-word shingles; with fewer words the whole sequence
     is the one shingle. Words are lower-cased (A-Z). Every filter is a bound
     that no linked pair misses, and links are confirmed on full sets, so the
-    result is exact (shingles are held as 64-bit hashes).
+    result is exact (shingles and sets are known by 64-bit hashes).
 
     Null or word-less texts have 0 shingles and are linked with nothing. Rows
     with a null id are linked with nothing and have a null component. Rows
@@ -300,26 +336,28 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gives an empty result. Other columns are not read.
     """
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    classes = frequency_classes(src, width)
-    s = stored(_packed(src, classes, width, percent), "prefixes")
+    known_ids = src.filter("id is not null")
+    ranks = frequency_classes(src, width)
+    s = stored(_documents(src, ranks, width, percent), "documents")
     live = s.filter("n > 0 and id is not null")
-    sets = stored(live.groupBy("sig_a", "sig_b", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = stored(live.join(sets, ["sig_a", "sig_b", "n"]).filter("id = rep")
-                  .dropDuplicates(["id", "sig_a", "sig_b", "n"]).select("id", "n", "p", "q"), "reps")
-    each = _entries(reps)
-    shared = each.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
+    classes = stored(live.groupBy("node").agg(F.min("id").alias("rep")), "classes")
     # a little wider than 1 / t: rounding puts no pair two partitions apart
     part = -math.log(percent / 100 * (1 - 1e-9)) if percent < 100 else 1e-9
-    entries = stored(each.join(shared, "key").withColumn("lc", F.floor(F.log("n") / part)), "entries")
-    # an id that has several texts ties their classes together
-    known = live.select("id", "sig_a", "sig_b", "n").join(sets, ["sig_a", "sig_b", "n"]).select("id", "rep").distinct()
-    several = known.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id")
-    tied = known.join(several, "id").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    first = _in_all_orders(_leader_pairs(entries, percent), reps)
-    links = stored(_verified(first, src, width, percent).union(tied), "links")
-    rest = _between_components(entries, components(links), reps, percent)
-    comp = stored(components(links.union(_verified(rest, src, width, percent))), "comp")
-    out = (s.select("id", "n", "sig_a", "sig_b").join(sets, ["sig_a", "sig_b", "n"], "left")
-           .join(comp, F.col("rep") == F.col("node"), "left"))
-    linked = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
+    entries = stored(_entries(known_ids, ranks, width, percent).withColumn("lc", F.floor(F.log("n") / part)), "shared")
+    entries = stored(_different_buckets(entries), "entries")
+    sets = stored(live.join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+                  .select("node", "q", "c"), "compact")
+    # an id that has several texts ties their nodes together
+    several = live.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("id", "a")
+    tied = live.join(several, "id").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    first = _in_all_orders(_leader_pairs(entries, percent), sets, percent)
+    links = stored(_verified(first, classes, known_ids, width, percent).union(tied), "links")
+    comp = components(links).select("node", "component")
+    rest = _in_all_orders(_between_components(entries, comp, percent), sets, percent)
+    comp = stored(components(links.union(_verified(rest, classes, known_ids, width, percent))).select("node", "component"), "comp")
+    named = classes.join(comp, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    lowest = named.groupBy("group").agg(F.min("rep").alias("component_id"))
+    named = named.join(lowest, "group").select("node", "component_id")
+    out = s.select("id", "n", "node").join(named, "node", "left")
+    linked = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), linked.alias("component_id"))
