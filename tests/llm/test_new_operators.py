@@ -6,6 +6,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,21 +167,35 @@ def test_prefixes_of_similar_sets_meet_in_every_order():
 
 def test_compact_lists_bound_the_intersection():
     rng = np.random.default_rng(8)
+    pairs = [(np.zeros(0, np.uint64), np.arange(3, dtype=np.uint64))]
     for _ in range(200):
         x, y = (np.unique(rng.integers(0, 1 << 64, int(n), dtype=np.uint64)) for n in rng.integers(1, 400, 2))
-        y = np.unique(np.append(y, x[rng.random(len(x)) < rng.random()]))
-        cx, cy = J._expanded(J.compact(x)), J._expanded(J.compact(y))
-        assert len(cx) == len(x) and len(cy) == len(y)
+        pairs.append((x, np.unique(np.append(y, x[rng.random(len(x)) < rng.random()]))))
+    cells = [pa.array([J.compact(v) for v in side], pa.binary()) for side in zip(*pairs)]
+    most, nx, ny = J.most_common(*cells)
+    assert nx.tolist() == [len(x) for x, _ in pairs] and ny.tolist() == [len(y) for _, y in pairs]
+    for (x, y), m in zip(pairs, most):
         same = len(np.intersect1d(x, y))
-        assert same <= J.most_common(cx, cy) <= same + 5 + 0.1 * min(len(x), len(y))
-    assert J.compact(np.zeros(0, np.uint64)) == b""
+        assert same <= m <= same + 5 + 0.1 * min(len(x), len(y))
+    assert J.most_common(cells[0].slice(0, 0), cells[1].slice(0, 0))[0].tolist() == []
+
+
+def test_shared_entries_of_all_orders():
+    rng = np.random.default_rng(6)
+    x, y = [], []
+    for _ in range(300):
+        x.append(rng.integers(0, 12, (J.ORDERS - 1, int(rng.integers(1, 4)))).astype(np.uint16))
+        y.append(rng.integers(0, 12, (J.ORDERS - 1, int(rng.integers(1, 4)))).astype(np.uint16))
+    want = [all(len(np.intersect1d(u, v)) for u, v in zip(a, b)) for a, b in zip(x, y)]
+    cells = [pa.array([v.tobytes() for v in side], pa.binary()) for side in (x, y)]
+    assert J.share_all(*cells).tolist() == want and any(want) and not all(want)
 
 
 def test_classes_rank_common_shingles_last(spark):
     rows = [(i, "one two three four " + f"x{i} y{i} z{i} v{i}") for i in range(400)]
     src = spark.createDataFrame(rows, "id long, text string").repartition(3)
     classes = J.frequency_classes(src, 4)
-    buf, offs = K.utf8(__import__("pyarrow").array([rows[0][1]]))
+    buf, offs = K.utf8(pa.array([rows[0][1]]))
     s, _ = J.shingle_sets(buf, offs, 4)
     assert sorted(classes[J._cell(s)] > 0) == [False] * 4 + [True]
     common = classes[J._cell(s)] > 0

@@ -23,4 +23,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, "llm", name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for these frames, once all that is made of
+    them is written itself."""
+    for df in frames:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def near_filter(big: DataFrame, keys: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
+    """``big`` where ``on`` is among the distinct ``keys`` (a stored frame of
+    one column). Up to ``most`` keys are broadcast, so that ``big`` is not
+    shuffled; more are joined by key."""
+    few = keys.limit(most + 1).count() <= most
+    return big.join(F.broadcast(keys) if few else keys, on, "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(links: DataFrame) -> DataFrame:
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now[0] == 0 or now == mark:
             break
-        mark = now
+        mark, old = now, e
         e = stored(_small_star(_large_star(e)), "star")
+        discard(old)
     return (e.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .union(e.select("b", "b")).distinct())

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import stored
+from .common import discard, near_filter, stored
 from .components import components
 from .minhash import shingle_sets
 
@@ -132,20 +132,61 @@ def _level(n: int) -> int:
     return n.bit_length() + 5
 
 
-def _expanded(cell: bytes) -> np.ndarray:
-    b = np.frombuffer(cell, np.uint8)
-    return np.cumsum(b, dtype=np.int64)[b != 255]
-
-
-def most_common(x: np.ndarray, y: np.ndarray) -> int:
-    """Upper bound of the intersection of two sets from their compact lists:
-    shingles that agree in the bits that both lists have."""
-    down = _level(len(x)) - _level(len(y))
-    x, y = (x >> down, y) if down >= 0 else (x, y >> -down)
-    ux, cx = np.unique(x, return_counts=True)
-    uy, cy = np.unique(y, return_counts=True)
-    _, i, j = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
-    return int(np.minimum(cx[i], cy[j]).sum())
+def _flat(cells: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The binary cells one after the other as numbers, and their lengths."""
+    cells = cells.combine_chunks() if isinstance(cells, pa.ChunkedArray) else cells
+    _, ob, db = cells.buffers()
+    offs = np.frombuffer(ob, np.int32, len(cells) + 1, cells.offset * 4).astype(np.int64)
+    data = np.frombuffer(db, np.uint8)[offs[0]:offs[-1]] if db else np.zeros(0, np.uint8)
+    return data.view(kind), np.diff(offs) // np.dtype(kind).itemsize
+
+
+def expanded(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The compact lists of the cells, one after the other, and the cell of
+    each value."""
+    b, size = _flat(cells, np.uint8)
+    total = np.append(0, np.cumsum(b, dtype=np.int64))
+    cell = np.repeat(np.arange(len(size)), size)
+    ends = np.flatnonzero(b != 255)
+    base = total[np.cumsum(size) - size]
+    return total[ends + 1] - base[cell[ends]], cell[ends]
+
+
+def _numbered(key: np.ndarray) -> np.ndarray:
+    """Sorted keys, equal ones told apart by their number."""
+    new = np.append(True, key[1:] != key[:-1])
+    first = np.flatnonzero(new)
+    nth = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+    return (key << 8) + np.minimum(nth, 255)
+
+
+def most_common(x: pa.Array, y: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of compact lists x and y: upper bounds of the intersections'
+    sizes, from the shingles that agree in the bits that both lists have, and
+    the sizes of both sets."""
+    (vx, rx), (vy, ry) = expanded(x), expanded(y)
+    nx, ny = np.bincount(rx, minlength=len(x)), np.bincount(ry, minlength=len(y))
+    lx, ly = (np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) + 6 for n in (nx, ny))  # _level
+    low = np.minimum(lx, ly)
+    kx = _numbered((rx << 40) | (vx >> (lx - low)[rx]))
+    ky = _numbered((ry << 40) | (vy >> (ly - low)[ry]))
+    at = np.minimum(np.searchsorted(kx, ky), max(len(kx) - 1, 0))
+    same = kx[at] == ky if len(kx) else np.zeros(len(ky), bool)
+    return np.bincount(ry, same, len(y)).astype(np.int64), nx, ny
+
+
+def share_all(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """For rows of prefixes x and y: whether they share an entry in each
+    further order."""
+    keys = []
+    for cells in (x, y):
+        v, size = _flat(cells, np.uint16)
+        row = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(v)) - (np.cumsum(size) - size)[row]
+        order = place * (ORDERS - 1) // np.maximum(size, 1)[row]
+        keys.append(((row * (ORDERS - 1) + order) << 16) | v)
+    hit = np.intersect1d(*keys) >> 16
+    return np.bincount(np.unique(hit) // (ORDERS - 1), minlength=len(x)) == ORDERS - 1
 
 
 def _node(s: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -242,7 +283,7 @@ def _leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
 def _between_components(entries: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and pass its
     bounds."""
-    member = stored(entries.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "member")
+    member = entries.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     mixed = (member.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key")
              .agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("cs"))
              .filter("cs > 1").select("key", F.col("m.c").alias("main")))
@@ -277,26 +318,22 @@ def _in_all_orders(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for qx, qy, cx, cy in zip(*(b.column(k) for k in (2, 3, 4, 5))):
-                qx, qy = (np.frombuffer(v.as_buffer(), np.uint16).reshape(ORDERS - 1, -1) for v in (qx, qy))
-                good = all(np.isin(u, v).any() for u, v in zip(qx, qy))
-                if good:
-                    x, y = _expanded(cx.as_buffer()), _expanded(cy.as_buffer())
-                    same = most_common(x, y)
-                    good = 100 * same >= percent * (len(x) + len(y) - same)
-                ok.append(good)
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                part = part.filter(pa.array(share_all(part.column(2), part.column(3))))
+                same, nx, ny = most_common(part.column(4), part.column(5))
+                yield part.select(["a", "b"]).filter(pa.array((100 + percent) * same >= percent * (nx + ny)))
 
     return pairs.select("a", "b", "qa", "qb", "ca", "cb").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; ``classes`` has
-    the id (rep) of one document of each node."""
-    pairs = stored(pairs, "pairs")
+    """The pairs (a, b) whose full sets reach the similarity, written;
+    ``classes`` has the id (rep) of one document of each node."""
+    pairs = likely = stored(pairs, "pairs")
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node")
-    texts = src.join(need.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    need = stored(need.select(F.col("rep").alias("id")).distinct(), "need")
+    texts = near_filter(src, need, "id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, s, at in _sets(batches, width):
@@ -316,7 +353,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, width: int,
     sets = stored(texts.mapInArrow(read, "node long, s binary").dropDuplicates(["node"]), "sets")
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("s").alias(f"s{side}")), side)
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long").distinct()
+    out = stored(pairs.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long").distinct(), "verified")
+    discard(likely, need, sets)
+    return out
 
 
 def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -343,10 +382,11 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = stored(live.groupBy("node").agg(F.min("id").alias("rep")), "classes")
     # a little wider than 1 / t: rounding puts no pair two partitions apart
     part = -math.log(percent / 100 * (1 - 1e-9)) if percent < 100 else 1e-9
-    entries = stored(_entries(known_ids, ranks, width, percent).withColumn("lc", F.floor(F.log("n") / part)), "shared")
-    entries = stored(_different_buckets(entries), "entries")
+    shared = stored(_entries(known_ids, ranks, width, percent).withColumn("lc", F.floor(F.log("n") / part)), "shared")
+    entries = stored(_different_buckets(shared), "entries")
     sets = stored(live.join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
                   .select("node", "q", "c"), "compact")
+    discard(shared)
     # an id that has several texts ties their nodes together
     several = live.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("id", "a")
     tied = live.join(several, "id").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
@@ -354,7 +394,9 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = stored(_verified(first, classes, known_ids, width, percent).union(tied), "links")
     comp = components(links).select("node", "component")
     rest = _in_all_orders(_between_components(entries, comp, percent), sets, percent)
-    comp = stored(components(links.union(_verified(rest, classes, known_ids, width, percent))).select("node", "component"), "comp")
+    rest = _verified(rest, classes, known_ids, width, percent)
+    comp = stored(components(links.union(rest)).select("node", "component"), "comp")
+    discard(entries, sets)
     named = classes.join(comp, "node", "left").withColumn("group", F.coalesce("component", "node"))
     lowest = named.groupBy("group").agg(F.min("rep").alias("component_id"))
     named = named.join(lowest, "group").select("node", "component_id")
