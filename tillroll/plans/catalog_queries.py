@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from ..functions import clean as C
 from ..operators import catalog as K, inventory as I
-from .registry import query
+from ..sources import keyed as KT
+from .registry import REGISTRY, query
 
 _GROUPS = """
 SELECT product_code, min(product_name) AS product_name,
@@ -247,3 +248,37 @@ def _f14(fx):
 def _f14l(fx):
     """the image list dispatcher with a keyword."""
     return K.catalog_list(fx.product_images, "red")
+
+
+def _keyed(fx):
+    """The catalog and the stock list as keyed copies."""
+    tables = KT.KeyedTables(fx.spark, buckets=8)
+    KT.save_catalog(tables, fx.product_images)
+    tables.save("inventory_by_option", fx.inventory)
+    return tables
+
+
+@query("image_by_code_keyed", views=("product_images",), sql=REGISTRY["image_by_code"].sql)
+def _f9k(fx):
+    """F9 on the copy keyed by code: one bucket is read."""
+    return K.image_by_code(_keyed(fx).open("catalog_by_code"), "00007")
+
+
+@query("image_by_option_keyed", views=("product_images",), sql=REGISTRY["image_by_option"].sql)
+def _f8k(fx):
+    """F8 on the copy keyed by option: one bucket is read."""
+    return K.image_by_option(_keyed(fx).open("catalog_by_option"), "SO0007 SMALL")
+
+
+@query("product_options_keyed", views=("product_images", "inventory"), sql=REGISTRY["product_options_with_stock"].sql)
+def _j2k(fx):
+    """J2 on the copies keyed by option: grouped and joined without a shuffle
+    of either side."""
+    tables = _keyed(fx)
+    return K.product_options_with_stock(tables.open("catalog_by_option"), tables.open("inventory_by_option"), one_per_option=True)
+
+
+@query("product_options_fanout_keyed", views=("product_images", "inventory"), sql=REGISTRY["product_options_fanout"].sql)
+def _j1k(fx):
+    """J1 on the keyed copies."""
+    return KT.options_of_product(_keyed(fx), "00007")

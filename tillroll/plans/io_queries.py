@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import maintain as M, sales as S
-from ..schemas import (FILES_SCHEMA, INVENTORY_SCHEMA, PRODUCT_IMAGES_SCHEMA, SALES_SCHEMA,
+from ..schemas import (CHUNK_SCHEMA, FILES_SCHEMA, INVENTORY_SCHEMA, PRODUCT_IMAGES_SCHEMA, SALES_SCHEMA,
                        STORE_SALES_SCHEMA)
 from ..session import work_path
 from ..sources import export as X, ingest as G
@@ -17,6 +17,7 @@ from ..sources.delimited import read_records
 from ..sources.row_ids import stored_schema
 from ..sources.store import TableStore
 from ..streaming import chunks as CH
+from ..streaming.expiry import run_expiry
 from . import duck_sql as Q
 from .clean_queries import (CLEAN_CATALOG_SQL, CLEAN_INVENTORY_SQL, CLEAN_SALES_SQL, CLEAN_STORE_SQL,
                             SALES_TEXT, raw_catalog_file, raw_sales_file, raw_stock_file, raw_store_file)
@@ -50,6 +51,45 @@ def _s3r(fx):
     return _chunked_upload(fx).read(M.FILES, FILES_SCHEMA).select("id", "original_name", "file_type", "row_count")
 
 
+_CHUNK = "floor(l_orderkey / 2000)"
+
+
+@query("upload_expiry", views=("raw_lines",), sql=f"""
+SELECT file_id, status, coalesce(n, 0) AS fact_rows, coalesce(s, 0) AS staged_rows
+FROM (VALUES (1, 'active'), (2, 'expired'), (3, 'active')) f(file_id, status)
+LEFT JOIN (SELECT 1 AS file_id, count(*) AS n FROM raw_lines WHERE {Q.keep_sales_line("product_name")}) USING (file_id)
+LEFT JOIN (SELECT 3 AS file_id, count(*) AS s FROM raw_lines
+  WHERE {Q.keep_sales_line("product_name")} AND {_CHUNK} > 0) USING (file_id)""")
+def _s3x(fx):
+    """S3: a complete upload, one whose first chunk never came, and a recent
+    one like it. A day later the first is closed and the second expired,
+    neither leaves staged rows, and a chunk sent again for the second changes
+    nothing."""
+    spark, store = fx.spark, TableStore(fx.spark)
+    lines = raw_sales_file(fx, F.expr(_CHUNK).alias("_chunk"))
+    root = work_path(spark, "upload-expiry")
+    for fid, day, part in ((1, "2024-01-01", lines), (2, "2024-01-02", lines), (3, "2024-01-09", lines)):
+        at = f"{root}/all/{fid}"
+        CH.write_chunks(part, at, fid, "original", "_chunk", list(SALES_TEXT), f"f{fid}.xlsx", sent_at=day)
+        docs = spark.read.schema(CHUNK_SCHEMA).json(at)
+        (docs if fid == 1 else docs.filter("chunk_index > 0")).write.mode("append").json(f"{root}/in")
+
+    def go(name):
+        paths = CH.run_chunk_upload(spark, f"{root}/in", f"{root}/tables", f"{root}/{name}", finalize_into=store)
+        run_expiry(spark, f"{root}/in", paths, store, "1 day", f"{root}/{name}-ends")
+        return paths
+
+    go("ck")
+    spark.read.schema(CHUNK_SCHEMA).json(f"{root}/all/2").filter("chunk_index = 0").write.mode("append").json(f"{root}/in")
+    paths = go("ck")
+    facts = store.read(M.SALES, SALES_SCHEMA).groupBy("file_id").agg(F.count("*").alias("fact_rows"))
+    staged = CH.staged_rows(spark, paths, "sales").groupBy("file_id").agg(F.count("*").alias("staged_rows"))
+    files = store.read(M.FILES, FILES_SCHEMA).select(F.col("id").alias("file_id"), "status")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return (files.join(facts, "file_id", "left").join(staged, "file_id", "left")
+            .select("file_id", "status", none("fact_rows"), none("staged_rows")))
+
+
 @query("store_chunk_upload", views=("raw_lines",), sql=CLEAN_STORE_SQL)
 def _s3m(fx):
     """S3 for store/day chunks (file_type 'monthly', data type in the

@@ -136,5 +136,6 @@ CHUNK_SCHEMA = T.StructType([
     T.StructField("total_chunks", T.IntegerType()),
     T.StructField("original_name", T.StringType()),
     T.StructField("data_type", T.StringType()),
+    T.StructField("sent_at", T.TimestampType()),
     T.StructField("rows", T.ArrayType(CHUNK_ROW)),
 ])
