@@ -25,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .common import of_text
 
 BLOCK_BYTES = 16 << 20
 
-_TEXT, _HITS, _ITEMS, _WORDS = "__text", "__hits", "__items", "__words"
+_HITS, _ITEMS, _WORDS = "__hits", "__items", "__words"
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list[str], list[str]]]:
@@ -154,38 +155,53 @@ def _merge(old: list[int] | None, start: np.ndarray, end: np.ndarray) -> list[in
     return np.column_stack([start[first], end[last]]).reshape(-1).tolist()
 
 
-def _match(state: DataFrame, index: _Index, items: list[str]) -> DataFrame:
-    sent = state.sparkSession.sparkContext.broadcast((index, items))
-    names = state.columns
-    schema = state.schema
+_FOUND = T.StructType([T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())),
+                       T.StructField("words", T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _matches(text: Column, spark: SparkSession, index: _Index, items: list[str]) -> Column:
+    """(hits, items, words) of a text: its hit word intervals, flattened, the
+    items with occurring windows, and its number of words."""
+    sent = spark.sparkContext.broadcast((index, items))
+
+    def rows(buf: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
         index, items = sent.value
-        for b in batches:
-            buf, offs = K.utf8(b.column(len(names) - 4))
-            hits, found = b.column(len(names) - 3).to_pylist(), b.column(len(names) - 2).to_pylist()
-            count = [np.zeros(0, np.int64)]
-            for i, j in K.slices(offs):
-                h, rows, _, _ = K.words(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], K.ALNUM)
-                n = np.bincount(rows, minlength=j - i)
-                count.append(n)
-                base = np.cumsum(n) - n
-                win, start = index.occurrences(h, rows)
-                at = rows[start]
-                order = np.argsort(at, kind="stable")
-                win, start, at = win[order], start[order], at[order]
-                for part in np.split(np.arange(len(at)), np.flatnonzero(at[1:] != at[:-1]) + 1):
-                    if not len(part):
-                        continue
-                    r = int(at[part[0]])
-                    s = start[part] - base[r]
-                    hits[i + r] = _merge(hits[i + r], s, s + index.size[win[part]])
-                    found[i + r] = sorted({*(found[i + r] or ()), *(items[x] for x in np.unique(index.item[win[part]]))})
-            cols = [b.column(k) for k in range(len(names) - 3)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string())),
-                                              pa.array(np.concatenate(count))], names=names)
-
-    return state.mapInArrow(run, schema)
+        h, rows, _, _ = K.words(buf, offs, K.ALNUM)
+        n = np.bincount(rows, minlength=len(offs) - 1)
+        hits, found = [None] * len(n), [None] * len(n)
+        base = np.cumsum(n) - n
+        win, start = index.occurrences(h, rows)
+        at = rows[start]
+        order = np.argsort(at, kind="stable")
+        win, start, at = win[order], start[order], at[order]
+        for part in np.split(np.arange(len(at)), np.flatnonzero(at[1:] != at[:-1]) + 1):
+            if len(part):
+                r = int(at[part[0]])
+                s = start[part] - base[r]
+                hits[r] = _merge(None, s, s + index.size[win[part]])
+                found[r] = sorted({items[x] for x in np.unique(index.item[win[part]])})
+        return [pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string())), pa.array(n.astype(np.int64))]
+
+    return of_text(text, rows, _FOUND)
+
+
+def _spans(pairs: Column) -> Column:
+    """Flattened intervals as an array of (start, end)."""
+    return F.transform(F.filter(pairs, lambda x, i: i % 2 == 0),
+                       lambda x, i: F.struct(x.alias("start"), F.get(pairs, 2 * i + 1).alias("end")))
+
+
+def _united(a: Column, b: Column) -> Column:
+    """Union of two lists of flattened intervals, each sorted and disjoint."""
+    def add(acc, x):
+        last = F.element_at(acc, -1)
+        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
+            last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
+        return F.when((F.size(acc) > 0) & (x["start"] <= last["end"]), longer).otherwise(F.concat(acc, F.array(x)))
+
+    every = F.array_sort(F.concat(_spans(a), _spans(b)))
+    merged = F.aggregate(every, F.array().cast("array<struct<start:bigint,end:bigint>>"), add)
+    return F.flatten(F.transform(merged, lambda s: F.array(s["start"], s["end"])))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
@@ -205,19 +221,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     new = {"n_words", "n_hit", "hits", "items", "n_items", "contaminated"}
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in new]
-    state = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(_TEXT),
-                        F.lit(None).cast("array<long>").alias(_HITS),
-                        F.lit(None).cast("array<string>").alias(_ITEMS), F.lit(None).cast("long").alias(_WORDS))
-    state = state.to(T.StructType([T.StructField(f.name, f.dataType) for f in state.schema]))
-    done = False
-    for items, texts in _blocks(benchmark, item_col, item_text_col):
-        index = _index(docs, text_col, texts, window)
-        state, done = _match(state, index, items), True
-    if not done:
-        state = _match(state, _index(docs, text_col, [], window), [])
-    pairs = F.coalesce(F.col(_HITS), F.array().cast("array<long>"))
-    spans = F.transform(F.filter(pairs, lambda x, i: i % 2 == 0),
-                        lambda x, i: F.struct(x.alias("start"), F.get(pairs, 2 * i + 1).alias("end")))
+    text = F.col(f"`{text_col}`")
+    none = F.struct(F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<string>").alias("items"),
+                    F.lit(0).cast("bigint").alias("words"))
+    blocks = [(_index(docs, text_col, texts, window), items) for items, texts in _blocks(benchmark, item_col, item_text_col)]
+    blocks = blocks or [(_index(docs, text_col, [], window), [])]
+    state = docs.select(*[F.col(f"`{c}`") for c in keep],
+                        *[_matches(text, docs.sparkSession, i, items).alias(f"__m{k}") for k, (i, items) in enumerate(blocks)])
+    got = [F.coalesce(F.col(f"__m{k}"), none) for k in range(len(blocks))]
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    hits, items = empty(got[0]["hits"], "array<bigint>"), empty(got[0]["items"], "array<string>")
+    for g in got[1:]:
+        hits = _united(hits, empty(g["hits"], "array<bigint>"))
+        items = F.array_sort(F.array_union(items, empty(g["items"], "array<string>")))
+    state = state.select(*[F.col(f"`{c}`") for c in keep], hits.alias(_HITS), items.alias(_ITEMS), got[0]["words"].alias(_WORDS))
+    spans = _spans(F.col(_HITS))
     return (state.withColumn("hits", spans)
             .withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]))
             .select(*[F.col(f"`{c}`") for c in keep], F.col(_WORDS).alias("n_words"), "n_hit", "hits",

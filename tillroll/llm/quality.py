@@ -14,7 +14,6 @@ hashes of their ids; statistics and scores cover all documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import crc_mod
+from .common import crc_mod, of_text
 from .fingerprints import ANCHORS
 
 SAMPLE = 12_000
@@ -93,21 +92,16 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.round(np.column_stack(cols), 9)
 
 
+_STATISTICS = T.StructType([T.StructField(f"s{k}", T.DoubleType()) for k in range(len(STATISTICS))])
+
+
 def text_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` and the statistics as doubles ``__s0``, ..."""
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
-    names = [f"__s{k}" for k in range(len(STATISTICS))]
-    schema = T.StructType([*[src.schema[i] for i in range(len(keep))], *[T.StructField(c, T.DoubleType()) for c in names]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, offs = K.utf8(b.column(len(keep)))
-            for i, j in K.slices(offs):
-                x = statistics(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
-                yield pa.RecordBatch.from_arrays([*[b.column(k).slice(i, j - i) for k in range(len(keep))],
-                                                  *[pa.array(x[:, k]) for k in range(x.shape[1])]], names=schema.names)
-
-    return src.mapInArrow(run, schema)
+    def rows(buf: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
+        return [pa.array(c) for c in statistics(buf, offs).T.copy()]
+
+    found = docs.select(*[F.col(f"`{c}`") for c in keep], of_text(F.col(f"`{text_col}`"), rows, _STATISTICS).alias("__s"))
+    return found.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"__s.s{k}").alias(f"__s{k}") for k in range(len(STATISTICS))])
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, whether above, threshold), ...
