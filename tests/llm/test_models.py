@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.llm import elias_fano as ef
 from tillroll.llm import kernels as K
@@ -84,21 +85,50 @@ def test_words_meet_no_other_ngram(monkeypatch):
     near, next_ = (_word_with_key(pair ^ x) for x in (1, 2))
     h = np.array([a, b, a, b, near, next_], np.uint64)
     assert len({int(x) >> 8 for x in K.chain_hash(h[4:], 1)} | {pair >> 8}) == 1
-    rows, learn = np.zeros(6, np.int64), np.ones(1, bool)
-    counts, _ = LM._slice_scores(h, rows, learn, 3, lambda x: np.zeros(x if isinstance(x, int) else len(x), np.int64), 6, 4)
-    assert counts.tolist() == [2, 2, 2, 2, 1, 1]
+    rows = np.zeros(6, np.int64)
+    ends, uniq, words, inv = LM._entries(h, rows, 3, 144)
+    assert len(words) == 4 and len(uniq) == len(set(uniq.tolist()))
+    assert np.bincount(inv)[inv[:6]].tolist() == [2, 2, 2, 2, 1, 1]
     monkeypatch.setattr(LM, "tokens", lambda text: (h, rows))
     docs = pa.table({"text": ["any"], "held_out": [False]})
-    asked = LM._ask(0, docs, 1, 144)
-    each = [LM._vocabulary(asked.slice(k, 1), 144) for k in range(asked.num_rows)]
-    assert [sum(t.column(c)[0].as_py() for t in each) for c in ("n", "v")] == [6, 4]
-    # other parts' counts of a part that asks twice: its own, for words and longer n-grams alike
-    asked = LM._ask(0, docs, 3, 144)
+    asked = pa.Table.from_batches(LM._ask(0, docs, 3, 144))
+    assert len(asked) and max(asked.column("shard").to_pylist()) >= 144
+    # a group that asks twice: totals of both, for words and longer n-grams alike
     for k in range(asked.num_rows):
         one = asked.slice(k, 1)
-        got = LM._answer(pa.concat_tables([one, one]), 144).column("counts").to_pylist()
-        own = LM._counts_in(one.column("counts")[0].as_py()).tolist()
-        assert [LM._counts_in(x).tolist() for x in got] == [own, own]
+        got = LM._answer(pa.concat_tables([one, one]), 144)
+        own = LM._counts_in(one.column("counts").to_pylist(), one.column("large").to_pylist())
+        for row in range(2):
+            each = got.slice(row, 1)
+            assert (LM._counts_in(each.column("counts").to_pylist(), each.column("large").to_pylist()) == 2 * own).all()
+
+
+def test_counts_beyond_a_byte():
+    c = np.array([0, 254, 255, 256, 10 ** 12, 3, 255], np.int64)
+    small, big = LM._counts_out(c, np.array([0, 2, 2, 5, 7]))
+    assert [len(x) for x in small.to_pylist()] == [2, 0, 3, 2] and [len(x) for x in big.to_pylist()] == [0, 0, 24, 8]
+    assert (LM._counts_in(small.to_pylist(), big.to_pylist()) == c).all()
+
+
+@pytest.mark.parametrize("order,shards", [(1, 1), (2, 5), (3, 700), (4, 3)])
+def test_slices_score_like_the_whole(monkeypatch, order, shards):
+    """A group's scores do not depend on where it is cut."""
+    rng = np.random.default_rng(order)
+    texts = [" ".join(rng.choice(list("abcdefg"), int(n))) for n in rng.integers(0, 60, 40)]
+    docs = pa.table({"id": pa.array(range(40)), "text": texts, "held_out": rng.random(40) < 0.2})
+    blocks = pa.table({"block": pa.chunked_array([pa.array([LM._pack(docs.slice(0, 25)), LM._pack(docs.slice(25))], pa.binary())])})
+    asked = pa.Table.from_batches(LM._ask(0, docs, order, shards))
+    back = pa.concat_tables([LM._answer(asked.slice(k, 1), shards) for k in range(asked.num_rows)])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(T.StructType.fromDDL("id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                                                  "base_score double, score double"))
+    out = []
+    for size in (1 << 20, 50, 7):
+        monkeypatch.setattr(LM, "SLICE", size)
+        out.append(LM._score(blocks, back, order, shards, 1000, 8, schema).to_pydict())
+    assert out[0] == out[1] == out[2]
+    assert all(s < 0 for s in out[0]["score"])
 
 
 def test_language_model_empty(spark, no_docs):

@@ -1,24 +1,30 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Counting and scoring go by *parts*: a part is about ``PART_BYTES`` of documents,
-chosen by a hash of the row.
+Counting and scoring go by *groups*: a group is about ``GROUP_BYTES`` of
+documents, chosen by a hash of the row.
 
-1. Documents travel as compressed blocks of their part. Each part lists its
+1. Documents travel as compressed blocks of their group. Each group lists its
    distinct words as sorted 64-bit hashes and its longer n-grams, apart from
-   them, as 56-bit ones, with their counts in its training documents, and
-   sends each hash range (*shard*) of a list, Elias-Fano coded, to the shard's
-   task. A frequent n-gram is one entry per part, however often it occurs.
-2. A shard adds the counts up and answers every part with what the other
-   parts add to the counts of its entries.
-3. Each part builds its slice of the model, the n-grams that its texts can ask
-   for: levels of a trie whose pointers and successors are monotone
-   Elias-Fano sequences, with quantised log probabilities and back-off
-   weights. The levels are written to a file that only this task reads, and
-   memory-mapped. Texts are scored by context-relative successor search in
-   them.
+   them, as shorter ones, with their counts in its training documents, and
+   sends each hash range (*shard*) of a list to the shard's task: offsets of
+   ``KEY_BYTES`` from the range's start, cut from one array. An n-gram is one
+   entry per group, however often it occurs.
+2. A shard adds the counts up and answers every group with the totals of its
+   entries, in their order.
+3. Each group scores its texts slice by slice, about ``SLICE`` tokens at once,
+   with the tokens before a slice as context. A slice builds its part of the
+   model, the n-grams that its tokens can ask for: levels of a trie whose
+   pointers and successors are monotone Elias-Fano sequences, with quantised
+   log probabilities and back-off weights. The levels are written to a file
+   that only this task reads, and memory-mapped. Tokens are scored by
+   context-relative successor search in them.
+
+The numbers of groups and of shards follow the size of the texts, and so does
+the length of the hashes, so that an entry's chance to share its hash stays
+what it is.
 
 So the model's size follows the corpus while no task, and never the driver,
-holds more of it than one part or one shard.
+holds more of it than one group or one shard.
 
 Probabilities: P(w) = (c + 0.1) / (N + 0.1 (V + 1)), and per order
 P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m), with m = ``PRIOR``.
@@ -28,7 +34,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +46,12 @@ from . import elias_fano as ef
 from . import kernels as K
 from .common import crc_mod
 
-PART_BYTES = 2 << 20
+GROUP_BYTES = 6 << 20
 SHARD_BYTES = 6 << 20
-LEAST_PARTS, LEAST_SHARDS = 64, 144
+SLICE = 300_000
+KEY_BYTES = 5  # of an n-gram's offset in its shard; words have eight
 PRIOR = 2.0
-WORD_BITS, BITS = 64, 56  # of the hashes of words and of longer n-grams
+WORD_BITS = 64
 STEP = 1 / 4000  # of the quantised log10 probabilities
 _END = K.mix(np.array([0xE0D], np.uint64))[0]
 
@@ -65,21 +71,23 @@ def tokens(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return h[order], r[order]
 
 
-def grams(h: np.ndarray, rows: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def gram_bits(shards: int) -> int:
+    """Bits of the hashes of longer n-grams: a shard's offsets fit in
+    ``KEY_BYTES``."""
+    return min(WORD_BITS, 8 * KEY_BYTES + shards.bit_length() - 1)
+
+
+def grams(h: np.ndarray, rows: np.ndarray, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each order: hashes of its n-grams and the place of each's last token."""
     out = []
     for k in range(1, order + 1):
         at = np.flatnonzero(rows[k - 1:] == rows[:len(rows) - k + 1])
-        out.append((K.chain_hash(h, k)[at] >> np.uint64(64 - (WORD_BITS if k == 1 else BITS)), at + k - 1))
+        out.append((K.chain_hash(h, k)[at] >> np.uint64(64 - (WORD_BITS if k == 1 else bits)), at + k - 1))
     return out
 
 
-def _distinct(gs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes of the longer n-grams and of the words, and each
-    n-gram's entry: the words' come after the longer ones'."""
-    uniq, inv = np.unique(np.concatenate([np.zeros(0, np.uint64), *[g for g, _ in gs[1:]]]), return_inverse=True)
-    words, word = np.unique(gs[0][0], return_inverse=True)
-    return uniq, words, np.concatenate([word + len(uniq), inv])
+def _longer(gs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *[g for g, _ in gs[1:]]])
 
 
 def _pack(docs: pa.Table) -> bytes:
@@ -94,7 +102,7 @@ def _unpack(blocks: pa.ChunkedArray) -> pa.Table:
 
 
 def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, ...) -> (part, block): the rows of each part, compressed."""
+    """Rows (part, ...) -> (part, block): the rows of each group, compressed."""
     for b in batches:
         part = b.column(0).to_numpy()
         order = np.argsort(part, kind="stable")
@@ -107,19 +115,21 @@ def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(cells, pa.binary())], names=["part", "block"])
 
 
-def _counts_out(c: np.ndarray) -> bytes:
-    """Counts as bytes, with the large ones apart."""
+def _cells(data: np.ndarray, cut: np.ndarray, width: int) -> pa.Array:
+    """Binary cells of consecutive fields, cut at the given field numbers."""
+    return pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [
+        None, pa.py_buffer((cut * width).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def _counts_out(c: np.ndarray, cut: np.ndarray) -> list[pa.Array]:
+    """Counts as bytes, and apart those that are larger than a byte tells."""
     big = np.flatnonzero(c > 254)
-    small = np.minimum(c, 255).astype(np.uint8)
-    head = np.array([len(c), len(big)], "<i8").tobytes()
-    return zlib.compress(head + small.tobytes() + c[big].astype("<i8").tobytes(), 1)
+    return [_cells(np.minimum(c, 255).astype(np.uint8), cut, 1), _cells(c[big].astype("<i8"), np.searchsorted(big, cut), 8)]
 
 
-def _counts_in(data: bytes) -> np.ndarray:
-    data = zlib.decompress(data)
-    n, big = np.frombuffer(data, "<i8", 2)
-    c = np.frombuffer(data, np.uint8, n, 16).astype(np.int64)
-    c[c == 255] = np.frombuffer(data, "<i8", big, 16 + n)
+def _counts_in(small: list, big: list) -> np.ndarray:
+    c = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.uint8) for x in small]])
+    c[c == 255] = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, "<i8") for x in big]])
     return c
 
 
@@ -127,72 +137,76 @@ def _shard_starts(shards: int, bits: int) -> np.ndarray:
     return np.array([(k << bits) // shards for k in range(shards)], np.uint64)
 
 
-def _shard_base(k: int, shards: int) -> int:
-    """First hash of a shard; those from ``shards`` on hold words."""
-    return (k % shards << (BITS if k < shards else WORD_BITS)) // shards
+def _width(shard: int, shards: int) -> int:
+    """Bytes of an offset: shards from ``shards`` on hold words."""
+    return KEY_BYTES if shard < shards else 8
 
 
-def _list_out(v: np.ndarray, base: int, top: int) -> bytes:
-    s = ef.build(v - np.uint64(base), top)
-    return b"".join([s["n"].astype("<i8").tobytes(), np.array([len(s["low"])], "<i8").tobytes(),
-                     s["low"].tobytes(), s["upper"].tobytes()])
+def _keys_in(data: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return out.view("<u8").reshape(-1)
 
 
-def _list_in(data: bytes, base: int) -> np.ndarray:
-    n, width, low = np.frombuffer(data, "<i8", 3)
-    s = {"n": np.array([n, width]), "low": np.frombuffer(data, np.uint8, low, 24),
-         "upper": np.frombuffer(data, np.uint8, offset=24 + int(low))}
-    return ef.values(s) + np.uint64(base)
+_MESSAGE = "part int, shard int, keys binary, counts binary, large binary"
+_REPLY = "part int, shard int, counts binary, large binary"
 
 
-def _messages(uniq: np.ndarray, counts: np.ndarray, shards: int, bits: int):
-    """(shard, coded hashes, coded counts) of each shard that is asked."""
-    starts = _shard_starts(shards, bits)
+def _messages(part: int, uniq: np.ndarray, counts: np.ndarray, shards: int, words: bool) -> list[pa.Array]:
+    """A group's message to each shard that holds some of its entries."""
+    starts = _shard_starts(shards, WORD_BITS if words else gram_bits(shards))
+    first = shards if words else 0
+    width = _width(first, shards)
     cut = np.append(np.searchsorted(uniq, starts), len(uniq))
-    for k in range(shards):
-        a, b = cut[k], cut[k + 1]
-        if a < b:
-            top = ((int(starts[k + 1]) if k + 1 < shards else 1 << bits) - 1) - int(starts[k])
-            yield k + (shards if bits == WORD_BITS else 0), _list_out(uniq[a:b], int(starts[k]), top), _counts_out(counts[a:b])
+    off = (uniq - np.repeat(starts, np.diff(cut))).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    some = pa.array(np.flatnonzero(np.diff(cut)))
+    return [pa.array(np.full(len(some), part, np.int32)), pa.array(some.to_numpy().astype(np.int32) + first),
+            _cells(off, cut, width).take(some), *[x.take(some) for x in _counts_out(counts, cut)]]
+
+
+def _entries(h: np.ndarray, rows: np.ndarray, order: int, shards: int):
+    """A group's n-grams, its distinct longer ones and words, both sorted, and
+    each n-gram's entry (int32): the words' come after the longer ones'."""
+    gs = grams(h, rows, order, gram_bits(shards))
+    uniq, inv = np.unique(_longer(gs), return_inverse=True)
+    words, word = np.unique(gs[0][0], return_inverse=True)
+    return [at for _, at in gs], uniq, words, np.concatenate([word.astype(np.int32) + np.int32(len(uniq)), inv.astype(np.int32)])
 
 
-def _ask(part: int, docs: pa.Table, order: int, shards: int) -> pa.Table:
-    """A part's message to each shard."""
+def _ask(part: int, docs: pa.Table, order: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """A group's messages: of its longer n-grams, then of its words."""
     h, rows = tokens(docs.column("text"))
     learn = ~np.asarray(docs.column("held_out").to_numpy(), bool)[rows]
-    gs = grams(h, rows, order)
-    uniq, words, inv = _distinct(gs)
-    counts = np.bincount(inv[np.concatenate([learn[at] for _, at in gs])], minlength=len(uniq) + len(words))
-    k, keys, cs = zip(*_messages(uniq, counts[:len(uniq)], shards, BITS),
-                      *_messages(words, counts[len(uniq):], shards, WORD_BITS))
-    return pa.table({"part": pa.array([part] * len(k), pa.int32()), "shard": pa.array(k, pa.int32()),
-                     "keys": pa.array(keys, pa.binary()), "counts": pa.array(cs, pa.binary())})
+    ends, uniq, words, inv = _entries(h, rows, order, shards)
+    counts = np.bincount(inv[np.concatenate([learn[at] for at in ends])], minlength=len(uniq) + len(words))
+    for u, c, w in ((uniq, counts[:len(uniq)], False), (words, counts[len(uniq):], True)):
+        yield pa.RecordBatch.from_arrays(_messages(part, u, c, shards, w), names=[x.split()[0] for x in _MESSAGE.split(", ")])
 
 
 def _answer(table: pa.Table, shards: int) -> pa.Table:
-    """For each part that asked, what the others add to its own counts."""
-    base = _shard_base(table.column("shard")[0].as_py(), shards)
-    keys = [_list_in(x, base) for x in table.column("keys").to_pylist()]
-    counts = [_counts_in(x) for x in table.column("counts").to_pylist()]
-    uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(uniq), np.int64)
-    np.add.at(total, inv, np.concatenate(counts))
-    back, at = [], 0
-    for x, own in zip(keys, counts):
-        back.append(_counts_out(total[inv[at:at + len(x)]] - own))
-        at += len(x)
-    return pa.table({"part": table.column("part"), "shard": table.column("shard"),
-                     "counts": pa.array(back, pa.binary())})
-
-
-def _vocabulary(table: pa.Table, shards: int) -> pa.Table:
-    """(training tokens, distinct ones) of a shard of single tokens."""
-    base = _shard_base(table.column("shard")[0].as_py(), shards)
-    keys = [_list_in(x, base) for x in table.column("keys").to_pylist()]
-    counts = [_counts_in(x) for x in table.column("counts").to_pylist()]
-    seen = np.concatenate(counts) > 0
-    return pa.table({"n": pa.array([int(sum(c.sum() for c in counts))]),
-                     "v": pa.array([len(np.unique(np.concatenate(keys)[seen]))])})
+    """The totals of each group's entries."""
+    width = _width(table.column("shard")[0].as_py(), shards)
+    keys = [_keys_in(x, width) for x in table.column("keys").to_pylist()]
+    own = _counts_in(table.column("counts").to_pylist(), table.column("large").to_pylist())
+    cut = np.append(0, np.cumsum([len(x) for x in keys]))
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    sorted_keys = keys[order]
+    first = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
+    sums = np.add.reduceat(own[order], first)
+    total = np.empty(len(keys), np.int64)
+    total[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
+    return pa.Table.from_arrays([table.column("part"), table.column("shard"), *_counts_out(total, cut)],
+                                names=["part", "shard", "counts", "large"])
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of training rows, each word once per batch."""
+    for b in batches:
+        h, _ = tokens(b.column(0))
+        w, n = np.unique(h, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
 def _quantised(logs: np.ndarray) -> np.ndarray:
@@ -254,33 +268,27 @@ class Trie:
         return out
 
 
-def _slice_scores(h: np.ndarray, rows: np.ndarray, learn: np.ndarray, order: int, others, n: int, v: int):
-    """(count of each token, log10 probability of each token). ``learn`` marks
-    the rows that are learned from, ``others`` gives what the other parts
-    count of the entries of ``_distinct``, whose number it gets."""
-    gs = grams(h, rows, order)
-    ends = [at for _, at in gs]
-    cut = np.cumsum([0] + [len(at) for at in ends])
-    uniq, words, inv = _distinct(gs)
-    m = len(uniq) + len(words)
-    del gs, uniq, words
-    total = others(m) + np.bincount(inv[learn[rows[np.concatenate(ends)]]], minlength=m)
+def _slice_scores(entry: list[np.ndarray], total: np.ndarray, order: int, n: int, v: int) -> np.ndarray:
+    """log10 probability of each token of a slice. ``entry[k]`` holds, for each
+    token, the number of the (k + 1)-gram that ends there, or -1; ``total``
+    the count of each number."""
+    m, size = len(total), len(entry[0])
+    ends = [np.flatnonzero(x >= 0) for x in entry]
     p1_of = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     # of each order: its distinct n-grams (entry, last token of one
     # occurrence), and the number among them of the n-gram that ends at a token
     which, place = [], []
-    at_token, number = np.full(m, -1, np.int32), np.zeros(m, np.int32)
+    at_token, number = np.empty(m, np.int32), np.empty(m, np.int32)
     for k in range(order):
-        own = inv[cut[k]:cut[k + 1]]
-        at_token[:] = -1
+        own = entry[k][ends[k]]
         at_token[own] = ends[k]
-        u = np.flatnonzero(at_token >= 0)
+        u = np.unique(own)
         number[u] = np.arange(len(u), dtype=np.int32)
-        x = np.full(len(h), -1, np.int32)
+        x = np.full(size, -1, np.int32)
         x[ends[k]] = number[own]
         which.append((u, at_token[u]))
         place.append(x)
-    del inv, at_token, number
+    del at_token, number
     arrays: dict[str, np.ndarray] = {}
     counts = [total[u] for u, _ in which]
     known = np.flatnonzero(counts[0] > 0)
@@ -327,29 +335,41 @@ def _slice_scores(h: np.ndarray, rows: np.ndarray, learn: np.ndarray, order: int
         if order == 1:
             per_token = score[place[0]]
         del trie
-    return counts[0][place[0]], per_token
+    return per_token
 
 
-def _score(blocks: pa.Table, back: pa.Table, order: int, n: int, v: int, schema: pa.Schema) -> pa.Table:
+def _score(blocks: pa.Table, back: pa.Table, order: int, shards: int, n: int, v: int, schema: pa.Schema) -> pa.Table:
     docs = _unpack(blocks.column("block"))
     h, rows = tokens(docs.column("text"))
-    shard = np.asarray(back.column("shard").to_numpy())
-    cells = back.column("counts").to_pylist()
-
-    def others(m: int) -> np.ndarray:
-        got = np.concatenate([_counts_in(cells[k]) for k in np.argsort(shard)])
-        if len(got) != m:
-            raise ValueError("a part's totals do not fit its n-grams")
-        return got
-
-    learn = ~np.asarray(docs.column("held_out").to_numpy(), bool)
-    c, log10 = _slice_scores(h, rows, learn, order, others, n, v)
-    m = docs.num_rows
+    ends, uniq, words, inv = _entries(h, rows, order, shards)
+    m = len(uniq) + len(words)
+    del uniq, words
+    back = back.sort_by("shard")  # the order in which the entries were sent
+    total = _counts_in(back.column("counts").to_pylist(), back.column("large").to_pylist())
+    if len(total) != m:
+        raise ValueError("a group's totals do not fit its n-grams")
+    entry, at = [], 0
+    for end in ends:
+        x = np.full(len(h), -1, np.int32)
+        x[end] = inv[at:at + len(end)]
+        entry.append(x)
+        at += len(end)
+    del h, inv
+    c = total[entry[0]]
+    log10 = np.empty(len(rows))
+    for i in range(0, len(rows), SLICE):
+        j = min(i + SLICE, len(rows))
+        a = max(0, i - order + 1)  # context only
+        part = [x[a:j].copy() for x in entry]
+        for k in range(1, order):
+            part[k][:k] = -1  # begins before the slice
+        log10[i:j] = _slice_scores(part, total, order, n, v)[i - a:]
+    size = docs.num_rows
     base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     return pa.Table.from_arrays([
         docs.column("id").combine_chunks(), docs.column("held_out").combine_chunks(),
-        pa.array(np.bincount(rows, minlength=m)), pa.array(np.bincount(rows, c > 0, m).astype(np.int64)),
-        pa.array(np.full(m, n, np.int64)), pa.array(np.bincount(rows, base, m)), pa.array(np.bincount(rows, log10, m)),
+        pa.array(np.bincount(rows, minlength=size)), pa.array(np.bincount(rows, c > 0, size).astype(np.int64)),
+        pa.array(np.full(size, n, np.int64)), pa.array(np.bincount(rows, base, size)), pa.array(np.bincount(rows, log10, size)),
     ], schema=schema)
 
 
@@ -371,24 +391,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
                       held.alias("held_out"))
     size = src.agg(F.sum(F.octet_length("text") + F.lit(1).cast("long"))).first()[0] or 0
-    parts, shards = max(LEAST_PARTS, size // PART_BYTES + 1), max(LEAST_SHARDS, size // SHARD_BYTES + 1)
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int")
+    groups, shards = size // GROUP_BYTES + 1, size // SHARD_BYTES + 1
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int")
     blocks = src.select(part.alias("part"), "id", "text", "held_out").mapInArrow(_in_blocks, "part int, block binary")
-    message = "part int, shard int, keys binary, counts binary"
-
-    def first_level(batches):
-        for b in batches:
-            if b.num_rows:
-                yield from _ask(0, pa.Table.from_batches([b]), 1, shards).to_batches()
 
-    words = (src.select("text", "held_out").mapInArrow(first_level, message)
-             .groupBy("shard").applyInArrow(lambda t: _vocabulary(t, shards), "n long, v long")
-             .agg(F.sum("n"), F.sum("v")).first())
+    words = (src.filter("not held_out").select("text").mapInArrow(_word_counts, "word long, n long")
+             .groupBy("word").agg(F.sum("n").alias("n")).agg(F.sum("n"), F.count("*")).first())
     n, v = int(words[0] or 0), int(words[1] or 0)
 
     asked = blocks.groupBy("part").applyInArrow(
-        lambda t: _ask(t.column("part")[0].as_py(), _unpack(t.column("block")), order, shards), message)
-    back = asked.groupBy("shard").applyInArrow(lambda t: _answer(t, shards), "part int, shard int, counts binary")
+        lambda t: pa.Table.from_batches(_ask(t.column("part")[0].as_py(), _unpack(t.column("block")), order, shards)), _MESSAGE)
+    back = asked.groupBy("shard").applyInArrow(lambda t: _answer(t, shards), _REPLY)
     schema = T.StructType([T.StructField(id_col, src.schema["id"].dataType), T.StructField("held_out", T.BooleanType()),
                            *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")],
                            T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
@@ -396,4 +409,4 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     arrow = to_arrow_schema(schema)
     return (blocks.groupBy("part").cogroup(back.groupBy("part"))
-            .applyInArrow(lambda x, y: _score(x, y, order, n, v, arrow), schema))
+            .applyInArrow(lambda x, y: _score(x, y, order, shards, n, v, arrow), schema))
