@@ -42,8 +42,9 @@ el los las una unos unas y o del al con por para no es son su sus lo se más
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    buf, offs = K.utf8(pa.array(words))
-    return np.unique(K.words(buf, offs, K.ALNUM)[0])
+    size = [len(w.encode()) for w in words]
+    buf = np.frombuffer("".join(words).encode(), np.uint8)
+    return np.unique(K.words(buf, np.append(0, np.cumsum(size)), K.ALNUM)[0])
 
 
 ANCHORS = _word_hashes(COMMON)

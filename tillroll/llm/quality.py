@@ -92,7 +92,7 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.round(np.column_stack(cols), 9)
 
 
-_STATISTICS = T.StructType([T.StructField(f"s{k}", T.DoubleType()) for k in range(len(STATISTICS))])
+_STATISTICS = T.StructType([T.StructField(f"__s{k}", T.DoubleType()) for k in range(len(STATISTICS))])
 
 
 def text_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -100,8 +100,8 @@ def text_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFram
     def rows(buf: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
         return [pa.array(c) for c in statistics(buf, offs).T.copy()]
 
-    found = docs.select(*[F.col(f"`{c}`") for c in keep], of_text(F.col(f"`{text_col}`"), rows, _STATISTICS).alias("__s"))
-    return found.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"__s.s{k}").alias(f"__s{k}") for k in range(len(STATISTICS))])
+    # one row each; what reads the statistics reads plain columns
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(of_text(F.col(f"`{text_col}`"), rows, _STATISTICS))))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, whether above, threshold), ...
@@ -197,12 +197,27 @@ class RuleModel:
         return 1 / (1 + np.exp(-m))
 
     def column(self) -> Column:
-        """The score as a Spark expression over ``__s0``, ..."""
-        total = F.lit(float(self.intercept))
+        """The score as a Spark expression over ``__s0``, ... Rules that begin
+        with the same comparisons share them, as they did in their tree."""
+        root: dict = {}
         for r, w in zip(self.rules, self.weights):
-            tests = [(F.col(f"__s{s}") > t) if above else (F.col(f"__s{s}") <= t) for s, above, t in r]
-            total = total + F.when(reduce(lambda p, q: p & q, tests), F.lit(float(w))).otherwise(F.lit(0.0))
-        return 1 / (1 + F.exp(-total))
+            at = root
+            for test in r:
+                at = at.setdefault(test, {})
+            at["weight"] = at.get("weight", 0.0) + float(w)
+
+        def total(at: dict) -> str:
+            """The sum of the weights of the rules that hold, of those that
+            begin with the comparisons above ``at``."""
+            terms = [repr(at["weight"]) + "D"] if "weight" in at else []
+            for s, t in dict.fromkeys((x[0], x[2]) for x in at if x != "weight"):
+                yes, no = (total(at[s, above, t]) if (s, above, t) in at else "0D" for above in (True, False))
+                terms.append(f"if(__s{s} > {t!r}D, {yes}, {no})")
+            while len(terms) > 1:  # a flat tree of sums
+                terms = [f"({' + '.join(terms[i:i + 2])})" for i in range(0, len(terms), 2)]
+            return terms[0]
+
+        return F.expr(f"1D / (1D + exp(-({float(self.intercept)!r}D" + (f" + {total(root)}" if root else "") + ")))")
 
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> RuleModel:
