@@ -56,8 +56,8 @@ WHERE length(v) >= {least}"""
 
 OP8 = f"""
 WITH base AS ({" UNION ALL ".join(_spans(k, i) for i, k in enumerate(PATTERNS))}),
-own AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM base GROUP BY value),
-judged AS (SELECT b.*, CASE WHEN owners >= 3 THEN 'example'
+own AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT doc_id) AS repos FROM base GROUP BY value),
+judged AS (SELECT b.*, CASE WHEN owners >= 3 OR repos >= 10 THEN 'example'
     WHEN regexp_matches(b.value, '[0-9]') AND regexp_matches(b.value, '[A-Za-z]')
       AND len(list_distinct(string_split(b.value, ''))) >= 8 THEN 'live' ELSE 'weak' END AS verdict
   FROM base b JOIN own o ON o.value = b.value),
