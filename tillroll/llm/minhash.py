@@ -188,9 +188,11 @@ def _bands(reps: DataFrame) -> DataFrame:
 
 
 def _members(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, reg, s): registers and full sets of the documents in ``ids``."""
+    """(id, n, reg, s): registers and full sets of the documents in ``ids``;
+    rows that repeat an id and its text count once."""
     src = (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-           .join(ids.hint("merge"), "id", "left_semi"))
+           .join(ids.hint("merge"), "id", "left_semi").withColumn("h", F.xxhash64("text"))
+           .dropDuplicates(["id", "h"]).select("id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,8 +251,11 @@ def _between_components(bands: DataFrame, comp: DataFrame, members: DataFrame, p
     rows = (member.join(mixed, "key").join(members.select("id", "n", "reg").hint("merge"), "id")
             .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks"))))
     packed = F.collect_list(F.struct("id", "c", "n", "reg"))
-    every = rows.groupBy("key", "blk").agg(packed.alias("y")).drop("blk")
-    strays = rows.filter("c <> main").groupBy("key", "blk").agg(packed.alias("x")).drop("blk")
+    every = rows.groupBy("key", "blk").agg(packed.alias("y"))
+    # a block of strays goes to every block of its bucket, so that a large
+    # bucket is many keys
+    strays = (rows.filter("c <> main").groupBy("key", "blocks", "blk").agg(packed.alias("x")).drop("blk")
+              .withColumn("blk", F.explode(F.expr("sequence(0L, blocks - 1)"))).drop("blocks"))
     schema = T.StructType([T.StructField("a", member.schema["id"].dataType), T.StructField("b", member.schema["id"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +275,7 @@ def _between_components(bands: DataFrame, comp: DataFrame, members: DataFrame, p
             yield pa.RecordBatch.from_arrays([pa.array(c, b.column(0).type.value_type.field("id").type) for c in cols],
                                              names=["a", "b"])
 
-    return strays.join(every, "key").select("x", "y").mapInArrow(run, schema).distinct()
+    return strays.join(every, ["key", "blk"]).select("x", "y").mapInArrow(run, schema).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
