@@ -21,6 +21,8 @@ from ..sources.ingest import STORE_PARTS, store_layout
 from ..sources.store import TableStore
 
 SALES, STORE_SALES, FILES = "sales", "store_sales", "files"
+# tables of ``operators.summary``: deleted files and years leave them too
+BY_FILE, BY_YEAR = ("day_sums", "day_stores", "key_sums", "key_sets"), ("day_sums", "day_stores")
 
 
 def derive_files(sales: DataFrame, store_sales: DataFrame) -> DataFrame:
@@ -112,8 +114,8 @@ def delete_file(store: TableStore, file_id: int) -> None:
     The file's partitions go to the tables' drop logs, so the delete
     reads and rewrites no data; only the small file registry is rewritten.
     """
-    store.drop_partitions(SALES, "file_id", [file_id])
-    store.drop_partitions(STORE_SALES, "file_id", [file_id])
+    for table in (SALES, STORE_SALES, *BY_FILE):
+        store.drop_partitions(table, "file_id", [file_id])
     set_status(store, [file_id], "deleted")
 
 
@@ -178,7 +180,8 @@ def delete_year(store: TableStore, year: int, valid_years: tuple[int, int] | Non
     n = 0
     if store.current_version(STORE_SALES) is not None:
         n = store.read(STORE_SALES, STORE_SALES_SCHEMA, F.col("sale_year") == int(year)).count()
-        store.drop_partitions(STORE_SALES, "sale_year", [int(year)])
+        for table in (STORE_SALES, *BY_YEAR):
+            store.drop_partitions(table, "sale_year", [int(year)])
     return store.spark.createDataFrame([(STORE_SALES, n), (SALES, 0)],
                                        "table_name string, deleted long")
 

@@ -8,20 +8,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import maintain as M, sales as S
+from ..operators import catalog as K, maintain as M, sales as S, summary as SM
 from ..schemas import (CHUNK_SCHEMA, FILES_SCHEMA, INVENTORY_SCHEMA, PRODUCT_IMAGES_SCHEMA, SALES_SCHEMA,
                        STORE_SALES_SCHEMA)
 from ..session import work_path
-from ..sources import export as X, ingest as G
+from ..sources import export as X, ingest as G, snapshots as SN
 from ..sources.delimited import read_records
+from ..sources.postings import SearchIndex
 from ..sources.row_ids import stored_schema
 from ..sources.store import TableStore
 from ..streaming import chunks as CH
 from ..streaming.expiry import run_expiry
-from . import duck_sql as Q
+from . import catalog_queries, duck_sql as Q, sales_queries  # noqa: F401 (their SQL is used again)
 from .clean_queries import (CLEAN_CATALOG_SQL, CLEAN_INVENTORY_SQL, CLEAN_SALES_SQL, CLEAN_STORE_SQL,
                             SALES_TEXT, raw_catalog_file, raw_sales_file, raw_stock_file, raw_store_file)
-from .registry import query
+from .registry import REGISTRY, query
 
 def _chunked_upload(fx):
     """S3: sales lines sent as JSON chunks that carry no file id, loaded by
@@ -453,3 +454,79 @@ def _t6(fx):
     M.reset_all(store)
     store.append(M.SALES, G.conform(fx.sales.filter("file_id = 3"), SALES_SCHEMA), ["file_id"])
     return store.read(M.SALES, SALES_SCHEMA)
+
+
+@query("snapshot_chain", views=("sales",), sql="""
+SELECT link, file_id, count(*) AS row_count, cast(sum(net_sales) AS double) AS net_sales,
+  CASE WHEN link = 1 OR (link = 3 AND file_id = 2) THEN link ELSE 1 END AS held_by
+FROM sales, (VALUES (1), (2), (3)) l(link)
+WHERE file_id <> 2 OR link = 1 OR (link = 3 AND sold_qty > 25) GROUP BY link, file_id""")
+def _s13c(fx):
+    """S13 + S14: three links of a chain (all lines; file 2 deleted; some of
+    its lines loaded again), each restored into a store of its own."""
+    spark, store = fx.spark, TableStore(fx.spark)
+    root = work_path(spark, "chain")
+    lines = G.conform(fx.sales, SALES_SCHEMA)
+    store.replace(M.SALES, lines, ["file_id"])
+    SN.take_snapshot(store, root)
+    M.delete_file(store, 2)
+    SN.take_snapshot(store, root)
+    store.append(M.SALES, lines.filter("file_id = 2 and sold_qty > 25"), ["file_id"])
+    SN.take_snapshot(store, root)
+    out = None
+    for link in (1, 2, 3):
+        other = TableStore(spark)
+        SN.restore_link(other, root, link)
+        held = SN.manifest(spark, root, link).filter("table_name = 'sales'").select(
+            F.col("part").cast("int").alias("file_id"), F.col("link").alias("held_by"))
+        part = (other.read(M.SALES, SALES_SCHEMA).groupBy("file_id")
+                .agg(F.count("*").alias("row_count"), F.sum("net_sales").cast("double").alias("net_sales"))
+                .join(held, "file_id").withColumn("link", F.lit(link)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _summarised(fx):
+    """All files with their summaries; file 2 and year 1996 deleted."""
+    store = _all_files(fx)
+    SM.summarise_files(store, [1, 2, 3, 4])
+    M.delete_file(store, 2)
+    M.delete_year(store, 1996, None)
+    return store
+
+
+_LEFT = "FROM store_sales WHERE file_id <> 2 AND (sale_date IS NULL OR year(sale_date) <> 1996) AND"
+
+
+@query("weekly_from_summary", views=("sales", "store_sales"),
+       sql=REGISTRY["weekly_sales"].sql.replace("FROM store_sales WHERE", _LEFT))
+def _a8s(fx):
+    """A8 from day summaries and united bitmaps of stores, after a file and a
+    year were deleted."""
+    return SM.weekly_sales(_summarised(fx))
+
+
+@query("kpis_from_summary", views=("sales", "store_sales"), sql=REGISTRY["summary_stats"].sql + " WHERE file_id <> 2")
+def _a1s(fx):
+    """A1 from file summaries and united bitmaps, after a file was deleted."""
+    return SM.summary_stats(_summarised(fx))
+
+
+def _search(fx, table, schema, columns):
+    index = SearchIndex(fx.spark, schema, columns)
+    index.save(fx.table(table).select(*[(F.col(f.name) if f.name in fx.table(table).columns else F.lit(None))
+                                        .cast(f.dataType).alias(f.name) for f in schema.fields]))
+    return index
+
+
+@query("catalog_search_postings", views=("product_images",), sql=REGISTRY["catalog_search"].sql)
+def _f5p(fx):
+    """F5 by trigram postings."""
+    return K.catalog_groups(_search(fx, "product_images", PRODUCT_IMAGES_SCHEMA, ["product_name"]).search("red")).limit(100)
+
+
+@query("catalog_find_postings", views=("product_images",), sql="""
+SELECT * FROM product_images WHERE contains(lower(product_name), 'bjk01') OR contains(lower(product_code), 'bjk01')""")
+def _f11p(fx):
+    """F11's search, of names and codes, by trigram postings: the rows found."""
+    return _search(fx, "product_images", PRODUCT_IMAGES_SCHEMA, ["product_name", "product_code"]).search("BJK01")
