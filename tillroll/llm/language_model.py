@@ -6,9 +6,9 @@ documents, chosen by a hash of the row.
 1. Documents travel as compressed blocks of their group. Each group lists its
    distinct words as sorted 64-bit hashes and its longer n-grams, apart from
    them, as shorter ones, with their counts in its training documents, and
-   sends each hash range (*shard*) of a list to the shard's task: offsets of
-   ``KEY_BYTES`` from the range's start, cut from one array. An n-gram is one
-   entry per group, however often it occurs.
+   sends each hash range (*shard*) of a list to the shard's task, as gaps of a
+   few bytes each, cut from one array. An n-gram is one entry per group,
+   however often it occurs.
 2. A shard adds the counts up and answers every group with the totals of its
    entries, in their order.
 3. Each group scores its texts slice by slice, about ``SLICE`` tokens at once,
@@ -49,7 +49,7 @@ from .common import crc_mod
 GROUP_BYTES = 6 << 20
 SHARD_BYTES = 6 << 20
 SLICE = 300_000
-KEY_BYTES = 5  # of an n-gram's offset in its shard; words have eight
+KEY_BYTES = 5  # that an n-gram's offset in its shard takes
 PRIOR = 2.0
 WORD_BITS = 64
 STEP = 1 / 4000  # of the quantised log10 probabilities
@@ -137,16 +137,37 @@ def _shard_starts(shards: int, bits: int) -> np.ndarray:
     return np.array([(k << bits) // shards for k in range(shards)], np.uint64)
 
 
-def _width(shard: int, shards: int) -> int:
-    """Bytes of an offset: shards from ``shards`` on hold words."""
-    return KEY_BYTES if shard < shards else 8
-
-
-def _keys_in(data: bytes, width: int) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
-    return out.view("<u8").reshape(-1)
+def _keys_out(off: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Cells of rising numbers, cut at the given places: a byte that says how
+    many bytes the cell's gaps take, then its gaps."""
+    n = np.diff(cut)
+    gap = np.diff(off, prepend=np.uint64(0))
+    some = np.flatnonzero(n)
+    gap[cut[some]] = off[cut[some]]  # a cell's first gap is its first number
+    width = np.zeros(len(n), np.int64)
+    if len(some):
+        most = np.maximum.reduceat(gap, cut[some])
+        width[some] = 1 + sum((most >= np.uint64(1 << 8 * k)).astype(np.int64) for k in range(1, 8))
+    at = np.append(0, np.cumsum(1 + n * width))
+    out = np.empty(int(at[-1]), np.uint8)
+    out[at[:-1]] = width
+    cell = np.repeat(np.arange(len(n)), n)
+    wide = width[cell]
+    to = at[cell] + 1 + (np.arange(len(off)) - cut[cell]) * wide
+    for k in range(int(width.max(initial=0))):
+        has = slice(None) if (wide > k).all() else np.flatnonzero(wide > k)
+        out[to[has] + k] = (gap[has] >> np.uint64(8 * k)).astype(np.uint8)
+    return _cells(out, at, 1)
+
+
+def _keys_in(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    width = int(raw[0]) if len(raw) else 0
+    if not width:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    out[:, :width] = raw[1:].reshape(-1, width)
+    return np.cumsum(out.view("<u8").reshape(-1), dtype=np.uint64)
 
 
 _MESSAGE = "part int, shard int, keys binary, counts binary, large binary"
@@ -156,13 +177,12 @@ _REPLY = "part int, shard int, counts binary, large binary"
 def _messages(part: int, uniq: np.ndarray, counts: np.ndarray, shards: int, words: bool) -> list[pa.Array]:
     """A group's message to each shard that holds some of its entries."""
     starts = _shard_starts(shards, WORD_BITS if words else gram_bits(shards))
-    first = shards if words else 0
-    width = _width(first, shards)
+    first = shards if words else 0  # shards from there on hold words
     cut = np.append(np.searchsorted(uniq, starts), len(uniq))
-    off = (uniq - np.repeat(starts, np.diff(cut))).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    off = uniq - np.repeat(starts, np.diff(cut))
     some = pa.array(np.flatnonzero(np.diff(cut)))
     return [pa.array(np.full(len(some), part, np.int32)), pa.array(some.to_numpy().astype(np.int32) + first),
-            _cells(off, cut, width).take(some), *[x.take(some) for x in _counts_out(counts, cut)]]
+            _keys_out(off, cut).take(some), *[x.take(some) for x in _counts_out(counts, cut)]]
 
 
 def _entries(h: np.ndarray, rows: np.ndarray, order: int, shards: int):
@@ -184,10 +204,9 @@ def _ask(part: int, docs: pa.Table, order: int, shards: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays(_messages(part, u, c, shards, w), names=[x.split()[0] for x in _MESSAGE.split(", ")])
 
 
-def _answer(table: pa.Table, shards: int) -> pa.Table:
+def _answer(table: pa.Table) -> pa.Table:
     """The totals of each group's entries."""
-    width = _width(table.column("shard")[0].as_py(), shards)
-    keys = [_keys_in(x, width) for x in table.column("keys").to_pylist()]
+    keys = [_keys_in(x) for x in table.column("keys").to_pylist()]
     own = _counts_in(table.column("counts").to_pylist(), table.column("large").to_pylist())
     cut = np.append(0, np.cumsum([len(x) for x in keys]))
     keys = np.concatenate(keys)
@@ -202,11 +221,24 @@ def _answer(table: pa.Table, shards: int) -> pa.Table:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of training rows, each word once per batch."""
+    """(word, n) of training rows; a task adds up about ``SLICE`` words
+    before it sends them."""
+    def added(parts):
+        w, n = (np.concatenate(x) for x in zip(*parts))
+        u, inv = np.unique(w, return_inverse=True)
+        return u, np.bincount(inv, n, len(u)).astype(np.int64)
+
+    def batch(w, n):
+        return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     for b in batches:
         h, _ = tokens(b.column(0))
-        w, n = np.unique(h, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["word", "n"])
+        held = added([held, np.unique(h, return_counts=True)])
+        if len(held[0]) > 4 * SLICE:
+            yield batch(*held)
+            held = held[0][:0], held[1][:0]
+    yield batch(*held)
 
 
 def _quantised(logs: np.ndarray) -> np.ndarray:
@@ -278,17 +310,19 @@ def _slice_scores(entry: list[np.ndarray], total: np.ndarray, order: int, n: int
     # of each order: its distinct n-grams (entry, last token of one
     # occurrence), and the number among them of the n-gram that ends at a token
     which, place = [], []
-    at_token, number = np.empty(m, np.int32), np.empty(m, np.int32)
+    at_token, number, mark = np.empty(m, np.int32), np.empty(m, np.int32), np.zeros(m, bool)
     for k in range(order):
         own = entry[k][ends[k]]
         at_token[own] = ends[k]
-        u = np.unique(own)
+        mark[own] = True
+        u = np.flatnonzero(mark)
+        mark[u] = False
         number[u] = np.arange(len(u), dtype=np.int32)
         x = np.full(size, -1, np.int32)
         x[ends[k]] = number[own]
         which.append((u, at_token[u]))
         place.append(x)
-    del at_token, number
+    del at_token, number, mark
     arrays: dict[str, np.ndarray] = {}
     counts = [total[u] for u, _ in which]
     known = np.flatnonzero(counts[0] > 0)
@@ -401,7 +435,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     asked = blocks.groupBy("part").applyInArrow(
         lambda t: pa.Table.from_batches(_ask(t.column("part")[0].as_py(), _unpack(t.column("block")), order, shards)), _MESSAGE)
-    back = asked.groupBy("shard").applyInArrow(lambda t: _answer(t, shards), _REPLY)
+    back = asked.groupBy("shard").applyInArrow(_answer, _REPLY)
     schema = T.StructType([T.StructField(id_col, src.schema["id"].dataType), T.StructField("held_out", T.BooleanType()),
                            *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")],
                            T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
