@@ -23,12 +23,19 @@ from ..sources.store import TableStore
 from . import maintain as M
 from .sales import money
 
-_SUMS = "net decimal(38,4), qty double, row_count long"
-DAY_SUMS = T.StructType.fromDDL(f"file_id int, sale_year int, sale_date date, {_SUMS}")
-DAY_STORES = T.StructType.fromDDL("file_id int, sale_year int, sale_date date, bucket long, members binary")
-KEY_SUMS = T.StructType.fromDDL(f"file_id int, kind string, key string, {_SUMS}")
-KEY_SETS = T.StructType.fromDDL("file_id int, kind string, key string, counted string, bucket long, members binary")
-CODES = T.StructType.fromDDL("code long, kind string, value string")
+_KINDS = {"file_id": T.IntegerType(), "sale_year": T.IntegerType(), "sale_date": T.DateType(), "net": T.DecimalType(38, 4),
+          "qty": T.DoubleType(), "row_count": T.LongType(), "bucket": T.LongType(), "members": T.BinaryType(), "code": T.LongType()}
+
+
+def _schema(names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, _KINDS.get(n, T.StringType())) for n in names.split()])
+
+
+DAY_SUMS = _schema("file_id sale_year sale_date net qty row_count")
+DAY_STORES = _schema("file_id sale_year sale_date bucket members")
+KEY_SUMS = _schema("file_id kind key net qty row_count")
+KEY_SETS = _schema("file_id kind key counted bucket members")
+CODES = _schema("code kind value")
 SCHEMAS = {"day_sums": DAY_SUMS, "day_stores": DAY_STORES, "key_sums": KEY_SUMS, "key_sets": KEY_SETS}
 
 
