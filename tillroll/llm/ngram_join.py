@@ -46,7 +46,7 @@ from .components import components
 from .minhash import shingle_sets
 
 ORDERS = 3
-CELL_BITS = 20
+CELL_BITS = 22
 CELLS = 1 << CELL_BITS
 CHUNK = 1 << 14  # cells that are merged together
 BLOCK = 256  # members of one bucket that are compared at once
@@ -97,7 +97,7 @@ def frequency_classes(src: DataFrame, width: int) -> np.ndarray:
     for r in src.mapInArrow(count, schema).repartition("k").mapInArrow(add, schema).collect():
         n[r["k"]:r["k"] + CHUNK] = np.frombuffer(r["cells"], np.int64)
     mean = n.mean()
-    base = 8 * math.sqrt(mean) + 32
+    base = 4 * math.sqrt(mean) + 8  # above what the cells' other shingles make of it
     over = np.maximum(n - mean, 1e-9) / base
     return np.where(over < 1, 0, 1 + np.minimum(np.log2(np.maximum(over, 1)) * 2, 60)).astype(np.uint8)
 
