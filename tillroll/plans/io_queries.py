@@ -58,20 +58,21 @@ _CHUNK = "floor(l_orderkey / 2000)"
 @query("upload_expiry", views=("raw_lines",), sql=f"""
 SELECT file_id, status, coalesce(n, 0) AS fact_rows, coalesce(s, 0) AS staged_rows
 FROM (VALUES (1, 'active'), (2, 'expired'), (3, 'active')) f(file_id, status)
-LEFT JOIN (SELECT 1 AS file_id, count(*) AS n FROM raw_lines WHERE {Q.keep_sales_line("product_name")}) USING (file_id)
+LEFT JOIN (SELECT 1 AS file_id, count(*) AS n FROM raw_lines WHERE {Q.keep_store_line("store")}) USING (file_id)
 LEFT JOIN (SELECT 3 AS file_id, count(*) AS s FROM raw_lines
-  WHERE {Q.keep_sales_line("product_name")} AND {_CHUNK} > 0) USING (file_id)""")
+  WHERE {Q.keep_store_line("store")} AND {_CHUNK} > 0) USING (file_id)""")
 def _s3x(fx):
     """S3: a complete upload, one whose first chunk never came, and a recent
     one like it. A day later the first is closed and the second expired,
     neither leaves staged rows, and a chunk sent again for the second changes
     nothing."""
     spark, store = fx.spark, TableStore(fx.spark)
-    lines = raw_sales_file(fx, F.expr(_CHUNK).alias("_chunk"))
+    headers = {"date_text": "판매일자", "store": "매장명", "product_name": "상품명", "qty_text": "판매량"}
+    lines = fx.raw_lines.select(F.expr(_CHUNK).alias("_chunk"), *[F.col(k).alias(v) for k, v in headers.items()])
     root = work_path(spark, "upload-expiry")
     for fid, day, part in ((1, "2024-01-01", lines), (2, "2024-01-02", lines), (3, "2024-01-09", lines)):
         at = f"{root}/all/{fid}"
-        CH.write_chunks(part, at, fid, "original", "_chunk", list(SALES_TEXT), f"f{fid}.xlsx", sent_at=day)
+        CH.write_chunks(part, at, fid, "monthly", "_chunk", list(headers.values()), f"f{fid}.xlsx", "의류", day)
         docs = spark.read.schema(CHUNK_SCHEMA).json(at)
         (docs if fid == 1 else docs.filter("chunk_index > 0")).write.mode("append").json(f"{root}/in")
 
@@ -83,8 +84,8 @@ def _s3x(fx):
     go("ck")
     spark.read.schema(CHUNK_SCHEMA).json(f"{root}/all/2").filter("chunk_index = 0").write.mode("append").json(f"{root}/in")
     paths = go("ck")
-    facts = store.read(M.SALES, SALES_SCHEMA).groupBy("file_id").agg(F.count("*").alias("fact_rows"))
-    staged = CH.staged_rows(spark, paths, "sales").groupBy("file_id").agg(F.count("*").alias("staged_rows"))
+    facts = store.read(M.STORE_SALES, STORE_SALES_SCHEMA).groupBy("file_id").agg(F.count("*").alias("fact_rows"))
+    staged = CH.staged_rows(spark, paths, "store_sales").groupBy("file_id").agg(F.count("*").alias("staged_rows"))
     files = store.read(M.FILES, FILES_SCHEMA).select(F.col("id").alias("file_id"), "status")
     none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return (files.join(facts, "file_id", "left").join(staged, "file_id", "left")
