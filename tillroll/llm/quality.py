@@ -162,7 +162,7 @@ def _holds(rule: Rule, x: np.ndarray) -> np.ndarray:
 def _lasso(a: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Logistic lasso by accelerated proximal gradient; the last weight is
     the free intercept."""
-    n, back = len(y), np.ascontiguousarray(a.T)  # both in 32 bits, as the vectors they meet
+    n, back = len(y), a.T  # in 32 bits, as the vectors they meet
     f32 = np.float32
     v = np.full(a.shape[1], 1 / np.sqrt(a.shape[1]), f32)
     for _ in range(12):  # largest singular value
@@ -265,10 +265,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = some.select("__id", F.col("y").alias("__y"), F.col(f"`{text_col}`").alias("text"))
     rows = (text_statistics(some, "text", ["__id", "__y"]).groupBy("__id")
             .agg(F.min(F.struct("__y", *[f"__s{k}" for k in range(len(STATISTICS))])).alias("r"))
-            .select("__id", "r.*").collect())
-    rows.sort(key=lambda r: r["__id"])
-    x = np.array([list(r)[2:] for r in rows], np.float64).reshape(-1, len(STATISTICS))
-    return fit(x, np.array([float(r["__y"] > 0.5) for r in rows]))
+            .select("__id", "r.*").toArrow())
+    rows = rows.sort_by("__id")
+    x = np.empty((rows.num_rows, len(STATISTICS)))
+    for k in range(len(STATISTICS)):
+        x[:, k] = rows.column(k + 2).to_numpy()
+    return fit(x, (rows.column(1).to_numpy() > 0.5).astype(np.float64))
 
 
 def quality_scores(docs: DataFrame, model: RuleModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
