@@ -52,7 +52,7 @@ def _s3r(fx):
     return _chunked_upload(fx).read(M.FILES, FILES_SCHEMA).select("id", "original_name", "file_type", "row_count")
 
 
-_CHUNK = "floor(l_orderkey / 2000)"
+_CHUNK = "floor(l_orderkey / 1000)"
 
 
 @query("upload_expiry", views=("raw_lines",), sql=f"""
