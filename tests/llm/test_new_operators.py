@@ -165,6 +165,30 @@ def test_prefixes_of_similar_sets_meet_in_every_order():
         assert J._bounded(len(x), len(y), ax, ay, 85).all()
 
 
+def test_similar_sets_pass_the_bounds_where_they_first_meet():
+    rng = np.random.default_rng(4)
+    classes = rng.integers(0, 40, J.CELLS).astype(np.uint8)
+    passed = pruned = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 900))
+        x = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        keep, more = rng.choice([1, 0.97, 0.9, 0.6]), int(rng.integers(0, 1 + n // 10))
+        y = np.unique(np.append(x[rng.random(len(x)) < keep], rng.integers(0, 1 << 64, more, dtype=np.uint64)))
+        same = len(np.intersect1d(x, y))
+        wx, wy = J.parity(np.append(x, y), np.array([0, len(x), len(x) + len(y)]))
+        differ = int(np.bitwise_count((wx ^ wy).view(np.uint64)).sum())
+        assert differ <= len(x) + len(y) - 2 * same
+        near = J._near_bits(len(x), len(y), differ, 85)
+        if same and 100 * same >= 85 * len(np.union1d(x, y)):
+            _, ax, ay = np.intersect1d(J.prefixes(x, classes, 85, 1)[0], J.prefixes(y, classes, 85, 1)[0], return_indices=True)
+            assert near and J._bounded_first(len(x), len(y), ax[0], ay[0], 85)
+            passed += 1
+        else:
+            pruned += not near
+    assert passed > 100 and pruned > 100
+    assert J.parity(np.zeros(0, np.uint64), np.array([0, 0])).tolist() == [[0] * J.WORDS]
+
+
 def test_compact_lists_bound_the_intersection():
     rng = np.random.default_rng(8)
     pairs = [(np.zeros(0, np.uint64), np.arange(3, dtype=np.uint64))]

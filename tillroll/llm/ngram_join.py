@@ -20,9 +20,11 @@ shingles last and differ among shingles of one frequency class.
    hold several components and compares, block by block, what lies outside
    the largest one with all classes of near lengths.
 5. Pairs pass the length bound, the bound from the places of the shared
-   shingle, the prefixes of the further orders and a bound from the compact
-   lists, which can only overrate an intersection. What is left is verified on
-   full sets.
+   shingle, a bound from parity bits of both sets, the prefixes of the further
+   orders and a bound from the compact lists, which can only overrate an
+   intersection. What is left is verified on full sets. Round two asks the
+   first three before a pair is written down, and the places as those of the
+   first shingle that a pair shares: a linked pair passes in that bucket.
 
 Whether two texts inside a component are linked is not asked when links of
 others connect them: the result has the components of all links.
@@ -49,7 +51,9 @@ ORDERS = 3
 CELL_BITS = 22
 CELLS = 1 << CELL_BITS
 CHUNK = 1 << 14  # cells that are merged together
-BLOCK = 256  # members of one bucket that are compared at once
+BLOCK = 512  # members of one bucket that are compared at once
+WORDS = 8  # 64-bit words of parity bits of a set
+PARITY = [f"w{k}" for k in range(WORDS)]
 SENT = 200_000  # nodes that a task remembers to have sent
 _SALTS = [np.uint64(x) for x in np.random.default_rng(12).integers(1, 1 << 63, ORDERS)]
 
@@ -195,19 +199,31 @@ def _node(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     return K.mix(c[at[1:]] - c[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
+def parity(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set, one bit per cell of a small table: whether an odd number
+    of its shingles fall there. Two sets differ in at least as many shingles
+    as their bits do."""
+    m, bits = len(at) - 1, 64 * WORDS
+    cell = ((K.mix(s ^ np.uint64(0xB17)) >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(m), np.diff(at)) * bits + cell, minlength=m * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(m, WORDS)
+
+
 def _documents(src: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(id, n, node, q, c): set size, signature, the prefixes of the further
-    orders (16 bits an entry, one order after the other), the compact list."""
+    """(id, n, node, q, c, w0..): set size, signature, the prefixes of the
+    further orders (16 bits an entry, one order after the other), the compact
+    list, the parity bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, s, at in _sets(batches, width):
             each = [s[a:b] for a, b in zip(at[:-1], at[1:])]
             q = [np.concatenate(prefixes(x, classes, percent)[1:]).astype(np.uint16).tobytes() for x in each]
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(np.diff(at)), pa.array(_node(s, at)), pa.array(q, pa.binary()),
-                 pa.array([compact(x) for x in each], pa.binary())], names=schema.names)
+                 pa.array([compact(x) for x in each], pa.binary()), *map(pa.array, parity(s, at).T)], names=schema.names)
 
     schema = T.StructType([src.schema["id"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()),
-                           T.StructField("q", T.BinaryType()), T.StructField("c", T.BinaryType())])
+                           T.StructField("q", T.BinaryType()), T.StructField("c", T.BinaryType()),
+                           *[T.StructField(w, T.LongType()) for w in PARITY]])
     return src.mapInArrow(run, schema)
 
 
@@ -229,7 +245,9 @@ def _entries(src: DataFrame, classes: np.ndarray, width: int, percent: int) -> D
             each = np.array([len(k) for k in keys[1:]], np.int64)
             place = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
             row = np.repeat(np.array(rows, np.int64), each)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(node[row]),
+            # signed keys in the global order
+            key = (np.concatenate(keys) ^ np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[row]),
                                               pa.array((size[row] << 32) | place)], names=["key", "node", "place"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +275,9 @@ def _entries(src: DataFrame, classes: np.ndarray, width: int, percent: int) -> D
 
 
 def _different_buckets(entries: DataFrame) -> DataFrame:
-    """Of buckets with the same nodes one: a pair that meets in several is
-    compared there, and a bound that rules it out holds wherever it meets."""
+    """Of buckets with the same nodes that which comes first in the global
+    order: a pair that meets in several is compared there. The first bucket in
+    which a pair meets always stays."""
     nodes = entries.groupBy("key").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"),
                                        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     return entries.join(nodes.groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
@@ -272,37 +291,63 @@ def _bounded(nx, ny, ax, ay, percent: int, least=np.minimum, most=np.maximum):
     return (100 * least(nx, ny) >= percent * most(nx, ny)) & ((100 + percent) * shared >= percent * (nx + ny))
 
 
-def _leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each node with the leader of its bucket and length partition."""
+def _bounded_first(nx, ny, ax, ay, percent: int):
+    """The same if it is the first shingle in the order that the sets share:
+    they share nothing before it."""
+    shared = 1 + np.minimum(nx - ax - 1, ny - ay - 1)
+    return (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & ((100 + percent) * shared >= percent * (nx + ny))
+
+
+def _near_bits(nx, ny, differ, percent: int):
+    """Whether sets of sizes nx and ny whose parity bits differ in so many
+    places may reach the similarity."""
+    return (100 + percent) * (nx + ny - differ) >= 2 * percent * (nx + ny)
+
+
+def _leader_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each node with the leader of its bucket and length partition,
+    if places and parity bits leave the similarity possible."""
     head = entries.groupBy("key", "lc").agg(F.min(F.struct("node", "n", "at")).alias("m"))
     near = _bounded(F.col("m.n"), F.col("n"), F.col("m.at"), F.col("at"), percent, F.least, F.greatest)
-    return (entries.join(head, ["key", "lc"]).filter((F.col("node") != F.col("m.node")) & near)
-            .select(F.col("m.node").alias("a"), F.col("node").alias("b")).distinct())
+    pairs = (entries.join(head, ["key", "lc"]).filter((F.col("node") != F.col("m.node")) & near)
+             .select(F.col("m.node").alias("a"), F.col("node").alias("b")).distinct())
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"),
+                                       *[F.col(w).alias(side + w) for w in PARITY]), side)
+    differ = sum((F.bit_count(F.col("a" + w).bitwiseXOR(F.col("b" + w))) for w in PARITY[1:]),
+                 F.bit_count(F.col("aw0").bitwiseXOR(F.col("bw0"))))
+    return pairs.filter(_near_bits(F.col("na"), F.col("nb"), differ, percent)).select("a", "b")
 
 
-def _between_components(entries: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+def _between_components(entries: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and pass its
-    bounds."""
+    bounds and that of their parity bits."""
     member = entries.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     mixed = (member.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key")
              .agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("cs"))
              .filter("cs > 1").select("key", F.col("m.c").alias("main")))
     sizes = member.groupBy("key", "lc").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = (member.join(mixed, "key").join(sizes, ["key", "lc"])
+    rows = (member.join(mixed, "key").join(sizes, ["key", "lc"]).join(sets.select("node", *PARITY), "node")
             .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks"))))
-    packed = F.collect_list(F.struct("node", "c", "n", "at"))
+    packed = F.collect_list(F.struct("node", "c", "n", "at", *PARITY))
     every = rows.groupBy("key", "lc", "blk").agg(packed.alias("y"))
     strays = (rows.filter("c <> main").groupBy("key", F.col("lc").alias("own"), "blk").agg(packed.alias("x")).drop("blk")
               .withColumn("lc", F.explode(F.expr("array(own - 1, own, own + 1)")))
               .join(sizes, ["key", "lc"]).withColumn("blk", F.explode(F.expr("sequence(0L, blocks - 1)"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = lambda cell: (cell.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "c", "n", "at"))
+        names = ("node", "c", "n", "at", *PARITY)
+        columns = lambda cell: (cell.values.field(c).to_numpy(zero_copy_only=False) for c in names)
         for b in batches:
             found = [np.zeros((0, 2), np.int64)]
             for x, y in zip(b.column(0), b.column(1)):
-                (ix, cx, nx, ax), (iy, cy, ny, ay) = columns(x), columns(y)
-                i, j = np.nonzero((cx[:, None] != cy) & _bounded(nx[:, None], ny, ax[:, None], ay, percent))
+                (ix, cx, nx, ax, *wx), (iy, cy, ny, ay, *wy) = columns(x), columns(y)
+                i, j = np.nonzero((cx[:, None] != cy) & _bounded_first(nx[:, None], ny, ax[:, None], ay, percent))
+                differ = np.zeros(len(i), np.int64)
+                for u, v in zip(wx, wy):
+                    differ += np.bitwise_count((u[i] ^ v[j]).view(np.uint64))
+                near = _near_bits(nx[i], ny[j], differ, percent)
+                i, j = i[near], j[near]
                 found.append(np.stack([np.minimum(ix[i], iy[j]), np.maximum(ix[i], iy[j])], axis=1))
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -385,15 +430,15 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = stored(_entries(known_ids, ranks, width, percent).withColumn("lc", F.floor(F.log("n") / part)), "shared")
     entries = stored(_different_buckets(shared), "entries")
     sets = stored(live.join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-                  .select("node", "q", "c"), "compact")
+                  .select("node", "n", "q", "c", *PARITY), "compact")
     discard(shared)
     # an id that has several texts ties their nodes together
     several = live.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("id", "a")
     tied = live.join(several, "id").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    first = _in_all_orders(_leader_pairs(entries, percent), sets, percent)
+    first = _in_all_orders(_leader_pairs(entries, sets, percent), sets, percent)
     links = stored(_verified(first, classes, known_ids, width, percent).union(tied), "links")
     comp = components(links).select("node", "component")
-    rest = _in_all_orders(_between_components(entries, comp, percent), sets, percent)
+    rest = _in_all_orders(_between_components(entries, comp, sets, percent), sets, percent)
     rest = _verified(rest, classes, known_ids, width, percent)
     comp = stored(components(links.union(rest)).select("node", "component"), "comp")
     discard(entries, sets)
