@@ -16,13 +16,16 @@ shingles last and differ among shingles of one frequency class.
    class once per task. Buckets with one class go; of several with the same
    classes one stays.
 4. A bucket is not expanded into pairs: round one pairs its classes with one
-   leader of their length partition. Round two takes the buckets that still
-   hold several components and compares, block by block, what lies outside
-   the largest one with all classes of near lengths.
+   leader of their length partition. Round two takes the larger buckets that
+   still hold several components and pairs their classes with a few leaders
+   of other components, so that groups of near copies grow together by a
+   number of pairs in proportion to their size. Round three compares, block by
+   block, what then lies outside a bucket's largest component with all classes
+   of near lengths.
 5. Pairs pass the length bound, the bound from the places of the shared
    shingle, a bound from parity bits of both sets, the prefixes of the further
    orders and a bound from the compact lists, which can only overrate an
-   intersection. What is left is verified on full sets. Round two asks the
+   intersection. What is left is verified on full sets. Round three asks the
    first three before a pair is written down, and the places as those of the
    first shingle that a pair shares: a linked pair passes in that bucket.
 
@@ -52,6 +55,7 @@ CELL_BITS = 22
 CELLS = 1 << CELL_BITS
 CHUNK = 1 << 14  # cells that are merged together
 BLOCK = 512  # members of one bucket that are compared at once
+LEADERS = 24  # of a bucket and length partition in round two
 WORDS = 8  # 64-bit words of parity bits of a set
 PARITY = [f"w{k}" for k in range(WORDS)]
 SENT = 200_000  # nodes that a task remembers to have sent
@@ -319,16 +323,38 @@ def _leader_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return pairs.filter(_near_bits(F.col("na"), F.col("nb"), differ, percent)).select("a", "b")
 
 
-def _between_components(entries: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and pass its
-    bounds and that of their parity bits."""
+def _mixed_members(entries: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components: c is a member's
+    component, main the bucket's largest one, k the number of members in the
+    bucket's length partition."""
     member = entries.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     mixed = (member.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key")
              .agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("cs"))
              .filter("cs > 1").select("key", F.col("m.c").alias("main")))
-    sizes = member.groupBy("key", "lc").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = (member.join(mixed, "key").join(sizes, ["key", "lc"]).join(sets.select("node", *PARITY), "node")
-            .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    sizes = member.groupBy("key", "lc").agg(F.count("*").alias("k"))
+    return member.join(mixed, "key").join(sizes, ["key", "lc"]).join(sets.select("node", *PARITY), "node")
+
+
+def _stray_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket and length partition with its
+    ``LEADERS`` members of least salted hashes, if they are of different
+    components. Partitions of few members are left to round three."""
+    large = rows.filter(F.col("k") > 2 * LEADERS)
+    lead = large.groupBy("key", "lc").agg(F.array(*[
+        F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "c", "n", "at", *PARITY)) for salt in range(LEADERS)]).alias("m"))
+    both = large.join(lead.select("key", "lc", F.explode("m").alias("m")), ["key", "lc"])
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"m.{w}"))) for w in PARITY), F.lit(0))
+    near = (_bounded(F.col("m.n"), F.col("n"), F.col("m.at"), F.col("at"), percent, F.least, F.greatest)
+            & _near_bits(F.col("m.n"), F.col("n"), differ, percent))
+    return (both.filter((F.col("c") != F.col("m.c")) & near)
+            .select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct())
+
+
+def _between_components(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and pass its
+    bounds and that of their parity bits."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("k") / BLOCK)).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    sizes = rows.select("key", "lc", "blocks").distinct()
     packed = F.collect_list(F.struct("node", "c", "n", "at", *PARITY))
     every = rows.groupBy("key", "lc", "blk").agg(packed.alias("y"))
     strays = (rows.filter("c <> main").groupBy("key", F.col("lc").alias("own"), "blk").agg(packed.alias("x")).drop("blk")
@@ -438,7 +464,10 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = _in_all_orders(_leader_pairs(entries, sets, percent), sets, percent)
     links = stored(_verified(first, classes, known_ids, width, percent).union(tied), "links")
     comp = components(links).select("node", "component")
-    rest = _in_all_orders(_between_components(entries, comp, sets, percent), sets, percent)
+    more = _in_all_orders(_stray_pairs(_mixed_members(entries, comp, sets), percent), sets, percent)
+    links = links.union(_verified(more, classes, known_ids, width, percent))
+    comp = stored(components(links).select("node", "component"), "comp")
+    rest = _in_all_orders(_between_components(_mixed_members(entries, comp, sets), percent), sets, percent)
     rest = _verified(rest, classes, known_ids, width, percent)
     comp = stored(components(links.union(rest)).select("node", "component"), "comp")
     discard(entries, sets)
