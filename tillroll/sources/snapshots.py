@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import FILES_SCHEMA, SALES_SCHEMA, STORE_SALES_SCHEMA
+from ..session import small_splits
 from .claims import Claims
 from .ingest import STORE_PARTS, store_layout
 from .row_ids import restored, stored_schema
@@ -84,8 +85,10 @@ def take_snapshot(store: TableStore, root: str) -> int:
         # one small row per partition
         now = spark.createDataFrame(now.select("table_name", "part", "row_count", "digest", "link").collect(), MANIFEST)
         changed = now.filter(F.col("link") == link).select(F.col("part").alias(PART))
-        (rows.withColumn(PART, part).join(changed, PART, "left_semi").repartition(PART)
-         .write.partitionBy(PART).mode("overwrite").parquet(f"{root}/{link:06d}/{table}"))
+        # the store's files hold one partition each, so the rows are not dealt by partition
+        with small_splits(spark):
+            (rows.withColumn(PART, part).join(F.broadcast(changed), PART, "left_semi").write.partitionBy(PART)
+             .option("compression", "zstd").mode("overwrite").parquet(f"{root}/{link:06d}/{table}"))
         rows_of = now if rows_of is None else rows_of.unionByName(now)
     rows_of.coalesce(1).write.mode("overwrite").parquet(f"{root}/{link:06d}/manifest")
     return link
@@ -105,10 +108,18 @@ def read_link(spark: SparkSession, root: str, link: int, table: str) -> DataFram
     return out
 
 
+def _unnamed(spark: SparkSession, root: str, link: int, table: str) -> bool:
+    """Whether the link's own files hold a partition that its manifest does
+    not say they hold."""
+    held = spark.read.schema(f"{PART} string").parquet(f"{root}/{link:06d}/{table}").select(F.col(PART).alias("part")).distinct()
+    mine = manifest(spark, root, link).filter((F.col("table_name") == table) & (F.col("link") == link))
+    return not held.join(mine, "part", "left_anti").isEmpty()
+
+
 def restore_link(store: TableStore, root: str, link: int | None = None) -> dict[str, int]:
     """Puts the tables of a link (default: the last) in the store's place.
     Nothing changes unless every partition has the digest that the manifest
-    says. Returns the row counts."""
+    says, and there are no others. Returns the row counts."""
     spark, root = store.spark, root.rstrip("/")
     links = _links(spark, root)
     link = links[-1] if link is None and links else link
@@ -121,7 +132,7 @@ def restore_link(store: TableStore, root: str, link: int | None = None) -> dict[
         have = digests(found[table], part).select("part", F.col("row_count").alias("n"), F.col("digest").alias("d"))
         same = F.col("row_count").eqNullSafe(F.col("n")) & F.col("digest").eqNullSafe(F.col("d"))
         odd = want.join(have, "part", "full").agg(F.count_if(~same).alias("odd"), F.sum("row_count").alias("rows")).first()
-        if odd["odd"]:
+        if odd["odd"] or _unnamed(spark, root, link, table):
             raise ValueError(f"{table} of link {link} at {root} is not what its manifest says")
         counts[table] = odd["rows"] or 0
     with store.claims.turn("files"):
