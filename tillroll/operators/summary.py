@@ -108,13 +108,14 @@ def _read(store: TableStore, table: str, file_id: int | None) -> DataFrame:
 def summary_stats(store: TableStore, file_id: int | None = None) -> DataFrame:
     """A1 from the summaries."""
     all_ = F.col("kind") == "all"
-    one = _read(store, "key_sums", file_id).filter(all_).agg(
-        F.coalesce(F.sum("row_count"), F.lit(0)).alias("total_records"), money(F.sum("net")).alias("total_sales"),
-        F.sum("qty").alias("total_qty"))
+    sums = _read(store, "key_sums", file_id).filter(all_).select("row_count", "net", "qty")
     sizes = _size(_read(store, "key_sets", file_id).filter(all_), "counted")
     n = lambda c: F.coalesce(F.max(F.when(F.col("counted") == c, F.col("size"))), F.lit(0))
-    return one.join(F.broadcast(sizes.agg(n("product_code").alias("unique_products"), n("supplier").alias("unique_suppliers"),
-                                          n("category").alias("unique_categories"))))
+    # one row of both: a row per file with sums, and one per kind with a size
+    return sums.unionByName(sizes, allowMissingColumns=True).agg(
+        F.coalesce(F.sum("row_count"), F.lit(0)).alias("total_records"), money(F.sum("net")).alias("total_sales"),
+        F.sum("qty").alias("total_qty"), n("product_code").alias("unique_products"),
+        n("supplier").alias("unique_suppliers"), n("category").alias("unique_categories"))
 
 
 def sales_by(store: TableStore, kind: str, file_id: int | None = None, top: int | None = 30) -> DataFrame:
