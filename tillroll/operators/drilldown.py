@@ -1,12 +1,11 @@
 """Multi-level drill-downs (H1-H3) as flat DataFrames.
 
 The source builds nested dicts in a Python loop and truncates each level by
-sorting lists. Here each level is its own partial aggregate (groups and
-categories of the leaves, suppliers of the categories), so no single task
-ever holds a whole supplier or store. Per-group
-top-N uses ``row_number() <= k`` over a window, which Spark plans as a
-WindowGroupLimit: each map task keeps only its own top k per key before the
-shuffle, so a hot (supplier, category) ships at most k rows per task.
+sorting lists. Here each level is its own partial aggregate, so no single task
+ever holds a whole supplier or store. The leaves of H1 are shuffled by
+(supplier, category) once: groups, their ranks and the category's totals are
+windows and aggregates over that layout. Per-group top-N is a rank over a
+window, which Spark plans as a WindowGroupLimit.
 
 Output is one row per kept leaf carrying the totals of every level above it;
 all level totals are taken before truncation, as in the source.
@@ -14,7 +13,7 @@ all level totals are taken before truncation, as in the source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import base_product_code, group_display_name, option_label, ustrip
@@ -29,6 +28,20 @@ def _leaf(df: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.sum("sold_qty"), F.lit(0.0)).alias("qty"))
 
 
+def _category_keys(keep_null_category: bool) -> list[str]:
+    return ["supplier"] + (["_ck", "_cn"] if keep_null_category else ["category"])
+
+
+def _in_top_groups(leaf: DataFrame, keys: list[str], top_groups: int, **group: Column) -> DataFrame:
+    """The leaves of the ``top_groups`` best groups of each category, with
+    ``group_total``, ``group_rank`` and the aggregates ``group`` of their
+    group; where the leaves are, without a shuffle."""
+    one = Window.partitionBy(*keys, "base_code")
+    df = leaf.select("*", F.sum("net").over(one).alias("group_total"), *[c.over(one).alias(n) for n, c in group.items()])
+    w = Window.partitionBy(*keys).orderBy(F.col("group_total").desc(), F.col("base_code").asc())
+    return df.withColumn("group_rank", F.dense_rank().over(w)).filter(F.col("group_rank") <= top_groups)
+
+
 def supplier_category_leaves(sales: DataFrame, file_id=None,
                              keep_null_category: bool = False) -> DataFrame:
     """Leaf level of H1: sums per (supplier, category, code, name) with the
@@ -42,6 +55,9 @@ def supplier_category_leaves(sales: DataFrame, file_id=None,
         # null-safe join keys for the category: its text and a null flag
         leaf = (leaf.withColumn("_ck", F.coalesce(F.col("category"), F.lit("")))
                 .withColumn("_cn", F.col("category").isNull()))
+    # the one shuffle of the leaves: their groups, ranks and totals are all
+    # made inside a category of a supplier
+    leaf = leaf.repartition(*_category_keys(keep_null_category))
     # the stripped name is computed once and shared by C3 and C4
     leaf = leaf.withColumn("_n", ustrip("product_name"))
     base = F.coalesce(base_product_code("product_name", stripped="_n"),
@@ -70,32 +86,21 @@ def supplier_category_matrix(sales: DataFrame, file_id=None, top_groups: int = 5
     form of the source), joined null-safely.
     """
     leaf = supplier_category_leaves(sales, file_id, keep_null_category)
-    keys = ["supplier", "category"] + (["_ck", "_cn"] if keep_null_category else [])
-    jk = ["supplier"] + (["_ck", "_cn"] if keep_null_category else ["category"])
-
-    def right(df: DataFrame) -> DataFrame:
-        return df.drop("category") if keep_null_category else df
-
+    keys = _category_keys(keep_null_category)
     pick = F.when(F.col("_rep") != "", F.struct(-F.col("net"), F.col("product_code"),
                                                 F.col("product_name")))
-    groups = leaf.groupBy(*keys, "base_code").agg(
-        F.sum("net").alias("group_total"), F.sum("qty").alias("group_qty"),
-        F.count(F.lit(1)).alias("option_count"),
-        F.coalesce(F.min_by("_rep", pick), F.lit("")).alias("group_name"))
+    kept = _in_top_groups(leaf, keys, top_groups, group_qty=F.sum("qty"), option_count=F.count(F.lit(1)),
+                          group_name=F.min_by("_rep", pick))
     # category and supplier totals straight from the leaves (exact decimal
-    # sums), joined at category level, where the rows are fewest
+    # sums), joined at category level. The counts (always true) read the other
+    # columns, which keeps the leaves the same on both sides of the join, so
+    # that they are made and shuffled once
     cats = leaf.groupBy(*keys).agg(
-        F.sum("net").alias("category_total"), F.sum("qty").alias("category_qty"))
+        F.sum("net").alias("category_total"), F.sum("qty").alias("category_qty"),
+        (F.count("category") + F.count("product_code") + F.count("product_name")).alias("_read")).filter("_read >= 0").drop("_read")
     sups = cats.groupBy("supplier").agg(
         F.sum("category_total").alias("supplier_total"), F.sum("category_qty").alias("supplier_qty"))
-    cat_heads = cats.join(sups, ["supplier"])
-
-    w = Window.partitionBy("supplier", "category").orderBy(F.col("group_total").desc(),
-                                                           F.col("base_code").asc())
-    kept = (groups.withColumn("group_rank", F.row_number().over(w))
-            .filter(F.col("group_rank") <= top_groups))
-    heads = kept.join(right(cat_heads), jk)
-    out = leaf.drop("_rep").join(right(heads), jk + ["base_code"])
+    out = kept.join(cats.join(sups, "supplier"), keys).withColumn("group_name", F.coalesce("group_name", F.lit("")))
     return out.select(
         "supplier", F.col("supplier_total").cast("double").alias("supplier_total"), "supplier_qty",
         "category", F.col("category_total").cast("double").alias("category_total"), "category_qty",
@@ -115,17 +120,12 @@ def matrix_order(flat: DataFrame) -> DataFrame:
 
 def matrix_export(sales: DataFrame, file_id=None, top_groups: int = 50) -> DataFrame:
     """H3: export rows (supplier, category, code, name, net, qty) of the
-    options of H1's kept groups, from the leaves and the kept groups alone."""
-    keys = ["supplier", "category", "base_code"]
-    leaf = supplier_category_leaves(sales, file_id).select(*keys, "product_code", "product_name", "net", "qty")
-    groups = leaf.groupBy(*keys).agg(F.sum("net").alias("total"), F.sum("qty").alias("sold"))
-    w = Window.partitionBy("supplier", "category").orderBy(F.col("total").desc(), F.col("base_code").asc())
-    # the sums of leaves are never null; reading both keeps the leaf
-    # aggregate the same on both sides of the join, so that it is made once
-    kept = (groups.filter("total is not null and sold is not null").withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= top_groups).select(*keys))
-    return leaf.join(kept, keys).select("supplier", "category", "product_code", "product_name",
-                                        F.col("net").cast("double").alias("net_sales"), F.col("qty").alias("sold_qty"))
+    options of H1's kept groups, from the leaves alone."""
+    leaf = supplier_category_leaves(sales, file_id).select("supplier", "category", "base_code", "product_code",
+                                                           "product_name", "net", "qty")
+    return _in_top_groups(leaf, _category_keys(False), top_groups).select(
+        "supplier", "category", "product_code", "product_name",
+        F.col("net").cast("double").alias("net_sales"), F.col("qty").alias("sold_qty"))
 
 
 def flatten_matrix(flat: DataFrame) -> DataFrame:
