@@ -47,10 +47,9 @@ def _set(code: str) -> Column:
     return F.bitmap_construct_agg(F.bitmap_bit_position(code)).alias("members")
 
 
-def _coded(store: TableStore, df: DataFrame, kinds: list[str]) -> DataFrame:
-    """``df`` with a code column ``<kind>_code`` for each kind; values not yet
-    in the dictionary get the next numbers."""
-    known = store.read("codes", CODES)
+def _codes(store: TableStore, df: DataFrame, kinds: list[str]) -> DataFrame:
+    """The dictionary, in which the values of the columns ``kinds`` that were
+    not there yet have the next numbers."""
     values = None
     for kind in kinds:
         mine = df.select(F.lit(kind).alias("kind"), F.col(kind).alias("value")).filter("value is not null").distinct()
@@ -60,39 +59,47 @@ def _coded(store: TableStore, df: DataFrame, kinds: list[str]) -> DataFrame:
         fresh, n = with_row_ids(store, "codes", values.join(known.select("kind", "value"), ["kind", "value"], "left_anti"))
         if n:
             store.append("codes", fresh.select(F.col("id").alias("code"), "kind", "value"), ["kind"])
-        known = store.read("codes", CODES)
-    for kind in kinds:
-        codes = known.filter(F.col("kind") == kind).select(F.col("value").alias(kind), F.col("code").alias(f"{kind}_code"))
-        df = df.join(codes, kind, "left")
-    return df
+        return store.read("codes", CODES)
+
+
+def _coded(codes: DataFrame, df: DataFrame, kind: str) -> DataFrame:
+    """``df`` with the numbers of a column's values as ``code``; rows without
+    a value are left out."""
+    return df.join(codes.filter(F.col("kind") == kind).select(F.col("value").alias(kind), "code"), kind)
 
 
 def summarise_files(store: TableStore, file_ids: list[int]) -> None:
     """(Re)writes the summaries of these files from the fact tables; the
-    partitions of other files are not read."""
+    partitions of other files are not read. Sums are made of the lines as they
+    are; only what is counted meets the dictionary."""
     ids = store.spark.createDataFrame([(int(f),) for f in file_ids], "value int")
     mine = F.col("file_id").isin([int(f) for f in file_ids])
-    days = _coded(store, store.read(M.STORE_SALES, STORE_SALES_SCHEMA, mine).select(
-        "file_id", "sale_date", "store", "net_sales", "sold_qty"), ["store"])
+    days = store.read(M.STORE_SALES, STORE_SALES_SCHEMA, mine)
     day = ["file_id", F.year("sale_date").alias("sale_year"), "sale_date"]
     put = lambda name, df, parts: store.replace_partitions(name, df.select(*SCHEMAS[name].fieldNames()), "file_id", ids, parts)
     put("day_sums", days.groupBy(*day).agg(*_sums()), ["file_id", "sale_year"])
-    held = days.filter("store_code is not null").withColumn("bucket", F.bitmap_bucket_number("store_code"))
-    put("day_stores", held.groupBy(*day, "bucket").agg(_set("store_code")), ["file_id", "sale_year"])
+    bucket = F.bitmap_bucket_number("code").alias("bucket")
+    held = _coded(_codes(store, days, ["store"]), days.select("file_id", "sale_date", "store"), "store")
+    put("day_stores", held.groupBy(*day, bucket).agg(_set("code")), ["file_id", "sale_year"])
 
-    sales = _coded(store, store.read(M.SALES, SALES_SCHEMA, mine).select(
-        "file_id", "product_code", "supplier", "category", "net_sales", "sold_qty"), ["product_code", "supplier", "category"])
+    sales = store.read(M.SALES, SALES_SCHEMA, mine)
     # of every line its file's total, its supplier's and its category's
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in (
         ("all", F.lit(None).cast("string")), ("supplier", F.col("supplier")), ("category", F.col("category")))]))
-    lines = sales.withColumn("k", each).filter("k.kind = 'all' or k.key is not null").select("*", "k.kind", "k.key")
-    put("key_sums", lines.groupBy("file_id", "kind", "key").agg(*_sums()), ["file_id"])
-    counted = F.explode(F.array(*[F.struct(F.lit(c).alias("counted"), F.col(f"{c}_code").alias("code"))
-                                  for c in ("product_code", "supplier", "category")]))
-    sets = (lines.select("file_id", "kind", "key", counted.alias("c")).select("file_id", "kind", "key", "c.*")
-            .filter("code is not null and (kind = 'all' or counted = 'product_code')")
-            .withColumn("bucket", F.bitmap_bucket_number("code")))
-    put("key_sets", sets.groupBy("file_id", "kind", "key", "counted", "bucket").agg(_set("code")), ["file_id"])
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("k", each).filter("k.kind = 'all' or k.key is not null").select("*", "k.kind", "k.key")
+
+    put("key_sums", keyed(sales).groupBy("file_id", "kind", "key").agg(*_sums()), ["file_id"])
+    codes = _codes(store, sales, ["product_code", "supplier", "category"])
+    columns = ("file_id", "kind", "key", "counted", "code")
+    products = sales.select("file_id", "product_code", "supplier", "category")
+    sets = keyed(_coded(codes, products, "product_code")).withColumn("counted", F.lit("product_code")).select(*columns)
+    for kind in ("supplier", "category"):  # counted in whole files only
+        some = _coded(codes, sales.select("file_id", kind).distinct(), kind)
+        sets = sets.unionByName(some.select("file_id", F.lit("all").alias("kind"), F.lit(None).cast("string").alias("key"),
+                                            F.lit(kind).alias("counted"), "code"))
+    put("key_sets", sets.groupBy("file_id", "kind", "key", "counted", bucket).agg(_set("code")), ["file_id"])
 
 
 def _size(df: DataFrame, *by: str) -> DataFrame:
