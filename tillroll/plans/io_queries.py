@@ -109,6 +109,9 @@ def _s3m(fx):
     return store.read(M.STORE_SALES, STORE_SALES_SCHEMA)
 
 
+# text files written only to be loaded: compressed, and bounded, as each is
+# then read by one task
+_PACKED = {"compression": "gzip", "maxRecordsPerFile": 500_000}
 _CSV_RAW = ("(SELECT nullif(classification, '') AS classification, money_text, code_text, "
             "nullif(product_name, '') AS product_name, nullif(qty_text, '') AS qty_text "
             "FROM raw_lines) raw_csv")
@@ -123,7 +126,7 @@ def _s1(fx):
     spark = fx.spark
     root = work_path(spark, "csv-load")
     (raw_sales_file(fx).write.option("header", True).option("ignoreLeadingWhiteSpace", False)
-     .option("ignoreTrailingWhiteSpace", False).csv(f"{root}/export.csv"))
+     .option("ignoreTrailingWhiteSpace", False).options(**_PACKED).csv(f"{root}/export.csv"))
     store = TableStore(spark)
     raw = G.read_delimited(spark, f"{root}/export.csv")
     fid = M.register_file(store, "export.csv", "export.csv", "original")
