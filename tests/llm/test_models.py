@@ -14,7 +14,7 @@ from tillroll.llm import elias_fano as ef
 from tillroll.llm import kernels as K
 from tillroll.llm import language_model as LM
 from tillroll.llm.language_model import PRIOR, lm_scores
-from tillroll.llm.quality import STATISTICS, fit, quality_scores, train
+from tillroll.llm.quality import STATISTICS, RuleModel, fit, quality_scores, train
 from tillroll.llm.warc import archive_round_trip, read_archives, write_archives
 
 
@@ -223,3 +223,42 @@ def test_payloads_come_back(spark, tmp_path):
 
 def test_archives_empty(spark):
     assert archive_round_trip(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def _random_model(rng, trees=60):
+    rules = {}
+    for _ in range(trees):
+        path = tuple((int(rng.integers(len(STATISTICS))), bool(rng.integers(2)), float(rng.random())) for _ in range(3))
+        rules |= {path[:k]: None for k in (1, 2, 3)}
+        rules[(*path[:2], (path[2][0], not path[2][1], path[2][2]))] = None
+    return RuleModel(list(rules), [float(w) for w in rng.normal(size=len(rules))], float(rng.normal()))
+
+
+def test_scores_are_those_of_the_rules(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.random((200, len(STATISTICS))), np.zeros((1, len(STATISTICS)))])
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)],
+                               ["k", *[f"__s{k}" for k in range(len(STATISTICS))]])
+    for model in (_random_model(rng), RuleModel([], [], 40.0), RuleModel([], [], -0.3)):
+        got = [r.score for r in df.select("k", model.column().alias("score")).orderBy("k").collect()]
+        assert got == pytest.approx(model.probability(x), abs=1e-12)
+
+
+def test_scores_leave_nothing_in_the_driver(spark):
+    """Plans of large models, one after the other, without what the parser would
+    keep of each (about 17 MB for one of these)."""
+    rng = np.random.default_rng(9)
+    df = spark.range(1).select(*[F.rand(k).alias(f"__s{k}") for k in range(len(STATISTICS))])
+    jvm = spark._jvm.java.lang
+
+    def used():
+        for _ in range(3):
+            jvm.System.gc()
+        run = jvm.Runtime.getRuntime()
+        return (run.totalMemory() - run.freeMemory()) / 1e6
+
+    df.select(_random_model(rng).column()).schema  # noqa: B018
+    before = used()
+    for _ in range(2):
+        df.select(_random_model(rng).column()).schema  # noqa: B018
+    assert used() - before < 15

@@ -198,26 +198,31 @@ class RuleModel:
 
     def column(self) -> Column:
         """The score as a Spark expression over ``__s0``, ... Rules that begin
-        with the same comparisons share them, as they did in their tree."""
+        with the same comparisons share them, as they did in their tree.
+
+        It is made of columns and not of SQL text: Spark's parser keeps what it
+        learned of each text for the life of the session, tens of MB for a model."""
         root: dict = {}
         for r, w in zip(self.rules, self.weights):
             at = root
             for test in r:
                 at = at.setdefault(test, {})
             at["weight"] = at.get("weight", 0.0) + float(w)
+        of = [F.col(f"__s{k}") for k in range(len(STATISTICS))]
 
-        def total(at: dict) -> str:
+        def total(at: dict) -> Column:
             """The sum of the weights of the rules that hold, of those that
             begin with the comparisons above ``at``."""
-            terms = [repr(at["weight"]) + "D"] if "weight" in at else []
+            terms = [F.lit(at["weight"])] if "weight" in at else []
             for s, t in dict.fromkeys((x[0], x[2]) for x in at if x != "weight"):
-                yes, no = (total(at[s, above, t]) if (s, above, t) in at else "0D" for above in (True, False))
-                terms.append(f"if(__s{s} > {t!r}D, {yes}, {no})")
+                yes, no = (total(at[s, above, t]) if (s, above, t) in at else F.lit(0.0) for above in (True, False))
+                terms.append(F.when(of[s] > t, yes).otherwise(no))
             while len(terms) > 1:  # a flat tree of sums
-                terms = [f"({' + '.join(terms[i:i + 2])})" for i in range(0, len(terms), 2)]
+                terms = [reduce(Column.__add__, terms[i:i + 2]) for i in range(0, len(terms), 2)]
             return terms[0]
 
-        return F.expr(f"1D / (1D + exp(-({float(self.intercept)!r}D" + (f" + {total(root)}" if root else "") + ")))")
+        margin = F.lit(float(self.intercept))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(margin + total(root) if root else margin)))
 
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> RuleModel:
